@@ -7,30 +7,41 @@ pair of names and joined back to the columns.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corroborate.functions import similarity as S
 from corroborate.functions.names import Dictionary, normalize_a, with_name_features
+from corroborate.functions.text import token_buckets
+from corroborate.session import spread, stage
 
 DIGITS = 6
 
 
-def score_name_pairs(pairs: DataFrame, dictionary: Dictionary | None = None, embedder=None) -> DataFrame:
-    """``(source, target)`` with cosine, n-gram and domain scores.
+def name_features(*names: DataFrame, dictionary: Dictionary | None = None, embedder=None) -> DataFrame:
+    """Features of all distinct names of one-column frames, staged: every score reads them."""
+    every = reduce(DataFrame.union, [n.toDF("name") for n in names]).distinct()
+    features = with_name_features(spread(every, "name"), "name", dictionary)
+    if embedder is not None:
+        features = features.withColumn("vector", embedder("norm"))
+    return stage(features, "name_features")
+
+
+def score_name_pairs(pairs: DataFrame, features: DataFrame, dictionary: Dictionary | None = None) -> DataFrame:
+    """Distinct ``(source, target)`` with cosine, n-gram and domain scores.
 
-    Without ``embedder`` the cosine is that of the hashed token bags.
+    The cosine is that of ``features.vector`` if there, else of the hashed token bags.
     """
     d = dictionary or Dictionary()
-    pairs = pairs.select("source", "target").distinct()
-    s = with_name_features(pairs.select(F.col("source").alias("name")), "name", d)
-    t = with_name_features(pairs.select(F.col("target").alias("name")), "name", d)
-    if embedder is not None:
-        s, t = s.withColumn("vector", embedder("norm")), t.withColumn("vector", embedder("norm"))
+    if "vector" in features.columns:
         cosine = S.vector_cosine(F.col("s.vector"), F.col("t.vector"))
     else:
         cosine = S.bucket_cosine(F.col("s.buckets"), F.col("t.buckets"))
-    joined = pairs.join(s.alias("s"), F.col("source") == F.col("s.name")).join(t.alias("t"), F.col("target") == F.col("t.name"))
+    s, t = features.alias("s"), features.alias("t")
+    distinct = spread(pairs.select("source", "target").distinct(), "source", "target")
+    joined = distinct.join(s, F.col("source") == F.col("s.name")).join(t, F.col("target") == F.col("t.name"))
     grams = S.gram_cosine(F.col("s.grams"), F.col("s.gram_counts"), F.col("t.grams"), F.col("t.gram_counts"))
     return joined.select(
         "source",
@@ -68,28 +79,39 @@ def _sharing(source: DataFrame, target: DataFrame, theta: float) -> DataFrame:
     return s.join(t, "key").select("source", "target").distinct()
 
 
+def _names(catalog: DataFrame) -> DataFrame:
+    return catalog.select(F.col("column_name").alias("name")).distinct()
+
+
+def _grams(names: DataFrame, features: DataFrame) -> DataFrame:
+    return names.join(features, "name").select("name", F.explode("gram_counts").alias("key", "n"))
+
+
+def _buckets(names: DataFrame, features: DataFrame) -> DataFrame:
+    return names.join(features, "name").select("name", F.explode("buckets").alias("key")).groupBy("name", "key").agg(F.count("*").alias("n"))
+
+
 def candidate_pairs(
     source: DataFrame,
     target: DataFrame,
+    features: DataFrame,
     threshold: float,
     weights: tuple[float, float, float],
-    dictionary: Dictionary | None = None,
 ) -> DataFrame:
     """Distinct name pairs that can reach ``threshold``; no other pair can.
 
     ``weights`` are those of cosine, n-grams and domain. The domain score is at
     most 1, so an accepted pair has a large enough token cosine or a large
-    enough n-gram cosine; both are found through shared rare keys.
+    enough n-gram cosine; both are found through shared rare keys. Holds for
+    the token-bag cosine; with dense vectors give the pairs yourself.
     """
     w_cos, w_gram, w_domain = weights
     need = threshold - w_domain
     if need <= 0:
         raise ValueError("threshold must exceed the domain weight, else every pair of names qualifies")
-    features = [with_name_features(x.select(F.col("column_name").alias("name")), "name", dictionary) for x in (source, target)]
-    grams = [f.select("name", F.explode("gram_counts").alias("key", "n")) for f in features]
-    buckets = [f.select("name", F.explode("buckets").alias("key")).groupBy("name", "key").agg(F.count("*").alias("n")) for f in features]
-    by_token = _sharing(buckets[0], buckets[1], min(1.0, need / 2 / w_cos))
-    by_gram = _sharing(grams[0], grams[1], min(1.0, need / 2 / w_gram))
+    s, t = _names(source), _names(target)
+    by_token = _sharing(_buckets(s, features), _buckets(t, features), min(1.0, need / 2 / w_cos))
+    by_gram = _sharing(_grams(s, features), _grams(t, features), min(1.0, need / 2 / w_gram))
     return by_token.union(by_gram).distinct()
 
 
@@ -129,10 +151,10 @@ def uncertain_columns(source: DataFrame, target: DataFrame, known: float = 0.70,
     A pair that reaches ``known`` has an n-gram cosine of at least
     2·known − 1, so only such pairs are scored.
     """
-    features = [with_name_features(x.select(F.col("column_name").alias("name")), "name", dictionary) for x in (source, target)]
-    grams = [f.select("name", F.explode("gram_counts").alias("key", "n")) for f in features]
-    pairs = _sharing(grams[0], grams[1], 2 * known - 1)
-    sure = score_name_pairs(pairs, dictionary).where(F.col("domain") * 0.5 + F.col("tfidf") * 0.5 >= known)
+    features = name_features(_names(source), _names(target), dictionary=dictionary)
+    pairs = _sharing(_grams(_names(source), features), _grams(_names(target), features), 2 * known - 1)
+    scored = score_name_pairs(pairs, features, dictionary)
+    sure = scored.where(F.col("domain") * 0.5 + F.col("tfidf") * 0.5 >= known)
     return source.select("table_name", "column_name").join(
         sure.select(F.col("source").alias("column_name")).distinct(), "column_name", "left_anti"
     )
@@ -174,23 +196,27 @@ def match_columns(
     outside proposals tell them apart.
     """
     accept = threshold if proposals is not None or use_local else max(0.4, threshold - 0.1)
+    names = [_names(source), _names(target)]
+    if proposals is not None:
+        names += [proposals.select("source_column"), proposals.select("target_column")]
+    features = name_features(*names, dictionary=dictionary)
     # the local proposer needs pairs from 0.4 on its own weights; both are covered
-    pairs = candidate_pairs(source, target, accept, PLAIN_WEIGHTS, dictionary)
+    pairs = candidate_pairs(source, target, features, accept, PLAIN_WEIGHTS)
     if use_local and proposals is None:
-        pairs = pairs.union(candidate_pairs(source, target, 0.4, LOCAL_WEIGHTS, dictionary)).distinct()
+        pairs = pairs.union(candidate_pairs(source, target, features, 0.4, LOCAL_WEIGHTS))
     t = target.select(
         F.col("table_name").alias("target_table"), F.col("column_name").alias("target"), "position", F.col("data_type").alias("target_type")
     )
     if proposals is not None:
         given = proposals.select("source_table", F.col("source_column").alias("source"), "target_table", _loose(F.col("target_column")).alias("loose"), "confidence")
         asked = given.join(t.withColumn("loose", _loose(F.col("target"))), ["target_table", "loose"])
-        pairs = pairs.union(asked.select("source", "target")).distinct()
-        scored = score_name_pairs(pairs, dictionary)
+        pairs = pairs.union(asked.select("source", "target"))
+        scored = stage(score_name_pairs(pairs, features, dictionary), "name_scores")
         left = source.select(F.col("table_name").alias("source_table"), F.col("column_name").alias("source"))
         hints = asked.groupBy("source_table", "source", "target_table", "target").agg(F.max("confidence").alias("p"))
         keys = ["source_table", "source"]
     else:
-        scored = score_name_pairs(pairs, dictionary)
+        scored = stage(score_name_pairs(pairs, features, dictionary), "name_scores")
         left = source.select(F.col("column_name").alias("source")).distinct()
         keys = ["source"]
         hints = None
@@ -267,7 +293,7 @@ def unmapped_columns(source: DataFrame, target: DataFrame, mappings: DataFrame)
 def _fuzzy_on_names(pairs: DataFrame) -> DataFrame:
     """(source, target, syntactic) for distinct pairs."""
     score = S.fuzzy_score(normalize_a(F.col("source")), normalize_a(F.col("target")))
-    return pairs.select("source", "target").distinct().withColumn("syntactic", F.round(score, DIGITS))
+    return spread(pairs.select("source", "target").distinct(), "source", "target").withColumn("syntactic", F.round(score, DIGITS))
 
 
 def table_pairs(source: DataFrame, target: DataFrame, minimum: float = 0.3, lanes: int = 64) -> DataFrame:
@@ -296,10 +322,8 @@ def match_by_name(source: DataFrame, target: DataFrame, threshold: float = 0.4)
     )
     related = table_pairs(source, target).select("source_table", "target_table")
     rows = s.join(related, "source_table").join(t, "target_table")
-    names = rows.select("source", "target").distinct()
-    scored = _fuzzy_on_names(names).join(
-        names.select("source", "target", F.round(S.bucket_cosine(_bag("source"), _bag("target")), DIGITS).alias("semantic")), ["source", "target"]
-    )
+    semantic = F.round(S.bucket_cosine(_bag("source"), _bag("target")), DIGITS)
+    scored = stage(_fuzzy_on_names(rows).withColumn("semantic", semantic), "fuzzy_scores")
     type_score = S.type_score(F.col("source_type"), F.col("target_type"))
     overall = F.round(0.5 * F.col("semantic") + 0.3 * F.col("syntactic") + 0.2 * F.col("type_score"), DIGITS)
     good = rows.join(scored, ["source", "target"]).withColumn("type_score", type_score).withColumn("overall", overall).where(F.col("overall") >= threshold)
@@ -318,8 +342,6 @@ def match_by_name(source: DataFrame, target: DataFrame, threshold: float = 0.4)
 
 
 def _bag(name: str) -> Column:
-    from corroborate.functions.text import token_buckets
-
     return token_buckets(normalize_a(F.col(name)))
 
 

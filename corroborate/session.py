@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,13 +38,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
-def stage(df: DataFrame, name: str, run_id: str) -> DataFrame:
+def stage(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate result once and read it back.
 
-    The table lives in the shared checkpoint folder, so it outlives executors;
-    a rerun of the same run_id replaces it.
+    For results that several later steps read and that are dear to recompute.
+    The table lives in the shared checkpoint folder, so it outlives executors.
     """
     spark = df.sparkSession
-    path = os.path.join(checkpoint_dir(spark), run_id, name)
-    df.write.mode("overwrite").parquet(path)
+    path = os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Repartition for work that is heavy per row on few bytes.
+
+    Adaptive execution sizes partitions by bytes and would leave such work to
+    one task.
+    """
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *columns)

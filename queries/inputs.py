@@ -39,3 +39,68 @@ select doc_id, cast(pos as integer) as page, parts[pos] as text
 from (select doc_id, parts, unnest(range(1, len(parts) + 1)) as pos
       from (select doc_id, string_split(text, chr(10)) as parts from documents))
 """
+
+
+# --- column catalogs --------------------------------------------------------------
+# Legacy columns are named after parts, modern ones after suppliers; which parts meet
+# which suppliers in lineitem gives pairs of names. One text serves both engines.
+
+LEGACY = """
+select p_partkey, 'legacy_' || lower(p_type) || '_' || cast(cast(floor(p_partkey / 200) as bigint) as varchar(9)) as table_name,
+       case when p_partkey % 4 = 0 then replace(p_name, ' ', '_') || '_' || stem else prefix || stem end as column_name,
+       data_type, p_partkey % 3 = 0 as is_nullable, p_partkey % 11 = 0 as is_primary_key
+from {part} join (values (0, 'id'), (1, 'fname'), (2, 'lname'), (3, 'email'), (4, 'ph'), (5, 'addr'), (6, 'city'), (7, 'state'),
+  (8, 'zip'), (9, 'type'), (10, 'status'), (11, 'created_dt'), (12, 'modified_dt'), (13, 'qty'), (14, 'amt'), (15, 'dob'),
+  (16, 'desc'), (17, 'no'), (18, 'orderTotal'), (19, 'notes')) as stems(s_at, stem) on p_size % 20 = s_at
+join (values (0, 'cust_'), (1, 'ord_'), (2, 'prod_'), (3, 'ph_'), (4, 'pol_'), (5, ''), (6, 'emp_')) as prefixes(p_at, prefix) on p_partkey % 7 = p_at
+join (values (0, 'INTEGER'), (1, 'VARCHAR(50)'), (2, 'FLOAT'), (3, 'DATETIME'), (4, 'TEXT'), (5, 'DECIMAL(10,2)'), (6, 'BOOL'), (7, 'bigint'), (8, 'VARCHAR(100)')) as types(t_at, data_type)
+  on (p_partkey + p_size) % 9 = t_at
+"""
+MODERN = """
+select s_suppkey, 'modern_' || cast(s_nationkey as varchar(9)) as table_name,
+       case when s_suppkey % 5 = 0 then stem || '_' || cast(s_suppkey % 13 as varchar(9)) else prefix || stem end as column_name,
+       data_type, s_suppkey % 2 = 0 as is_nullable, s_suppkey % 7 = 0 as is_primary_key
+from {supplier} join (values (0, 'id'), (1, 'first_name'), (2, 'last_name'), (3, 'email_address'), (4, 'phone_number'), (5, 'street_address'),
+  (6, 'city'), (7, 'state_code'), (8, 'postal_code'), (9, 'type'), (10, 'is_active'), (11, 'created_at'), (12, 'updated_at'),
+  (13, 'quantity'), (14, 'amount'), (15, 'date_of_birth'), (16, 'description'), (17, 'number'), (18, 'total'), (19, 'notes'), (20, 'pin-code'), (21, 'ring_id'), (22, 'widget_total')) as stems(s_at, stem) on (s_suppkey * 3) % 23 = s_at
+join (values (0, 'customer_'), (1, ''), (2, 'order_'), (3, ''), (4, 'product_'), (5, 'policy_')) as prefixes(p_at, prefix) on s_suppkey % 6 = p_at
+join (values (0, 'INTEGER'), (1, 'VARCHAR(100)'), (2, 'DOUBLE'), (3, 'TIMESTAMP'), (4, 'TEXT'), (5, 'VARCHAR(20)'), (6, 'BOOLEAN'), (7, 'DATE')) as types(t_at, data_type)
+  on (s_suppkey + s_nationkey) % 8 = t_at
+"""
+# one row per (table, column); the column's position is that of its first row
+LEGACY_COLUMNS = f"""
+select table_name, column_name, cast(min(p_partkey) as int) as position, min(data_type) as data_type,
+       min(is_nullable) as is_nullable, max(is_primary_key) as is_primary_key from ({LEGACY}) as legacy group by table_name, column_name
+"""
+MODERN_COLUMNS = f"""
+select table_name, column_name, cast(min(s_suppkey) as int) as position, min(data_type) as data_type,
+       min(is_nullable) as is_nullable, max(is_primary_key) as is_primary_key from ({MODERN}) as modern group by table_name, column_name
+"""
+NAME_PAIRS = f"""
+select distinct l.column_name as source, m.column_name as target, l.data_type as source_type, m.data_type as target_type
+from {{lineitem}} join ({LEGACY}) as l on l_partkey = p_partkey join ({MODERN}) as m on l_suppkey = s_suppkey
+"""
+
+
+def derived(spark: SparkSession, sf: str, text: str) -> DataFrame:
+    names = [n for n in ("part", "supplier", "lineitem", "customer", "orders", "nation", "events") if "{" + n + "}" in text]
+    return spark.sql(text, **{n: table(spark, sf, n) for n in names})
+
+
+def sql(text: str) -> str:
+    """The same text for DuckDB."""
+    for n in ("part", "supplier", "lineitem", "customer", "orders", "nation", "events"):
+        text = text.replace("{" + n + "}", n)
+    return text
+
+
+def legacy_columns(spark: SparkSession, sf: str) -> DataFrame:
+    return derived(spark, sf, LEGACY_COLUMNS)
+
+
+def modern_columns(spark: SparkSession, sf: str) -> DataFrame:
+    return derived(spark, sf, MODERN_COLUMNS)
+
+
+def name_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return derived(spark, sf, NAME_PAIRS)
