@@ -209,7 +209,8 @@ def topic_tags(text: Column) -> Column:
 
 
 def percent(c: Column, digits: int = 0) -> Column:
-    return F.format_string(f"%.{digits}f%%", c * 100)
+    # whole percents round halves to even, as Python does
+    return F.format_string(f"%.{digits}f%%", F.bround(c * 100, 0) if digits == 0 else c * 100)
 
 
 def shorten(c: Column, n: int = 100) -> Column:
