@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -54,7 +55,7 @@ def migrate_stream(
                 "source_table", "target_table", F.lit("transfer").alias("phase"), F.col("records_attempted").alias("rows"),
                 F.col("records_migrated").alias("migrated"), F.col("records_failed").alias("failed"), F.lit(None).cast("string").alias("error"),
             )
-        except Exception as exc:  # an unreadable table is a row, the run goes on
+        except AnalysisException as exc:  # a table that cannot be read is a row; lost executors still fail the batch
             counts = spark.createDataFrame(
                 [(plan.source_table, plan.target.name, "error", 0, 0, 0, str(exc)[:500])],
                 "source_table string, target_table string, phase string, rows long, migrated long, failed long, error string",

@@ -104,3 +104,25 @@ def modern_columns(spark: SparkSession, sf: str) -> DataFrame:
 
 def name_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return derived(spark, sf, NAME_PAIRS)
+
+
+# --- a legacy customer table with faults -------------------------------------------
+# Every row of customer, with repeated keys, missing names, unknown nations, and text
+# that is no number, put in by fixed rules so that each constraint has rows to reject.
+
+CUST = """
+select c_custkey as row_no,
+       case when c_custkey % 50 = 7 then c_custkey - 1 when c_custkey % 9 = 0 then 0 else c_custkey end as cust_id,
+       case when c_custkey % 97 = 3 then cast(null as varchar(60)) else c_name end as cust_name,
+       case when c_custkey % 83 = 5 then c_nationkey + 100 else c_nationkey end as nation,
+       case when c_custkey % 20 = 1 then 'n/a' when c_custkey % 20 = 2 then '12.5' else cast(cast(floor(c_acctbal) as bigint) as varchar(20)) end as bal_text,
+       '  ' || c_mktsegment || ' ' as segment,
+       case when c_custkey % 4 = 0 then cast(null as varchar(20)) else c_mktsegment end as tier
+from {customer}
+"""
+# keys that the target already holds
+HELD = "select c_custkey as customer_id from {customer} where c_custkey % 29 = 1"
+
+
+def cust(spark: SparkSession, sf: str) -> DataFrame:
+    return derived(spark, sf, CUST)
