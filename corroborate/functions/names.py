@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corroborate.functions import lexicon as L
+from corroborate.functions.literals import literal_map, literal_rows
 from corroborate.functions.text import token_buckets
 
 
@@ -43,8 +44,7 @@ class Dictionary:
 def _lookup(entries: dict[str, str], key: Column) -> Column:
     if not entries:
         return F.lit(None).cast("string")
-    literal = F.map_from_arrays(F.array(*map(F.lit, entries)), F.array(*map(F.lit, entries.values())))
-    return F.try_element_at(literal, key)
+    return F.try_element_at(literal_map(entries), key)
 
 
 def _expand(text: Column, entries: dict[str, str]) -> Column:
@@ -78,14 +78,10 @@ def _any(conditions: list[Column]) -> Column:
 
 def semantic_groups(norm: Column, core: Column) -> Column:
     """Groups one of whose terms is in the name, contains it, or is in its core."""
-    hits = [
-        F.when(
-            _any([F.contains(norm, F.lit(t)) | F.contains(F.lit(t), norm) | F.contains(core, F.lit(t)) for t in terms]),
-            F.lit(group),
-        )
-        for group, terms in L.SEMANTIC_GROUPS.items()
-    ]
-    return F.array_compact(F.array(*hits))
+    terms = literal_rows([{"group": g, "term": t} for g, ts in L.SEMANTIC_GROUPS.items() for t in ts], "group:string,term:string")
+    # a higher-order function over one literal keeps the generated code small enough to be compiled
+    hits = F.filter(terms, lambda x: F.contains(norm, x["term"]) | F.contains(x["term"], norm) | F.contains(core, x["term"]))
+    return F.array_distinct(F.transform(hits, lambda x: x["group"]))
 
 
 def date_base(low: Column) -> Column:

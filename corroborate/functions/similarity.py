@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corroborate.functions import lexicon as L
+from corroborate.functions.literals import literal_map
 from corroborate.functions.types import bare_type
 
 UNSHARED_IDF = 1 + math.log(1.5)
@@ -60,10 +61,7 @@ def gram_cosine(grams_a: Column, counts_a: Column, grams_b: Column, counts_b: Co
 def type_score(source: Column, target: Column) -> Column:
     """1.0 equal, 0.8 listed as compatible, 0.6 listed the other way round, else 0.2."""
     src, tgt = bare_type(source), bare_type(target)
-    allowed = F.map_from_arrays(
-        F.array(*map(F.lit, L.TYPE_COMPATIBILITY)),
-        F.array(*[F.array(*map(F.lit, v)) for v in L.TYPE_COMPATIBILITY.values()]),
-    )
+    allowed = literal_map(L.TYPE_COMPATIBILITY, "array<string>")
     return (
         F.when(src == tgt, F.lit(1.0))
         .when(F.array_contains(F.try_element_at(allowed, src), tgt), F.lit(0.8))
@@ -99,10 +97,7 @@ def domain_score(known_pairs, s: str = "s", t: str = "t") -> Column:
     def flat(c: Column) -> Column:
         return F.replace(c, F.lit("_"), F.lit(""))
 
-    pairs = F.map_from_arrays(
-        F.array(*[F.lit(f"{a}\n{b}") for a, b, _ in known_pairs]),
-        F.array(*[F.lit(float(v)) for _, _, v in known_pairs]),
-    )
+    pairs = literal_map({f"{a}\n{b}": float(v) for a, b, v in known_pairs}, "double")
     known = F.try_element_at(pairs, F.concat(col(s, "low"), F.lit("\n"), col(t, "low")))
     target_flat = flat(col(t, "low"))
     expands = (flat(col(s, "expansion")) == target_flat) | (col(s, "expansion") == col(t, "norm"))

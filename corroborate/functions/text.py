@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corroborate.functions import lexicon as L
+from corroborate.functions.literals import literal_array
 
 # the characters Python calls white space
 SPACE = "[\\t-\\r\\x1c-\\x1f\\x{85}\\p{Z}]"
@@ -131,7 +132,7 @@ def token_buckets(c: Column) -> Column:
 
 
 def content_tokens(c: Column) -> Column:
-    return F.array_except(F.array_distinct(tokens(c)), F.array(*map(F.lit, L.STOP_WORDS)))
+    return F.array_except(F.array_distinct(tokens(c)), literal_array(L.STOP_WORDS))
 
 
 def best_sentence(claim: Column, evidence: Column) -> Column:
@@ -140,7 +141,7 @@ def best_sentence(claim: Column, evidence: Column) -> Column:
     edge = "[.,!?()\\[\\]{}]+"
     keys = F.array_except(
         F.transform(words(F.lower(claim)), lambda w: F.regexp_replace(w, f"^{edge}|{edge}$", "")),
-        F.array(*map(F.lit, L.STOP_WORDS)),
+        literal_array(L.STOP_WORDS),
     )
     scored = F.transform(
         parts,

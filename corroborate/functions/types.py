@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corroborate.functions import lexicon as L
+from corroborate.functions.literals import literal_map
 
 
 def bare_type(declared: Column) -> Column:
@@ -15,8 +16,7 @@ def bare_type(declared: Column) -> Column:
 
 def normalize_type(declared: Column) -> Column:
     base = F.upper(F.trim(F.regexp_replace(declared, "\\([^)]*\\)", "")))
-    aliases = F.map_from_arrays(F.array(*map(F.lit, L.TYPE_ALIASES)), F.array(*map(F.lit, L.TYPE_ALIASES.values())))
-    return F.coalesce(F.try_element_at(aliases, base), base)
+    return F.coalesce(F.try_element_at(literal_map(L.TYPE_ALIASES), base), base)
 
 
 def declared_size(declared: Column) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from corroborate.functions import similarity as S
 from corroborate.functions.names import Dictionary, normalize_a, with_name_features
 from corroborate.functions.text import token_buckets
-from corroborate.session import spread, stage
+from corroborate.session import small, spread, stage
 
 DIGITS = 6
 
@@ -23,7 +23,7 @@ DIGITS = 6
 def name_features(*names: DataFrame, dictionary: Dictionary | None = None, embedder=None) -> DataFrame:
     """Features of all distinct names of one-column frames, staged: every score reads them."""
     every = reduce(DataFrame.union, [n.toDF("name") for n in names]).distinct()
-    features = with_name_features(spread(every, "name"), "name", dictionary)
+    features = with_name_features(spread(every), "name", dictionary)
     if embedder is not None:
         features = features.withColumn("vector", embedder("norm"))
     return stage(features, "name_features")
@@ -39,8 +39,10 @@ def score_name_pairs(pairs: DataFrame, features: DataFrame, dictionary: Dictiona
         cosine = S.vector_cosine(F.col("s.vector"), F.col("t.vector"))
     else:
         cosine = S.bucket_cosine(F.col("s.buckets"), F.col("t.buckets"))
+    # the pairs must stay the streamed side, or scoring would run where the features lie
+    features = small(features)
     s, t = features.alias("s"), features.alias("t")
-    distinct = spread(pairs.select("source", "target").distinct(), "source", "target")
+    distinct = spread(pairs.select("source", "target").distinct())
     joined = distinct.join(s, F.col("source") == F.col("s.name")).join(t, F.col("target") == F.col("t.name"))
     grams = S.gram_cosine(F.col("s.grams"), F.col("s.gram_counts"), F.col("t.grams"), F.col("t.gram_counts"))
     return joined.select(
@@ -293,7 +295,7 @@ def unmapped_columns(source: DataFrame, target: DataFrame, mappings: DataFrame)
 def _fuzzy_on_names(pairs: DataFrame) -> DataFrame:
     """(source, target, syntactic) for distinct pairs."""
     score = S.fuzzy_score(normalize_a(F.col("source")), normalize_a(F.col("target")))
-    return spread(pairs.select("source", "target").distinct(), "source", "target").withColumn("syntactic", F.round(score, DIGITS))
+    return spread(pairs.select("source", "target").distinct()).withColumn("syntactic", F.round(score, DIGITS))
 
 
 def table_pairs(source: DataFrame, target: DataFrame, minimum: float = 0.3, lanes: int = 64) -> DataFrame:

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(app: str = "corroborate", cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -50,10 +51,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, *columns: str) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
     """Repartition for work that is heavy per row on few bytes.
 
     Adaptive execution sizes partitions by bytes and would leave such work to
-    one task.
+    one task. Round robin, since a hash repartition on the keys of an earlier
+    aggregation would be optimized away.
     """
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *columns)
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
+def small(df: DataFrame, rows: int = 50_000) -> DataFrame:
+    """Mark a staged table for broadcast, if a count proves it short."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
