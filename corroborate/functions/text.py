@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -98,8 +99,8 @@ def claims_of(sentence: Column) -> Column:
     return F.when(F.size(words(sentence)) > 20, kept).otherwise(F.array(strip(sentence)))
 
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
-def embed_text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+@F.arrow_udf(T.ArrayType(T.FloatType()))
+def embed_text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Built-in stand-in embedder: hashed bag of tokens, unit length.
 
     Texts without tokens have no vector (NULL).
@@ -108,21 +109,27 @@ def embed_text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     buckets: dict[str, int] = {}
 
     def bucket(word: str) -> int:
-        if word not in buckets:
+        found = buckets.get(word)
+        if found is None:
             if len(buckets) > 500_000:
                 buckets.clear()
-            buckets[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % EMBEDDING_WIDTH
-        return buckets[word]
-
-    def vector(text):
-        found = [bucket(w) for w in token.findall(text.lower())] if text else []
-        if not found:
-            return None
-        counts = np.bincount(found, minlength=EMBEDDING_WIDTH).astype(np.float64)
-        return (counts / np.sqrt((counts * counts).sum())).astype(np.float32)
+            found = buckets[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % EMBEDDING_WIDTH
+        return found
 
     for batch in batches:
-        yield batch.map(vector)
+        n = len(batch)
+        cells = [
+            row * EMBEDDING_WIDTH + bucket(word)
+            for row, text in enumerate(batch.to_pylist())
+            if text
+            for word in token.findall(text.lower())
+        ]
+        counts = np.bincount(np.array(cells, dtype=np.int64), minlength=n * EMBEDDING_WIDTH).reshape(n, EMBEDDING_WIDTH)
+        norms = np.sqrt((counts * counts).sum(axis=1))
+        empty = norms == 0
+        vectors = (counts / np.where(empty, 1, norms)[:, None]).astype(np.float32)
+        offsets = np.arange(n + 1, dtype=np.int32) * EMBEDDING_WIDTH
+        yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(vectors.ravel()), mask=pa.array(empty))
 
 
 def token_buckets(c: Column) -> Column:

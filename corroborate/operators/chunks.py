@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corroborate.functions.text import chunker
+from corroborate.session import spread_small
 
 
 def chunk_documents(docs: DataFrame, size: int = 500, overlap: int = 50) -> DataFrame:
     """``docs(doc_id, source, text)`` to one row per chunk, page 1."""
+    docs = spread_small(docs.select("doc_id", "source", "text"))
     exploded = docs.select("doc_id", "source", F.inline(chunker(size, overlap)("text")).alias("chunk_index", "char_start", "char_end", "text"))
     return exploded.select(
         F.concat_ws("_chunk_", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string")).alias("chunk_id"),

@@ -77,6 +77,21 @@ def evidence_topk(
         [T.StructField(query_key, id_q), T.StructField(store_key, id_c), T.StructField("score", T.DoubleType())]
     )
 
+    def best_cells(scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The k best cells of every row; a tie at the edge goes to the left one.
+
+        Ids are sorted inside a block, so left means smaller id.
+        """
+        width = scores.shape[1]
+        if width <= k:
+            return np.nonzero(np.ones_like(scores, dtype=bool))
+        edge = np.partition(scores, width - k, axis=1)[:, width - k]
+        keep = scores >= edge[:, None]
+        for row in np.nonzero(keep.sum(axis=1) > k)[0]:
+            keep[row] = False
+            keep[row, np.argsort(-scores[row], kind="stable")[:k]] = True
+        return np.nonzero(keep)
+
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
@@ -85,16 +100,8 @@ def evidence_topk(
                 cm = np.frombuffer(row.c_matrix, np.float32).reshape(len(c_ids), -1).astype(np.float64)
                 distance = (qm * qm).sum(1)[:, None] + (cm * cm).sum(1)[None, :] - 2 * (qm @ cm.T)
                 scores = np.round(1 - distance, SCORE_DIGITS)
-                # ids are sorted inside a block, so a stable sort breaks ties by id
-                best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                width = best.shape[1]
-                yield pd.DataFrame(
-                    {
-                        query_key: np.repeat(q_ids, width),
-                        store_key: c_ids[best.ravel()],
-                        "score": np.take_along_axis(scores, best, axis=1).ravel(),
-                    }
-                )
+                rows, columns = best_cells(scores)
+                yield pd.DataFrame({query_key: q_ids[rows], store_key: c_ids[columns], "score": scores[rows, columns]})
 
     order = Window.partitionBy(query_key).orderBy(F.desc("score"), F.col(store_key))
     return (

@@ -64,3 +64,15 @@ def spread(df: DataFrame) -> DataFrame:
 def small(df: DataFrame, rows: int = 50_000) -> DataFrame:
     """Mark a staged table for broadcast, if a count proves it short."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """:func:`spread` an input too small to fill the cluster with its own splits.
+
+    Decided from the plan's size estimate, without a job. A large input keeps
+    its splits and is not shuffled.
+    """
+    spark = df.sparkSession
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    return spread(df) if size < split * spark.sparkContext.defaultParallelism else df

@@ -10,6 +10,7 @@ from corroborate.functions import text as X
 from corroborate.operators import chunks as C
 from corroborate.operators import cite, claims, correct, retrieval, verify
 from corroborate.plans.grounding import Grounding, chunk_store, ground
+from corroborate.session import stage
 from corroborate.sources import corpus as S
 from queries import inputs as I
 from queries import query
@@ -185,7 +186,8 @@ GROUND = f"with recursive {CHUNKS}, {TEXTS}, {CLAIM_STEPS}, {FOUND}, {PAIRS}, {l
 
 
 def job(spark: SparkSession, sf: str) -> Grounding:
-    return ground(I.generated(spark, sf), chunk_store(I.corpus(spark, sf)))
+    """Ingest the documents into a stored corpus, then check the benchmark texts against it."""
+    return ground(I.generated(spark, sf), stage(chunk_store(I.corpus(spark, sf)), "store"))
 
 
 # --- sources --------------------------------------------------------------------
