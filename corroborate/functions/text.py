@@ -216,9 +216,13 @@ def topic_tags(text: Column) -> Column:
     return F.array_compact(F.array(*tags))
 
 
+def fixed(c: Column, digits: int) -> Column:
+    """A number with fixed decimals; halves go to even, as in Python (Java rounds them up)."""
+    return F.format_string(f"%.{digits}f", F.bround(c, digits))
+
+
 def percent(c: Column, digits: int = 0) -> Column:
-    # whole percents round halves to even, as Python does
-    return F.format_string(f"%.{digits}f%%", F.bround(c * 100, 0) if digits == 0 else c * 100)
+    return F.concat(fixed(c * 100, digits), F.lit("%"))
 
 
 def shorten(c: Column, n: int = 100) -> Column:

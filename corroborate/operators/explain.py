@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corroborate.functions import lexicon as L
-from corroborate.functions.text import percent
+from corroborate.functions.text import fixed, percent
 
 
 def _bands(score: Column, arms: list[tuple[float, Column | str]], otherwise: Column | str) -> Column:
@@ -266,7 +266,7 @@ def executive_summary(results: DataFrame, mappings: DataFrame, checks: DataFrame
     state = checks.agg(F.count_if(F.col("status") == "passed").alias("checks_passed"), F.count_if(F.col("status") == "failed").alias("checks_failed"), one)
     total = F.col("migrated") + F.col("failed")
     clean = (F.col("failed") == 0) & (F.col("checks_failed") == 0)
-    rate, shown = F.col("success_rate"), F.format_string("%.1f%%", "success_rate")
+    rate, shown = F.col("success_rate"), _say(fixed(F.col("success_rate"), 1), "%")
     failed = F.format_number("failed", 0)
     return (
         moved.join(sure, "one").join(state, "one").drop("one")
@@ -288,7 +288,7 @@ def qa_report(mappings: DataFrame, unmapped: DataFrame, rejects: DataFrame) -> D
         F.lit("column_mapping").alias("topic"),
         _say("Why was '", F.col("source_column"), "' mapped to '", F.col("target_column"), "'?").alias("question"),
         F.col("why_mapped").alias("answer"),
-        F.format_string("%.1f%% confident", F.col("ensemble") * 100).alias("note"),
+        _say(percent(F.col("ensemble"), 1), " confident").alias("note"),
     )
     ignored = unmapped.where(F.col("side") == "source").select(
         F.lit("ignored_column").alias("topic"), _say("Why was '", F.col("table_name"), ".", F.col("column_name"), "' not mapped?").alias("question"),

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corroborate.functions.text import percent
 from corroborate.functions.rules import compile_mapping, describe
 from corroborate.specs import Mapping, TablePlan, TableSpec
 
@@ -123,7 +124,7 @@ def migration_result(plan: TablePlan, routed: Routed) -> DataFrame:
 
 
 def _with_status(results: DataFrame) -> DataFrame:
-    rate = F.when(F.col("records_attempted") > 0, F.format_string("%.1f%%", F.col("records_migrated") * 100.0 / F.col("records_attempted"))).otherwise("N/A")
+    rate = F.when(F.col("records_attempted") > 0, percent(F.col("records_migrated") / F.col("records_attempted"), 1)).otherwise("N/A")
     failed = (F.col("records_attempted") > 0) & (F.col("records_migrated") == 0)
     return results.withColumn("status", F.when(F.col("records_failed") == 0, "completed").when(failed, "failed").otherwise("partial")).withColumn("success_rate", rate)
 
@@ -137,7 +138,7 @@ def migration_report(results: DataFrame) -> DataFrame:
         F.coalesce(F.sum("records_failed"), F.lit(0)).alias("total_records_failed"),
         F.count_if(F.col("status") == "failed").alias("_broken"),
     )
-    rate = F.format_string("%.1f%%", F.col("total_records_migrated") * 100.0 / F.col("total_records_attempted"))
+    rate = percent(F.col("total_records_migrated") / F.col("total_records_attempted"), 1)
     return totals.withColumn(
         "overall_success_rate", F.when(F.col("total_records_attempted") > 0, rate).otherwise("N/A")
     ).withColumn(

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corroborate.functions.text import fixed
 from corroborate.functions.types import family
 from corroborate.specs import TableSpec
 
@@ -203,7 +204,7 @@ def compare_counts(source: DataFrame, target: DataFrame, source_name: str, targe
     gap = F.abs(F.col("s") - F.col("t"))
     pct = F.when(F.col("s") > 0, gap * 100.0 / F.col("s")).otherwise(F.lit(100.0))
     mismatch = F.concat(
-        F.lit("Row count mismatch: "), _number(F.col("s")), F.lit(" vs "), _number(F.col("t")), F.lit(" ("), F.format_string("%.2f", pct), F.lit("% difference)")
+        F.lit("Row count mismatch: "), _number(F.col("s")), F.lit(" vs "), _number(F.col("t")), F.lit(" ("), fixed(pct, 2), F.lit("% difference)")
     )
     return both.select(
         *_row(
@@ -309,7 +310,7 @@ def compare_distributions(
             F.when(bad, "warning").otherwise("passed"),
             F.when(bad, "medium").otherwise("low"),
             F.when(bad, "Distributions differ").otherwise("Distribution comparison completed"),
-            {"source_mean": F.format_string("%.4f", "s.mean"), "target_mean": F.format_string("%.4f", "t.mean")},
+            {"source_mean": fixed(F.col("s.mean"), 4), "target_mean": fixed(F.col("t.mean"), 4)},
         )
     )
 

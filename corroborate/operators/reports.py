@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corroborate.functions.text import percent
+
 GREEN, YELLOW, RED = "rgba(46, 204, 113, {})", "rgba(241, 196, 15, {})", "rgba(231, 76, 60, {})"
 
 
@@ -168,7 +170,7 @@ def platform_summary(mappings: DataFrame) -> DataFrame:
     totals = mappings.agg(
         F.count_distinct("source_table", "target_table").alias("table_pairs_mapped"), F.count("*").alias("total_column_mappings"), high.alias("high_confidence_mappings")
     )
-    rate = F.format_string("%.1f%%", F.col("high_confidence_mappings") * 100.0 / F.col("total_column_mappings"))
+    rate = percent(F.col("high_confidence_mappings") / F.col("total_column_mappings"), 1)
     return totals.withColumn("mapping_confidence_rate", F.when(F.col("total_column_mappings") > 0, rate).otherwise("N/A"))
 
 
@@ -189,7 +191,7 @@ def recommendations(mappings: DataFrame, checks: DataFrame, score: str = "ensemb
     """
     low = mappings.where(F.col(score) < 0.6)
     named = low.orderBy(score, "source_table", "source_column").limit(shown)
-    line = F.format_string("• %s → %s (%.0f%%)", "source_column", "target_column", F.bround(F.col(score) * 100, 0))
+    line = F.concat(F.lit("• "), "source_column", F.lit(" → "), "target_column", F.lit(" ("), percent(F.col(score)), F.lit(")"))
     one = F.lit(1).alias("one")
     first = low.agg(F.count("*").alias("n"), one).join(named.agg(F.collect_list(line).alias("details"), one), "one").where(F.col("n") > 0).select(
         F.lit("recommendation").alias("kind"), F.lit("Review Low-Confidence Mappings").alias("title"),

@@ -582,7 +582,14 @@ def corrections(spark, sf):
     return job(spark, sf).corrections()
 
 
-@query("correction_summary")
+@query(
+    "correction_summary",
+    f"""{GROUND}, {FIXES}, n as (select *, row_number() over (partition by doc_id order by claim_index) as i from fixes),
+    g as (select doc_id, count(*) as n, string_agg(i || '. ' || substring(claim, 1, 80) || '...' || chr(10) || '   Source: ' || ev_source || ', Page ' || ev_page || chr(10) ||
+      '   Suggested correction available.' || chr(10) || chr(10), '' order by i) as lines from n group by doc_id)
+    select t.doc_id, coalesce(n, 0) as total_contradictions, case when n is null then 'No contradictions found. All claims are either supported or unverifiable.'
+      else 'Found ' || n || ' contradicted claim(s) that require correction:' || chr(10) || chr(10) || lines end as summary from texts t left join g using (doc_id)""",
+)
 def correction_summary(spark, sf):
     g = job(spark, sf)
     return correct.correction_summary(g.docs, g.corrections())

@@ -14,6 +14,8 @@ from corroborate.operators import reports as R
 from corroborate.sources import tables as TB
 from queries import inputs as I
 from queries import query
+from queries.grounding import CHUNKED, GROUND
+from queries.grounding import SCORES as GROUND_SCORES
 from queries.matching import MATCHED, MET, UNMAPPED, conversion_sql, mappings, met, norm_a_sql, quote, tables, tokens_sql
 from queries.migration import REJECTED, RESULTS, ROUTED, _scratch, results, routed
 from queries.quality import SPECS, SUITE, suite
@@ -79,7 +81,10 @@ def similarity_matrix(spark, sf):
     return R.similarity_matrix(scores.select("source", F.col("l_returnflag").alias("target"), (F.col("l_discount") * 10).alias("score")), ["A", "N", "R"])
 
 
-@query("fk_edges")
+EDGES = [(t, k.column, k.ref_table, k.ref_column) for t, spec in SPECS.items() if t != "cust" for k in spec.foreign_keys]
+
+
+@query("fk_edges", " union all ".join(f"select '{t}' as from_table, '{c}' as from_column, '{rt}' as to_table, '{rc}' as to_column, (select count(*) from {t}) as row_count" for t, c, rt, rc in EDGES))
 def fk_edges(spark, sf):
     """Edges of the declared keys, with the rows behind each."""
     data = tables(spark, sf)
@@ -321,9 +326,13 @@ def plain_check(spark, sf):
     return X.plain_check(suite(spark, sf))
 
 
-@query("executive_summary")
+@query("executive_summary", f"""{_after(MATCHED, RESULTS)}, {CHECKS}, t as (select (select count(*) from results) as tables, cast((select sum(records_migrated) from results) as bigint) as migrated,
+      cast((select sum(records_failed) from results) as bigint) as failed, count_if(confidence_level = 'high') as confident, count_if(confidence_level <> 'high') as to_review,
+      (select count_if(status = 'passed') from checks) as checks_passed, (select count_if(status = 'failed') from checks) as checks_failed from mappings)
+    select *, round(migrated * 100.0 / (migrated + failed), 6) as success_rate,
+      case when failed = 0 and checks_failed = 0 then '✅ SUCCESS' when migrated * 100.0 / (migrated + failed) > 95 then '⚠️ ATTENTION NEEDED' else '❌ ISSUES DETECTED' end as overall from t""")
 def executive_summary(spark, sf):
-    return X.executive_summary(results(spark, sf), mappings(spark, sf), suite(spark, sf))
+    return X.executive_summary(results(spark, sf), mappings(spark, sf), suite(spark, sf)).withColumn("success_rate", F.round("success_rate", 6)).drop("meaning")
 
 
 @query("match_reason", f"{MATCHED} select source_table, source_column, target_column, why_mapped from mappings")
@@ -331,23 +340,26 @@ def match_reason(spark, sf):
     return mappings(spark, sf).select("source_table", "source_column", "target_column", "why_mapped")
 
 
-@query("qa_report")
+@query("qa_report", f"""{_after(MATCHED, ROUTED)}, {UNMAPPED} select 'column_mapping' as topic, 'Why was ''' || source_column || ''' mapped to ''' || target_column || '''?' as question, why_mapped as answer,
+    printf('%.1f%%', ensemble * 100) || ' confident' as note from mappings
+    union all select 'ignored_column', 'Why was ''' || table_name || '.' || column_name || ''' not mapped?', reason, null from unmapped where side = 'source'
+    union all select 'failed_data', 'Why did this record fail to migrate?', error_message, record_id from ({REJECTED})""")
 def qa_report(spark, sf):
     mapped = mappings(spark, sf)
-    return X.qa_report(mapped, unmapped(spark, sf, mapped), routed(spark, sf).rejects)
+    return X.qa_report(mapped, unmapped(spark, sf, mapped), routed(spark, sf).rejects.withColumn("record_data", F.col("record_id")))
 
 
 # --- files ----------------------------------------------------------------------
 
 
-@query("report_json")
+@query("report_json", f"{GROUND}, {GROUND_SCORES} select doc_id, total, supported, round(trust_score, 6) as trust_score from scores")
 def report_json(spark, sf):
     """The grounding report as JSON files, read back."""
     from queries.grounding import job
 
     path = os.path.join(_scratch(spark), "report")
     TB.write_json(job(spark, sf).report(), path)
-    return spark.read.json(path).select("doc_id", "total", "supported", "trust_score")
+    return spark.read.json(path).select("doc_id", "total", "supported", F.round("trust_score", 6).alias("trust_score"))
 
 
 @query("report_text")
@@ -362,7 +374,7 @@ def report_text(spark, sf):
     return spark.read.text(path)
 
 
-@query("kb_clear")
+@query("kb_clear", f"{CHUNKED} select 0::bigint as after, count(*) as before from chunks")
 def kb_clear(spark, sf):
     """Fill the chunk store, append again without effect, then clear it."""
     from corroborate.operators.chunks import chunk_documents

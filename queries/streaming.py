@@ -12,6 +12,7 @@ from corroborate.specs import Mapping, TablePlan, TableSpec
 from corroborate.streaming import live
 from queries import inputs as I
 from queries import query
+from queries.grounding import GROUND, SCORES
 from queries.migration import _scratch
 
 EVENTS_PLAN = TablePlan(
@@ -35,14 +36,14 @@ def _event_stream(spark, sf, files: int = 4):
     return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-@query("stream_migrate")
+@query("stream_migrate", "select event_id as activity_id, upper(event_type) as kind, value as amount from events where event_type is not null and value >= 1")
 def stream_migrate(spark, sf):
     out = _scratch(spark)
     live.migrate_stream(_event_stream(spark, sf), EVENTS_PLAN, out, "r1", os.path.join(out, "_checkpoint")).awaitTermination()
     return spark.read.parquet(os.path.join(out, "activity")).select("activity_id", "kind", "amount")
 
 
-@query("stream_grounding")
+@query("stream_grounding", f"{GROUND}, {SCORES} select doc_id, total, supported, contradicted, unverifiable from scores")
 def stream_grounding(spark, sf):
     out = _scratch(spark)
     texts = I.generated(spark, sf)
