@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corroborate.functions import lexicon as L
 from corroborate.functions import text as X
 
 
@@ -26,9 +27,11 @@ def topic_tags(docs: DataFrame) -> DataFrame:
 def topic_sources(tagged: DataFrame, sources: DataFrame, max_results: int = 3) -> DataFrame:
     """Best ``max_results`` curated sources of each document's primary topic.
 
-    The sources are ranked before the join, so a popular topic costs each
-    document ``max_results`` rows, not a window over all of them.
+    The sources are ranked before the join: ``max_results`` rows for each of
+    the fixed topics, short enough to broadcast, so a popular topic is no hot
+    join key.
     """
     best = Window.partitionBy("topic").orderBy("priority", "url")
-    ranked = sources.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= max_results)
-    return tagged.join(ranked, tagged.primary_topic == ranked.topic).select("doc_id", "topic", "rank", "url", "title")
+    known = sources.where(F.col("topic").isin(*L.TOPICS, "general"))
+    ranked = known.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= max_results)
+    return tagged.join(F.broadcast(ranked), tagged.primary_topic == ranked.topic).select("doc_id", "topic", "rank", "url", "title")

@@ -93,39 +93,37 @@ def _buckets(names: DataFrame, features: DataFrame) -> DataFrame:
     return names.join(features, "name").select("name", F.explode("buckets").alias("key")).groupBy("name", "key").agg(F.count("*").alias("n"))
 
 
-def candidate_pairs(
-    source: DataFrame,
-    target: DataFrame,
-    features: DataFrame,
-    threshold: float,
-    weights: tuple[float, float, float],
-) -> DataFrame:
-    """Distinct name pairs that can reach ``threshold``; no other pair can.
-
-    ``weights`` are those of cosine, n-grams and domain. The domain score is at
-    most 1, so an accepted pair has a large enough token cosine or a large
-    enough n-gram cosine; both are found through shared rare keys. Holds for
-    the token-bag cosine; with dense vectors give the pairs yourself.
+def candidate_pairs(source: DataFrame, target: DataFrame, features: DataFrame, *demands: tuple[float, tuple[float, float, float]]) -> DataFrame:
+    """Distinct name pairs that can meet one of the demands; no other pair can.
+
+    A demand is a threshold with the weights of cosine, n-grams and domain. The
+    domain score is at most 1, so an accepted pair has a large enough token
+    cosine or a large enough n-gram cosine; both are found through shared rare
+    keys. Holds for the token-bag cosine; with dense vectors give the pairs
+    yourself.
     """
-    w_cos, w_gram, w_domain = weights
-    need = threshold - w_domain
-    if need <= 0:
-        raise ValueError("threshold must exceed the domain weight, else every pair of names qualifies")
+    least_cosine = least_gram = 1.0
+    for threshold, (w_cos, w_gram, w_domain) in demands:
+        need = threshold - w_domain
+        if need <= 0:
+            raise ValueError("threshold must exceed the domain weight, else every pair of names qualifies")
+        least_cosine, least_gram = min(least_cosine, need / 2 / w_cos), min(least_gram, need / 2 / w_gram)
     s, t = _names(source), _names(target)
-    by_token = _sharing(_buckets(s, features), _buckets(t, features), min(1.0, need / 2 / w_cos))
-    by_gram = _sharing(_grams(s, features), _grams(t, features), min(1.0, need / 2 / w_gram))
+    by_token = _sharing(_buckets(s, features), _buckets(t, features), least_cosine)
+    by_gram = _sharing(_grams(s, features), _grams(t, features), least_gram)
     return by_token.union(by_gram).distinct()
 
 
 LOCAL_WEIGHTS = (0.5, 0.2, 0.3)
 PLAIN_WEIGHTS = (0.45, 0.20, 0.35)
+LOCAL_MINIMUM = 0.4
 
 
 def _blend(weights: tuple[float, float, float]) -> Column:
     return weights[0] * F.col("cosine") + weights[1] * F.col("tfidf") + weights[2] * F.col("domain")
 
 
-def local_proposals(source: DataFrame, target: DataFrame, scored: DataFrame, minimum: float = 0.4) -> DataFrame:
+def local_proposals(source: DataFrame, target: DataFrame, scored: DataFrame, minimum: float = LOCAL_MINIMUM) -> DataFrame:
     """Best target column per source name and target table, if it scores above ``minimum``.
 
     Proposals depend on the source column's name only, so they carry no source
@@ -202,10 +200,10 @@ def match_columns(
     if proposals is not None:
         names += [proposals.select("source_column"), proposals.select("target_column")]
     features = name_features(*names, dictionary=dictionary)
-    # the local proposer needs pairs from 0.4 on its own weights; both are covered
-    pairs = candidate_pairs(source, target, features, accept, PLAIN_WEIGHTS)
+    demands = [(accept, PLAIN_WEIGHTS)]
     if use_local and proposals is None:
-        pairs = pairs.union(candidate_pairs(source, target, features, 0.4, LOCAL_WEIGHTS))
+        demands.append((LOCAL_MINIMUM, LOCAL_WEIGHTS))
+    pairs = candidate_pairs(source, target, features, *demands)
     t = target.select(
         F.col("table_name").alias("target_table"), F.col("column_name").alias("target"), "position", F.col("data_type").alias("target_type")
     )

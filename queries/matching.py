@@ -299,7 +299,7 @@ proposed as (select source, target_table, target, round(score, 2)::double as con
 def local_proposals(spark, sf):
     source, target = I.legacy_columns(spark, sf), I.modern_columns(spark, sf)
     features = match.name_features(source.select("column_name"), target.select("column_name"))
-    pairs = match.candidate_pairs(source, target, features, 0.4, match.LOCAL_WEIGHTS)
+    pairs = match.candidate_pairs(source, target, features, (match.LOCAL_MINIMUM, match.LOCAL_WEIGHTS))
     scored = stage(match.score_name_pairs(pairs, features), "name_scores")
     return match.local_proposals(source, target, scored)
 

@@ -92,7 +92,7 @@ def test_candidates_lose_no_match(spark):
     for threshold, weights in ((0.5, match.PLAIN_WEIGHTS), (0.4, match.LOCAL_WEIGHTS), (0.6, match.PLAIN_WEIGHTS)):
         scored = match.score_name_pairs(every, features).where(match._blend(weights) >= threshold)
         want = {(r.source, r.target) for r in scored.collect()}
-        have = {(r.source, r.target) for r in match.candidate_pairs(source, target, features, threshold, weights).collect()}
+        have = {(r.source, r.target) for r in match.candidate_pairs(source, target, features, (threshold, weights)).collect()}
         assert want and want <= have
 
 
