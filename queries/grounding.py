@@ -72,7 +72,7 @@ chunks as (
   select cast(doc_id as varchar) || '_chunk_' || cast(row_number() over (partition by doc_id order by stop) - 1 as varchar) as chunk_id,
          doc_id, source,
          cast(row_number() over (partition by doc_id order by stop) - 1 as integer) as chunk_index,
-         1 as page, coalesce(before - 50, 0) + length(raw) - length(regexp_replace(raw, '^{SPACE}+', '')) as char_start,
+         1 as page, cast(coalesce(before - 50, 0) + length(raw) - length(regexp_replace(raw, '^{SPACE}+', '')) as integer) as char_start,
          body as text
   from placed where body <> ''
 )
@@ -119,7 +119,7 @@ c_norm as (select id, sum(v * v) as n from vec_of_c group by id),
 dots as (select q.id as qid, c.id as cid, sum(q.v * c.v) as d from vec_of_q q join vec_of_c c using (b) group by 1, 2),
 ranked as (
   select q.id as query_id, c.id as chunk_id, round(1 - (q.n + c.n - 2 * coalesce(d, 0)), 6) as score,
-         row_number() over (partition by q.id order by round(1 - (q.n + c.n - 2 * coalesce(d, 0)), 6) desc, c.id) as rank
+         cast(row_number() over (partition by q.id order by round(1 - (q.n + c.n - 2 * coalesce(d, 0)), 6) desc, c.id) as integer) as rank
   from q_norm q cross join c_norm c left join dots on qid = q.id and cid = c.id
 ),
 found as (select * from ranked where rank <= 5)
@@ -247,7 +247,7 @@ CHUNKED = f"with recursive {CHUNKS}"
 
 @query(
     "kb_append",
-    f"""{CHUNKED} select chunk_id, doc_id, length(text) as n_chars from chunks
+    f"""{CHUNKED} select chunk_id, doc_id, cast(length(text) as integer) as n_chars from chunks
     where chunk_id not in (select chunk_id from chunks where chunk_index < 1)""",
 )
 def kb_append(spark, sf):
@@ -264,7 +264,7 @@ def chunk_documents(spark, sf):
     return C.chunk_documents(I.corpus(spark, sf)).select("chunk_id", "doc_id", "source", "chunk_index", "text")
 
 
-@query("chunk_offsets", f"{CHUNKED} select chunk_id, char_start, char_start + length(text) as char_end from chunks")
+@query("chunk_offsets", f"{CHUNKED} select chunk_id, char_start, cast(char_start + length(text) as integer) as char_end from chunks")
 def chunk_offsets(spark, sf):
     return C.chunk_documents(I.corpus(spark, sf)).select("chunk_id", "char_start", "char_end")
 
@@ -318,7 +318,7 @@ def topic_tags(spark, sf):
     f"""with tagged as (select doc_id, coalesce(({_topic_sql()})[1], 'general') as topic from documents),
     s as (select case page_id % 5 when 0 then 'medical' when 1 then 'legal' when 2 then 'financial' when 3 then 'technical' else 'general' end as topic,
           page_id as priority, url from pages),
-    r as (select *, row_number() over (partition by topic order by priority, url) as rank from s)
+    r as (select *, cast(row_number() over (partition by topic order by priority, url) as integer) as rank from s)
     select doc_id, topic, rank, url from tagged join r using (topic) where rank <= 3""",
 )
 def topic_sources(spark, sf):
@@ -388,7 +388,7 @@ def embed_chunks(spark, sf):
 TOPK = """select query_id, chunk_id, score, rank from (
   select a.vec_id as query_id, b.vec_id as chunk_id,
     round(1 - pow(list_distance(a.embedding::double[], b.embedding::double[]), 2), 6) as score,
-    row_number() over (partition by a.vec_id order by round(1 - pow(list_distance(a.embedding::double[], b.embedding::double[]), 2), 6) desc, b.vec_id) as rank
+    cast(row_number() over (partition by a.vec_id order by round(1 - pow(list_distance(a.embedding::double[], b.embedding::double[]), 2), 6) desc, b.vec_id) as integer) as rank
   from embeddings a cross join embeddings b) where rank <= 5"""
 
 
@@ -457,8 +457,8 @@ SCORES = """
 scores as (
   select doc_id, total, supported, contradicted, unverifiable,
     case when total > 0 then greatest(0.0, least(1.0, supported / total - 0.5 * contradicted / total)) else 0.0 end as trust_score
-  from (select t.doc_id, count(v.doc_id) as total, count_if(status = 'supported') as supported,
-          count_if(status = 'contradicted') as contradicted, count_if(status = 'unverifiable') as unverifiable
+  from (select t.doc_id, count(v.doc_id) as total, count(*) filter (status = 'supported') as supported,
+          count(*) filter (status = 'contradicted') as contradicted, count(*) filter (status = 'unverifiable') as unverifiable
         from texts t left join verdicts v using (doc_id) group by 1)
 )
 """
@@ -502,7 +502,7 @@ def contradictions(spark, sf):
 
 @query(
     "run_stats",
-    f"""{CHUNKED} select count(*) as total_runs, count_if(ok) as completed_runs, round(avg(case when ok then quality end) * 100, 1) as average_trust,
+    f"""{CHUNKED} select count(*) as total_runs, count(*) filter (ok) as completed_runs, round(avg(case when ok then quality end) * 100, 1) as average_trust,
     cast(sum(case when ok then toxic end) as bigint) as total_contradictions, (select count(*) from chunks) as store_size
     from (select *, doc_id % 7 <> 0 as ok from labels)""",
 )
@@ -521,7 +521,7 @@ CITED = f"""
 {SPANS},
 positions as (select s.doc_id, s.claim_index, s.start, s."end", v.claim, v.status, v.confidence, v.explanation, v.ev_text, v.ev_source, v.ev_page
               from spans s join verdicts v using (doc_id, claim_index)),
-citations as (select *, row_number() over (partition by doc_id order by claim_index, start) as citation_number
+citations as (select *, cast(row_number() over (partition by doc_id order by claim_index, start) as integer) as citation_number
               from positions where status = 'supported' and ev_text is not null)
 """
 

@@ -150,7 +150,7 @@ ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
 SAMPLES = " union all ".join(f"select distinct '{c}' as column_name, cast({c} as varchar) as value from orders where {c} is not null" for c in ORDER_COLUMNS)
 
 
-@query("sample_values", f"select column_name, value, rank from (select *, row_number() over (partition by column_name order by value) as rank from ({SAMPLES})) where rank <= 5")
+@query("sample_values", f"select column_name, value, rank from (select *, cast(row_number() over (partition by column_name order by value) as integer) as rank from ({SAMPLES})) where rank <= 5")
 def sample_values(spark, sf):
     return profile.sample_values(I.table(spark, sf, "orders").select(*ORDER_COLUMNS))
 
@@ -169,7 +169,7 @@ def _split_sql() -> str:
     long = " union all ".join(
         f"select '{c}' as column_name, {c} as value from {t}" for t, c in (("part", "p_name"), ("part", "p_brand"), ("orders", "o_orderpriority"), ("customer", "c_name"))
     )
-    hits = ", ".join(f"count_if(contains(value, '{d}')) as h{i}, sum(len(string_split(value, '{d}'))) / count(*) as a{i}" for i, d in enumerate(L.SPLIT_DELIMITERS))
+    hits = ", ".join(f"count(*) filter (contains(value, '{d}')) as h{i}, sum(len(string_split(value, '{d}'))) / count(*) as a{i}" for i, d in enumerate(L.SPLIT_DELIMITERS))
     rows = " union all ".join(f"select column_name, '{d}' as recommended_delimiter, h{i} as h, a{i} as a, {i} as i, n, example from stats" for i, d in enumerate(L.SPLIT_DELIMITERS))
     return f"""with long as ({long}), stats as (select column_name, count(*) as n, min(value) as example, {hits} from long where value is not null group by 1),
     o as ({rows}), r as (select *, row_number() over (partition by column_name order by h desc, i) as k from o where h > n * 0.5)
@@ -187,7 +187,7 @@ def split_candidates(spark, sf):
 
 def _merge_sql() -> str:
     rows = ", ".join(f"({i}, {lst(c.replace('_', '') for c in cols)}, {quote(t)}, {quote(m)})" for i, (cols, t, m) in enumerate(L.MERGE_PATTERNS))
-    return f"""with c as ({LEGACY}), flat as (select table_name, replace(lower(column_name), '_', '') as part, first(column_name order by position, column_name) as column_name from c group by 1, 2),
+    return f"""with c as (select table_name, {stripped_sql('column_name')} as column_name, min(position) as position from ({LEGACY}) group by 1, 2), flat as (select table_name, replace(lower(column_name), '_', '') as part, first(column_name order by position, column_name) as column_name from c group by 1, 2),
     p(i, parts, target, template) as (values {rows}),
     t as (select table_name, list(part) as have, map_from_entries(list((part, column_name))) as found from flat group by 1),
     r as (select *, row_number() over (partition by table_name order by i) as k from t join p on list_has_all(have, parts))
@@ -197,7 +197,8 @@ def _merge_sql() -> str:
 
 @query("merge_candidates", _merge_sql())
 def merge_candidates(spark, sf):
-    return profile.merge_candidates(I.legacy_columns(spark, sf)).withColumn("source_columns", F.array_join("source_columns", ","))
+    bare = I.legacy_columns(spark, sf).groupBy("table_name", N.strip_prefix(F.col("column_name")).alias("column_name")).agg(F.min("position").alias("position"))
+    return profile.merge_candidates(bare).withColumn("source_columns", F.array_join("source_columns", ","))
 
 
 # --- names ----------------------------------------------------------------------
@@ -360,8 +361,8 @@ def confidence_band(spark, sf):
 
 @query(
     "match_stats",
-    f"""{MATCHED} select count(*) as total_mappings, count_if(confidence_level = 'high') as high_confidence, count_if(confidence_level = 'medium') as medium_confidence,
-    count_if(confidence_level = 'low') as low_confidence, round(avg(ensemble), 5) as average_score from mappings""",
+    f"""{MATCHED} select count(*) as total_mappings, count(*) filter (confidence_level = 'high') as high_confidence, count(*) filter (confidence_level = 'medium') as medium_confidence,
+    count(*) filter (confidence_level = 'low') as low_confidence, round(avg(ensemble), 5) as average_score from mappings""",
 )
 def match_stats(spark, sf):
     return match.match_stats(mappings(spark, sf)).withColumn("average_score", F.round("average_score", 5))

@@ -201,9 +201,9 @@ def reject_duplicate_lines(spark, sf):
 RESULTS = f"""
 {ROUTED}, {LINE_ROUTED},
 counted as (
-  select 'cust' as source_table, 'customers' as target_table, count(*) as records_attempted, count_if(message is null) as records_migrated, count_if(message is not null) as records_failed from routed
-  union all select 'orders', 'sales_orders', count(*), count_if(o_custkey in (select c_custkey from customer)), count_if(o_custkey not in (select c_custkey from customer)) from orders
-  union all select 'lineitem', 'order_lines', count(*), count_if(err is null), count_if(err is not null) from lines),
+  select 'cust' as source_table, 'customers' as target_table, count(*) as records_attempted, count(*) filter (message is null) as records_migrated, count(*) filter (message is not null) as records_failed from routed
+  union all select 'orders', 'sales_orders', count(*), count(*) filter (o_custkey in (select c_custkey from customer)), count(*) filter (o_custkey not in (select c_custkey from customer)) from orders
+  union all select 'lineitem', 'order_lines', count(*), count(*) filter (err is null), count(*) filter (err is not null) from lines),
 results as (select *, case when records_failed = 0 then 'completed' when records_migrated = 0 then 'failed' else 'partial' end as status,
    printf('%.1f%%', records_migrated * 100.0 / records_attempted) as success_rate from counted)
 """

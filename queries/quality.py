@@ -81,7 +81,7 @@ def row_count_sql(n: str) -> str:
 
 
 def null_sql(n: str) -> str:
-    found = ", ".join(f"case when count_if({c} is null) > 0 then '{c}=' || count_if({c} is null) end" for c in COLUMNS[n])
+    found = ", ".join(f"case when count(*) filter ({c} is null) > 0 then '{c}=' || count(*) filter ({c} is null) end" for c in COLUMNS[n])
     return f"""select '{n}' as table_name, 'Null Value Check' as check_name, case when len(f) > 0 then 'warning' else 'passed' end as status,
     case when len(f) > 0 then 'medium' else 'low' end as severity, case when len(f) > 0 then 'Found NULL values in ' || len(f) || ' column(s)' else 'No NULL values found' end as message,
     'null_counts=' || array_to_string(f, ', ') as details from (select list_filter([{found}], lambda x: x is not null) as f from {src(n)})"""
@@ -97,7 +97,7 @@ def duplicate_sql(n: str) -> str:
 
 
 def numeric_text_sql(n: str) -> str:
-    found = ", ".join(f"case when count_if(regexp_matches({c}, '^[0-9]')) > 50 then '{c}: TEXT column contains mostly numeric values' end" for c in TEXT[n])
+    found = ", ".join(f"case when count(*) filter (regexp_matches({c}, '^[0-9]')) > 50 then '{c}: TEXT column contains mostly numeric values' end" for c in TEXT[n])
     return f"""select '{n}' as table_name, 'Data Type Check' as check_name, case when len(f) > 0 then 'warning' else 'passed' end as status,
     case when len(f) > 0 then 'medium' else 'low' end as severity, case when len(f) > 0 then 'Found ' || len(f) || ' potential type issue(s)' else 'Data types appear consistent' end as message,
     case when len(f) > 0 then 'issues=' || array_to_string(f, '; ') else 'columns_checked={len(COLUMNS[n])}' end as details from (select list_filter([{found}], lambda x: x is not null) as f from {src(n)})"""
@@ -186,7 +186,7 @@ def columns_sql() -> str:
         case when sd <> td or sn <> tn then 'medium' else 'low' end as severity, case when sd <> td or sn <> tn then 'Column value differences detected' else 'Column values match' end as message,
         case when sd <> td or sn <> tn then 'issues=' || array_to_string(list_filter([case when sd <> td then printf('Distinct values differ: %d vs %d', sd, td) end,
           case when sn <> tn then printf('NULL counts differ: %d vs %d', sn, tn) end], lambda x: x is not null), '; ') else 'distinct_values=' || sd || ' | null_count=' || sn end as details
-        from (select count(distinct {a}) as sd, count_if({a} is null) as sn from src), (select count(distinct {b}) as td, count_if({b} is null) as tn from tgt)"""
+        from (select count(distinct {a}) as sd, count(*) filter ({a} is null) as sn from src), (select count(distinct {b}) as td, count(*) filter ({b} is null) as tn from tgt)"""
 
     return " union all ".join(one(a, b) for a, b in PAIRS)
 
@@ -231,8 +231,8 @@ def post_migration_suite(spark, sf):
     return flat(Q.post_migration_suite(I.cust(spark, sf), target(spark, sf), PAIRS, "cust", "customers"))
 
 
-SUMMARY = """summary as (select count(*) as total_checks, count_if(status = 'passed') as passed, count_if(status = 'failed') as failed, count_if(status = 'warning') as warnings,
-  count_if(status = 'skipped') as skipped, count_if(status = 'failed' and severity = 'critical') as critical_issues from checks)"""
+SUMMARY = """summary as (select count(*) as total_checks, count(*) filter (status = 'passed') as passed, count(*) filter (status = 'failed') as failed, count(*) filter (status = 'warning') as warnings,
+  count(*) filter (status = 'skipped') as skipped, count(*) filter (status = 'failed' and severity = 'critical') as critical_issues from checks)"""
 
 
 @query("validation_summary", f"with checks as ({SUITE}), {SUMMARY} select * from summary")
@@ -251,9 +251,9 @@ def overall_status(spark, sf):
 
 def validation_sql() -> str:
     parts = ["""select 'row_count' as "check", 'cust -> customers' as item, (select count(*) from src) as source_value, (select count(*) from tgt) as target_value"""]
-    parts += [f"select 'nulls', '{a} -> {b}', (select count_if({a} is null) from src), (select count_if({b} is null) from tgt)" for a, b in PAIRS]
+    parts += [f"select 'nulls', '{a} -> {b}', (select count(*) filter ({a} is null) from src), (select count(*) filter ({b} is null) from tgt)" for a, b in PAIRS]
     parts += [f"select 'duplicates', '{b}', null, (select count(*) from (select {b} from tgt group by {b} having count(*) > 1))" for a, b in PAIRS if "id" in a]
-    return f"""validated as (select *, case when "check" = 'duplicates' then target_value = 0 else source_value = target_value end as matches,
+    return f"""validated as (select "check", item, cast(source_value as bigint) as source_value, cast(target_value as bigint) as target_value, case when "check" = 'duplicates' then target_value = 0 else source_value = target_value end as matches,
       'cust' as source_table, 'customers' as target_table from ({" union all ".join(parts)}))"""
 
 
@@ -268,9 +268,9 @@ def run_validation(spark, sf):
 
 @query(
     "validation_issues",
-    f"""{MOVED}, {validation_sql()} select count_if(not matches and "check" in ('row_count', 'duplicates')) as issues, count_if(not matches and "check" = 'row_count') = 0 as is_valid,
-    case when count_if(not matches and "check" in ('row_count', 'duplicates')) = 0 then '✓ All validation checks passed. Data migration is complete and accurate.'
-      else '⚠ ' || count_if(not matches and "check" in ('row_count', 'duplicates')) || ' validation issues found. Review the detailed report.' end as summary from validated""",
+    f"""{MOVED}, {validation_sql()} select count(*) filter (not matches and "check" in ('row_count', 'duplicates')) as issues, count(*) filter (not matches and "check" = 'row_count') = 0 as is_valid,
+    case when count(*) filter (not matches and "check" in ('row_count', 'duplicates')) = 0 then '✓ All validation checks passed. Data migration is complete and accurate.'
+      else '⚠ ' || count(*) filter (not matches and "check" in ('row_count', 'duplicates')) || ' validation issues found. Review the detailed report.' end as summary from validated""",
 )
 def validation_issues(spark, sf):
     return Q.validation_issues(validated(spark, sf))
@@ -281,7 +281,7 @@ def validation_issues(spark, sf):
     f"""{MOVED}, {validation_sql()}, t as (select cast(sum(case when "check" = 'row_count' then source_value end) as bigint) as source_rows,
       cast(sum(case when "check" = 'row_count' then target_value end) as bigint) as target_rows, cast(coalesce(sum(case when "check" = 'nulls' then target_value end), 0) as bigint) as target_nulls,
       cast(coalesce(sum(case when "check" = 'duplicates' then target_value end), 0) as bigint) as duplicates,
-      count_if("check" = 'nulls' and not matches) as null_mismatches, count_if("check" = 'duplicates' and not matches) as duplicate_columns from validated)
+      count(*) filter ("check" = 'nulls' and not matches) as null_mismatches, count(*) filter ("check" = 'duplicates' and not matches) as duplicate_columns from validated)
     select *, target_rows - source_rows as row_delta, case when source_rows > 0 then round(least(target_rows * 100.0 / source_rows, 100.0), 1) else 100.0 end::double as completion_pct from t""",
 )
 def health_totals(spark, sf):

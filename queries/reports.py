@@ -126,8 +126,8 @@ def _after(chain: str, more: str) -> str:
 
 
 @query("dashboard", f"""{_after(MATCHED, RESULTS)}, {CHECKS} select cast((select sum(records_migrated) from results) as bigint) as migrated, cast((select sum(records_failed) from results) as bigint) as failed,
-    count_if(ensemble >= 0.85) as high, count_if(ensemble >= 0.60 and ensemble < 0.85) as medium, count_if(ensemble < 0.60) as low, round(avg(ensemble), 5) as average_score,
-    (select count_if(status = 'passed') from checks) as checks_passed, (select count_if(status <> 'passed') from checks) as checks_with_issues from mappings""")
+    count(*) filter (ensemble >= 0.85) as high, count(*) filter (ensemble >= 0.60 and ensemble < 0.85) as medium, count(*) filter (ensemble < 0.60) as low, round(avg(ensemble), 5) as average_score,
+    (select count(*) filter (status = 'passed') from checks) as checks_passed, (select count(*) filter (status <> 'passed') from checks) as checks_with_issues from mappings""")
 def dashboard(spark, sf):
     return R.dashboard(results(spark, sf), mappings(spark, sf), suite(spark, sf))
 
@@ -146,8 +146,8 @@ def mapping_report(spark, sf):
     return R.mapping_report(mappings(spark, sf))
 
 
-@query("platform_summary", f"""{MATCHED} select count(distinct (source_table, target_table)) as table_pairs_mapped, count(*) as total_column_mappings, count_if(ensemble >= 0.85) as high_confidence_mappings,
-    printf('%.1f%%', count_if(ensemble >= 0.85) * 100.0 / count(*)) as mapping_confidence_rate from mappings""")
+@query("platform_summary", f"""{MATCHED} select count(distinct (source_table, target_table)) as table_pairs_mapped, count(*) as total_column_mappings, count(*) filter (ensemble >= 0.85) as high_confidence_mappings,
+    printf('%.1f%%', count(*) filter (ensemble >= 0.85) * 100.0 / count(*)) as mapping_confidence_rate from mappings""")
 def platform_summary(spark, sf):
     return R.platform_summary(mappings(spark, sf))
 
@@ -327,8 +327,8 @@ def plain_check(spark, sf):
 
 
 @query("executive_summary", f"""{_after(MATCHED, RESULTS)}, {CHECKS}, t as (select (select count(*) from results) as tables, cast((select sum(records_migrated) from results) as bigint) as migrated,
-      cast((select sum(records_failed) from results) as bigint) as failed, count_if(confidence_level = 'high') as confident, count_if(confidence_level <> 'high') as to_review,
-      (select count_if(status = 'passed') from checks) as checks_passed, (select count_if(status = 'failed') from checks) as checks_failed from mappings)
+      cast((select sum(records_failed) from results) as bigint) as failed, count(*) filter (confidence_level = 'high') as confident, count(*) filter (confidence_level <> 'high') as to_review,
+      (select count(*) filter (status = 'passed') from checks) as checks_passed, (select count(*) filter (status = 'failed') from checks) as checks_failed from mappings)
     select *, round(migrated * 100.0 / (migrated + failed), 6) as success_rate,
       case when failed = 0 and checks_failed = 0 then '✅ SUCCESS' when migrated * 100.0 / (migrated + failed) > 95 then '⚠️ ATTENTION NEEDED' else '❌ ISSUES DETECTED' end as overall from t""")
 def executive_summary(spark, sf):
