@@ -390,15 +390,12 @@ def unmapped_columns(spark, sf):
 
 
 # pairs of columns that meet in lineitem, as if they had been mapped
-MET = I.sql(
-    f"""select distinct l.table_name as source_table, l.column_name as source_column, l.data_type as source_type, l.is_primary_key as source_pk, l.is_nullable as source_nullable,
-    m.table_name as target_table, m.column_name as target_column, m.data_type as target_type, m.is_primary_key as target_pk, m.is_nullable as target_nullable
-    from {{lineitem}} join ({I.LEGACY}) as l on l_partkey = p_partkey join ({I.MODERN}) as m on l_suppkey = s_suppkey"""
-)
 MET_TEXT = f"""select distinct l.table_name as source_table, l.column_name as source_column, l.data_type as source_type, l.is_primary_key as source_pk, l.is_nullable as source_nullable,
     m.table_name as target_table, m.column_name as target_column, m.data_type as target_type, m.is_primary_key as target_pk, m.is_nullable as target_nullable
     from {{lineitem}} join ({I.LEGACY}) as l on l_partkey = p_partkey join ({I.MODERN}) as m on l_suppkey = s_suppkey"""
 
+MET = I.sql(MET_TEXT)
+
 
 def met(spark, sf):
     return I.derived(spark, sf, MET_TEXT)
