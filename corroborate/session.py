@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -30,9 +29,16 @@ def local_session(app: str = "corroborate", cores: int | str = "*", shuffle_part
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: the cluster's, else a fresh local one."""
+    """The shared folder for cut lineage: the cluster's, or a fresh local one in local mode.
+
+    Outside local mode a missing setting is an error: executors could not read
+    what the others wrote to their own disks.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="corroborate-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured
@@ -45,7 +51,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     The table lives in the shared checkpoint folder, so it outlives executors.
     """
     spark = df.sparkSession
-    path = os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
