@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from corroborate.llm.common import query, table
 from corroborate.session import stage
 
-#: Entries a task keeps of the ids of strings between white space.
-_MEMO = 200_000
+#: Strings between white space whose ids a task keeps: the first ones, mostly the frequent, for good; others until there are too many.
+_FIRST, _MEMO = 150_000, 600_000
 
 
 @lru_cache(maxsize=1)
@@ -30,12 +30,14 @@ class Encoder:
     """Token ids of whole texts, from ids of their parts between white space, which no token spans."""
 
     def __init__(self, path: str, end: int = 0):
-        self.path, self.end, self.memo = path, np.array([end], dtype="<u4"), {}
+        self.path, self.end, self.memo, self.first = path, np.array([end], dtype="<u4"), {}, {}
 
     def __call__(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         parts = [(text or "").encode().split() for text in texts]
+        if len(self.memo) > _FIRST and not self.first:
+            self.first = dict(self.memo)
         if len(self.memo) > _MEMO:
-            self.memo.clear()
+            self.memo = dict(self.first)
         memo = self.memo
         fresh = list({part for words in parts for part in words if part not in memo})
         for start in range(0, len(fresh), 50_000):
