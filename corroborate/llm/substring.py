@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corroborate.llm.common import join_windows, mix, query, table, window_hashes, word_hashes
@@ -70,8 +70,13 @@ def _sketch(docs: DataFrame, length: int, kind: str) -> DataFrame:
     return docs.select("id", F.xxhash64("text").alias("t"), F.xxhash64(F.lit(1), "text").alias("t2"), "text").mapInArrow(run, f"id {kind}, t long, t2 long, n_words long, digest string, anchors array<long>")
 
 
+def _mark(t: str) -> Column:
+    """31 bits that tell texts of one id apart."""
+    return F.shiftrightunsigned(t, 33).alias("mark")
+
+
 def _extend(candidates: DataFrame, length: int, kind: str) -> DataFrame:
-    """Windows of the full length whose anchor repeats at half of it: ``(id, t, place, h, h2)``."""
+    """Windows of the full length whose anchor repeats at half of it: ``(id, spot, h, h2)``; ``spot`` holds the text's mark and the place."""
     half = length // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,10 +93,10 @@ def _extend(candidates: DataFrame, length: int, kind: str) -> DataFrame:
                 h2 = mix(h ^ words[place]) ^ mix(words[place + half] * np.uint64(3) + words[place + length - 1])
                 for at in range(0, len(place), 1 << 16):
                     part = slice(at, at + (1 << 16))
-                    key = batch.slice(k, 1).select([0, 1]).take(pa.array(np.zeros(len(place[part]), dtype=np.int64)))
-                    yield pa.RecordBatch.from_arrays([*key.columns, pa.array(place[part].astype(np.int32)), pa.array(_signed(h[part])), pa.array(_signed(h2[part]).astype(np.int32))], names=["id", "t", "place", "h", "h2"])
+                    key = batch.column(0).take(pa.array(np.full(len(place[part]), k)))
+                    yield pa.RecordBatch.from_arrays([key, pa.array(place[part] | (batch.column(1)[k].as_py() << 32)), pa.array(_signed(h[part])), pa.array(_signed(h2[part]).astype(np.int32))], names=["id", "spot", "h", "h2"])
 
-    return candidates.select("id", "t", "text", "live").mapInArrow(run, f"id {kind}, t long, place int, h long, h2 int")
+    return candidates.select("id", _mark("t"), "text", "live").mapInArrow(run, f"id {kind}, spot long, h long, h2 int")
 
 
 def _cut(rows: DataFrame, length: int, kind: str) -> DataFrame:
@@ -146,11 +151,12 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = rows.where("id is not null").withColumn("t", F.xxhash64("text"))
     candidates = stage(texts.join(wanted, (texts["t"] == wanted["_t"]) & (texts["id"] == wanted["_id"])).select("id", "t", "text", "live"), "passages-texts")
 
-    windows = stage(_extend(candidates, length, kind), "passages-windows")
+    # hashed anew for the join: less than a copy of all windows; the table of repeated ones lets Spark split hot windows
+    windows = _extend(candidates, length, kind)
     smallest = windows.groupBy("h", "h2").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("h", "h2", "low")
-    again = windows.join(smallest, ["h", "h2"]).where("id > low")
-    places = again.groupBy("id", "t").agg(F.collect_list("place").alias("places"))
-    cut = _cut(candidates.join(places, ["id", "t"]), length, kind)
+    again = windows.join(stage(smallest, "passages-repeated"), ["h", "h2"]).where("id > low")
+    places = again.groupBy("id", F.shiftright("spot", 32).alias("mark")).agg(F.collect_list(F.col("spot").bitwiseAND(0xFFFFFFFF).cast("int")).alias("places"))
+    cut = _cut(candidates.withColumn("mark", _mark("t")).join(places, ["id", "mark"]), length, kind)
 
     lost = cut.dropDuplicates(["id", "t"]).select(F.col("id").alias("_id"), F.col("t").alias("_t"), "n_removed", F.col("digest").alias("_digest"), "kept")
     known = sketch.drop("anchors").join(firsts, ["t", "t2"], "left")
