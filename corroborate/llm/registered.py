@@ -6,7 +6,7 @@ import importlib
 
 from corroborate.llm.common import QUERIES, SQL
 
-for _name in ("simhash", "substring", "lattice", "packing", "quality", "langid"):
+for _name in ("simhash", "substring", "lattice", "packing", "quality", "langid", "mixing", "lines"):
     importlib.import_module(f"corroborate.llm.{_name}")
 
 __all__ = ["QUERIES", "SQL"]
