@@ -231,7 +231,7 @@ def score_texts(
     text_col: str = "text",
     modulus: int = 7,
     rounds: int = 4,
-    frequent: int = 1 << 17,
+    frequent: int = 1 << 16,
 ) -> DataFrame:
     """``(id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` per row of ``docs``.
 
