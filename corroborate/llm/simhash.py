@@ -12,49 +12,64 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from corroborate.llm.common import query, table
+from corroborate.llm.common import mix, query, table
 from corroborate.session import stage
 
-HALF = 32
+#: Bits of a fingerprint, and the parts by which an error budget is spread.
+BITS, PARTS = 64, 4
+_PART = BITS // PARTS
 _FRONTIER = 1 << 20
 _SHINGLES = 1 << 16
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """SimHash of the text as a signed 64-bit number: a bit is set if over half of the shingles' hashes set it."""
+def fingerprint(text: str | None, width: int = 3) -> tuple[int, int]:
+    """SimHash of the text, and a second one of rehashed shingles, as signed 64-bit numbers: a bit is set if over half of the hashes set it."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return 0, 0
     width = min(width, len(words))
     n = len(words) - width + 1
     shingles = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))
-    ones = np.zeros(64, dtype=np.int64)
+    ones = np.zeros(2 * BITS, dtype=np.int64)
     for start in range(0, n, _SHINGLES):
         size = min(_SHINGLES, n - start)
         hashes = np.fromiter(map(xxh64_intdigest, islice(shingles, size), repeat(42)), dtype=np.uint64, count=size)
-        ones += np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n).view(">i8")[0])
+        both = np.stack([hashes, mix(hashes)], axis=1).astype(">u8").view(np.uint8)
+        ones += np.unpackbits(both.reshape(size, -1), axis=1).sum(axis=0, dtype=np.int64)
+    first, second = np.packbits(2 * ones > n).view(">i8")
+    return int(first), int(second)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """``(id, text_hash, fingerprint)`` per row of ``docs``; a text without words has fingerprint 0."""
+    """``(id, text_hash, fingerprint, second)`` per row of ``docs``; a text without words has fingerprint 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = pa.array([fingerprint(text.as_py(), width) for text in batch.column(2)], type=pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), prints], names=[id_col, "text_hash", "fingerprint"])
+            prints = np.array([fingerprint(text.as_py(), width) for text in batch.column(2)], dtype=np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints[:, 0]), pa.array(prints[:, 1])], names=[id_col, "text_hash", "fingerprint", "second"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(id_col, F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, text_hash long, fingerprint long")
+    return rows.mapInArrow(run, f"`{id_col}` {kind}, text_hash long, fingerprint long, second long")
+
+
+def schedule(budget: int) -> np.ndarray:
+    """Errors allowed by the time a bit (63 first) is compared.
+
+    Among the four turns of a pair's fingerprints by a part each, there is one
+    in which the first i parts hold at most i quarters of the errors, for every
+    i (the cycle lemma). So walking all four turns under this schedule finds
+    every pair within the budget.
+    """
+    return np.array([budget * (PARTS - bit // _PART) // PARTS for bit in range(BITS)])
 
 
 def _split(ones: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return high - (ones[high] - ones[low])
 
 
-def trie_pairs(left: np.ndarray, right: np.ndarray | None, first_bit: int, upper: int, total: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of sorted keys within ``total`` differing bits, at most ``upper`` of them in the first half.
+def trie_pairs(left: np.ndarray, right: np.ndarray | None, first_bit: int, allowed: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of sorted keys whose differing bits stay within ``allowed`` (see :func:`schedule`).
 
     The tries of both sides are walked together, a pair of nodes at a time:
     a step goes one bit down, adds one for children on different sides and
@@ -77,7 +92,7 @@ def trie_pairs(left: np.ndarray, right: np.ndarray | None, first_bit: int, upper
     stack = [(first_bit, np.array([[0], [len(left)], [0], [len(other)], [begun]], dtype=np.int64))]
     while stack:
         bit, nodes = stack.pop()
-        nodes = nodes[:, nodes[4] <= (upper if bit >= HALF - 1 else total)]
+        nodes = nodes[:, nodes[4] <= allowed[min(bit + 1, BITS - 1)]]
         a, b, c, d, e = nodes
         few = ((b - a) * (d - c) <= 8) | (bit < 0)
         if few.any():
@@ -87,8 +102,9 @@ def trie_pairs(left: np.ndarray, right: np.ndarray | None, first_bit: int, upper
             wide = np.repeat(d0 - c0, sizes)
             i, j = np.repeat(a0, sizes) + place // wide, np.repeat(c0, sizes) + place % wide
             differ = left[i] ^ other[j]
-            good = (np.bitwise_count(differ) <= total) & (np.bitwise_count(differ >> np.uint64(HALF)) <= upper)
-            good &= (i < j) if itself else True
+            good = i < j if itself else np.ones(len(i), dtype=bool)
+            for shift in range(0, BITS, _PART):
+                good &= np.bitwise_count(differ >> np.uint64(shift)) <= allowed[shift]
             if good.any():
                 yield i[good], j[good]
             nodes = nodes[:, ~few]
@@ -126,61 +142,66 @@ def _forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarra
     return root
 
 
-def _swap(key: np.ndarray) -> np.ndarray:
-    return (key << np.uint64(HALF)) | (key >> np.uint64(HALF))
+def _turn(key: np.ndarray, bits: int) -> np.ndarray:
+    return (key << np.uint64(bits)) | (key >> np.uint64(BITS - bits)) if bits else key
 
 
-def links(prints: DataFrame, column: str = "fingerprint", leaf: int = 4096) -> DataFrame:
-    """Links ``(u, v)`` that join all fingerprints within two differing bits, over the distinct values of ``column``.
+def links(prints: DataFrame, budget: int = 2, both: int | None = None, leaf: int = 4096) -> DataFrame:
+    """Links ``(u, v)`` that join all values of ``prints.fingerprint`` within ``budget`` differing bits.
 
-    Two fingerprints within two bits have at most one differing bit in the
-    upper half, or none in the lower and two in the upper. So the trie is
-    walked twice: from the upper half with a budget of one there, and from the
-    lower half with none. Subtries below about ``leaf`` keys are the unit of
-    work; in the first walk a subtrie also goes to those whose path differs
-    in one bit. Each unit gives a star per group it finds, not all pairs.
+    The trie is walked once for each of four turns, under :func:`schedule`.
+    Subtries below about ``leaf`` keys are the unit of work; a subtrie also
+    goes to those whose path differs in no more bits than the first part's
+    share. With ``both``, two fingerprints are linked only if they and their
+    second ones differ in at most that many of all 128 bits. Each unit gives a
+    star per group it finds, not all pairs.
     """
-    keys = stage(prints.select(F.col(column).alias("key")).where("key is not null").distinct(), "simhash-keys")
+    keys = prints.where("fingerprint is not null").groupBy(F.col("fingerprint").alias("key")).agg(F.min("second").alias("second"))
+    keys = stage(keys, "simhash-keys")
     n = keys.count()
-    depth = max(0, min(24, math.ceil(math.log2(max(n, 1) / leaf)))) if n > leaf else 0
-
-    def path(key: Column) -> Column:
-        return F.shiftrightunsigned(key, 64 - depth) if depth else F.lit(0).cast("long")
+    depth = max(0, min(_PART, math.ceil(math.log2(n / leaf)))) if n > leaf else 0
+    allowed = schedule(budget)
+    share = int(allowed[-1])
+    masks = F.array(*(F.lit(m).cast("long") for m in range(1 << depth) if m.bit_count() <= share))
+    schema = "u long, v long"
 
-    def walk(upper: int, total: int, back: Callable):
+    def walk(bits: int) -> Callable[[pa.Table], pa.Table]:
         def run(group: pa.Table) -> pa.Table:
             node = group.column("node")[0].as_py()
-            key = group.column("key").to_numpy().view(np.uint64)
-            key = np.sort(back(key))
-            at = (key >> np.uint64(64 - depth)).astype(np.int64) if depth else np.zeros(len(key), dtype=np.int64)
+            key = _turn(group.column("key").to_numpy().view(np.uint64), bits)
+            order = np.argsort(key)
+            key, second = key[order], group.column("second").to_numpy().view(np.uint64)[order]
+            at = (key >> np.uint64(BITS - depth)).astype(np.int64) if depth else np.zeros(len(key), dtype=np.int64)
             home = np.flatnonzero(at == node)
             own = key[home]
 
-            def pairs():
-                for i, j in trie_pairs(own, None, 63 - depth, upper, total):
-                    yield home[i], home[j]
-                for guest in np.unique(at[at != node]) if len(home) else []:
+            def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+                for guest in np.unique(at) if len(home) else []:
                     there = np.flatnonzero(at == guest)
-                    for i, j in trie_pairs(own, key[there], 63 - depth, upper, total):
-                        yield home[i], there[j]
+                    for i, j in trie_pairs(own, None if guest == node else key[there], BITS - 1 - depth, allowed):
+                        i, j = home[i], there[j]
+                        if both is not None:
+                            near = np.bitwise_count(key[i] ^ key[j]) + np.bitwise_count(second[i] ^ second[j]) <= both
+                            i, j = i[near], j[near]
+                        yield i, j
 
             root = _forest(len(key), pairs())
             tied = np.flatnonzero(root != np.arange(len(key)))
-            return pa.table({"u": back(key[tied]).view(np.int64), "v": back(key[root[tied]]).view(np.int64)}, schema=pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+            plain = _turn(key, BITS - bits if bits else 0).view(np.int64)
+            return pa.table({"u": plain[tied], "v": plain[root[tied]]}, schema=pa.schema([("u", pa.int64()), ("v", pa.int64())]))
 
         return run
 
-    first = keys.select("key", path(F.col("key")).alias("node"))
-    if depth:
-        masks = F.array(*(F.lit(1 << i).cast("long") for i in range(depth)))
-        guests = F.transform(F.filter(masks, lambda m: F.col("node").bitwiseAND(m) == 0), lambda m: F.col("node").bitwiseOR(m))
-        first = first.select("key", F.explode(F.concat(F.array("node"), guests)).alias("node"))
-    turned = F.shiftleft(F.col("key"), HALF).bitwiseOR(F.shiftrightunsigned(F.col("key"), HALF))
-    second = keys.select("key", path(turned).alias("node"))
-    schema = "u long, v long"
-    by_upper = first.groupBy("node").applyInArrow(walk(1, 2, lambda key: key), schema)
-    by_lower = second.groupBy("node").applyInArrow(walk(0, 2, _swap), schema)
-    return by_upper.unionByName(by_lower)
+    out = None
+    for bits in range(0, BITS, _PART):
+        turned = F.shiftleft("key", bits).bitwiseOR(F.shiftrightunsigned("key", BITS - bits)) if bits else F.col("key")
+        node = F.shiftrightunsigned(turned, BITS - depth) if depth else F.lit(0).cast("long")
+        own = keys.select("key", "second", node.alias("own"))
+        # a node also goes to nodes near it of a smaller path, so that each two meet once
+        nodes = F.filter(F.transform(masks, lambda m: F.col("own").bitwiseXOR(m)), lambda x: x <= F.col("own"))
+        found = own.select("key", "second", F.explode(nodes).alias("node")).groupBy("node").applyInArrow(walk(bits), schema)
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -205,29 +226,34 @@ def components(edges: DataFrame) -> DataFrame:
         now = stage(small.unionByName(lowest.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "links")
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, leaf: int = 4096) -> DataFrame:
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, budget: int = 2, both: int | None = None, leaf: int = 4096) -> DataFrame:
     """``(id, text_hash, fingerprint, root)`` per row: ``root`` is the fingerprint that names the row's group.
 
     Null and empty texts have fingerprint 0 and are linked like any other;
     repeated rows stay repeated; an empty table gives no rows.
     """
     prints = stage(fingerprints(docs, id_col, text_col, width), "simhash")
-    tied = components(links(prints, leaf=leaf))
+    tied = components(links(prints, budget, both, leaf))
     roots = tied.withColumnsRenamed({"node": "fingerprint"})
     return prints.join(roots, "fingerprint", "left").select(id_col, "text_hash", "fingerprint", F.coalesce("root", "fingerprint").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, leaf: int = 4096) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, budget: int = 2, leaf: int = 4096) -> DataFrame:
     """``(id, fingerprint, component_id)`` per row, the component named by its smallest id (null if it has none)."""
-    found = stage(groups(docs, id_col, text_col, width, leaf), "simhash-groups")
+    found = stage(groups(docs, id_col, text_col, width, budget, None, leaf), "simhash-groups")
     names = found.groupBy("root").agg(F.min(id_col).alias("component_id"))
     hexed = F.lower(F.lpad(F.hex("fingerprint"), 16, "0"))
     return found.join(names, "root").select(id_col, hexed.alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """The rows of ``docs`` with one document of each group: the one of the smallest id, null ids last; repeated rows once."""
-    found = stage(groups(docs, id_col, text_col, width), "simhash-groups")
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, budget: int = 10, both: int | None = 24) -> DataFrame:
+    """The rows of ``docs`` with one document of each group: the one of the smallest id, null ids last; repeated rows once.
+
+    Two texts that share 0.8 of their shingles differ in 0.15 of their bits on
+    average: the budgets are 10 of 64 to find them, and 24 of 128 to tell them from
+    chance pairs, with some room for how far bits stray.
+    """
+    found = stage(groups(docs, id_col, text_col, width, budget, both), "simhash-groups")
     best = F.min(F.struct(F.col(id_col).isNull().alias("absent"), F.col(id_col).alias("id"), F.col("text_hash"))).alias("best")
     chosen = found.groupBy("root").agg(best).select(F.col("best.id").alias("_id"), F.col("best.text_hash").alias("_hash"))
     rows = docs.withColumn("_hash_", F.xxhash64(text_col))
