@@ -153,8 +153,9 @@ def links(prints: DataFrame, budget: int = 2, both: int | None = None, leaf: int
     Subtries below about ``leaf`` keys are the unit of work; a subtrie also
     goes to those whose path differs in no more bits than the first part's
     share. With ``both``, two fingerprints are linked only if they and their
-    second ones differ in at most that many of all 128 bits. Each unit gives a
-    star per group it finds, not all pairs.
+    second ones differ in at most that many of all 128 bits, and pairs are also
+    looked for by the second ones. Each unit gives a star per group it finds,
+    not all pairs.
     """
     keys = prints.where("fingerprint is not null").groupBy(F.col("fingerprint").alias("key")).agg(F.min("second").alias("second"))
     keys = stage(keys, "simhash-keys")
@@ -165,12 +166,12 @@ def links(prints: DataFrame, budget: int = 2, both: int | None = None, leaf: int
     masks = F.array(*(F.lit(m).cast("long") for m in range(1 << depth) if m.bit_count() <= share))
     schema = "u long, v long"
 
-    def walk(bits: int) -> Callable[[pa.Table], pa.Table]:
+    def walk(bits: int, name: str) -> Callable[[pa.Table], pa.Table]:
         def run(group: pa.Table) -> pa.Table:
             node = group.column("node")[0].as_py()
-            key = _turn(group.column("key").to_numpy().view(np.uint64), bits)
-            order = np.argsort(key)
-            key, second = key[order], group.column("second").to_numpy().view(np.uint64)[order]
+            key = _turn(group.column("walked").to_numpy().view(np.uint64), bits)
+            order = np.argsort(key, kind="stable")
+            key, second, names = key[order], group.column("other").to_numpy().view(np.uint64)[order], group.column(name).to_numpy()[order]
             at = (key >> np.uint64(BITS - depth)).astype(np.int64) if depth else np.zeros(len(key), dtype=np.int64)
             home = np.flatnonzero(at == node)
             own = key[home]
@@ -187,20 +188,21 @@ def links(prints: DataFrame, budget: int = 2, both: int | None = None, leaf: int
 
             root = _forest(len(key), pairs())
             tied = np.flatnonzero(root != np.arange(len(key)))
-            plain = _turn(key, BITS - bits if bits else 0).view(np.int64)
-            return pa.table({"u": plain[tied], "v": plain[root[tied]]}, schema=pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+            return pa.table({"u": names[tied], "v": names[root[tied]]}, schema=pa.schema([("u", pa.int64()), ("v", pa.int64())]))
 
         return run
 
     out = None
-    for bits in range(0, BITS, _PART):
-        turned = F.shiftleft("key", bits).bitwiseOR(F.shiftrightunsigned("key", BITS - bits)) if bits else F.col("key")
-        node = F.shiftrightunsigned(turned, BITS - depth) if depth else F.lit(0).cast("long")
-        own = keys.select("key", "second", node.alias("own"))
-        # a node also goes to nodes near it of a smaller path, so that each two meet once
-        nodes = F.filter(F.transform(masks, lambda m: F.col("own").bitwiseXOR(m)), lambda x: x <= F.col("own"))
-        found = own.select("key", "second", F.explode(nodes).alias("node")).groupBy("node").applyInArrow(walk(bits), schema)
-        out = found if out is None else out.unionByName(found)
+    for walked, other in [("key", "second"), ("second", "key")][: 1 if both is None else 2]:
+        rows = keys.select(F.col(walked).alias("walked"), F.col(other).alias("other"))
+        for bits in range(0, BITS, _PART):
+            turned = F.shiftleft("walked", bits).bitwiseOR(F.shiftrightunsigned("walked", BITS - bits)) if bits else F.col("walked")
+            own = rows.withColumn("own", F.shiftrightunsigned(turned, BITS - depth) if depth else F.lit(0).cast("long"))
+            # a node also goes to nodes near it of a smaller path, so that each two meet once
+            nodes = F.filter(F.transform(masks, lambda m: F.col("own").bitwiseXOR(m)), lambda x: x <= F.col("own"))
+            units = own.select("walked", "other", F.explode(nodes).alias("node"))
+            found = units.groupBy("node").applyInArrow(walk(bits, "walked" if walked == "key" else "other"), schema)
+            out = found if out is None else out.unionByName(found)
     return out
 
 
