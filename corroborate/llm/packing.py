@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from corroborate.llm.common import query, table
 from corroborate.session import stage
 
-#: Strings between white space whose ids a task keeps: the first ones, mostly the frequent, for good; others until there are too many.
-_FIRST, _MEMO = 150_000, 600_000
+#: Strings between white space whose ids a worker keeps: the first ones, mostly the frequent, for good; others until there are too many.
+_FIRST, _MEMO = 150_000, 700_000
+_MARKS = b".,;:!?#$%&*"
+_SPECIAL = b"<|"
 
 
 @lru_cache(maxsize=1)
@@ -26,34 +28,60 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def _halves(part: bytes) -> tuple[bytes, bytes]:
+    """A string as letters in lower case and marks after them, which this tokenizer never joins; else whole.
+
+    Its normalizer folds case itself, and its splitter parts letters from other signs.
+    """
+    if _SPECIAL in part:
+        return part, b""
+    low = part.lower()
+    letters = low.rstrip(_MARKS)
+    if len(letters) < len(low) and (letters.isalpha() or letters and (word := letters.decode()).isalpha() and max(word) < "\u0100"):
+        return letters, low[len(letters) :]
+    return low, b""
+
+
 class Encoder:
     """Token ids of whole texts, from ids of their parts between white space, which no token spans."""
 
     def __init__(self, path: str, end: int = 0):
         self.path, self.end, self.memo, self.first = path, np.array([end], dtype="<u4"), {}, {}
 
+    def _learn(self, fresh: set[bytes]) -> None:
+        memo, split = self.memo, {part: _halves(part) for part in fresh}
+        new = list({half for pair in split.values() for half in pair if half and half not in memo})
+        for start in range(0, len(new), 50_000):
+            some = new[start : start + 50_000]
+            for half, found in zip(some, _tokenizer(self.path).encode_batch_fast([h.decode() for h in some], add_special_tokens=False), strict=True):
+                memo[half] = np.array(found.ids, dtype="<u4").tobytes()
+        for part, (letters, marks) in split.items():
+            memo[part] = memo[letters] + memo[marks] if marks else memo[letters]
+
     def __call__(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         parts = [(text or "").encode().split() for text in texts]
         if len(self.memo) > _FIRST and not self.first:
             self.first = dict(self.memo)
         if len(self.memo) > _MEMO:
             self.memo = dict(self.first)
+        self._learn({part for words in parts for part in words if part not in self.memo})
         memo = self.memo
-        fresh = list({part for words in parts for part in words if part not in memo})
-        for start in range(0, len(fresh), 50_000):
-            some = fresh[start : start + 50_000]
-            for part, found in zip(some, _tokenizer(self.path).encode_batch_fast([p.decode() for p in some], add_special_tokens=False), strict=True):
-                memo[part] = np.array(found.ids, dtype="<u4").tobytes()
         for words in parts:
             yield np.concatenate([np.frombuffer(b"".join([memo[w] for w in words]), dtype="<u4"), self.end])
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """One per worker, so that its tasks share what it has learned."""
+    return Encoder(path)
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, piece, start, length, ids_crc32)``: the texts' token ids, an end id after each, cut only where longer than ``capacity``."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer_path)
+        encode = _encoder(tokenizer_path)
         for whole in batches:
             for at in range(0, whole.num_rows, 200):
                 batch = whole.slice(at, 200)

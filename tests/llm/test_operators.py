@@ -163,7 +163,7 @@ def test_packing_hot_length_in_buckets(spark):
 
 
 def test_packing_encoder_special_strings():
-    texts = ["a<|endoftext|>b it's WE'LL", "́x é \x85 　z", "İ ǅ 12ab", None, "", "<|startoftext|>"]
+    texts = ["İ; İ; ù, x̀. ab.. ab'. A<|ENDOFTEXT|>, Ab,", "a<|endoftext|>b it's WE'LL", "́x é \x85 　z", "İ ǅ 12ab", None, "", "<|startoftext|>"]
     encode = packing.Encoder(TOKENS)
     plain = [packing._tokenizer(TOKENS).encode(t or "", add_special_tokens=False).ids + [0] for t in texts]
     assert [list(ids) for ids in encode(texts)] == plain == [list(ids) for ids in encode(texts)]
