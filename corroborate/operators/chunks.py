@@ -37,7 +37,6 @@ def locate_pages(chunks: DataFrame, spans: DataFrame) -> DataFrame:
     return c.join(s, inside, "left").select(*columns)
 
 
-def inventory(chunks: DataFrame, limit: int | None = None) -> DataFrame:
-    """Chunks per source; ``limit`` looks at the first chunks by id only."""
-    seen = chunks.orderBy("chunk_id").limit(limit) if limit else chunks
-    return seen.groupBy("source").agg(F.count("*").alias("chunks"))
+def inventory(chunks: DataFrame) -> DataFrame:
+    """Chunks per source."""
+    return chunks.groupBy("source").agg(F.count("*").alias("chunks"))

@@ -76,7 +76,11 @@ def gather_annotations(rows: DataFrame) -> DataFrame:
 
 
 def annotated_markup(docs: DataFrame, gathered: DataFrame) -> DataFrame:
-    """Text with one span per annotation; text, attributes escaped, overlaps not repeated."""
+    """Text with one span per annotation; text, attributes escaped.
+
+    Text is never repeated: a span that begins inside an earlier one shows the
+    rest of its text, and one that also ends there only its marker.
+    """
     text = F.col("text")
     colour = F.map_from_arrays(F.array(*map(F.lit, L.STATUS_COLOURS)), F.array(*map(F.lit, L.STATUS_COLOURS.values())))
 
@@ -102,7 +106,7 @@ def annotated_markup(docs: DataFrame, gathered: DataFrame) -> DataFrame:
             F.lit("</span>"),
         )
         grown = F.struct(F.greatest(a["end"], acc["at"]).alias("at"), F.concat(acc["out"], piece(acc["at"], start), span).alias("out"))
-        return F.when(a["end"] > acc["at"], grown).otherwise(acc)
+        return grown
 
     marked = F.aggregate(
         F.coalesce("annotations", F.array().cast(gathered.schema["annotations"].dataType)),

@@ -68,7 +68,7 @@ def route_rows(
     ]
     for i, fk in enumerate(spec.foreign_keys):
         if not parents or fk.ref_table not in parents:
-            continue
+            raise ValueError(f"no parent table {fk.ref_table} given for {spec.name}.{fk.column}")
         # distinct values first: the missing ones are few, and a hot value is one row
         have = parents[fk.ref_table].select(F.col(fk.ref_column).alias(fk.column))
         missing = rows.select(fk.column).where(F.col(fk.column).isNotNull()).distinct().join(have, fk.column, "left_anti")
@@ -108,7 +108,7 @@ def migrate(source: DataFrame, plan: TablePlan, parents: dict[str, DataFrame] |
     projected = project(kept, plan.mappings, ("_row",))
     ids = [F.col(f"_row.{c}") for c in plan.row_id]
     row_id = ids[0] if len(ids) == 1 else F.struct(*ids)
-    return route_rows(projected, plan.target, row_id, plan.source_table, F.to_json("_row"), parents, target)
+    return route_rows(projected, plan.target, row_id, plan.source_table, F.to_json("_row", {"ignoreNullFields": "false"}), parents, target)
 
 
 def migration_result(plan: TablePlan, routed: Routed) -> DataFrame:

@@ -125,8 +125,10 @@ def duplicate_check(df: DataFrame, spec: TableSpec) -> DataFrame:
     keys = list(spec.primary_key)
     shown = F.concat_ws(",", *[F.coalesce(F.col(k).cast("string"), F.lit("NULL")) for k in keys])
     repeated = df.groupBy(*keys).agg(F.count("*").alias("copies")).where(F.col("copies") > 1)
-    # five smallest samples by running minimum, so no list of all duplicates is built
-    counted = repeated.agg(F.count("*").alias("n"), F.min(shown).alias("sample"))
+    # the five smallest samples by a top-k, so no list of all duplicates is built
+    few = repeated.select(shown.alias("sample")).orderBy("sample").limit(5).agg(F.array_join(F.array_sort(F.collect_list("sample")), "; ").alias("sample"))
+    parts = repeated.agg(F.count("*").alias("n")).withColumn("sample", F.lit(None).cast("string")).unionByName(few.withColumn("n", F.lit(None).cast("long")))
+    counted = parts.agg(F.max("n").alias("n"), F.max("sample").alias("sample"))
     bad = F.col("n") > 0
     return counted.select(
         *_row(
@@ -134,7 +136,7 @@ def duplicate_check(df: DataFrame, spec: TableSpec) -> DataFrame:
             F.when(bad, "failed").otherwise("passed"),
             F.when(bad, "critical").otherwise("low"),
             F.when(bad, F.concat(F.lit("Found "), F.col("n").cast("string"), F.lit(" duplicate primary key(s)"))).otherwise("No duplicate primary keys found"),
-            {"duplicate_count": F.when(bad, F.col("n")), "primary_key_columns": F.lit(", ".join(keys)), "sample_duplicates": F.col("sample")},
+            {"duplicate_count": F.when(bad, F.col("n")), "primary_key_columns": F.lit(", ".join(keys)), "sample_duplicates": F.when(bad, F.col("sample"))},
             F.when(bad, _texts("Remove or merge duplicate records before migration", "Review data quality in source system")),
         )
     )

@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from corroborate.operators import move
 from corroborate.session import stage
@@ -30,6 +29,6 @@ def migrate_table(source: DataFrame, plan: TablePlan, out: str, run_id: str, par
     """
     routed = move.Routed(stage(move.migrate(source, plan, parents, target).rows, "routed"), plan.source_table)
     append_rows(routed.accepted, os.path.join(out, plan.target.name), run_id)
-    rejects = routed.rejects.withColumn("target_table", F.lit(plan.target.name))
-    append_rows(rejects, os.path.join(out, "_rejects"), f"{run_id}-{plan.source_table}-{plan.target.name}")
+    rejects = routed.rejects.drop("source_table")
+    append_rows(rejects, os.path.join(out, "_rejects"), run_id, source_table=plan.source_table, target_table=plan.target.name)
     return move.migration_result(plan, routed)

@@ -63,7 +63,8 @@ def spread(df: DataFrame) -> DataFrame:
     one task. Round robin, since a hash repartition on the keys of an earlier
     aggregation would be optimized away.
     """
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def small(df: DataFrame, rows: int = 50_000) -> DataFrame:

@@ -14,13 +14,39 @@ def read_table(spark: SparkSession, path: str, columns: list[str] | None = None,
     return df.select(*columns) if columns else df
 
 
-def append_rows(rows: DataFrame, path: str, run_id: str) -> None:
-    """Append accepted rows, one partition per run: writing a run again replaces its rows."""
-    overwrite_partition(rows.withColumn("run_id", F.lit(run_id)), path, ["run_id"])
+def append_rows(rows: DataFrame, path: str, run_id: str, batch_id: int = 0, **more: str) -> None:
+    """Append rows under run, batch and what else is given: writing them again replaces them, also by none.
 
+    Batch runs have one batch, 0, so that streams and batch runs share a layout.
+    """
+    overwrite_partition(rows, path, {"run_id": run_id, "batch_id": batch_id, **more})
+
+
+def overwrite_partition(rows: DataFrame, path: str, at: dict[str, str | int]) -> None:
+    """Replace the partition ``at`` by ``rows``; no rows leave no partition. ``rows`` should be staged: they are looked at first."""
+    spark = rows.sparkSession
+    if rows.isEmpty():
+        root = _folder(spark, path)
+        for place in _partitions(spark, root, at):
+            root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        if store_exists(spark, path):
+            return
+    tagged = rows.withColumns({k: F.lit(v).cast("long") if isinstance(v, int) else F.lit(v) for k, v in at.items()})
+    tagged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*at).parquet(path)
 
-def overwrite_partition(rows: DataFrame, path: str, by: list[str]) -> None:
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+def _folder(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _partitions(spark: SparkSession, root, at: dict[str, str | int]) -> list:
+    """Folders of the partitions that ``at`` names, a key per level."""
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    unescape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+    places = [root] if fs.exists(root) else []
+    for key, value in at.items():
+        places = [s.getPath() for place in places for s in fs.listStatus(place) if unescape(s.getPath().getName()) == f"{key}={value}"]
+    return places
 
 
 def without_run(target: DataFrame, run_id: str) -> DataFrame:
@@ -29,16 +55,26 @@ def without_run(target: DataFrame, run_id: str) -> DataFrame:
 
 
 def rollback(spark: SparkSession, path: str, run_id: str | None = None) -> None:
-    """Remove a run's partition; without ``run_id`` every partition."""
+    """Remove a run's partitions; without ``run_id`` every partition."""
     if not store_exists(spark, path):
         return
-    jvm = spark._jvm.org.apache.hadoop.fs
-    root = jvm.Path(path)
+    root = _folder(spark, path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if run_id is None:
+        places = [s.getPath() for s in fs.listStatus(root) if s.getPath().getName().startswith("run_id=")]
+    else:
+        places = _partitions(spark, root, {"run_id": run_id})
+    for place in places:
+        fs.delete(place, True)
+
+
+def rollback_run(spark: SparkSession, out: str, run_id: str | None = None) -> None:
+    """Remove what a run wrote under ``out``: rows of all its tables, their rejects and the progress log."""
+    root = _folder(spark, out)
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    for status in fs.listStatus(root):
-        name = status.getPath().getName()
-        if name == f"run_id={run_id}" or (run_id is None and name.startswith("run_id=")):
-            fs.delete(status.getPath(), True)
+    for status in fs.listStatus(root) if fs.exists(root) else []:
+        if status.isDirectory():
+            rollback(spark, status.getPath().toString(), run_id)
 
 
 def write_json(report: DataFrame, path: str) -> None:

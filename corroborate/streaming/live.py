@@ -17,14 +17,10 @@ from corroborate.operators import move
 from corroborate.plans.grounding import ground
 from corroborate.session import stage
 from corroborate.sources.corpus import store_exists
-from corroborate.sources.tables import overwrite_partition
+from corroborate.sources.tables import append_rows
 from corroborate.specs import TablePlan
 
 
-def _tag(df: DataFrame, run_id: str, batch_id: int) -> DataFrame:
-    return df.withColumn("run_id", F.lit(run_id)).withColumn("batch_id", F.lit(batch_id).cast("long"))
-
-
 def migrate_stream(
     source: DataFrame,
     plan: TablePlan,
@@ -38,8 +34,10 @@ def migrate_stream(
 
     Keys are unique across batches: a batch is checked against the rows of all
     earlier ones, but not against its own earlier attempt. A batch that cannot
-    be moved at all is recorded as a table error.
+    be moved is recorded as an error and fails the query, so that it is
+    delivered again; what is recorded then is replaced.
     """
+    pair = {"source_table": plan.source_table, "target_table": plan.target.name}
     target_path, keys = os.path.join(out, plan.target.name), list(plan.target.primary_key)
 
     def move_batch(batch: DataFrame, batch_id: int) -> None:
@@ -49,30 +47,33 @@ def migrate_stream(
             if keys and store_exists(spark, target_path):
                 held = spark.read.parquet(target_path).where((F.col("run_id") != run_id) | (F.col("batch_id") < batch_id))
             routed = move.Routed(stage(move.migrate(batch, plan, parents, held).rows, "routed"), plan.source_table)
-            overwrite_partition(_tag(routed.accepted, run_id, batch_id), target_path, ["run_id", "batch_id"])
-            overwrite_partition(_tag(routed.rejects, run_id, batch_id), os.path.join(out, "_rejects"), ["run_id", "batch_id"])
+            append_rows(routed.accepted, target_path, run_id, batch_id)
+            append_rows(routed.rejects.drop("source_table"), os.path.join(out, "_rejects"), run_id, batch_id, **pair)
             counts = move.migration_result(plan, routed).select(
-                "source_table", "target_table", F.lit("transfer").alias("phase"), F.col("records_attempted").alias("rows"),
+                F.lit("transfer").alias("phase"), F.col("records_attempted").alias("rows"),
                 F.col("records_migrated").alias("migrated"), F.col("records_failed").alias("failed"), F.lit(None).cast("string").alias("error"),
             )
-        except AnalysisException as exc:  # a table that cannot be read is a row; lost executors still fail the batch
-            counts = spark.createDataFrame(
-                [(plan.source_table, plan.target.name, "error", 0, 0, 0, str(exc)[:500])],
-                "source_table string, target_table string, phase string, rows long, migrated long, failed long, error string",
-            )
-        overwrite_partition(_tag(counts, run_id, batch_id), os.path.join(out, "_progress"), ["run_id", "batch_id"])
+        except AnalysisException as exc:
+            failed = spark.createDataFrame([("error", 0, 0, 0, str(exc))], "phase string, rows long, migrated long, failed long, error string")
+            append_rows(failed, os.path.join(out, "_progress"), run_id, batch_id, **pair)
+            raise
+        append_rows(stage(counts, "counts"), os.path.join(out, "_progress"), run_id, batch_id, **pair)
 
     writer = source.writeStream.foreachBatch(move_batch).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
 def progress_totals(progress: DataFrame) -> DataFrame:
-    """Running totals per run and table pair, batch by batch."""
-    so_far = Window.partitionBy("run_id", "source_table", "target_table").orderBy("batch_id").rowsBetween(Window.unboundedPreceding, 0)
+    """Running totals, batch by batch: of the table pair, and of all pairs of the run."""
+    of_pair = Window.partitionBy("run_id", "source_table", "target_table").orderBy("batch_id").rowsBetween(Window.unboundedPreceding, 0)
+    # a run has few rows: one per pair and batch; they are added up per batch first
+    batches = progress.groupBy("run_id", "batch_id").agg(F.sum("migrated").alias("m"), F.sum("failed").alias("f"))
+    of_run = Window.partitionBy("run_id").orderBy("batch_id").rowsBetween(Window.unboundedPreceding, 0)
+    overall = batches.select("run_id", "batch_id", F.sum("m").over(of_run).alias("overall_migrated"), F.sum("f").over(of_run).alias("overall_failed"))
     return progress.select(
         "run_id", "source_table", "target_table", "batch_id", "migrated", "failed",
-        F.sum("migrated").over(so_far).alias("overall_migrated"), F.sum("failed").over(so_far).alias("overall_failed"),
-    )
+        F.sum("migrated").over(of_pair).alias("table_migrated"), F.sum("failed").over(of_pair).alias("table_failed"),
+    ).join(overall, ["run_id", "batch_id"])
 
 
 def progress_latest(progress: DataFrame, expected: DataFrame | None = None) -> DataFrame:
@@ -114,9 +115,9 @@ def ground_stream(texts: DataFrame, store: DataFrame, out: str, run_id: str, che
     def check(batch: DataFrame, batch_id: int) -> None:
         job = ground(stage(batch, "texts"), store, **options)
         verdicts = stage(job.verdicts, "verdicts")
-        overwrite_partition(_tag(verdicts, run_id, batch_id), os.path.join(out, "verdicts"), ["run_id", "batch_id"])
+        append_rows(verdicts, os.path.join(out, "verdicts"), run_id, batch_id)
         scores = type(job)(job.docs, job.claims, job.evidence, verdicts).scores()
-        overwrite_partition(_tag(scores, run_id, batch_id), os.path.join(out, "scores"), ["run_id", "batch_id"])
+        append_rows(stage(scores, "scores"), os.path.join(out, "scores"), run_id, batch_id)
 
     writer = texts.writeStream.foreachBatch(check).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

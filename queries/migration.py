@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -97,8 +97,9 @@ flagged as (select *, case when customer_id is null then 'NOT NULL constraint fa
 routed as (select * exclude (m), coalesce(m, case when row_number() over (partition by customer_id, m is null order by row_no) > 1 then 'UNIQUE constraint failed: customers.customer_id' end) as message
   from flagged)
 """
+RECORD = "cast(json_object('bal_text', c.bal_text, 'cust_id', c.cust_id, 'cust_name', c.cust_name, 'nation', c.nation, 'row_no', c.row_no, 'segment', c.segment, 'tier', c.tier) as varchar)"
 ACCEPTED = "select customer_id, full_name, nation_id, balance, segment, tier, kind, number, label from routed where message is null"
-REJECTED = "select 'cust' as source_table, cast(row_no as varchar) as record_id, message as error_message, split_part(message, ' constraint', 1) as error_type from routed where message is not null"
+REJECTED = f"select 'cust' as source_table, cast(r.row_no as varchar) as record_id, message as error_message, split_part(message, ' constraint', 1) as error_type, {RECORD} as record_data from routed r join ({CUST}) c on c.row_no = r.row_no where message is not null"
 
 
 # --- rules ----------------------------------------------------------------------
@@ -182,7 +183,7 @@ def migrate_table(spark, sf):
 
 @query("reject_rows", f"{ROUTED} {REJECTED}")
 def reject_rows(spark, sf):
-    return routed(spark, sf).rejects.drop("record_data")
+    return routed(spark, sf).rejects
 
 
 LINE_ROUTED = """lines as (select *, case when l_orderkey not in (select o_orderkey from orders) then 'FOREIGN KEY' else
@@ -240,7 +241,8 @@ def dry_run(spark, sf):
 
 
 def _scratch(spark) -> str:
-    return tempfile.mkdtemp(prefix="run-", dir=checkpoint_dir(spark)) if os.path.isdir(checkpoint_dir(spark)) else os.path.join(checkpoint_dir(spark), f"run-{os.getpid()}")
+    """A fresh folder name in the shared folder; writers create it."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/run-{uuid.uuid4().hex}"
 
 
 @query("migrate_append", f"{ROUTED} {ACCEPTED}")
@@ -249,7 +251,7 @@ def migrate_append(spark, sf):
     out = _scratch(spark)
     for _ in range(2):
         P.migrate_table(I.cust(spark, sf), CUSTOMER_PLAN, out, "r1", parents(spark, sf), held(spark, sf))
-    return spark.read.parquet(os.path.join(out, "customers")).drop("run_id")
+    return spark.read.parquet(os.path.join(out, "customers")).drop("run_id", "batch_id")
 
 
 @query("rollback_run", f"with {PROJECTED} select customer_id, full_name from projected where row_no % 2 = 0")
@@ -259,8 +261,8 @@ def rollback_run(spark, sf):
     rows = move.project(I.cust(spark, sf), CUSTOMER_PLAN.mappings, ("row_no",)).select("row_no", "customer_id", "full_name")
     TB.append_rows(rows.where(F.col("row_no") % 2 == 0).drop("row_no"), path, "r1")
     TB.append_rows(rows.where(F.col("row_no") % 2 != 0).drop("row_no"), path, "r2")
-    TB.rollback(spark, path, "r2")
-    return spark.read.parquet(path).drop("run_id")
+    TB.rollback_run(spark, os.path.dirname(path), "r2")
+    return spark.read.parquet(path).drop("run_id", "batch_id")
 
 
 @query("user_function", "select c_custkey, abs(c_acctbal) as balance from customer")

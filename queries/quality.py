@@ -93,7 +93,7 @@ def duplicate_sql(n: str) -> str:
     return f"""select '{n}' as table_name, 'Duplicate Check' as check_name, case when n > 0 then 'failed' else 'passed' end as status,
     case when n > 0 then 'critical' else 'low' end as severity, case when n > 0 then 'Found ' || n || ' duplicate primary key(s)' else 'No duplicate primary keys found' end as message,
     case when n > 0 then 'duplicate_count=' || n || ' | ' else '' end || 'primary_key_columns={", ".join(keys)}' || case when n > 0 then ' | sample_duplicates=' || s else '' end as details
-    from (select count(*) as n, min({shown}) as s from (select {", ".join(keys)} from {src(n)} group by {", ".join(keys)} having count(*) > 1))"""
+    from (select count(*) as n, array_to_string(list_sort(list({shown}))[1:5], '; ') as s from (select {", ".join(keys)} from {src(n)} group by {", ".join(keys)} having count(*) > 1))"""
 
 
 def numeric_text_sql(n: str) -> str:

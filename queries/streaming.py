@@ -72,8 +72,9 @@ LOGGED = I.sql(LOG)
 
 
 @query("progress_totals", f"""select run_id, source_table, target_table, batch_id, cast(migrated as bigint) as migrated, cast(failed as bigint) as failed,
-    cast(sum(migrated) over w as bigint) as overall_migrated, cast(sum(failed) over w as bigint) as overall_failed from ({LOGGED})
-    window w as (partition by run_id, source_table, target_table order by batch_id)""")
+    cast(sum(migrated) over w as bigint) as table_migrated, cast(sum(failed) over w as bigint) as table_failed,
+    cast(sum(migrated) over o as bigint) as overall_migrated, cast(sum(failed) over o as bigint) as overall_failed from ({LOGGED})
+    window w as (partition by run_id, source_table, target_table order by batch_id), o as (partition by run_id order by batch_id)""")
 def progress_totals(spark, sf):
     return live.progress_totals(log(spark, sf))
 

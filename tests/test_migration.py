@@ -98,10 +98,43 @@ def test_write_rerun_and_rollback(spark, source, parent, tmp_path):
     TB.rollback(spark, path, "r2")
     left = spark.read.parquet(path)
     assert left.count() == 3 and left.where("run_id = 'r2'").count() == 0
+    P.migrate_table(source, PLAN, out, "r2", parent)
+    TB.rollback_run(spark, out, "r1")
+    for folder in (path, os.path.join(out, "_rejects")):
+        assert {r.run_id for r in spark.read.parquet(folder).select("run_id").distinct().collect()} == {"r2"}
     TB.rollback(spark, path)
     assert not [d for d in os.listdir(path) if d.startswith("run_id=")]
 
 
+def test_rerun_without_rejects_leaves_none(spark, tmp_path):
+    out, plan = str(tmp_path), TablePlan("old", TableSpec("new", ("key",), (), ("name",)), PLAN.mappings, ("id",))
+    bad = spark.createDataFrame([(1, 1, None, "1"), (2, 2, "n m", "2")], "id long, k long, n string, v string")
+    P.migrate_table(bad, plan, out, "r1")
+    rejects = spark.read.parquet(os.path.join(out, "_rejects"))
+    assert [r.record_data for r in rejects.collect()] == ['{"id":1,"k":1,"n":null,"v":"1"}']
+    schema = rejects.schema
+    P.migrate_table(bad.fillna("n m", ["n"]), plan, out, "r1")
+    assert spark.read.schema(schema).parquet(os.path.join(out, "_rejects")).count() == 0
+    assert spark.read.parquet(os.path.join(out, "new")).count() == 2
+
+
+def test_a_failed_batch_is_delivered_again(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 1, "n m", "1"), (2, 2, "n m", "2")], "id long, k long, n string, v string")
+    arrivals, out = str(tmp_path / "in"), str(tmp_path / "out")
+    rows.coalesce(1).write.parquet(arrivals)
+
+    def run(**checks):
+        plan = TablePlan("old", TableSpec("new", ("key",), (), ("name",), **checks), PLAN.mappings, ("id",))
+        live.migrate_stream(stream_of(spark, arrivals, rows.schema), plan, out, "r1", str(tmp_path / "ckpt")).awaitTermination()
+
+    with pytest.raises(Exception):
+        run(checks={"wrong": "no_such_column > 1"})
+    assert [r.phase for r in spark.read.parquet(os.path.join(out, "_progress")).collect()] == ["error"]
+    run()
+    assert spark.read.parquet(os.path.join(out, "new")).count() == 2
+    assert [(r.phase, r.migrated) for r in spark.read.parquet(os.path.join(out, "_progress")).collect()] == [("transfer", 2)]
+
+
 def test_candidates(spark):
     df = spark.createDataFrame([("a b",), ("c d",), ("e",)], "x string")
     row = profile.split_candidates(df, ["x"]).first()
