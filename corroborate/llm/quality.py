@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corroborate.llm.common import query, table, window_hashes, word_hashes
+from corroborate.session import stage
 
 WHITE, SPACE, LOWER, UPPER, DIGIT, STOP, SYMBOL, ASCII, OTHER = range(9)
 CLASSES = 9
@@ -137,7 +138,7 @@ def references(docs: DataFrame, lang_col: str = "lang", text_col: str = "text",
         yield flush()
 
     texts = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
-    counts = texts.mapInArrow(run, "lang string, word binary, kind int, n long").groupBy("lang", "word", "kind").agg(F.sum("n").alias("n"))
+    counts = stage(texts.mapInArrow(run, "lang string, word binary, kind int, n long").groupBy("lang", "word", "kind").agg(F.sum("n").alias("n")), "reference-words")
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     totals = counts.groupBy("lang", F.col("word").isNull().alias("absent")).agg(F.sum("n").alias("total"))
     top = counts.where("word is not null").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= common).drop("rank")
