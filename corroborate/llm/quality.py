@@ -36,8 +36,8 @@ class Limits:
     char_limit: float = 0.17
     char_slack: float = 1.3
     word_guard: int = 50
-    word_limit: float = 0.13
-    word_slack: float = 2.3
+    word_limit: float = 0.22
+    word_slack: float = 1.6
 
 
 @lru_cache(maxsize=1)
@@ -101,6 +101,11 @@ def repeated_words(text: str, width: int = 5) -> int:
     return int((np.cumsum(edge) > 0).sum())
 
 
+def base_failed(words: int, repeats: int) -> bool:
+    """Too few words, or over a fifth of them in repeated windows."""
+    return words < 10 or 100 * repeats > 20 * words
+
+
 def duplicate_lines(text: str) -> int:
     """Lines with a word that equal an earlier line."""
     lines = [line for line in text.split("\n") if line.strip(" \t\n\v\f\r")]
@@ -108,9 +113,10 @@ def duplicate_lines(text: str) -> int:
 
 
 def references(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", common: int = 32) -> dict[str, tuple[np.ndarray, list[bytes], np.ndarray]]:
-    """Per language: character classes of all texts, the ``common`` most used words, and their uses with the rest last.
+    """Per language: character classes of its texts, the ``common`` most used words, and their uses with the rest last.
 
-    Counts cover all rows with a language; tasks add up before the shuffle and
+    Counts cover all rows with a language that pass the base rule, so that what
+    a few texts repeat thousands of times is not taken for the language. Tasks add up before the shuffle and
     only the few words kept per language come to the driver. Equal counts are
     ordered by word.
     """
@@ -131,7 +137,10 @@ def references(docs: DataFrame, lang_col: str = "lang", text_col: str = "text",
         for batch in batches:
             for lang, text in zip(batch.column(0), batch.column(1)):
                 lang, text = lang.as_py(), text.as_py()
-                words[lang].update(text.encode().lower().split())
+                found = text.encode().lower().split()
+                if base_failed(len(found), repeated_words(text)):
+                    continue
+                words[lang].update(found)
                 classes[lang] += char_classes(text)
                 if sum(map(len, words.values())) > _FLUSH:
                     yield flush()
@@ -168,7 +177,7 @@ def judge(docs: DataFrame, refs: dict, limits: Limits = Limits(), id_col: str =
         classes = char_classes(text)
         n = sum(words.values())
         repeats = repeated_words(text)
-        failed = n < 10 or 100 * repeats > 20 * n
+        failed = base_failed(n, repeats)
         mine = [refs[lang]] if lang in refs else list(refs.values())
         char = min((distance(shape(classes), ref[0]) for ref in mine), default=0.0)
         word = 1.0 if mine else 0.0
