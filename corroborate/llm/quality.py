@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corroborate.llm.common import query, table, window_hashes, word_hashes
+from corroborate.llm.quality_sql import quality_sql
 from corroborate.session import stage
 
 WHITE, SPACE, LOWER, UPPER, DIGIT, STOP, SYMBOL, ASCII, OTHER = range(9)
@@ -223,6 +224,6 @@ def keep_good(docs: DataFrame, limits: Limits = Limits(), lang_col: str = "lang"
     return judged.where("kept").select(*names).toDF(*docs.columns)
 
 
-@query("op7_quality")
+@query("op7_quality", quality_sql(Limits()))
 def op7_quality(spark, sf_dir):
-    return quality(table(spark, sf_dir, "documents"))
+    return quality(table(spark, sf_dir, "documents")).drop("char_distance", "word_distance")

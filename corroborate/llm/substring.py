@@ -171,6 +171,20 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
-@query("op10_passages")
+PASSAGES_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+p AS (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM w),
+x AS (SELECT doc_id, i, words[i] AS word, CASE WHEN i + 49 <= len(words) THEN md5(array_to_string(words[i:i + 49], ' ')) END AS h FROM p),
+m AS (SELECT h, min(doc_id) AS low FROM x WHERE h IS NOT NULL GROUP BY h),
+f AS (
+    SELECT x.doc_id, i, word, max(CASE WHEN low < x.doc_id THEN 1 ELSE 0 END) OVER (PARTITION BY x.doc_id ORDER BY i ROWS 49 PRECEDING) AS gone
+    FROM x LEFT JOIN m ON x.h = m.h),
+k AS (SELECT doc_id, sum(gone)::BIGINT AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone = 0) AS kept FROM f GROUP BY doc_id)
+SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN k ON w.doc_id = k.doc_id
+"""
+
+
+@query("op10_passages", PASSAGES_SQL)
 def op10_passages(spark, sf_dir):
     return dedup_passages(table(spark, sf_dir, "documents")).drop("kept")

@@ -558,6 +558,68 @@ def test_pipeline_stages_and_odd_rows(spark, sf, docs, odd, none):
         assert sum(r["piece"] == 0 for r in packed) == now.count()
 
 
+def test_pipeline_against_brute_force(spark, sf, docs):
+    stages = dict(corpus_pipeline.STAGES)
+    now = {r["doc_id"]: r for r in docs.collect()}
+    good = stage(stages["quality_rules"](spark, docs, sf), "t1")
+    verdict = {r["doc_id"]: r["kept"] for r in quality.quality(docs).collect()}
+    assert sorted(r["doc_id"] for r in good.collect()) == sorted(d for d in now if verdict[d])
+
+    clean = stage(stages["line_dedup"](spark, good, sf), "t2")
+    pages = {r["doc_id"]: r for r in good.collect()}
+    holds, total = Counter(), Counter()
+    for r in pages.values():
+        total[r["source"]] += 1
+        holds.update({(r["source"], line.strip(" ")) for line in r["text"].split("\n") if line.strip(" ")})
+    for r in clean.collect():
+        old = pages[r["doc_id"]]
+        site = old["source"]
+        common = total[site] >= 20
+        kept = [x for x in old["text"].split("\n") if not x.strip(" ") or not common or holds[site, x.strip(" ")] <= total[site] * 0.1]
+        text = "\n".join(kept) if any(x.strip(" ") for x in kept) else old["text"]
+        assert r["text"] == text and r["n_chars"] == len(text)
+
+    single = stage(stages["near_dedup"](spark, clean, sf), "t3")
+    texts = {r["doc_id"]: r["text"] for r in clean.collect()}
+    prints = {d: simhash.fingerprint(t, 5) for d, t in texts.items()}
+    mask = 2**64 - 1
+    name = {d: d for d in texts}
+    for _ in range(6):
+        for a in texts:
+            for b in texts:
+                if name[b] < name[a]:
+                    x, y = (((prints[a][k] ^ prints[b][k]) & mask).bit_count() for k in (0, 1))
+                    if x == 0 or (min(x, y) <= 10 and x + y <= 24):
+                        name[a] = name[b]
+    assert sorted(r["doc_id"] for r in single.collect()) == sorted(d for d in texts if name[d] == d)
+
+    mixed = stage(stages["mixing"](spark, single, sf), "t4")
+    rows = single.collect()
+    sizes, total = {r["doc_id"]: len(words(r["text"])) for r in rows}, Counter()
+    for r in rows:
+        total[r["source"]] += sizes[r["doc_id"]]
+    weight = {source: k % 3 + 1 for k, source in enumerate(sorted(total))}
+    share, held = sum(total.values()) / sum(weight.values()), set()
+    while over := {s for s in total if s not in held and share * weight[s] > 3 * total[s]}:
+        held |= over
+        share = (sum(total.values()) - sum(3 * total[s] for s in held)) / sum(weight[s] for s in total if s not in held)
+    want = Counter()
+    for source in total:
+        target = min(3 * total[source], share * weight[source])
+        passes = min(3, int(target // total[source]))
+        budget, at = target - passes * total[source], 0
+        own = sorted((int(hashlib.md5(f"{r['doc_id']}:{r['text']}".encode()).hexdigest()[:15], 16), r["doc_id"]) for r in rows if r["source"] == source)
+        for _, d in own:
+            nearest = budget > 0 and (at + sizes[d] <= budget or (at <= budget and 2 * (budget - at) >= sizes[d]))
+            want[d] = passes + nearest
+            at += sizes[d]
+    assert Counter(r["doc_id"] for r in mixed.collect()) == +want
+
+    packed = stages["packing"](spark, mixed, sf).collect()
+    assert laid_out(packed, 2048) == fits([r["length"] for r in packed], 2048)
+    assert Counter(r["doc_id"] for r in packed if r["piece"] == 0) == +want
+
+
 def test_registered():
     import __spark_entry__ as entry
 
