@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corroborate.llm.common import query, table
+from corroborate.session import stage
 
 #: What is no text in a page, and all other tags.
 _HIDDEN = r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->"
@@ -48,7 +49,8 @@ def drop_boilerplate(pages: DataFrame, site: Column, lines: Column, ratio: float
     counts = rows.where("_site is not null").select("_site", F.explode(F.array_distinct(F.transform(filled, _key))).alias("key")).groupBy("_site", "key").agg(F.count("*").alias("n"))
     totals = rows.where("_site is not null").groupBy("_site").agg(F.count("*").alias("total"))
     common = counts.join(totals, "_site").where(f"total >= {min_pages} and n > total * {ratio}D")
-    marks = common.groupBy("_site").agg(F.collect_list("key").alias("_marks")).withColumnRenamed("_site", "_of")
+    # written first: Spark then knows its size, and sends it to the pages only where it is small
+    marks = stage(common.groupBy("_site").agg(F.collect_list("key").alias("_marks")).withColumnRenamed("_site", "_of"), "boilerplate")
     joined = rows.join(marks, rows["_site"] == marks["_of"], "left")
     kept = F.when(F.col("_marks").isNull(), F.col("_lines")).otherwise(F.filter("_lines", lambda line: (F.trim(line) == "") | ~F.array_contains("_marks", _key(line))))
     if keep_whole:

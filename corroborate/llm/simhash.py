@@ -257,10 +257,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     """
     found = stage(groups(docs, id_col, text_col, width, budget, both), "simhash-groups")
     best = F.min(F.struct(F.col(id_col).isNull().alias("absent"), F.col(id_col).alias("id"), F.col("text_hash"))).alias("best")
-    chosen = found.groupBy("root").agg(best).select(F.col("best.id").alias("_id"), F.col("best.text_hash").alias("_hash"))
+    first = found.groupBy("root").agg(best).select("root", F.col("best.id").alias("_id"), F.col("best.text_hash").alias("_hash"))
+    again = found.join(first, (found["root"] == first["root"]) & found[id_col].eqNullSafe(first["_id"]) & (found["text_hash"] == first["_hash"])).groupBy("_id", "_hash").agg(F.count("*").alias("_n"))
+    chosen = stage(again, "simhash-kept")
     rows = docs.withColumn("_hash_", F.xxhash64(text_col))
     kept = rows.join(chosen, rows[id_col].eqNullSafe(chosen["_id"]) & (rows["_hash_"] == chosen["_hash"]), "left_semi")
-    return kept.dropDuplicates([id_col, "_hash_"]).select(*docs.columns)
+    if not chosen.where("_n > 1").isEmpty():  # rows repeated whole; else the texts need no second look
+        kept = kept.dropDuplicates([id_col, "_hash_"])
+    return kept.select(*docs.columns)
 
 
 @query("op9_simhash")
