@@ -160,14 +160,18 @@ def foreign_key_check(df: DataFrame, spec: TableSpec, parents: dict[str, DataFra
         return spark.range(1).select(
             *_row(spec.name, "Referential Integrity Check", F.lit("skipped"), F.lit("low"), F.lit("No foreign keys defined"), {"violations": F.lit(None)})
         )
-    counts = [
-        orphan_count(df, fk.column, parents[fk.ref_table], fk.ref_column).select(
-            F.lit(i).alias("at"), F.lit(f"{fk.column} → {fk.ref_table}.{fk.ref_column}").alias("key"), "orphans"
-        )
-        for i, fk in enumerate(spec.foreign_keys)
-    ]
-    broken = F.array_sort(F.collect_list(F.when(F.col("orphans") > 0, F.struct("at", "key", "orphans"))))
-    merged = reduce(DataFrame.unionByName, counts).agg(broken.alias("broken"))
+    # all keys in long form: the table is read once, and its values are counted before they meet their parents
+    def value(column: str, fk) -> Column:
+        return F.col(column).cast(parents[fk.ref_table].schema[fk.ref_column].dataType).cast("string").alias("value")
+
+    keys = list(enumerate(spec.foreign_keys))
+    names = F.array(*[F.lit(f"{fk.column} → {fk.ref_table}.{fk.ref_column}") for _, fk in keys])
+    pairs = F.inline(F.array(*[F.struct(F.lit(i).alias("at"), value(fk.column, fk)) for i, fk in keys]))
+    values = df.select(pairs).where(F.col("value").isNotNull()).groupBy("at", "value").agg(F.count("*").alias("n"))
+    have = reduce(DataFrame.unionByName, [parents[fk.ref_table].select(F.lit(i).alias("at"), value(fk.ref_column, fk)) for i, fk in keys])
+    orphans = values.join(have, ["at", "value"], "left_anti").groupBy("at").agg(F.sum("n").alias("orphans"))
+    named = orphans.select("at", F.element_at(names, F.col("at") + 1).alias("key"), "orphans")
+    merged = named.agg(F.array_sort(F.collect_list(F.struct("at", "key", "orphans"))).alias("broken"))
     bad = F.size("broken") > 0
     listed = F.array_join(F.transform("broken", lambda b: F.concat(b["key"], F.lit("="), b["orphans"].cast("string"))), ", ")
     return merged.select(
