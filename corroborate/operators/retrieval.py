@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corroborate.functions.text import embed_text
+from corroborate.session import stage
 
 SCORE_DIGITS = 6
 
@@ -47,32 +48,41 @@ def evidence_topk(
     query_key: str = "query_id",
     store_key: str = "chunk_id",
     lanes: int | None = None,
-    query_lanes: int = 1,
+    query_lanes: int | None = None,
     block_rows: int = 1024,
     query_block_rows: int = 256,
+    send_bytes: int = 64 << 20,
+    lane_blocks: int = 64,
 ) -> DataFrame:
     """Exact top-k by ``1 - squared L2 distance``: ``(query, store id, score, rank)``.
 
     Vectors are packed into blocks; every query block meets every store block
-    once, by an equality join on a lane number. The store is spread over
-    ``lanes`` and shuffled ``query_lanes`` times; the queries are spread over
-    ``query_lanes`` and copied once per lane. Raise ``query_lanes`` when the
-    queries are many. A task holds two blocks at a time, and only k rows per
-    query and store block leave it; ties go to the smaller id.
+    once, by an equality join on lane numbers. Queries whose blocks are at most
+    ``send_bytes`` are broadcast, and the store is read where it lies. Beyond
+    that both are dealt into lanes of about ``lane_blocks`` blocks: the store is
+    shuffled once per lane of queries and the queries once per lane of the
+    store, so a task's share does not grow with either. A task holds two blocks
+    and the k best so far of its queries; ties go to the smaller id.
     """
     spark = queries.sparkSession
-    lanes = lanes or int(spark.conf.get("spark.sql.shuffle.partitions"))
     id_q, id_c = queries.schema[query_key].dataType, store.schema[store_key].dataType
 
-    q = _blocks(queries, query_key, query_block_rows, "q")
+    q = stage(_blocks(queries, query_key, query_block_rows, "q"), "query-blocks")
     c = _blocks(store, store_key, block_rows, "c")
+    n_q, sent = q.agg(F.count("*"), F.coalesce(F.sum(F.length("q_matrix")), F.lit(0))).first()
+    few = sent <= send_bytes and lanes is None and query_lanes is None
+    if few:
+        lanes = query_lanes = 1
+    else:
+        lanes = lanes or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-store.count() // (block_rows * lane_blocks)))
+        query_lanes = query_lanes or max(1, -(-n_q // lane_blocks))
     q = q.withColumn("q_lane", F.pmod(F.xxhash64(F.col("q_ids")[0]), F.lit(query_lanes)).cast("int")).withColumn(
         "c_lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))
     )
     c = c.withColumn("c_lane", F.pmod(F.xxhash64(F.col("c_ids")[0]), F.lit(lanes)).cast("int")).withColumn(
         "q_lane", F.explode(F.sequence(F.lit(0), F.lit(query_lanes - 1)))
     )
-    met = q.join(c, ["q_lane", "c_lane"]).select("q_ids", "q_matrix", "c_ids", "c_matrix")
+    met = c.join(F.broadcast(q) if few else q, ["q_lane", "c_lane"]).select("q_ids", "q_matrix", "c_ids", "c_matrix")
     schema = T.StructType(
         [T.StructField(query_key, id_q), T.StructField(store_key, id_c), T.StructField("score", T.DoubleType())]
     )
@@ -93,6 +103,7 @@ def evidence_topk(
         return np.nonzero(keep)
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: dict = {}  # by query block: ids of the queries, scores and store ids of their best
         for batch in batches:
             for row in batch.itertuples(index=False):
                 q_ids, c_ids = np.asarray(row.q_ids), np.asarray(row.c_ids)
@@ -101,7 +112,16 @@ def evidence_topk(
                 distance = (qm * qm).sum(1)[:, None] + (cm * cm).sum(1)[None, :] - 2 * (qm @ cm.T)
                 scores = np.round(1 - distance, SCORE_DIGITS)
                 rows, columns = best_cells(scores)
-                yield pd.DataFrame({query_key: q_ids[rows], store_key: c_ids[columns], "score": scores[rows, columns]})
+                found, ids = scores[rows, columns].reshape(len(q_ids), -1), c_ids[columns].reshape(len(q_ids), -1)
+                if q_ids[0] in best:
+                    found, ids = np.hstack([best[q_ids[0]][1], found]), np.hstack([best[q_ids[0]][2], ids])
+                    by_id = np.argsort(ids, axis=1, kind="stable")
+                    found, ids = np.take_along_axis(found, by_id, 1), np.take_along_axis(ids, by_id, 1)
+                    top = np.argsort(-found, axis=1, kind="stable")[:, :k]
+                    found, ids = np.take_along_axis(found, top, 1), np.take_along_axis(ids, top, 1)
+                best[q_ids[0]] = (q_ids, found, ids)
+        for q_ids, found, ids in best.values():
+            yield pd.DataFrame({query_key: np.repeat(q_ids, found.shape[1]), store_key: ids.ravel(), "score": found.ravel()})
 
     order = Window.partitionBy(query_key).orderBy(F.desc("score"), F.col(store_key))
     return (
