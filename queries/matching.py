@@ -146,7 +146,7 @@ def table_counts(spark, sf):
     return profile.table_counts(tables(spark, sf))
 
 
-ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
+ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
 SAMPLES = " union all ".join(f"select distinct '{c}' as column_name, cast({c} as varchar) as value from orders where {c} is not null" for c in ORDER_COLUMNS)
 
 

@@ -25,7 +25,7 @@ SPECS = {
     "supplier": TableSpec("supplier", ("s_suppkey",), (ForeignKey("s_nationkey", "nation", "n_nationkey"),)),
     "cust": TableSpec("cust", ("cust_id",), (ForeignKey("nation", "nation", "n_nationkey"),)),
 }
-CHECKED = ["customer", "orders", "lineitem", "cust"]
+CHECKED = ["customer", "orders", "lineitem", "nation", "region", "part", "supplier", "cust"]
 CUST = I.sql(I.CUST)
 CUST_COLUMNS = ["row_no", "cust_id", "cust_name", "nation", "bal_text", "segment", "tier"]
 
@@ -56,12 +56,20 @@ COLUMNS = {
     "lineitem": [
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate",
     ],
+    "nation": ["n_nationkey", "n_name", "n_regionkey"],
+    "region": ["r_regionkey", "r_name"],
+    "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"],
+    "supplier": ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"],
     "cust": CUST_COLUMNS,
 }
 TEXT = {
     "customer": ["c_name", "c_mktsegment"],
     "orders": ["o_orderstatus", "o_orderpriority"],
     "lineitem": ["l_returnflag", "l_linestatus"],
+    "nation": ["n_name"],
+    "region": ["r_name"],
+    "part": ["p_name", "p_brand", "p_type"],
+    "supplier": ["s_name"],
     "cust": ["cust_name", "bal_text", "segment", "tier"],
 }
 
@@ -105,6 +113,8 @@ def numeric_text_sql(n: str) -> str:
 
 def fk_sql(n: str) -> str:
     fks = SPECS[n].foreign_keys
+    if not fks:
+        return f"""select '{n}' as table_name, 'Referential Integrity Check' as check_name, 'skipped' as status, 'low' as severity, 'No foreign keys defined' as message, '' as details"""
     counts = ", ".join(f"(select count(*) from {src(n)} t where t.{k.column} is not null and not exists (select 1 from {k.ref_table} r where r.{k.ref_column} = t.{k.column}))" for k in fks)
     names = "[" + ", ".join(f"'{k.column} → {k.ref_table}.{k.ref_column}='" for k in fks) + "]"
     return f"""select '{n}' as table_name, 'Referential Integrity Check' as check_name, case when len(f) > 0 then 'failed' else 'passed' end as status,
