@@ -107,10 +107,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it; the texts are not shuffled unless there are very many sources."""
     _, plan = _planned(docs, id_col, text_col, source_col)
-    plan = plan.select("_source", F.col("passes").alias("_passes"), F.col("threshold").alias("_threshold"))
-    rows = docs.withColumn("_h", unit(id_col, text_col)).join(plan, docs[source_col].eqNullSafe(plan["_source"]))
-    times = (F.col("_passes") + (F.col("_h") < F.col("_threshold")).cast("long")).cast("int")
-    return rows.withColumn("_time", F.explode(F.array_repeat(F.lit(1), times))).select(*docs.columns)
+    rows = docs.select(F.col(source_col).alias("source"), unit(id_col, text_col).alias("h"), F.struct("*").alias("row"))
+    rows = rows.join(plan, rows["source"].eqNullSafe(plan["_source"]))
+    times = (F.col("passes") + (F.col("h") < F.col("threshold")).cast("long")).cast("int")
+    return rows.select("row", F.explode(F.array_repeat(F.lit(1), times)).alias("time")).select("row.*")
 
 
 MIX_SQL = """

@@ -260,11 +260,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     first = found.groupBy("root").agg(best).select("root", F.col("best.id").alias("_id"), F.col("best.text_hash").alias("_hash"))
     again = found.join(first, (found["root"] == first["root"]) & found[id_col].eqNullSafe(first["_id"]) & (found["text_hash"] == first["_hash"])).groupBy("_id", "_hash").agg(F.count("*").alias("_n"))
     chosen = stage(again, "simhash-kept")
-    rows = docs.withColumn("_hash_", F.xxhash64(text_col))
-    kept = rows.join(chosen, rows[id_col].eqNullSafe(chosen["_id"]) & (rows["_hash_"] == chosen["_hash"]), "left_semi")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.struct("*").alias("row"))
+    kept = rows.join(chosen, rows["id"].eqNullSafe(chosen["_id"]) & (rows["hash"] == chosen["_hash"]), "left_semi")
     if not chosen.where("_n > 1").isEmpty():  # rows repeated whole; else the texts need no second look
-        kept = kept.dropDuplicates([id_col, "_hash_"])
-    return kept.select(*docs.columns)
+        kept = kept.dropDuplicates(["id", "hash"])
+    return kept.select("row.*")
 
 
 @query("op9_simhash")
