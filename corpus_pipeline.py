@@ -14,11 +14,15 @@ from corroborate.llm.quality import keep_good
 from corroborate.llm.simhash import keep_one
 from corroborate.session import stage
 
+#: Rows of an Arrow batch: whole documents are large, and both sides of a task hold a batch.
+BATCH = "1000"
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and are near their language's distributions."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
     return keep_good(docs)
 
 
@@ -29,6 +33,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, on shingles of five words."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
     return keep_one(docs, width=5)
 
 
@@ -39,6 +44,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents with their places in sequences of 2048 tokens."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
     import public_tokenizers
 
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))

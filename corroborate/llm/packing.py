@@ -16,7 +16,7 @@ from corroborate.llm.common import query, table
 from corroborate.session import stage
 
 #: Strings between white space whose ids a worker keeps: the first ones, mostly the frequent, for good; others until there are too many.
-_FIRST, _MEMO = 150_000, 700_000
+_FIRST, _MEMO = 150_000, 500_000
 _MARKS = b".,;:!?#$%&*"
 _SPECIAL = b"<|"
 
@@ -98,6 +98,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, id_col: s
                     [batch.column(0).take(pa.array(owner, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                     names=["id", "piece", "start", "length", "ids_crc32"],
                 )
+        pa.default_memory_pool().release_unused()
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long")
 

@@ -146,6 +146,7 @@ def references(docs: DataFrame, lang_col: str = "lang", text_col: str = "text",
                 if sum(map(len, words.values())) > _FLUSH:
                     yield flush()
         yield flush()
+        pa.default_memory_pool().release_unused()
 
     texts = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
     counts = stage(texts.mapInArrow(run, "lang string, word binary, kind int, n long").groupBy("lang", "word", "kind").agg(F.sum("n").alias("n")), "reference-words")
@@ -191,16 +192,21 @@ def judge(docs: DataFrame, refs: dict, limits: Limits = Limits(), id_col: str =
 
     types = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
 
+    # a column that is also wanted is not sent twice
+    sent = [*also, *(c for c in (text_col, lang_col) if c not in also)]
+    at = [1 + sent.index(c) for c in (text_col, lang_col)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 1000):
                 batch = whole.slice(start, 1000)
-                rows = [measures(text.as_py() or "", lang.as_py()) for text, lang in zip(batch.column(1), batch.column(2))]
+                rows = [measures(text.as_py() or "", lang.as_py()) for text, lang in zip(batch.column(at[0]), batch.column(at[1]))]
                 columns = [pa.array(values, kind) for values, kind in zip(zip(*rows), types)]
                 names = [id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance", *also]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *columns, *batch.columns[3:]], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column(0), *columns, *batch.columns[1 : 1 + len(also)]], names=names)
+        pa.default_memory_pool().release_unused()
 
-    return docs.select(id_col, F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"), *(F.col(c).alias(f"_{k}") for k, c in enumerate(also))).mapInArrow(run, fields)
+    return docs.select(id_col, *(F.col(c).alias(f"_{k}") for k, c in enumerate(sent))).mapInArrow(run, fields)
 
 
 def quality(docs: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text") -> DataFrame:
