@@ -20,6 +20,7 @@ BITS, PARTS = 64, 4
 _PART = BITS // PARTS
 _FRONTIER = 1 << 20
 _SHINGLES = 1 << 16
+_COLUMNS = 1 << 13
 
 
 def fingerprint(text: str | None, width: int = 3) -> tuple[int, int]:
@@ -248,14 +249,138 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.join(names, "root").select(id_col, hexed.alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, budget: int = 10, both: int | None = 24) -> DataFrame:
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """Sorted 64-bit hashes of the text's different shingles; the whole text is one if it has fewer than ``width`` words."""
+    words = (text or "").encode().lower().split()
+    width = min(width, len(words))
+    shingles = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))
+    return np.unique(np.fromiter(map(xxh64_intdigest, shingles, repeat(42)), dtype=np.uint64))
+
+
+def sketch(hashes: np.ndarray, prints: int) -> tuple[int, list[int]]:
+    """A hash of a shingle set and ``prints`` SimHash fingerprints of it, each from its own rehash, as signed 64-bit numbers."""
+    ones = np.zeros(prints * BITS, dtype=np.int64)
+    salts = np.arange(prints, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for start in range(0, len(hashes), _SHINGLES):
+        each = mix(hashes[start : start + _SHINGLES, None] + salts).astype(">u8")
+        ones += np.unpackbits(each.view(np.uint8).reshape(len(each), -1), axis=1).sum(axis=0, dtype=np.int64)
+    name = np.uint64(xxh64_intdigest(hashes.tobytes(), seed=42)).astype(np.int64)
+    return int(name), np.packbits(2 * ones > len(hashes)).view(">i8").tolist()
+
+
+def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, prints: int) -> DataFrame:
+    """``(id, text_hash, node, f0, f1, ...)`` per row: ``node`` names the text's shingle set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sketch(shingle_set(text.as_py(), width), prints) for text in batch.column(2)]
+            columns = np.array([p for _, p in found], dtype=np.int64).reshape(-1, prints).T
+            nodes = pa.array([node for node, _ in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), nodes, *map(pa.array, columns)], names=[id_col, "text_hash", "node", *names])
+
+    names = [f"f{k}" for k in range(prints)]
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(id_col, F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"`{id_col}` {kind}, text_hash long, node long, " + ", ".join(f"{name} long" for name in names))
+
+
+def similar(left: list[np.ndarray], right: list[np.ndarray] | None, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of sets whose Jaccard similarity is at least ``similarity``; ``right`` None compares ``left`` with itself."""
+    sets = left + (right or [])
+    sizes = np.array([len(s) for s in sets])
+    _, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row, held = np.repeat(np.arange(len(sets)), sizes), counts[column] > 1
+    row, column = row[held], (np.cumsum(counts > 1) - 1)[column[held]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    first, other = slice(0, len(left)), slice(0 if right is None else len(left), len(sets))
+    shared = np.zeros((len(left), len(sets) - other.start))
+    for start in range(0, int((counts > 1).sum()), _COLUMNS):
+        low, high = np.searchsorted(column, [start, start + _COLUMNS])
+        present = np.zeros((len(sets), int(column[high - 1]) - start + 1), dtype=np.float32)
+        present[row[low:high], column[low:high] - start] = 1
+        shared += present[first] @ present[other].T
+    union = sizes[first, None] + sizes[None, other] - shared
+    near = (shared >= similarity * union - 1e-9) & (union > 0)
+    return np.nonzero(np.triu(near, 1) if right is None else near)
+
+
+def candidates(nodes: DataFrame, prints: int, budget: int, both: int, leaf: int = 4096) -> DataFrame:
+    """``(node, root)``: components of the sets that any pair of fingerprints finds near (see :func:`links`)."""
+    edges = None
+    for k in range(0, prints, 2):
+        pair = nodes.select("node", F.col(f"f{k}").alias("fingerprint"), F.col(f"f{k + 1}").alias("second"))
+        named = stage(pair.groupBy("fingerprint").agg(F.min("node").alias("rep")), "near-names")
+        found = links(pair, budget, both, leaf)
+        found = found.join(named.withColumnsRenamed({"fingerprint": "u", "rep": "a"}), "u").join(named.withColumnsRenamed({"fingerprint": "v", "rep": "b"}), "v")
+        equal = pair.join(named, "fingerprint").where("node <> rep").select(F.col("node").alias("u"), F.col("rep").alias("v"))
+        found = found.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(equal)
+        edges = found if edges is None else edges.unionByName(found)
+    return components(edges)
+
+
+def verified(sets: DataFrame, similarity: float, block: int = 512) -> DataFrame:
+    """Links ``(u, v)`` that join all of ``sets(root, node, hashes)`` of one root whose exact Jaccard similarity is at least ``similarity``.
+
+    A root's sets are dealt to blocks by their hash and every two blocks meet
+    in a group of their own, so no task holds more than two blocks and no row
+    is made per pair.
+    """
+    blocks = sets.groupBy("root").agg(F.ceil(F.count("*") / block).alias("m"))
+    dealt = sets.join(blocks, "root").withColumn("own", F.pmod(F.xxhash64("node"), "m"))
+    guests = F.transform(F.sequence(F.lit(0).cast("long"), F.col("m") - 1), lambda x: F.struct(F.least(x, "own").alias("low"), F.greatest(x, "own").alias("high")))
+    met = dealt.select("root", "node", "hashes", "own", F.explode(guests).alias("at")).select("root", "node", "hashes", "own", "at.low", "at.high")
+
+    def run(group: pa.Table) -> pa.Table:
+        names, own = group.column("node").to_numpy(), group.column("own").to_numpy()
+        hashes = [np.asarray(h.values).view(np.uint64) for h in group.column("hashes")]
+        low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
+        left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
+        out = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+        if not len(left) or not len(right):
+            return out.empty_table()
+        i, j = similar([hashes[x] for x in left], None if low == high else [hashes[x] for x in right], similarity)
+        root = _forest(len(names), iter([(left[i], right[j])]))
+        tied = np.flatnonzero(root != np.arange(len(names)))
+        return pa.table({"u": names[tied], "v": names[root[tied]]}, schema=out)
+
+    return met.groupBy("root", "low", "high").applyInArrow(run, "u long, v long")
+
+
+def near_groups(docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float, prints: int, budget: int, both: int) -> DataFrame:
+    """``(id, text_hash, root)`` per row: single linkage of texts whose shingle sets have a Jaccard similarity of at least ``similarity``.
+
+    Fingerprints only look for candidates; within a component of candidates all
+    pairs of sets are compared. Texts without words are one group.
+    """
+    drawn = stage(sketches(docs, id_col, text_col, width, prints), "simhash")
+    nodes = stage(drawn.dropDuplicates(["node"]), "simhash-nodes")
+    tied = stage(candidates(nodes, prints, budget, both), "near-candidates")
+    tied = tied.unionByName(tied.select(F.col("root").alias("node"), "root").distinct())
+    asked = nodes.join(tied, "node").select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash"), "node", "root")
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
+    texts = texts.join(stage(asked, "near-asked"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))).select("root", "node", "text").dropDuplicates(["node"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(text.as_py(), width).view(np.int64) for text in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int64()))], names=["root", "node", "hashes"])
+
+    sets = stage(texts.mapInArrow(run, "root long, node long, hashes array<long>"), "near-sets")
+    roots = components(verified(sets, similarity))
+    return drawn.select(id_col, "text_hash", "node").join(roots, "node", "left").select(id_col, "text_hash", F.coalesce("root", "node").alias("root"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, prints: int = 6, budget: int = 11, both: int = 34) -> DataFrame:
     """The rows of ``docs`` with one document of each group: the one of the smallest id, null ids last; repeated rows once.
 
-    Two texts that share 0.8 of their shingles differ in 0.15 of their bits on
-    average: the budgets are 10 of 64 to find them, and 24 of 128 to tell them from
-    chance pairs, with some room for how far bits stray.
+    Two texts are linked if the Jaccard similarity of their sets of different
+    shingles (64-bit hashes) is at least ``similarity``. Two texts that share
+    0.8 of their shingles differ in 0.15 of a fingerprint's bits on average:
+    candidates are those within ``budget`` of 64 bits by one of ``prints``
+    fingerprints, and within ``both`` of 128 with the fingerprint beside it.
     """
-    found = stage(groups(docs, id_col, text_col, width, budget, both), "simhash-groups")
+    found = stage(near_groups(docs, id_col, text_col, width, similarity, prints, budget, both), "simhash-groups")
     best = F.min(F.struct(F.col(id_col).isNull().alias("absent"), F.col(id_col).alias("id"), F.col("text_hash"))).alias("best")
     first = found.groupBy("root").agg(best).select("root", F.col("best.id").alias("_id"), F.col("best.text_hash").alias("_hash"))
     again = found.join(first, (found["root"] == first["root"]) & found[id_col].eqNullSafe(first["_id"]) & (found["text_hash"] == first["_hash"])).groupBy("_id", "_hash").agg(F.count("*").alias("_n"))

@@ -503,6 +503,53 @@ def test_simhash_keeps_one_of_near_copies(spark):
     assert kept >= {3 * k for k in range(30)} and len(kept) <= 30 + 2
 
 
+def jaccard_groups(texts, width=5):
+    """Pairs with a Jaccard similarity of 0.8 or more, and each id's smallest linked id."""
+    sets = {}
+    for d, text in texts.items():
+        w = (text or "").encode().lower().split()
+        sets[d] = {tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set()
+    holders = {}
+    for d, s in sets.items():
+        for x in s:
+            holders.setdefault(x, []).append(d)
+    shared = Counter((a, b) for ds in holders.values() for k, a in enumerate(ds) for b in ds[k + 1 :])
+    pairs = {(a, b) for (a, b), n in shared.items() if 5 * n >= 4 * (len(sets[a]) + len(sets[b]) - n)}
+    name = {d: d for d in texts}
+    empty = [d for d in sorted(texts) if not sets[d]]
+    linked = sorted(pairs | {(empty[0], d) for d in empty[1:]})
+    while any(name[a] != name[b] for a, b in linked):
+        for a, b in linked:
+            name[a] = name[b] = min(name[a], name[b])
+    return pairs, name
+
+
+def test_simhash_links_by_exact_jaccard(spark):
+    texts, pairs = {}, []
+    for k in range(200):
+        n = [14, 64, 204, 1004][k % 4]
+        base = [f"t{k}w{x}" for x in range(n)]
+        # a run of other words at the end: shared shingles over all different ones is about 0.8 or about 0.74
+        shared = round((0.8 if k % 8 < 4 else 0.74) * 2 * (n - 4) / (1.8 if k % 8 < 4 else 1.74) + (0.5 if k % 8 < 4 else -0.5)) + 4
+        texts[2 * k], texts[2 * k + 1] = " ".join(base), " ".join(base[:shared] + [f"o{k}w{x}" for x in range(n - shared)])
+    want, name = jaccard_groups(texts)
+    assert 90 <= len(want) <= 110
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    clean = {d for d in texts if name[d] == d}
+    assert clean <= kept and len(kept - clean) <= 2
+
+
+@pytest.mark.parametrize("block", [3, 512])
+def test_simhash_compares_all_sets_of_a_component(spark, block):
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 2**62, 40)
+    sets = [(0, k, sorted({*base[rng.random(40) < 0.9].tolist(), k})) for k in range(30)] + [(100, 100, [1, 2]), (100, 101, [1, 2, 3, 4])]
+    want = {(a, b) for r, a, x in sets for s, b, y in sets if r == s and a < b and 5 * len({*x} & {*y}) >= 4 * len({*x} | {*y})}
+    pairs = {tuple(sorted(r)) for r in simhash.verified(spark.createDataFrame(sets, "root long, node long, hashes array<long>"), 0.8, block).collect()}
+    group = lambda links: {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(sorted(links), "u long, v long")).collect()}
+    assert want and group(pairs) == group(want)
+
+
 # passages
 
 
