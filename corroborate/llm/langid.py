@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corroborate.llm.common import held_out, query, table
+from corroborate.session import stage
 
 #: Character classes: 0 for what is no letter, a to z, and hashed classes for all other letters.
 ALPHABET = 128
@@ -106,18 +107,20 @@ def fit(samples: list[tuple[str, np.ndarray]], landmarks: int = 64, ridge: float
 def sample(docs: DataFrame, per_language: int, id_col: str, text_col: str, lang_col: str, modulus: int) -> list[tuple[str, np.ndarray]]:
     """About ``per_language`` different texts of each language with their n-grams, chosen by a hash of the text, in the hash's order.
 
-    Rows are counted per language, a share of the hashes is taken, equal texts
-    are merged, and the rest is cut to the bound. Texts stay on the executors.
+    Equal texts are merged before they are counted, so the share of the hashes
+    taken is right however often a text is repeated; the rest is cut to the
+    bound. Texts stay on the executors.
     """
     labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), (~held_out(id_col, modulus)).alias("learn"))
-    labelled = labelled.where("learn and lang is not null and id is not null").where(F.col("text").rlike(r"\p{L}"))
-    sizes = labelled.groupBy("lang").count().collect()
+    labelled = labelled.where("learn and lang is not null and id is not null").where(F.col("text").rlike(r"\p{L}")).withColumn("h", F.xxhash64("text"))
+    thin = stage(labelled.groupBy("lang", "h").agg(F.min("id").alias("id")), "language-texts")
+    sizes = thin.groupBy("lang").count().collect()
     if not sizes:
         return []
     shares = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], min(1.0, 2.0 * per_language / r["count"]))))
-    drawn = labelled.withColumn("h", F.xxhash64("text")).where(F.shiftrightunsigned("h", 1) / float(2**63) <= shares[F.col("lang")])
-    thin = drawn.groupBy("lang", "h").agg(F.min("id").alias("id"))
-    first = thin.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("rank") <= per_language).drop("rank")
+    in_share = F.shiftrightunsigned("h", 1) / float(2**63) <= shares[F.col("lang")]
+    drawn = labelled.where(in_share)
+    first = thin.where(in_share).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("rank") <= per_language).drop("rank")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spectrum = Spectrum()

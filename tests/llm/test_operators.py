@@ -100,6 +100,13 @@ def test_language_kernel_is_folded_exactly():
     assert np.allclose(present @ model.weights + model.bias, np.append(kernel @ root, 1) @ solved, atol=1e-3)
 
 
+def test_language_learns_beside_a_hot_copy(spark):
+    rows = [(k, "die alte geschichte", "de") for k in range(9900)] + [(10_000 + k, f"wort{k} und noch eines", "de") for k in range(100)] + [(20_000 + k, f"word{k} and one more", "en") for k in range(100)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = Counter(lang for lang, _ in langid.sample(table, 50, "doc_id", "text", "lang", 4))
+    assert learned == {"de": 50, "en": 50}
+
+
 def test_language_odd_rows(odd, none):
     got = langid.identify(odd).collect()
     assert len(got) == odd.count()
