@@ -7,7 +7,7 @@ import importlib
 import corpus_pipeline
 from corroborate.llm.common import QUERIES, SQL
 
-for _name in ("langid", "packing", "lines", "hashindex", "mixing", "warc", "quality", "lattice", "simhash", "substring", "audit", "exact"):
+for _name in ("langid", "packing", "lines", "hashindex", "mixing", "warc", "quality", "lattice", "simhash", "substring", "audit", "exact", "resample"):
     importlib.import_module(f"corroborate.llm.{_name}")
 
 QUERIES["pipeline"] = corpus_pipeline.run
