@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corroborate.functions import lexicon as L
 from corroborate.functions.literals import literal_map, literal_rows
-from corroborate.functions.text import token_buckets
+from corroborate.functions.text import tokens
 
 
 @dataclass(frozen=True)
@@ -105,6 +105,10 @@ def char_grams(norm: Column) -> Column:
     return F.flatten(F.transform(padded, lambda w: F.concat(grams(w, 2), grams(w, 3), grams(w, 4))))
 
 
+def _counts(distinct: str, every: str) -> Column:
+    return F.map_from_arrays(distinct, F.transform(distinct, lambda g: F.size(F.filter(every, lambda x: x == g))))
+
+
 def with_name_features(names: DataFrame, column: str, dictionary: Dictionary | None = None) -> DataFrame:
     """One row per distinct name with everything the pair scores read.
 
@@ -145,15 +149,11 @@ def with_name_features(names: DataFrame, column: str, dictionary: Dictionary | N
         .withColumn("base_word", date_base(F.col("low")))
         .withColumn("name_words", parts)
         .withColumn("open_words", F.array_distinct(opened))
-        .withColumn("buckets", token_buckets(F.col("norm")))
+        .withColumn("tokens", tokens(F.col("norm")))
+        .withColumn("distinct_tokens", F.array_distinct("tokens"))
         .withColumn("all_grams", grams)
         .withColumn("grams", F.array_distinct("all_grams"))
-        .withColumn(
-            "gram_counts",
-            F.map_from_arrays(
-                "grams",
-                F.transform("grams", lambda g: F.size(F.filter("all_grams", lambda x: x == g))),
-            ),
-        )
+        .withColumn("gram_counts", _counts("grams", "all_grams"))
+        .withColumn("token_counts", _counts("distinct_tokens", "tokens"))
         .drop("all_grams")
     )

@@ -132,12 +132,6 @@ def embed_text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(vectors.ravel()), mask=pa.array(empty))
 
 
-def token_buckets(c: Column) -> Column:
-    """Hash buckets of a short text's tokens: the same stand-in, kept sparse."""
-    # the width is 256, so the bucket is the last byte of the first four of the md5
-    return F.transform(tokens(c), lambda t: F.conv(F.substring(F.md5(t), 7, 2), 16, 10).cast("int"))
-
-
 def content_tokens(c: Column) -> Column:
     return F.array_except(F.array_distinct(tokens(c)), literal_array(L.STOP_WORDS))
 

@@ -7,14 +7,16 @@ pair of names and joined back to the columns.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corroborate.functions import similarity as S
+from corroborate.functions.literals import literal_map
 from corroborate.functions.names import Dictionary, normalize_a, with_name_features
-from corroborate.functions.text import token_buckets
+from corroborate.functions.text import tokens
 from corroborate.session import small, spread, stage
 
 DIGITS = 6
@@ -32,13 +34,13 @@ def name_features(*names: DataFrame, dictionary: Dictionary | None = None, embed
 def score_name_pairs(pairs: DataFrame, features: DataFrame, dictionary: Dictionary | None = None) -> DataFrame:
     """Distinct ``(source, target)`` with cosine, n-gram and domain scores.
 
-    The cosine is that of ``features.vector`` if there, else of the hashed token bags.
+    The cosine is that of ``features.vector`` if there, else of the token bags.
     """
     d = dictionary or Dictionary()
     if "vector" in features.columns:
         cosine = S.vector_cosine(F.col("s.vector"), F.col("t.vector"))
     else:
-        cosine = S.bucket_cosine(F.col("s.buckets"), F.col("t.buckets"))
+        cosine = S.token_cosine(F.col("s.tokens"), F.col("t.tokens"))
     # the pairs must stay the streamed side, or scoring would run where the features lie
     features = small(features)
     s, t = features.alias("s"), features.alias("t")
@@ -55,63 +57,168 @@ def score_name_pairs(pairs: DataFrame, features: DataFrame, dictionary: Dictiona
     )
 
 
-def _prefixes(counts: DataFrame, frequency: DataFrame, theta: float) -> DataFrame:
-    """Rarest keys of every name, until the rest is too light to reach ``theta``.
+#: What a gram in one name alone weighs more than one in both, squared (see similarity.gram_cosine).
+GRAM_PENALTY = S.UNSHARED_IDF**2
+
+
+def _share(theta: float, penalty: float) -> float:
+    """Least share of a name's weight that lies on common keys, if the cosine is ``theta``."""
+    return theta**2 * penalty / (1 + theta**2 * (penalty - 1))
+
+
+@dataclass(frozen=True)
+class _Index:
+    """Keys of names of one kind, tokens or n-grams, and the cosine that pairs met by them must have."""
+
+    counts: str
+    theta: float
+    penalty: float = 1.0
 
-    Two names whose cosine is at least theta share a key among these (prefix
-    filtering for all-pairs similarity), so frequent keys are hardly ever joined.
-    """
-    rare_first = Window.partitionBy("name").orderBy("df", "key")
-    rest = rare_first.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    whole = Window.partitionBy("name")
-    return (
-        counts.join(frequency, "key")
-        .withColumn("rest", F.sum(F.col("n") * F.col("n")).over(rest))
-        .withColumn("whole", F.sum(F.col("n") * F.col("n")).over(whole))
-        .where(F.col("rest") >= theta * theta * F.col("whole") - 1e-9)
-        .select("name", "key")
-    )
 
+def _met(named: DataFrame, *kinds: _Index) -> DataFrame:
+    """Pairs of names that may have the cosine of one of the kinds: they meet at a rare key with enough weight from there on.
 
-def _sharing(source: DataFrame, target: DataFrame, theta: float) -> DataFrame:
-    seen = source.unionByName(target).distinct()
-    frequency = seen.groupBy("key").agg(F.count("*").alias("df"))
-    s = _prefixes(source, frequency, theta).withColumnRenamed("name", "source")
-    t = _prefixes(target, frequency, theta).withColumnRenamed("name", "target")
-    return s.join(t, "key").select("source", "target").distinct()
+    An inverted index holds every name under its rarest keys, until the rest is
+    too light to reach theta: two names whose cosine is at least theta share a
+    key among these (prefix filtering for all-pairs similarity), so frequent
+    keys are hardly ever joined. All common keys of a pair lie at or after its
+    rarest one, so there the shares a and b of both names' weights from the key
+    on bound the cosine: f(a) f(b) >= theta squared, f(a) = a / (penalty -
+    (penalty - 1) a). This filters by position and, as the shares of a long and
+    a short name differ, by length.
+    """
+    kinds = [k for k in kinds if k.theta <= 1]
+    if not kinds:
+        return named.select(F.col("name").alias("source"), F.col("name").alias("target")).limit(0)
+
+    def per_kind(values: list[float]) -> Column:
+        return F.element_at(F.array(*map(F.lit, values)), F.col("kind") + 1)
+
+    def listed(kind: int, counts: str) -> Column:
+        return F.transform(F.map_entries(counts), lambda e: F.struct(F.lit(kind).alias("kind"), e["key"].alias("key"), e["value"].alias("n")))
+
+    lists = [listed(k, x.counts) for k, x in enumerate(kinds)]
+    each = named.select("name", "sides", F.explode(F.concat(*lists)).alias("e")).select("name", "sides", "e.kind", "e.key", "e.n")
+    frequency = each.groupBy("kind", "key").agg(F.count("*").alias("df"), F.bit_or("sides").alias("seen")).where("seen = 3")
+    weight = F.col("n") * F.col("n")
+    # keys of one side alone still weigh; they come last, since nothing meets there
+    ranked = each.join(frequency.drop("seen"), ["kind", "key"], "left")
+    whole = Window.partitionBy("name", "kind")
+    onwards = whole.orderBy(F.asc_nulls_last("df"), "key").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    apart = F.sum(F.when(F.col("df").isNull(), weight).otherwise(0)).over(whole)
+    rest = (F.sum(weight).over(onwards) - apart) / F.sum(weight).over(whole)
+    postings = ranked.withColumn("rest", rest).where(F.col("df").isNotNull() & (F.col("rest") >= per_kind([_share(k.theta, k.penalty) for k in kinds]) - 1e-9))
+    s = postings.where(F.col("sides").bitwiseAND(1) > 0).select(F.col("name").alias("source"), "kind", "key", F.col("rest").alias("a"))
+    t = postings.where(F.col("sides").bitwiseAND(2) > 0).select(F.col("name").alias("target"), "kind", "key", F.col("rest").alias("b"))
+    penalty = per_kind([k.penalty for k in kinds])
+    bound = lambda c: F.col(c) / (penalty - (penalty - 1) * F.col(c))
+    return s.join(t, ["kind", "key"]).where(bound("a") * bound("b") >= per_kind([k.theta**2 for k in kinds]) - 1e-9).select("source", "target")
 
 
 def _names(catalog: DataFrame) -> DataFrame:
     return catalog.select(F.col("column_name").alias("name")).distinct()
 
 
-def _grams(names: DataFrame, features: DataFrame) -> DataFrame:
-    return names.join(features, "name").select("name", F.explode("gram_counts").alias("key", "n"))
+def _sided(source: DataFrame, target: DataFrame, features: DataFrame) -> DataFrame:
+    """The features with ``sides``: 1 for a source column's name, 2 for a target's, 3 for both."""
+    names = _names(source).withColumn("side", F.lit(1)).union(_names(target).withColumn("side", F.lit(2)))
+    return features.join(names.groupBy("name").agg(F.bit_or("side").alias("sides")), "name")
+
+
+def _meeting(s: DataFrame, t: DataFrame, left: Column, right: Column) -> DataFrame:
+    """Pairs of names with an equal key on both sides; a null key meets none."""
+    a = s.select(F.col("name").alias("source"), left.alias("key"))
+    b = t.select(F.col("name").alias("target"), right.alias("key"))
+    return a.join(b, "key").select("source", "target")
+
 
+def _all_pairs(s: DataFrame, t: DataFrame, lanes: int = 64) -> DataFrame:
+    """Every pair of names, for thresholds that all of them reach; dealt into lanes."""
+    return _meeting(s, t, F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))), F.pmod(F.xxhash64("name"), F.lit(lanes)).cast("int"))
+
+
+def _rule_keys(d: Dictionary, rules: set[str]) -> tuple[Column, Column]:
+    """What a source and a target name are joined by, an array of tagged keys a side: one tag per rule of the domain score.
+
+    Known pair, equal meaning, equal core and the expansions are always there;
+    ``rules`` adds shared words, groups and base words of dates.
+    """
+    known = literal_map(_listed(d.known_pairs), "array<string>")
 
-def _buckets(names: DataFrame, features: DataFrame) -> DataFrame:
-    return names.join(features, "name").select("name", F.explode("buckets").alias("key")).groupBy("name", "key").agg(F.count("*").alias("n"))
+    def tagged(tag: str, key: Column) -> Column:
+        return F.concat(F.lit(tag), key)
 
+    def each(tag: str, keys: Column) -> Column:
+        return F.transform(keys, lambda x: F.concat(F.lit(tag), x))
 
-def candidate_pairs(source: DataFrame, target: DataFrame, features: DataFrame, *demands: tuple[float, tuple[float, float, float]]) -> DataFrame:
+    def flat(c: str) -> Column:
+        return F.replace(F.col(c), F.lit("_"), F.lit(""))
+
+    def spaced(c: str) -> Column:
+        return F.replace(F.col(c), F.lit("_"), F.lit(" "))
+
+    norm, core = tagged("n:", F.col("norm")), tagged("c:", F.col("core"))
+    nothing = F.array().cast("array<string>")
+    left = [
+        F.coalesce(each("l:", F.try_element_at(known, F.col("low"))), nothing),
+        F.array(norm, core, tagged("n:", F.col("expansion")), tagged("f:", flat("expansion")), tagged("f:", flat("stripped_expansion")), tagged("s:", spaced("stripped_expansion"))),
+    ]
+    right = [F.array(tagged("l:", F.col("low")), norm, core, tagged("f:", flat("low")), tagged("s:", spaced("low")))]
+    if "word" in rules:
+        left.append(each("w:", F.col("open_words")))
+        right.append(each("w:", F.col("name_words")))
+    if "group" in rules:
+        left.append(each("g:", F.col("groups")))
+        right.append(each("g:", F.col("groups")))
+    if "date" in rules:
+        base = F.when(F.col("is_date"), F.coalesce(F.regexp_replace(F.regexp_replace("base_word", "^modif.*", "updated"), "[de]", ""), F.lit("-")))
+        left.append(F.array(tagged("d:", base)))
+        right.append(F.array(tagged("d:", base)))
+    return F.explode(F.array_compact(F.array_distinct(F.concat(*left)))), F.explode(F.array_compact(F.array_distinct(F.concat(*right))))
+
+
+def _listed(pairs) -> dict[str, list[str]]:
+    out: dict[str, list[str]] = {}
+    for a, b, _ in pairs:
+        out.setdefault(a, []).append(b)
+    return out
+
+
+#: Highest scores of the domain rules that are no equalities: word overlap, dates, groups.
+OVERLAP_MOST, DATE_MOST, GROUP_MOST = 1.0, 0.95, 0.88
+
+
+def candidate_pairs(source: DataFrame, target: DataFrame, features: DataFrame, *demands: tuple[float, tuple[float, float, float]], dictionary: Dictionary | None = None) -> DataFrame:
     """Distinct name pairs that can meet one of the demands; no other pair can.
 
-    A demand is a threshold with the weights of cosine, n-grams and domain. The
-    domain score is at most 1, so an accepted pair has a large enough token
-    cosine or a large enough n-gram cosine; both are found through shared rare
-    keys. Holds for the token-bag cosine; with dense vectors give the pairs
-    yourself.
+    A demand is a threshold with the weights of cosine, n-grams and domain, of
+    any size. Each rule of the domain score has keys of its own in one equality
+    join: pairs of the rules of equality are all candidates. Where a rule's highest score leaves
+    something to reach, the pair has a large enough token cosine or a large
+    enough n-gram cosine, and is found through shared rare keys; where it leaves
+    nothing, all pairs of the rule are joined on its key, and the index serves
+    pairs that no rule knows. Holds for the token-bag cosine; with dense vectors
+    give the pairs yourself.
     """
-    least_cosine = least_gram = 1.0
+    cosine = gram = 2.0
+    whole = set()
     for threshold, (w_cos, w_gram, w_domain) in demands:
-        need = threshold - w_domain
-        if need <= 0:
-            raise ValueError("threshold must exceed the domain weight, else every pair of names qualifies")
-        least_cosine, least_gram = min(least_cosine, need / 2 / w_cos), min(least_gram, need / 2 / w_gram)
-    s, t = _names(source), _names(target)
-    by_token = _sharing(_buckets(s, features), _buckets(t, features), least_cosine)
-    by_gram = _sharing(_grams(s, features), _grams(t, features), least_gram)
-    return by_token.union(by_gram).distinct()
+        for rule, most in (("word", OVERLAP_MOST), ("date", DATE_MOST), ("group", GROUP_MOST)):
+            need = threshold - w_domain * most
+            if need <= 0:
+                whole.add(rule)
+            else:
+                cosine, gram = min(cosine, need / 2 / w_cos), min(gram, need / 2 / w_gram)
+        cosine, gram = min(cosine, threshold / 2 / w_cos), min(gram, threshold / 2 / w_gram)
+        if threshold <= 0:
+            whole.add("all")
+    named = _sided(source, target, features)
+    s, t = (named.where(F.col("sides").bitwiseAND(side) > 0) for side in (1, 2))
+    if "all" in whole:
+        return _all_pairs(s, t)
+    left, right = _rule_keys(dictionary or Dictionary(), whole)
+    met = _met(named, _Index("token_counts", cosine), _Index("gram_counts", gram, GRAM_PENALTY))
+    return _meeting(s, t, left, right).union(met).distinct()
 
 
 LOCAL_WEIGHTS = (0.5, 0.2, 0.3)
@@ -119,6 +226,16 @@ PLAIN_WEIGHTS = (0.45, 0.20, 0.35)
 LOCAL_MINIMUM = 0.4
 
 
+def _least_local(accept: float) -> float:
+    """No pair whose local score is below this has an ensemble score of ``accept``.
+
+    With local score q and domain score d, a proposed pair (p = q) scores
+    0.94 q + 0.06 d from 0.8 on and 0.9 q + 0.1 d below, another one at most
+    q + 0.05 d; half a hundredth is what rounding p may add.
+    """
+    return min((accept - 0.1) / 0.9, accept - 0.05) - 0.006
+
+
 def _blend(weights: tuple[float, float, float]) -> Column:
     return weights[0] * F.col("cosine") + weights[1] * F.col("tfidf") + weights[2] * F.col("domain")
 
@@ -152,7 +269,7 @@ def uncertain_columns(source: DataFrame, target: DataFrame, known: float = 0.70,
     2·known − 1, so only such pairs are scored.
     """
     features = name_features(_names(source), _names(target), dictionary=dictionary)
-    pairs = _sharing(_grams(_names(source), features), _grams(_names(target), features), 2 * known - 1)
+    pairs = _met(_sided(source, target, features), _Index("gram_counts", 2 * known - 1, GRAM_PENALTY)).distinct()
     scored = score_name_pairs(pairs, features, dictionary)
     sure = scored.where(F.col("domain") * 0.5 + F.col("tfidf") * 0.5 >= known)
     return source.select("table_name", "column_name").join(
@@ -202,8 +319,8 @@ def match_columns(
     features = name_features(*names, dictionary=dictionary)
     demands = [(accept, PLAIN_WEIGHTS)]
     if use_local and proposals is None:
-        demands.append((LOCAL_MINIMUM, LOCAL_WEIGHTS))
-    pairs = candidate_pairs(source, target, features, *demands)
+        demands.append((max(LOCAL_MINIMUM, _least_local(accept)), LOCAL_WEIGHTS))
+    pairs = candidate_pairs(source, target, features, *demands, dictionary=dictionary)
     t = target.select(
         F.col("table_name").alias("target_table"), F.col("column_name").alias("target"), "position", F.col("data_type").alias("target_type")
     )
@@ -290,27 +407,63 @@ def unmapped_columns(source: DataFrame, target: DataFrame, mappings: DataFrame)
     return rest(source, "source", why_source).unionByName(rest(target, "target", why_target))
 
 
-def _fuzzy_on_names(pairs: DataFrame) -> DataFrame:
-    """(source, target, syntactic) for distinct pairs."""
-    score = S.fuzzy_score(normalize_a(F.col("source")), normalize_a(F.col("target")))
-    return spread(pairs.select("source", "target").distinct()).withColumn("syntactic", F.round(score, DIGITS))
+def _worded(names: DataFrame, column: str) -> DataFrame:
+    """``(name, norm, bag)`` of the distinct names: what the fuzzy score and the token cosine read."""
+    norm = normalize_a(F.col("name"))
+    each = spread(names.select(F.col(column).alias("name")).where("name is not null").distinct()).withColumn("norm", norm)
+    return each.withColumn("bag", tokens(F.col("norm")))
 
 
-def table_pairs(source: DataFrame, target: DataFrame, minimum: float = 0.3, lanes: int = 64) -> DataFrame:
-    """Pairs of tables whose names look alike (fuzzy score above ``minimum``).
+def _fuzzy_candidates(s: DataFrame, t: DataFrame, least: float) -> DataFrame:
+    """Pairs ``(source, target)`` that share a token, and those without one that may have a fuzzy score of ``least``.
 
-    The bar is so low that most pairs pass; the work is spread over lanes.
+    Without a common token only common letters make a score, so lengths of both
+    names lie within a ratio: the pairs are joined on the length, and the
+    letters that they have in common bound the score before it is computed.
     """
-    s = source.select(F.col("table_name").alias("source")).distinct().withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
-    t = target.select(F.col("table_name").alias("target")).distinct().withColumn("lane", F.pmod(F.xxhash64("target"), F.lit(lanes)).cast("int"))
-    scored = _fuzzy_on_names(s.join(t, "lane"))
+    token = F.explode(F.array_distinct("bag"))
+    shared = _meeting(s, t, token, token)
+    ratio = (least - 0.2) / 0.8
+    if ratio <= 0.05:
+        return _all_pairs(s, t)
+    size = F.length("norm")
+    low, high = F.ceil(size * ratio / (2 - ratio) - 1e-9).cast("int"), F.floor(size * (2 - ratio) / ratio + 1e-9).cast("int")
+    a = s.select(F.col("name").alias("source"), F.col("norm").alias("a"), F.explode(F.sequence(low, high)).alias("size"))
+    b = t.select(F.col("name").alias("target"), F.col("norm").alias("b"), size.alias("size"))
+    near = a.join(b, "size").where(S.fuzzy_bound(F.col("a"), F.col("b")) >= least - 1e-9)
+    return shared.union(near.select("source", "target")).distinct()
+
+
+def _scored_names(s: DataFrame, t: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(source, target, syntactic, semantic)`` of the pairs: fuzzy score and token cosine of the normalised names."""
+    a = s.select(F.col("name").alias("source"), F.col("norm").alias("a"), F.col("bag").alias("x"))
+    b = t.select(F.col("name").alias("target"), F.col("norm").alias("b"), F.col("bag").alias("y"))
+    read = spread(pairs).join(small(a), "source").join(small(b), "target")
+    return read.select("source", "target", F.round(S.fuzzy_score("a", "b"), DIGITS).alias("syntactic"), F.round(S.token_cosine(F.col("x"), F.col("y")), DIGITS).alias("semantic"))
+
+
+def table_pairs(source: DataFrame, target: DataFrame, minimum: float = 0.3, pairs: DataFrame | None = None) -> DataFrame:
+    """Pairs of tables whose names look alike (fuzzy score above ``minimum``), of ``pairs(source_table, target_table)`` if given.
+
+    With a bar as low as the default most pairs pass, so without ``pairs`` the
+    result itself is in proportion to the pairs of tables.
+    """
+    s, t = (stage(_worded(c, "table_name"), "worded") for c in (source, target))
+    if pairs is None:
+        asked = _fuzzy_candidates(s, t, minimum)
+    else:
+        asked = pairs.select(F.col("source_table").alias("source"), F.col("target_table").alias("target")).distinct()
+    scored = _scored_names(s, t, asked)
     return scored.where(F.col("syntactic") > minimum).select(F.col("source").alias("source_table"), F.col("target").alias("target_table"), F.col("syntactic").alias("similarity"))
 
 
 def match_by_name(source: DataFrame, target: DataFrame, threshold: float = 0.4) -> DataFrame:
     """Best target per source column within every pair of related tables.
 
-    0.5 token cosine + 0.3 fuzzy + 0.2 type; ties go to the earlier column.
+    0.5 token cosine + 0.3 fuzzy + 0.2 type; ties go to the earlier column. A
+    pair of names whose parts cannot add up to ``threshold`` is never scored:
+    without a common token its fuzzy score must make up for the cosine. Whether
+    two tables are related is asked last, of the pairs that still have columns.
     """
     s = source.select(
         F.col("table_name").alias("source_table"), F.col("column_name").alias("source"), F.col("data_type").alias("source_type"),
@@ -320,29 +473,30 @@ def match_by_name(source: DataFrame, target: DataFrame, threshold: float = 0.4)
         F.col("table_name").alias("target_table"), F.col("column_name").alias("target"), "position", F.col("data_type").alias("target_type"),
         F.col("is_primary_key").alias("target_pk"), F.col("is_nullable").alias("target_nullable"),
     )
-    related = table_pairs(source, target).select("source_table", "target_table")
-    rows = s.join(related, "source_table").join(t, "target_table")
-    semantic = F.round(S.bucket_cosine(_bag("source"), _bag("target")), DIGITS)
-    scored = stage(_fuzzy_on_names(rows).withColumn("semantic", semantic), "fuzzy_scores")
+    a, b = (stage(_worded(c, "column_name"), "worded") for c in (source, target))
+    scored = _scored_names(a, b, _fuzzy_candidates(a, b, (threshold - 0.2) / 0.3)) if threshold <= 0.5 else _scored_names(a, b, _shared_only(a, b))
+    part = 0.5 * F.col("semantic") + 0.3 * F.col("syntactic")
+    scored = stage(scored.where(part + 0.2 >= threshold - 1e-6), "fuzzy_scores")
     type_score = S.type_score(F.col("source_type"), F.col("target_type"))
-    overall = F.round(0.5 * F.col("semantic") + 0.3 * F.col("syntactic") + 0.2 * F.col("type_score"), DIGITS)
-    good = rows.join(scored, ["source", "target"]).withColumn("type_score", type_score).withColumn("overall", overall).where(F.col("overall") >= threshold)
+    # in whole millionths, so that halves are rounded up whatever the binary fraction
+    millionths = [w * F.round(F.col(c) * 1_000_000).cast("long") for w, c in ((5, "semantic"), (3, "syntactic"), (2, "type_score"))]
+    overall = F.floor((millionths[0] + millionths[1] + millionths[2] + 5) / 10) / 1_000_000
+    good = s.join(scored, "source").join(t, "target").withColumn("type_score", type_score).withColumn("overall", overall).where(F.col("overall") >= threshold)
     fields = ["position", "target", "target_type", "target_pk", "target_nullable", "semantic", "syntactic", "type_score"]
     best = F.min(F.struct((-F.col("overall")).alias("order"), *fields))
-    return (
-        good.groupBy("source_table", "target_table", "source", "source_type", "source_pk", "source_nullable")
-        .agg(best.alias("b"))
-        .select(
-            "source_table", F.col("source").alias("source_column"), "source_type", "source_pk", "source_nullable", "target_table",
-            F.col("b.target").alias("target_column"), "b.target_type", "b.target_pk", "b.target_nullable",
-            "b.semantic", "b.syntactic", "b.type_score", (-F.col("b.order")).alias("overall"),
-            S.name_band(-F.col("b.order")).alias("confidence"),
-        )
+    picked = stage(good.groupBy("source_table", "target_table", "source", "source_type", "source_pk", "source_nullable").agg(best.alias("b")), "matched-names")
+    related = table_pairs(source, target, pairs=picked).select("source_table", "target_table")
+    return picked.join(related, ["source_table", "target_table"]).select(
+        "source_table", F.col("source").alias("source_column"), "source_type", "source_pk", "source_nullable", "target_table",
+        F.col("b.target").alias("target_column"), "b.target_type", "b.target_pk", "b.target_nullable",
+        "b.semantic", "b.syntactic", "b.type_score", (-F.col("b.order")).alias("overall"),
+        S.name_band(-F.col("b.order")).alias("confidence"),
     )
 
 
-def _bag(name: str) -> Column:
-    return token_buckets(normalize_a(F.col(name)))
+def _shared_only(s: DataFrame, t: DataFrame) -> DataFrame:
+    token = F.explode(F.array_distinct("bag"))
+    return _meeting(s, t, token, token).distinct()
 
 
 def match_warnings(mappings: DataFrame) -> DataFrame:

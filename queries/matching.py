@@ -78,7 +78,7 @@ feat as (select *, {groups_sql()} as groups, ({IS_DATE}) as is_date, {BASE_WORD}
    from f2),
 grams as (select name, gram, count(*) as n from (select name, unnest({grams_sql('norm')}) as gram from feat) group by 1, 2),
 gram_norm as (select name, sum(n * n) as q from grams group by 1),
-bags as (select name, b, count(*) as n from (select name, substring(md5(unnest({tokens_sql('norm')})), 7, 2) as b from feat) group by 1, 2),
+bags as (select name, b, count(*) as n from (select name, unnest({tokens_sql('norm')}) as b from feat) group by 1, 2),
 bag_norm as (select name, sum(n * n) as q from bags group by 1)
 """
 
@@ -107,6 +107,64 @@ scored as (select d.source, d.target, same_meaning, round(domain, 6) as domain,
    left join bag_norm bs on bs.name = d.source left join bag_norm bt on bt.name = d.target
    left join gram_norm gs on gs.name = d.source left join gram_norm gt on gt.name = d.target)
 """
+
+
+# --- fuzzy score ------------------------------------------------------------------
+
+
+def _chars(c: str) -> str:
+    return f"list_filter(string_split({c}, ''), lambda x: x <> '')"
+
+
+def _masks(x: str, y: str) -> str:
+    """For each letter of ``y`` the bits of the places of ``x`` that hold it."""
+    places = f"list_transform(list_filter(range(1, length({x}) + 1), lambda i: substring({x}, i::int, 1) = ch), lambda i: 1::hugeint << (i - 1)::int)"
+    return f"list_transform({_chars(y)}, lambda ch: coalesce(list_reduce({places}, lambda p, q: p | q, 0::hugeint), 0::hugeint))"
+
+
+def _common(size: str, masks: str) -> str:
+    """Length of the longest common subsequence, from the masks of one string's letters in the other."""
+    full = f"((1::hugeint << ({size})::int) - 1)"
+    return f"({size} - bit_count(list_reduce({masks}, lambda r, h: ((r + (r & h)) | (r - (r & h))) & {full}, {full})))"
+
+
+def _ratio_sql(x: str, y: str) -> str:
+    return f"case when length({x}) + length({y}) = 0 then 1.0 else 2.0 * {_common(f'length({x})', _masks(x, y))} / (length({x}) + length({y})) end::double"
+
+
+def _windows_sql(x: str, y: str, masks: str) -> str:
+    """Best ratio of ``x`` with a window of its length in ``y``."""
+    first, end = "greatest(i, 0)", f"least(i + length({x}), length({y}))"
+    window = f"{masks}[{first} + 1:{end}]"
+    return f"list_max(list_transform(range(1 - length({x}), length({y})), lambda i: (2.0 * {_common(f'length({x})', window)} / (length({x}) + {end} - {first}))::double))"
+
+
+def _joined(words: str) -> str:
+    return f"array_to_string(list_sort({words}), ' ')"
+
+
+def fuzzy_steps(pairs: str) -> str:
+    """Steps up to ``fuzzy(source, target, score)`` from ``pairs(source, target)`` of names."""
+    words = lambda c: rf"list_filter(regexp_split_to_array({c}, '\s+'), lambda w: w <> '')"
+    return f"""
+fz_names as (select name, {norm_a_sql('name')} as norm from (select source as name from {pairs} union select target from {pairs})),
+fz_pairs as (select distinct a.norm as a, b.norm as b from {pairs} p join fz_names a on a.name = p.source join fz_names b on b.name = p.target),
+fz_words as (select a, b, {words('a')} as x, {words('b')} as y, case when length(a) <= length(b) then a else b end as sh, case when length(a) <= length(b) then b else a end as lg from fz_pairs),
+fz_sets as (select *, {_joined('list_distinct(list_filter(x, lambda w: list_contains(y, w)))')} as joint, {_joined('list_distinct(list_filter(x, lambda w: not list_contains(y, w)))')} as only_x,
+   {_joined('list_distinct(list_filter(y, lambda w: not list_contains(x, w)))')} as only_y, {_joined('x')} as sx, {_joined('y')} as sy, {_masks('sh', 'lg')} as near, {_masks('lg', 'sh')} as back from fz_words),
+fz_ends as (select *, trim(joint || ' ' || only_x) as ux, trim(joint || ' ' || only_y) as uy from fz_sets),
+fz_parts as (select a, b, case when length(a) + length(b) = 0 then 1.0 else 2.0 * {_common('length(sh)', 'near')} / (length(a) + length(b)) end::double as ratio,
+   case when length(sh) = 0 then case when length(lg) = 0 then 1.0 else 0.0 end else greatest({_windows_sql('sh', 'lg', 'near')},
+     case when length(sh) = length(lg) then {_windows_sql('lg', 'sh', 'back')} else 0.0 end) end::double as partial,
+   {_ratio_sql('sx', 'sy')} as ordered,
+   case when len(x) = 0 or len(y) = 0 then 0.0 when joint <> '' and (only_x = '' or only_y = '') then 1.0
+     else greatest({_ratio_sql('ux', 'uy')}, case when joint <> '' then 2.0 * length(joint) / (length(joint) + least(length(ux), length(uy))) else 0.0 end) end::double as sets
+   from fz_ends),
+fuzzy as (select p.source, p.target, round(0.2 * ratio + 0.2 * partial + 0.3 * ordered + 0.3 * sets, 6) as score
+   from (select distinct source, target from {pairs}) p join fz_names s on s.name = p.source join fz_names t on t.name = p.target join fz_parts f on f.a = s.norm and f.b = t.norm)
+"""
+
+
 NAME_PAIRS = I.sql(I.NAME_PAIRS)
 LEGACY = I.sql(I.LEGACY_COLUMNS)
 MODERN = I.sql(I.MODERN_COLUMNS)
@@ -219,7 +277,7 @@ def core_term(spark, sf):
     return I.legacy_columns(spark, sf).select("table_name", "column_name", N.core_term(F.col("column_name")).alias("core"))
 
 
-@query("fuzzy_score")
+@query("fuzzy_score", f"""with met as (select distinct source, target from ({NAME_PAIRS})), {fuzzy_steps('met')} select source, target, score from fuzzy""")
 def fuzzy_score(spark, sf):
     pairs = I.name_pairs(spark, sf).select("source", "target").distinct()
     return pairs.withColumn("score", F.round(S.fuzzy_score(N.normalize_a(F.col("source")), N.normalize_a(F.col("target"))), 6))
@@ -239,7 +297,12 @@ def type_score(spark, sf):
     return pairs.withColumn("score", S.type_score(F.col("source_type"), F.col("target_type")))
 
 
-@query("table_pairs")
+TABLE_PAIRS = f"""src as ({LEGACY}), tgt as ({MODERN}),
+tables as (select * from (select distinct table_name as source from src) cross join (select distinct table_name as target from tgt)), {fuzzy_steps('tables')},
+related as (select source as source_table, target as target_table, score as similarity from fuzzy where score > 0.3)"""
+
+
+@query("table_pairs", f"with {TABLE_PAIRS} select * from related")
 def table_pairs(spark, sf):
     return match.table_pairs(I.legacy_columns(spark, sf), I.modern_columns(spark, sf))
 
@@ -277,9 +340,31 @@ def date_name_rule(spark, sf):
 # --- matching -------------------------------------------------------------------
 
 
-@query("match_columns_a")
+def _by_name_sql() -> str:
+    """All pairs of names are scored; the shared steps are renamed for columns."""
+    fuzzy = fuzzy_steps("name_pairs").replace("fz_", "fc_").replace("fuzzy as", "column_fuzzy as")
+    compat = ", ".join(f"({quote(a)}, {quote(b)})" for a, bs in L.TYPE_COMPATIBILITY.items() for b in bs)
+    return f"""with {TABLE_PAIRS},
+    name_pairs as (select * from (select distinct column_name as source from src) cross join (select distinct column_name as target from tgt)), {fuzzy},
+    bag as (select name, unnest({tokens_sql('norm')}) as w from fc_names), counted as (select name, w, count(*) as n from bag group by 1, 2), sized as (select name, sum(n * n) as q from counted group by 1),
+    dots as (select a.name as source, b.name as target, sum(a.n * b.n) as dot from counted a join counted b on a.w = b.w group by 1, 2),
+    scores as (select f.source, f.target, score as syntactic, round(coalesce(dot / sqrt(x.q * y.q), 0.0)::double, 6) as semantic
+      from column_fuzzy f left join dots d on d.source = f.source and d.target = f.target left join sized x on x.name = f.source left join sized y on y.name = f.target),
+    compat(a, b) as (values {compat}),
+    pairs_t as (select s.table_name as source_table, s.column_name as source_column, s.data_type as source_type, t.table_name as target_table, t.column_name as target_column, t.data_type as target_type, t.position,
+      trim(split_part(upper(s.data_type), '(', 1)) as st, trim(split_part(upper(t.data_type), '(', 1)) as tt
+      from src s cross join tgt t join related r on r.source_table = s.table_name and r.target_table = t.table_name),
+    typed as (select *, case when st = tt then 1.0 when (st, tt) in (select (a, b) from compat) then 0.8 when (tt, st) in (select (a, b) from compat) then 0.6 else 0.2 end::double as type_score from pairs_t),
+    whole as (select t.*, semantic, syntactic, floor((5 * round(semantic * 1000000)::bigint + 3 * round(syntactic * 1000000)::bigint + 2 * round(type_score * 1000000)::bigint + 5) / 10) / 1000000 as overall from typed t join scores c on c.source = t.source_column and c.target = t.target_column),
+    best as (select *, row_number() over (partition by source_table, target_table, source_column order by overall desc, position, target_column) as k from whole where overall >= 0.4)
+    select source_table, source_column, source_type, target_table, target_column, target_type, semantic, syntactic, type_score, overall,
+      case when overall >= 0.85 then 'high' when overall >= 0.60 then 'medium' else 'low' end as confidence from best where k = 1"""
+
+
+@query("match_columns_a", _by_name_sql())
 def match_columns_a(spark, sf):
-    return match.match_by_name(I.legacy_columns(spark, sf), I.modern_columns(spark, sf))
+    found = match.match_by_name(I.legacy_columns(spark, sf), I.modern_columns(spark, sf))
+    return found.drop("source_pk", "source_nullable", "target_pk", "target_nullable")
 
 
 LOCAL_STEPS = """

@@ -89,7 +89,7 @@ def test_candidates_lose_no_match(spark):
     source, target = catalog(spark, "cust", CUST + ["ord_total", "x", "id", "notes"]), catalog(spark, "customers", CUSTOMERS + ["total", "note", "y_id"])
     features = match.name_features(match._names(source), match._names(target))
     every = match._names(source).withColumnRenamed("name", "source").crossJoin(match._names(target).withColumnRenamed("name", "target"))
-    for threshold, weights in ((0.5, match.PLAIN_WEIGHTS), (0.4, match.LOCAL_WEIGHTS), (0.6, match.PLAIN_WEIGHTS)):
+    for threshold, weights in ((0.5, match.PLAIN_WEIGHTS), (0.4, match.LOCAL_WEIGHTS), (0.6, match.PLAIN_WEIGHTS), (0.35, match.PLAIN_WEIGHTS), (0.3, match.PLAIN_WEIGHTS), (0.2, match.LOCAL_WEIGHTS), (0.05, match.PLAIN_WEIGHTS), (0.0, match.LOCAL_WEIGHTS)):
         scored = match.score_name_pairs(every, features).where(match._blend(weights) >= threshold)
         want = {(r.source, r.target) for r in scored.collect()}
         have = {(r.source, r.target) for r in match.candidate_pairs(source, target, features, (threshold, weights)).collect()}
