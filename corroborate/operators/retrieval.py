@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,17 +27,19 @@ def embed(df: DataFrame, text: str = "text", embedder: Callable[[Column], Column
 
 
 def _blocks(df: DataFrame, key: str, rows: int, prefix: str) -> DataFrame:
-    """Pack vectors into matrices of at most ``rows`` rows, within partitions."""
+    """Pack vectors into matrices of at most ``rows`` rows, within partitions; a block is numbered by partition and place."""
     dtype = df.schema[key].dataType
-    ids, matrix = f"{prefix}_ids", f"{prefix}_matrix"
-    schema = T.StructType([T.StructField(ids, T.ArrayType(dtype)), T.StructField(matrix, T.BinaryType())])
+    block, ids, matrix = f"{prefix}_block", f"{prefix}_ids", f"{prefix}_matrix"
+    schema = T.StructType([T.StructField(block, T.LongType()), T.StructField(ids, T.ArrayType(dtype)), T.StructField(matrix, T.BinaryType())])
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
             for at in range(0, len(batch), rows):
                 part = batch.iloc[at : at + rows].sort_values("id")
                 vectors = np.stack(part["embedding"].to_numpy()).astype(np.float32)
-                yield pd.DataFrame({ids: [part["id"].tolist()], matrix: [vectors.tobytes()]})
+                yield pd.DataFrame({block: [number], ids: [part["id"].tolist()], matrix: [vectors.tobytes()]})
+                number += 1
 
     return df.select(F.col(key).alias("id"), "embedding").mapInPandas(pack, schema)
 
@@ -62,7 +65,8 @@ def evidence_topk(
     that both are dealt into lanes of about ``lane_blocks`` blocks: the store is
     shuffled once per lane of queries and the queries once per lane of the
     store, so a task's share does not grow with either. A task holds two blocks
-    and the k best so far of its queries; ties go to the smaller id.
+    and the k best so far of its queries; ties go to the smaller id. Rows that
+    repeat a query id are one query: its k best over all its vectors.
     """
     spark = queries.sparkSession
     id_q, id_c = queries.schema[query_key].dataType, store.schema[store_key].dataType
@@ -76,13 +80,13 @@ def evidence_topk(
     else:
         lanes = lanes or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-store.count() // (block_rows * lane_blocks)))
         query_lanes = query_lanes or max(1, -(-n_q // lane_blocks))
-    q = q.withColumn("q_lane", F.pmod(F.xxhash64(F.col("q_ids")[0]), F.lit(query_lanes)).cast("int")).withColumn(
+    q = q.withColumn("q_lane", F.pmod(F.xxhash64("q_block"), F.lit(query_lanes)).cast("int")).withColumn(
         "c_lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))
     )
-    c = c.withColumn("c_lane", F.pmod(F.xxhash64(F.col("c_ids")[0]), F.lit(lanes)).cast("int")).withColumn(
+    c = c.withColumn("c_lane", F.pmod(F.xxhash64("c_block"), F.lit(lanes)).cast("int")).withColumn(
         "q_lane", F.explode(F.sequence(F.lit(0), F.lit(query_lanes - 1)))
     )
-    met = c.join(F.broadcast(q) if few else q, ["q_lane", "c_lane"]).select("q_ids", "q_matrix", "c_ids", "c_matrix")
+    met = c.join(F.broadcast(q) if few else q, ["q_lane", "c_lane"]).select("q_block", "q_ids", "q_matrix", "c_ids", "c_matrix")
     schema = T.StructType(
         [T.StructField(query_key, id_q), T.StructField(store_key, id_c), T.StructField("score", T.DoubleType())]
     )
@@ -103,7 +107,7 @@ def evidence_topk(
         return np.nonzero(keep)
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: dict = {}  # by query block: ids of the queries, scores and store ids of their best
+        best: dict = {}  # by number of the query block: ids of the queries, scores and store ids of their best
         for batch in batches:
             for row in batch.itertuples(index=False):
                 q_ids, c_ids = np.asarray(row.q_ids), np.asarray(row.c_ids)
@@ -113,13 +117,13 @@ def evidence_topk(
                 scores = np.round(1 - distance, SCORE_DIGITS)
                 rows, columns = best_cells(scores)
                 found, ids = scores[rows, columns].reshape(len(q_ids), -1), c_ids[columns].reshape(len(q_ids), -1)
-                if q_ids[0] in best:
-                    found, ids = np.hstack([best[q_ids[0]][1], found]), np.hstack([best[q_ids[0]][2], ids])
+                if row.q_block in best:
+                    found, ids = np.hstack([best[row.q_block][1], found]), np.hstack([best[row.q_block][2], ids])
                     by_id = np.argsort(ids, axis=1, kind="stable")
                     found, ids = np.take_along_axis(found, by_id, 1), np.take_along_axis(ids, by_id, 1)
                     top = np.argsort(-found, axis=1, kind="stable")[:, :k]
                     found, ids = np.take_along_axis(found, top, 1), np.take_along_axis(ids, top, 1)
-                best[q_ids[0]] = (q_ids, found, ids)
+                best[row.q_block] = (q_ids, found, ids)
         for q_ids, found, ids in best.values():
             yield pd.DataFrame({query_key: np.repeat(q_ids, found.shape[1]), store_key: ids.ravel(), "score": found.ravel()})
 

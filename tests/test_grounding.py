@@ -85,6 +85,16 @@ def test_topk_with_fewer_chunks_than_k(spark):
     assert [(r.rank, r.score) for r in got] == [(1, 1.0)]
 
 
+def test_blocks_that_begin_with_one_id(spark):
+    """Query ids that repeat: blocks [1, 2] and [1, 3] are told apart, and the rows of one id are one query."""
+    store = spark.createDataFrame([(10, [1.0, 0.0, 0.0]), (20, [0.0, 1.0, 0.0]), (30, [0.0, 0.0, 1.0])], "chunk_id long, embedding array<float>")
+    asked = [(1, [1.0, 0.0, 0.0]), (2, [0.0, 1.0, 0.0]), (1, [1.0, 0.0, 0.0]), (3, [0.0, 0.0, 1.0])]
+    queries = spark.createDataFrame(asked, "query_id long, embedding array<float>").coalesce(1)
+    for how in ({}, {"lanes": 2, "query_lanes": 2}):
+        got = retrieval.evidence_topk(queries, store, 1, query_block_rows=2, **how).collect()
+        assert {r.query_id: r.chunk_id for r in got} == {1: 10, 2: 20, 3: 30} and len(got) == 3
+
+
 def test_approximate_search_finds_equal_vectors(spark):
     df = spark.createDataFrame([(i, [float(i == j) for j in range(6)]) for i in range(6)], "id long, embedding array<float>")
     got = retrieval.evidence_approx(df.withColumnRenamed("id", "query_id"), df.withColumnRenamed("id", "chunk_id"), 0.5).collect()
