@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from corroborate.functions.text import percent
 from corroborate.functions.rules import compile_mapping, describe
+from corroborate.session import small, stage
 from corroborate.specs import Mapping, TablePlan, TableSpec
 
 
@@ -22,26 +23,54 @@ def project(df: DataFrame, mappings: tuple[Mapping, ...], keep: tuple[str, ...]
 
 @dataclass(frozen=True)
 class Routed:
-    """Projected rows with ``_id``, ``_record`` and, for rejected ones, ``_reason``."""
+    """Projected rows with ``_id``, ``_record`` and ``_local``, and the verdicts on those that other rows or tables decide.
+
+    ``_local`` is the reason of a row that breaks a constraint by itself.
+    ``verdicts(_id, _reason)`` has the others that are rejected, or is None
+    where no constraint asks for them. Rows and verdicts meet once, by id: the
+    verdicts are broadcast if their size allows it.
+    """
 
     rows: DataFrame
+    verdicts: DataFrame | None
     source_name: str
 
     @property
     def accepted(self) -> DataFrame:
-        columns = [c for c in self.rows.columns if not c.startswith("_")]
-        return self.rows.where(F.col("_reason").isNull()).select(*columns)
+        rows = self.rows.where(F.col("_local").isNull())
+        if self.verdicts is not None:
+            bad = self.verdicts.select(F.col("_id").alias("_bad"))
+            rows = rows.join(bad, F.col("_id").eqNullSafe(F.col("_bad")), "left_anti")
+        return rows.select(*[c for c in self.rows.columns if not c.startswith("_")])
 
     @property
     def rejects(self) -> DataFrame:
-        return self.rows.where(F.col("_reason").isNotNull()).select(
+        rows, reason = self.rows, F.col("_local")
+        if self.verdicts is not None:
+            bad = self.verdicts.select(F.col("_id").alias("_bad"), "_reason")
+            rows, reason = rows.join(bad, F.col("_id").eqNullSafe(F.col("_bad")), "left"), F.coalesce("_local", "_reason")
+        compound = isinstance(self.rows.schema["_id"].dataType, T.StructType)
+        shown = F.to_json("_id") if compound else F.col("_id").cast("string")
+        return rows.withColumn("_why", reason).where(F.col("_why").isNotNull()).select(
             F.lit(self.source_name).alias("source_table"),
-            F.col("_id").alias("record_id"),
+            shown.alias("record_id"),
             F.col("_record").alias("record_data"),
-            F.col("_reason.message").alias("error_message"),
-            F.col("_reason.type").alias("error_type"),
+            F.col("_why.message").alias("error_message"),
+            F.col("_why.type").alias("error_type"),
         )
 
+    def counts(self) -> DataFrame:
+        """One row: attempted, migrated and failed."""
+        counts = self.rows.agg(F.count("*").alias("records_attempted"), F.count_if(F.col("_local").isNotNull()).alias("_failed"))
+        if self.verdicts is not None:
+            counts = counts.join(F.broadcast(self.verdicts.agg(F.count("*").alias("_more"))), how="cross")
+        failed = F.col("_failed") + (F.col("_more") if self.verdicts is not None else F.lit(0))
+        return counts.select("records_attempted", (F.col("records_attempted") - failed).alias("records_migrated"), failed.alias("records_failed"))
+
+
+def _reason(kind: str, message: str) -> Column:
+    return F.struct(F.lit(kind).alias("type"), F.lit(message).alias("message"))
+
 
 def route_rows(
     rows: DataFrame,
@@ -56,69 +85,65 @@ def route_rows(
 
     Checked in this order: required columns, check expressions, foreign keys,
     keys already in the target, repeated keys. Of valid rows with one key the
-    smallest ``row_id`` wins, so ``row_id`` must be unique. No step gathers the
-    rows of a key: repeated keys are found by a count with map-side combine,
-    and only they are joined back.
+    smallest ``row_id`` wins, so ``row_id`` must be unique.
+
+    Two phases. The first reads ids, keys and foreign keys only, of the rows
+    that are sound by themselves: missing parents are found among distinct
+    values, held keys among those that come in, repeated keys by a count with
+    map-side combine, so no step gathers the rows of a key. What it rejects is
+    staged, and its size decides how it is joined to the whole rows, of which
+    this is the only join.
     """
     keys = list(spec.primary_key)
-    rows = rows.withColumn("_id", row_id).withColumn("_record", record)
-    reasons = [F.when(F.col(c).isNull(), F.struct(F.lit("NOT NULL").alias("type"), F.lit(f"NOT NULL constraint failed: {spec.name}.{c}").alias("message"))) for c in spec.required]
-    reasons += [
-        F.when(~F.expr(e), F.struct(F.lit("CHECK").alias("type"), F.lit(f"CHECK constraint failed: {name}").alias("message"))) for name, e in spec.checks.items()
-    ]
-    for i, fk in enumerate(spec.foreign_keys):
+    local = [F.when(F.col(c).isNull(), _reason("NOT NULL", f"NOT NULL constraint failed: {spec.name}.{c}")) for c in spec.required]
+    local += [F.when(~F.expr(e), _reason("CHECK", f"CHECK constraint failed: {name}")) for name, e in spec.checks.items()]
+    nothing = F.lit(None).cast("struct<type:string,message:string>")
+    rows = rows.withColumns({"_id": row_id, "_record": record, "_local": F.coalesce(*local, nothing) if local else nothing})
+    for fk in spec.foreign_keys:
         if not parents or fk.ref_table not in parents:
             raise ValueError(f"no parent table {fk.ref_table} given for {spec.name}.{fk.column}")
+    if not keys and not spec.foreign_keys:
+        return Routed(rows, None, source_name)
+
+    thin = rows.where(F.col("_local").isNull()).select("_id", *dict.fromkeys(keys + [fk.column for fk in spec.foreign_keys]))
+    reasons = []
+    for i, fk in enumerate(spec.foreign_keys):
         # distinct values first: the missing ones are few, and a hot value is one row
         have = parents[fk.ref_table].select(F.col(fk.ref_column).alias(fk.column))
-        missing = rows.select(fk.column).where(F.col(fk.column).isNotNull()).distinct().join(have, fk.column, "left_anti")
-        rows = rows.join(missing.withColumn(f"_fk{i}", F.lit(True)), fk.column, "left")
-        failed = F.struct(F.lit("FOREIGN KEY").alias("type"), F.lit(f"FOREIGN KEY constraint failed: {spec.name}.{fk.column}").alias("message"))
-        reasons.append(F.when(F.col(f"_fk{i}"), failed))
-    unique = F.struct(F.lit("UNIQUE").alias("type"), F.lit(f"UNIQUE constraint failed: {', '.join(f'{spec.name}.{k}' for k in keys)}").alias("message"))
+        missing = thin.select(fk.column).where(F.col(fk.column).isNotNull()).distinct().join(have, fk.column, "left_anti")
+        thin = thin.join(missing.withColumn(f"_fk{i}", F.lit(True)), fk.column, "left")
+        reasons.append(F.when(F.col(f"_fk{i}"), _reason("FOREIGN KEY", f"FOREIGN KEY constraint failed: {spec.name}.{fk.column}")))
+    unique = _reason("UNIQUE", f"UNIQUE constraint failed: {', '.join(f'{spec.name}.{k}' for k in keys)}")
     if target is not None and keys:
         # only the keys that come in are looked up in the target
-        held = target.select(*keys).join(rows.select(*keys).distinct(), keys, "left_semi").distinct()
-        rows = rows.join(held.withColumn("_held", F.lit(True)), keys, "left")
+        held = target.select(*keys).join(thin.select(*keys).distinct(), keys, "left_semi").distinct()
+        thin = thin.join(held.withColumn("_held", F.lit(True)), keys, "left")
         reasons.append(F.when(F.col("_held"), unique))
-    nothing = F.lit(None).cast("struct<type:string,message:string>")
-    rows = rows.withColumn("_reason", F.coalesce(*reasons, nothing) if reasons else nothing)
+    thin = thin.withColumn("_reason", F.coalesce(*reasons, nothing) if reasons else nothing)
     if keys:
-        repeated = (
-            rows.where(F.col("_reason").isNull())
-            .groupBy(*keys)
-            .agg(F.count("*").alias("_copies"), F.min("_id").alias("_winner"))
-            .where(F.col("_copies") > 1)
-            .drop("_copies")
-        )
-        rows = rows.join(repeated, keys, "left")
+        copies = thin.where(F.col("_reason").isNull()).groupBy(*keys).agg(F.count("*").alias("_copies"), F.min("_id").alias("_winner"))
+        thin = thin.join(copies.where(F.col("_copies") > 1).drop("_copies"), keys, "left")
         lost = F.col("_winner").isNotNull() & (F.col("_id") != F.col("_winner"))
-        rows = rows.withColumn("_reason", F.coalesce(F.col("_reason"), F.when(lost, unique)))
-    columns = [c for c in rows.columns if not c.startswith("_")]
-    compound = isinstance(rows.schema["_id"].dataType, T.StructType)
-    shown = F.to_json("_id") if compound else F.col("_id").cast("string")
-    return Routed(rows.select(*columns, shown.alias("_id"), "_record", "_reason"), source_name)
+        thin = thin.withColumn("_reason", F.coalesce("_reason", F.when(lost, unique)))
+    verdicts = stage(thin.where(F.col("_reason").isNotNull()).select("_id", "_reason"), "verdicts")
+    return Routed(rows, small(verdicts, rows=1_000_000), source_name)
 
 
 def migrate(source: DataFrame, plan: TablePlan, parents: dict[str, DataFrame] | None = None, target: DataFrame | None = None) -> Routed:
-    """Project and route the rows of one table pair; nothing is written."""
+    """Project and route the rows of one table pair; of these nothing is written but what the verdicts need."""
     used = sorted({s for m in plan.mappings for s in m.sources} | set(plan.row_id))
     row = F.struct(*[F.col(c) for c in used])
     kept = source.withColumn("_row", row)
     projected = project(kept, plan.mappings, ("_row",))
     ids = [F.col(f"_row.{c}") for c in plan.row_id]
     row_id = ids[0] if len(ids) == 1 else F.struct(*ids)
-    return route_rows(projected, plan.target, row_id, plan.source_table, F.to_json("_row", {"ignoreNullFields": "false"}), parents, target)
+    routed = route_rows(projected, plan.target, row_id, plan.source_table, F.to_json("_row", {"ignoreNullFields": "false"}), parents, target)
+    return Routed(routed.rows.drop("_row"), routed.verdicts, routed.source_name)
 
 
 def migration_result(plan: TablePlan, routed: Routed) -> DataFrame:
     """Attempted, migrated, failed and status of one table pair."""
-    counts = routed.rows.agg(
-        F.count("*").alias("records_attempted"),
-        F.count_if(F.col("_reason").isNull()).alias("records_migrated"),
-        F.count_if(F.col("_reason").isNotNull()).alias("records_failed"),
-    )
-    named = counts.select(F.lit(plan.source_table).alias("source_table"), F.lit(plan.target.name).alias("target_table"), "*")
+    named = routed.counts().select(F.lit(plan.source_table).alias("source_table"), F.lit(plan.target.name).alias("target_table"), "*")
     applied = F.array(*[F.lit(d) for d in dict.fromkeys(describe(m) for m in plan.mappings)])
     return _with_status(named).withColumn("transformations_applied", applied)
 

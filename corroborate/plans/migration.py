@@ -7,7 +7,6 @@ import os
 from pyspark.sql import DataFrame
 
 from corroborate.operators import move
-from corroborate.session import stage
 from corroborate.sources.tables import append_rows
 from corroborate.specs import TablePlan
 
@@ -24,10 +23,11 @@ def migrate_all(sources: dict[str, DataFrame], plans: list[TablePlan], parents:
 def migrate_table(source: DataFrame, plan: TablePlan, out: str, run_id: str, parents: dict[str, DataFrame] | None = None, target: DataFrame | None = None) -> DataFrame:
     """Move one table: append accepted rows and rejects under ``out``, return the result row.
 
-    The routed rows are staged once, then written; a rerun of the same run
-    replaces what it wrote. ``target`` must not hold rows of the same run.
+    Ids and reasons of rejected rows are staged, whole rows are not: the source
+    is read once for each of the two. A rerun of the same run replaces what it
+    wrote. ``target`` must not hold rows of the same run.
     """
-    routed = move.Routed(stage(move.migrate(source, plan, parents, target).rows, "routed"), plan.source_table)
+    routed = move.migrate(source, plan, parents, target)
     append_rows(routed.accepted, os.path.join(out, plan.target.name), run_id)
     rejects = routed.rejects.drop("source_table")
     append_rows(rejects, os.path.join(out, "_rejects"), run_id, source_table=plan.source_table, target_table=plan.target.name)

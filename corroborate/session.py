@@ -67,9 +67,13 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
-def small(df: DataFrame, rows: int = 50_000) -> DataFrame:
-    """Mark a staged table for broadcast, if a count proves it short."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = 50_000, size: int = 64 << 20) -> DataFrame:
+    """Mark a staged table for broadcast, if it has at most ``rows`` rows and, written as JSON, ``size`` bytes.
+
+    Looks at one row more than ``rows``, however long the table is.
+    """
+    head = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(F.length(F.to_json(F.struct(*df.columns)))), F.lit(0))).first()
+    return F.broadcast(df) if head[0] <= rows and head[1] <= size else df
 
 
 def spread_small(df: DataFrame) -> DataFrame:

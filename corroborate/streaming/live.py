@@ -46,7 +46,7 @@ def migrate_stream(
             held = None
             if keys and store_exists(spark, target_path):
                 held = spark.read.parquet(target_path).where((F.col("run_id") != run_id) | (F.col("batch_id") < batch_id))
-            routed = move.Routed(stage(move.migrate(batch, plan, parents, held).rows, "routed"), plan.source_table)
+            routed = move.migrate(batch, plan, parents, held)
             append_rows(routed.accepted, target_path, run_id, batch_id)
             append_rows(routed.rejects.drop("source_table"), os.path.join(out, "_rejects"), run_id, batch_id, **pair)
             counts = move.migration_result(plan, routed).select(

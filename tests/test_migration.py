@@ -1,6 +1,7 @@
 """Row movement, checks and streams."""
 
 import os
+import re
 import shutil
 
 import pytest
@@ -70,6 +71,28 @@ def test_accepted_and_rejected_are_all(spark):
     assert routed.accepted.where("key = 10").count() == 1
 
 
+def exchanged(df):
+    """Columns of every shuffle of the plan that runs."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.split("\n") if re.search(r"\bExchange ", line)]
+
+
+def test_no_shuffle_carries_whole_rows(spark, source, parent):
+    target = spark.createDataFrame([(30,)], "key long")
+    routed = move.migrate(source, PLAN, parent, target)
+    assert set(routed.verdicts.columns) == {"_id", "_reason"}
+    for df in (routed.accepted, routed.rejects):
+        df.collect()
+        assert not exchanged(df), exchanged(df)
+
+
+def test_many_verdicts_are_joined_without_broadcast(spark, source, parent, monkeypatch):
+    monkeypatch.setattr(move, "small", lambda df, **_: df)
+    routed = move.migrate(source, PLAN, parent)
+    assert sorted(r.key for r in routed.accepted.collect()) == [10, 20, 30]
+    assert {int(r.record_id) for r in routed.rejects.collect()} == {2, 3, 6, 7}
+
+
 def test_report_status(spark):
     schema = "source_table string, records_attempted long, records_migrated long, records_failed long, status string"
     good = spark.createDataFrame([("a", 5, 5, 0, "completed")], schema)
