@@ -226,6 +226,10 @@ PLAIN_WEIGHTS = (0.45, 0.20, 0.35)
 LOCAL_MINIMUM = 0.4
 
 
+#: What a proposal may say about its mapping besides its confidence.
+SAID = ["mapping_type", "transformation", "why_mapped", "why_not_others"]
+
+
 def _least_local(accept: float) -> float:
     """No pair whose local score is below this has an ensemble score of ``accept``.
 
@@ -262,19 +266,53 @@ def local_proposals(source: DataFrame, target: DataFrame, scored: DataFrame, min
     return picked.select("source", "target_table", F.col("b.target").alias("target"), F.round(-F.col("b.order"), 2).alias("confidence"), reason.alias("why_mapped"))
 
 
-def uncertain_columns(source: DataFrame, target: DataFrame, known: float = 0.70, dictionary: Dictionary | None = None) -> DataFrame:
+def _sure_pairs(source: DataFrame, target: DataFrame, known: float, dictionary: Dictionary | None) -> DataFrame:
+    """Pairs of names whose half-and-half local score reaches ``known``; such a pair has an n-gram cosine of at least 2·known − 1, so only those are scored."""
+    features = name_features(_names(source), _names(target), dictionary=dictionary)
+    if known > 0.5:
+        pairs = _met(_sided(source, target, features), _Index("gram_counts", 2 * known - 1, GRAM_PENALTY)).distinct()
+    else:
+        pairs = candidate_pairs(source, target, features, (known, (1e-9, 0.5, 0.5)), dictionary=dictionary)
+    scored = score_name_pairs(pairs, features, dictionary)
+    return scored.where(F.col("domain") * 0.5 + F.col("tfidf") * 0.5 >= known).select("source", "target")
+
+
+def uncertain_columns(source: DataFrame, target: DataFrame, known: float = 0.70, dictionary: Dictionary | None = None, pairs: DataFrame | None = None) -> DataFrame:
     """Source columns whose best half-and-half local score is below ``known``: those to ask about.
 
-    A pair that reaches ``known`` has an n-gram cosine of at least
-    2·known − 1, so only such pairs are scored.
+    With ``pairs(source_table, target_table)`` each pair of tables decides for
+    itself, from the columns of its target table alone, and rows carry both
+    tables and the column's position.
     """
-    features = name_features(_names(source), _names(target), dictionary=dictionary)
-    pairs = _met(_sided(source, target, features), _Index("gram_counts", 2 * known - 1, GRAM_PENALTY)).distinct()
-    scored = score_name_pairs(pairs, features, dictionary)
-    sure = scored.where(F.col("domain") * 0.5 + F.col("tfidf") * 0.5 >= known)
-    return source.select("table_name", "column_name").join(
-        sure.select(F.col("source").alias("column_name")).distinct(), "column_name", "left_anti"
-    )
+    sure = _sure_pairs(source, target, known, dictionary)
+    if pairs is None:
+        return source.select("table_name", "column_name").join(sure.select(F.col("source").alias("column_name")).distinct(), "column_name", "left_anti")
+    in_table = target.select(F.col("table_name").alias("target_table"), F.col("column_name").alias("target"))
+    known_in = sure.join(in_table, "target").select(F.col("source").alias("column_name"), "target_table").distinct()
+    columns = source.select(F.col("table_name").alias("source_table"), "column_name", "position")
+    return pairs.select("source_table", "target_table").distinct().join(columns, "source_table").join(known_in, ["column_name", "target_table"], "left_anti")
+
+
+def ask_lists(source: DataFrame, target: DataFrame, pairs: DataFrame, known: float = 0.70, most: int = 10, dictionary: Dictionary | None = None) -> DataFrame:
+    """What an outside proposer is asked, a row per pair of tables with uncertain columns.
+
+    ``(source_table, target_table, uncertain, source_columns, target_columns)``:
+    how many columns are uncertain, the first ``most`` of them by position, and
+    the first ``most`` columns of the target table. The answers are the
+    ``proposals`` of :func:`match_columns`.
+    """
+
+    def first(rows: DataFrame, *keys: str) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("position", "column_name"))
+        best = rows.withColumn("_rank", rank).where(F.col("_rank") <= most)
+        listed = F.transform(F.array_sort(F.collect_list(F.struct("_rank", "column_name"))), lambda x: x["column_name"])
+        return best.groupBy(*keys).agg(listed.alias("listed"))
+
+    asked = uncertain_columns(source, target, known, dictionary, pairs)
+    keys = ["source_table", "target_table"]
+    counted = asked.groupBy(*keys).agg(F.count("*").alias("uncertain"))
+    of_target = first(target.withColumnRenamed("table_name", "target_table"), "target_table").withColumnRenamed("listed", "target_columns")
+    return counted.join(first(asked, *keys).withColumnRenamed("listed", "source_columns"), keys).join(of_target, "target_table").select(*keys, "uncertain", "source_columns", "target_columns")
 
 
 def ensemble(p: Column) -> Column:
@@ -310,7 +348,10 @@ def match_columns(
     ``proposals(source_table, source_column, target_table, target_column,
     confidence)`` come from outside; without them the local proposer stands in
     (``use_local``). Source columns of the same name share one result unless
-    outside proposals tell them apart.
+    outside proposals tell them apart. What else a proposal says about the
+    mapping that is chosen goes with it, where it has the columns:
+    ``mapping_type``, ``transformation``, ``why_mapped``, ``why_not_others``.
+    Of several proposals for one mapping the most confident speaks.
     """
     accept = threshold if proposals is not None or use_local else max(0.4, threshold - 0.1)
     names = [_names(source), _names(target)]
@@ -325,12 +366,13 @@ def match_columns(
         F.col("table_name").alias("target_table"), F.col("column_name").alias("target"), "position", F.col("data_type").alias("target_type")
     )
     if proposals is not None:
-        given = proposals.select("source_table", F.col("source_column").alias("source"), "target_table", _loose(F.col("target_column")).alias("loose"), "confidence")
+        said = [F.col(c) if c in proposals.columns else F.lit(None).cast("string").alias(c) for c in SAID]
+        given = proposals.select("source_table", F.col("source_column").alias("source"), "target_table", _loose(F.col("target_column")).alias("loose"), "confidence", *said)
         asked = given.join(t.withColumn("loose", _loose(F.col("target"))), ["target_table", "loose"])
         pairs = pairs.union(asked.select("source", "target"))
         scored = stage(score_name_pairs(pairs, features, dictionary), "name_scores")
         left = source.select(F.col("table_name").alias("source_table"), F.col("column_name").alias("source"))
-        hints = asked.groupBy("source_table", "source", "target_table", "target").agg(F.max("confidence").alias("p"))
+        hints = asked.groupBy("source_table", "source", "target_table", "target").agg(F.max(F.struct(F.col("confidence").alias("p"), *SAID)).alias("hint"))
         keys = ["source_table", "source"]
     else:
         scored = stage(score_name_pairs(pairs, features, dictionary), "name_scores")
@@ -338,15 +380,18 @@ def match_columns(
         keys = ["source"]
         hints = None
         if use_local:
-            hints = local_proposals(source, target, scored).select("source", "target_table", "target", F.col("confidence").alias("p"))
+            unsaid = [F.lit(None).cast("string").alias(c) for c in SAID if c != "why_mapped"]
+            hints = local_proposals(source, target, scored)
+            hints = hints.select("source", "target_table", "target", F.struct(F.col("confidence").alias("p"), "why_mapped", *unsaid).alias("hint"))
     rows = left.join(scored, "source").join(t, "target")
-    if hints is not None:
-        rows = rows.join(hints, [*keys, "target_table", "target"], "left").withColumn("p", F.coalesce("p", F.lit(0.0)))
+    if hints is None:
+        rows = rows.withColumn("hint", F.lit(None).cast("struct<p:double," + ",".join(f"{c}:string" for c in SAID) + ">"))
     else:
-        rows = rows.withColumn("p", F.lit(0.0))
+        rows = rows.join(hints, [*keys, "target_table", "target"], "left")
+    rows = rows.withColumn("p", F.coalesce("hint.p", F.lit(0.0)))
     rows = rows.withColumn("ensemble", ensemble(F.col("p"))).where(F.col("ensemble") >= accept)
     first_best = F.min(
-        F.struct((-F.col("ensemble")).alias("order"), "target_table", "position", "target", "target_type", "cosine", "p", "tfidf", "domain")
+        F.struct((-F.col("ensemble")).alias("order"), "target_table", "position", "target", "target_type", "cosine", "p", "tfidf", "domain", *(F.col(f"hint.{c}").alias(c) for c in SAID))
     )
     best = rows.groupBy(*keys).agg(first_best.alias("b"))
     columns = source.select(F.col("table_name").alias("source_table"), F.col("column_name").alias("source"), F.col("data_type").alias("source_type"))
@@ -364,9 +409,10 @@ def match_columns(
         "b.domain",
         score.alias("ensemble"),
         S.ensemble_band(score).alias("confidence_level"),
-        F.lit("1:1").alias("mapping_type"),
-        F.lit("none").alias("transformation"),
-        match_reason(F.col("b.domain"), F.col("b.cosine"), F.col("b.tfidf"), F.col("source"), F.col("b.target")).alias("why_mapped"),
+        F.coalesce("b.mapping_type", F.lit("1:1")).alias("mapping_type"),
+        F.coalesce("b.transformation", F.lit("none")).alias("transformation"),
+        F.coalesce("b.why_mapped", match_reason(F.col("b.domain"), F.col("b.cosine"), F.col("b.tfidf"), F.col("source"), F.col("b.target"))).alias("why_mapped"),
+        F.coalesce("b.why_not_others", F.lit("")).alias("why_not_others"),
     )
 
 

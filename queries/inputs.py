@@ -82,6 +82,19 @@ from {{lineitem}} join ({LEGACY}) as l on l_partkey = p_partkey join ({MODERN})
 """
 
 
+# An outside proposer's answers: the columns that a legacy column meets most in lineitem,
+# with the kind of mapping and its reasons. Not every proposal says everything.
+PROPOSALS = f"""
+select source_table, source_column, target_table, replace(upper(target_column), '_', '-') as target_column, least(95, 55 + 10 * n) / 100.0 as confidence,
+       case when n % 3 = 0 then '1:N' when n % 3 = 1 then 'N:1' end as mapping_type,
+       case when n % 3 = 0 then 'split on _' when n % 3 = 1 then 'merge with blank' end as transformation,
+       case when n % 2 = 0 then 'they meet ' || cast(n as varchar(9)) || ' times' end as why_mapped, case when n % 2 = 0 then 'others meet less' end as why_not_others
+from (select l.table_name as source_table, l.column_name as source_column, m.table_name as target_table, m.column_name as target_column, count(*) as n
+      from {{lineitem}} join ({LEGACY}) as l on l_partkey = p_partkey join ({MODERN}) as m on l_suppkey = s_suppkey
+      group by l.table_name, l.column_name, m.table_name, m.column_name having count(*) > 2) as met
+"""
+
+
 def derived(spark: SparkSession, sf: str, text: str) -> DataFrame:
     names = [n for n in ("part", "supplier", "lineitem", "customer", "orders", "nation", "events") if "{" + n + "}" in text]
     return spark.sql(text, **{n: table(spark, sf, n) for n in names})
@@ -102,6 +115,10 @@ def modern_columns(spark: SparkSession, sf: str) -> DataFrame:
     return derived(spark, sf, MODERN_COLUMNS)
 
 
+def proposals(spark: SparkSession, sf: str) -> DataFrame:
+    return derived(spark, sf, PROPOSALS).withColumn("confidence", F.col("confidence").cast("double"))
+
+
 def name_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return derived(spark, sf, NAME_PAIRS)
 

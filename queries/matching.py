@@ -400,7 +400,7 @@ def uncertain_columns(spark, sf):
 
 
 MATCHED = f"""{ON_CATALOGS}, {LOCAL_STEPS},
-rows_e as (select n.source, t.table_name as target_table, t.position, t.column_name as target, t.data_type as target_type, cosine, tfidf, domain, coalesce(confidence, 0.0) as p
+rows_e as (select n.source, t.table_name as target_table, t.position, t.column_name as target, t.data_type as target_type, cosine, tfidf, domain, coalesce(confidence, 0.0) as p, q.why_mapped as hint
   from (select distinct column_name as source from src) n join scored using (source) join tgt t on t.column_name = scored.target
   left join proposed q on q.source = n.source and q.target_table = t.table_name and q.target = t.column_name),
 rows_s as (select *, round(case when p >= 0.8 then (0.25 * cosine + 0.30 * p + 0.10 * tfidf + 0.35 * domain) * 0.3 + p * 0.7
@@ -409,8 +409,8 @@ rows_s as (select *, round(case when p >= 0.8 then (0.25 * cosine + 0.30 * p + 0
 best_e as (select *, row_number() over (partition by source order by ensemble desc, target_table, position, target) as k from rows_s where ensemble >= 0.6),
 mappings as (select s.table_name as source_table, s.column_name as source_column, s.data_type as source_type, target_table, target as target_column, target_type,
    cosine, p as proposal, tfidf, domain, ensemble, case when ensemble >= 0.8 then 'high' when ensemble >= 0.6 then 'medium' else 'low' end as confidence_level,
-   '1:1' as mapping_type, 'none' as transformation,
-   case when domain > 0.8 then '''' || s.column_name || ''' is a common abbreviation for ''' || target || ''' in database systems'
+   '1:1' as mapping_type, 'none' as transformation, '' as why_not_others,
+   case when hint is not null then hint when domain > 0.8 then '''' || s.column_name || ''' is a common abbreviation for ''' || target || ''' in database systems'
      when cosine > 0.8 then '''' || s.column_name || ''' and ''' || target || ''' have very similar semantic meanings'
      when tfidf > 0.7 then '''' || s.column_name || ''' and ''' || target || ''' share similar naming patterns'
      else 'Multiple factors suggest ''' || s.column_name || ''' corresponds to ''' || target || '''' end as why_mapped
@@ -418,6 +418,73 @@ mappings as (select s.table_name as source_table, s.column_name as source_column
 """
 
 
+def reason_sql(source: str, target: str) -> str:
+    """The short reason for a match, by the score that dominates."""
+    return f"""case when domain > 0.8 then '''' || {source} || ''' is a common abbreviation for ''' || {target} || ''' in database systems'
+     when cosine > 0.8 then '''' || {source} || ''' and ''' || {target} || ''' have very similar semantic meanings'
+     when tfidf > 0.7 then '''' || {source} || ''' and ''' || {target} || ''' share similar naming patterns'
+     else 'Multiple factors suggest ''' || {source} || ''' corresponds to ''' || {target} || '''' end"""
+
+
+# the same with an outside proposer's answers, which tell tables apart
+PROPOSED = f"""{ON_CATALOGS}, given as (select source_table, source_column, target_table, regexp_replace(lower(target_column), '[_-]', '', 'g') as loose, confidence::double as confidence,
+   mapping_type, transformation, why_mapped, why_not_others from ({I.sql(I.PROPOSALS)})),
+asked as (select g.*, t.column_name as target from given g join tgt t on t.table_name = g.target_table and regexp_replace(lower(t.column_name), '[_-]', '', 'g') = loose),
+rows_e as (select s.table_name as source_table, s.column_name as source, s.data_type as source_type, t.table_name as target_table, t.position, t.column_name as target, t.data_type as target_type,
+   cosine, tfidf, domain, coalesce(confidence, 0.0) as p, a.mapping_type, a.transformation, a.why_mapped, a.why_not_others
+  from src s join scored on scored.source = s.column_name join tgt t on t.column_name = scored.target
+  left join asked a on a.source_table = s.table_name and a.source_column = s.column_name and a.target_table = t.table_name and a.target = t.column_name),
+rows_s as (select *, round(case when p >= 0.8 then (0.25 * cosine + 0.30 * p + 0.10 * tfidf + 0.35 * domain) * 0.3 + p * 0.7
+   when p > 0 then (0.25 * cosine + 0.30 * p + 0.10 * tfidf + 0.35 * domain) * 0.5 + p * 0.5
+   else 0.45 * cosine + 0.20 * tfidf + 0.35 * domain end, 6) as ensemble from rows_e),
+best_e as (select *, row_number() over (partition by source_table, source order by ensemble desc, target_table, position, target) as k from rows_s where ensemble >= 0.6),
+mappings as (select source_table, source as source_column, source_type, target_table, target as target_column, target_type, cosine, p as proposal, tfidf, domain, ensemble,
+   case when ensemble >= 0.8 then 'high' else 'medium' end as confidence_level, coalesce(mapping_type, '1:1') as mapping_type, coalesce(transformation, 'none') as transformation,
+   coalesce(why_mapped, {reason_sql('source', 'target')}) as why_mapped, coalesce(why_not_others, '') as why_not_others
+  from best_e where k = 1)
+"""
+
+
+def proposed_mappings(spark, sf):
+    return match.match_columns(I.legacy_columns(spark, sf), I.modern_columns(spark, sf), proposals=I.proposals(spark, sf))
+
+
+@query("match_proposed", f"{PROPOSED} select * from mappings")
+def match_proposed(spark, sf):
+    """Mappings with an outside proposer's confidence, kind, transformation and reasons."""
+    return proposed_mappings(spark, sf)
+
+
+MET_TABLES = f"select distinct source_table, target_table from ({I.sql(I.PROPOSALS)})"
+UNSURE = f"""{ON_CATALOGS}, asked_pairs as ({MET_TABLES}),
+sure as (select distinct s.source, t.table_name as target_table from scored s join tgt t on t.column_name = s.target where domain * 0.5 + tfidf * 0.5 >= 0.70),
+unsure as (select p.source_table, p.target_table, c.column_name, c.position from asked_pairs p join src c on c.table_name = p.source_table
+   where not exists (select 1 from sure where sure.source = c.column_name and sure.target_table = p.target_table))"""
+
+
+def met_tables(spark, sf):
+    return I.proposals(spark, sf).select("source_table", "target_table").distinct()
+
+
+@query("uncertain_by_tables", f"{UNSURE} select source_table, target_table, column_name from unsure")
+def uncertain_by_tables(spark, sf):
+    """What each pair of tables that meets in lineitem would ask about."""
+    return match.uncertain_columns(I.legacy_columns(spark, sf), I.modern_columns(spark, sf), pairs=met_tables(spark, sf)).select("source_table", "target_table", "column_name")
+
+
+@query(
+    "ask_lists",
+    f"""{UNSURE}, f as (select *, row_number() over (partition by source_table, target_table order by position, column_name) as k, count(*) over (partition by source_table, target_table) as n from unsure),
+    t as (select table_name, column_name, row_number() over (partition by table_name order by position, column_name) as k from tgt),
+    tl as (select table_name, string_agg(column_name, ',' order by k) as target_columns from t where k <= 10 group by 1)
+    select source_table, target_table, max(n) as uncertain, string_agg(column_name, ',' order by k) as source_columns, any_value(target_columns) as target_columns
+    from f join tl on tl.table_name = target_table where k <= 10 group by 1, 2""",
+)
+def ask_lists(spark, sf):
+    asked = match.ask_lists(I.legacy_columns(spark, sf), I.modern_columns(spark, sf), met_tables(spark, sf))
+    return asked.withColumns({c: F.array_join(c, ",") for c in ("source_columns", "target_columns")})
+
+
 def mappings(spark, sf):
     return match.match_columns(I.legacy_columns(spark, sf), I.modern_columns(spark, sf))
 

@@ -16,7 +16,7 @@ from queries import inputs as I
 from queries import query
 from queries.grounding import CHUNKED, GROUND
 from queries.grounding import SCORES as GROUND_SCORES
-from queries.matching import MATCHED, MET, UNMAPPED, conversion_sql, mappings, met, norm_a_sql, quote, tables, tokens_sql
+from queries.matching import MATCHED, MET, PROPOSED, UNMAPPED, conversion_sql, mappings, met, norm_a_sql, proposed_mappings, quote, reason_sql, tables, tokens_sql
 from queries.migration import REJECTED, RESULTS, ROUTED, _scratch, results, routed
 from queries.quality import SPECS, SUITE, suite
 
@@ -103,10 +103,10 @@ def migration_summary(spark, sf):
     return R.migration_summary(results(spark, sf))
 
 
-@query("relationship_types", f"""{MATCHED}, {UNMAPPED} select '1:1 Mappings' as category, count(*) as columns from mappings
+@query("relationship_types", f"""{PROPOSED}, {UNMAPPED} select case mapping_type when '1:N' then '1:N (Split)' when 'N:1' then 'N:1 (Merge)' else '1:1 Mappings' end as category, count(*) as columns from mappings group by 1
     union all select case when side = 'source' then 'Unmapped Source' else 'Unmapped Target' end, count(*) from unmapped group by side""")
 def relationship_types(spark, sf):
-    mapped = mappings(spark, sf)
+    mapped = proposed_mappings(spark, sf)
     return R.relationship_types(mapped, unmapped(spark, sf, mapped))
 
 
@@ -335,18 +335,20 @@ def executive_summary(spark, sf):
     return X.executive_summary(results(spark, sf), mappings(spark, sf), suite(spark, sf)).withColumn("success_rate", F.round("success_rate", 6)).drop("meaning")
 
 
-@query("match_reason", f"{MATCHED} select source_table, source_column, target_column, why_mapped from mappings")
+@query("match_reason", f"""{MATCHED} select source_table, source_column, target_column, {reason_sql('source_column', 'target_column')} as reason from mappings""")
 def match_reason(spark, sf):
-    return mappings(spark, sf).select("source_table", "source_column", "target_column", "why_mapped")
+    reason = match.match_reason(F.col("domain"), F.col("cosine"), F.col("tfidf"), F.col("source_column"), F.col("target_column"))
+    return mappings(spark, sf).select("source_table", "source_column", "target_column", reason.alias("reason"))
 
 
-@query("qa_report", f"""{_after(MATCHED, ROUTED)}, {UNMAPPED} select 'column_mapping' as topic, 'Why was ''' || source_column || ''' mapped to ''' || target_column || '''?' as question, why_mapped as answer,
+@query("qa_report", f"""{_after(PROPOSED, ROUTED)}, {UNMAPPED} select 'column_mapping' as topic, 'Why was ''' || source_column || ''' mapped to ''' || target_column || '''?' as question, why_mapped as answer,
     printf('%.1f%%', ensemble * 100) || ' confident' as note from mappings
     union all select 'ignored_column', 'Why was ''' || table_name || '.' || column_name || ''' not mapped?', reason, null from unmapped where side = 'source'
-    union all select 'failed_data', 'Why did this record fail to migrate?', error_message, record_id from ({REJECTED})""")
+    union all select 'transformation', 'What transformation was applied to ''' || source_column || '''?', transformation, source_type || ' → ' || target_type from mappings where transformation not in ('none', '')
+    union all select 'failed_data', 'Why did this record fail to migrate?', error_message, record_data from ({REJECTED})""")
 def qa_report(spark, sf):
-    mapped = mappings(spark, sf)
-    return X.qa_report(mapped, unmapped(spark, sf, mapped), routed(spark, sf).rejects.withColumn("record_data", F.col("record_id")))
+    mapped = proposed_mappings(spark, sf)
+    return X.qa_report(mapped, unmapped(spark, sf, mapped), routed(spark, sf).rejects)
 
 
 # --- files ----------------------------------------------------------------------
