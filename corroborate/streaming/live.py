@@ -8,12 +8,12 @@ from __future__ import annotations
 
 import os
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException, StreamingQueryException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from corroborate.operators import move
+from corroborate.operators import move, quality
 from corroborate.plans.grounding import ground
 from corroborate.session import stage
 from corroborate.sources.corpus import store_exists
@@ -63,6 +63,62 @@ def migrate_stream(
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
+#: What a live run goes through, for each pair of tables; ``error`` ends it instead.
+PHASES = ["counting", "transfer", "validation", "finished", "error"]
+
+
+def _enter(spark: SparkSession, out: str, run_id: str, plan: TablePlan, phase: str, total_rows: int | None = None, issues: int | None = None) -> None:
+    row = spark.createDataFrame([(phase, total_rows, issues)], "phase string, total_rows long, issues long")
+    append_rows(row, os.path.join(out, "_phases"), run_id, PHASES.index(phase), source_table=plan.source_table, target_table=plan.target.name)
+
+
+def run_live(
+    streams: dict[str, DataFrame],
+    tables: dict[str, DataFrame],
+    plans: list[TablePlan],
+    out: str,
+    run_id: str,
+    checkpoint: str,
+    parents: dict[str, DataFrame] | None = None,
+    trigger: dict | None = None,
+) -> None:
+    """Move several tables live, through all phases, and return when the last one is reached.
+
+    ``streams`` and ``tables`` have each source table as a stream and as a
+    batch. Counting takes the totals of the batches; the streams of all pairs
+    run beside each other; each pair that arrived is validated against its
+    batch (see :func:`quality.run_validation`, on the columns mapped one to
+    one), whose rows go to ``_validation``. Every phase that is entered leaves
+    a row in ``_phases``, under run and phase, so a run that is started again
+    replaces its own. A pair whose stream fails is marked as an error, the
+    others go on, and the failure is raised at the end.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    for plan in plans:
+        _enter(spark, out, run_id, plan, "counting", tables[plan.source_table].count())
+    running = []
+    for plan in plans:
+        name = f"{plan.source_table}-{plan.target.name}"
+        running.append(migrate_stream(streams[plan.source_table], plan, out, run_id, os.path.join(checkpoint, name), parents, trigger))
+        _enter(spark, out, run_id, plan, "transfer")
+    broken = None
+    for plan, stream in zip(plans, running, strict=True):
+        try:
+            stream.awaitTermination()
+        except StreamingQueryException as exc:
+            _enter(spark, out, run_id, plan, "error")
+            broken = exc
+            continue
+        _enter(spark, out, run_id, plan, "validation")
+        target = spark.read.parquet(os.path.join(out, plan.target.name)).where(F.col("run_id") == run_id)
+        pairs = [(m.sources[0], m.targets[0]) for m in plan.mappings if m.kind == "1:1"]
+        rows = stage(quality.run_validation(tables[plan.source_table], target, pairs, plan.source_table, plan.target.name), "validation")
+        append_rows(rows.drop("source_table", "target_table"), os.path.join(out, "_validation"), run_id, source_table=plan.source_table, target_table=plan.target.name)
+        _enter(spark, out, run_id, plan, "finished", issues=quality.validation_issues(rows).first()["issues"])
+    if broken is not None:
+        raise broken
+
+
 def progress_totals(progress: DataFrame) -> DataFrame:
     """Running totals, batch by batch: of the table pair, and of all pairs of the run."""
     of_pair = Window.partitionBy("run_id", "source_table", "target_table").orderBy("batch_id").rowsBetween(Window.unboundedPreceding, 0)
@@ -96,9 +152,21 @@ def progress_latest(progress: DataFrame, expected: DataFrame | None = None) -> D
     return state.select(*keys, "batch_id", "rows", "migrated", "failed", status.alias("status"), pct.alias("progress_percent"))
 
 
-def progress_status(progress: DataFrame, run_id: str) -> DataFrame:
-    """Phase and overall totals of one run, table by table."""
-    return progress_latest(progress.where(F.col("run_id") == run_id))
+def progress_status(progress: DataFrame, run_id: str, phases: DataFrame | None = None) -> DataFrame:
+    """Totals of one run, table by table; with the phases of :func:`run_live` also the phase, and the counted total behind the percentage."""
+    keys = ["run_id", "source_table", "target_table"]
+    own = progress.where(F.col("run_id") == run_id)
+    if phases is None:
+        return progress_latest(own)
+    entered = phases.where(F.col("run_id") == run_id).groupBy(*keys).agg(
+        F.max(F.struct(F.col("batch_id").alias("at"), "phase"))["phase"].alias("phase"), F.max("total_rows").alias("total_rows"), F.max("issues").alias("issues")
+    )
+    state = progress_latest(own, entered.select(*keys, "total_rows"))
+    none = F.lit(0).cast("long")
+    return entered.join(state, keys, "left").select(
+        *keys, "phase", "total_rows", F.coalesce("migrated", none).alias("migrated"), F.coalesce("failed", none).alias("failed"), "issues",
+        F.coalesce("progress_percent", F.lit(0)).alias("progress_percent"),
+    )
 
 
 def newest_rejects(rejects: DataFrame, n: int = 50) -> DataFrame:

@@ -13,7 +13,7 @@ from corroborate.streaming import live
 from queries import inputs as I
 from queries import query
 from queries.grounding import GROUND, SCORES
-from queries.migration import _scratch
+from queries.migration import ORDERS_PLAN, _scratch
 
 EVENTS_PLAN = TablePlan(
     "events",
@@ -43,6 +43,62 @@ def stream_migrate(spark, sf):
     return spark.read.parquet(os.path.join(out, "activity")).select("activity_id", "kind", "amount")
 
 
+def _live(spark, sf) -> str:
+    """Events and orders move live side by side; the folder that the run wrote."""
+    out = _scratch(spark)
+    folders = {"events": os.path.join(out, "in-events"), "orders": os.path.join(out, "in-orders")}
+    events = I.table(spark, sf, "events").select("event_id", "event_type", "value")
+    orders = I.table(spark, sf, "orders")
+    events.repartition(3, "event_id").write.parquet(folders["events"])
+    events.where(F.col("event_type") == "error").coalesce(1).write.mode("append").parquet(folders["events"])
+    orders.repartition(2, "o_orderkey").write.parquet(folders["orders"])
+    schemas = {"events": events.schema, "orders": orders.schema}
+    streams = {k: spark.readStream.schema(schemas[k]).option("maxFilesPerTrigger", 1).parquet(v) for k, v in folders.items()}
+    tables = {k: spark.read.parquet(v) for k, v in folders.items()}
+    # customers of even keys alone are known, so that orders are rejected
+    known = {"customer": I.table(spark, sf, "customer").where(F.col("c_custkey") % 2 == 0)}
+    live.run_live(streams, tables, [EVENTS_PLAN, ORDERS_PLAN], out, "r1", os.path.join(out, "_checkpoint"), known)
+    return out
+
+
+LIVE = """with ev as (select event_id, event_type, value from events union all select event_id, event_type, value from events where event_type = 'error'),
+good_ev as (select * from events where event_type is not null and value >= 1),
+good_or as (select * from orders where o_orderstatus is not null and o_custkey in (select c_custkey from customer where c_custkey % 2 = 0)),
+val as (select 'events' as source_table, 'activity' as target_table, 'row_count' as "check", 'events -> activity' as item, (select count(*) from ev) as source_value, (select count(*) from good_ev) as target_value
+  union all select 'events', 'activity', 'nulls', 'event_id -> activity_id', (select count(*) filter (event_id is null) from ev), 0
+  union all select 'events', 'activity', 'nulls', 'event_type -> kind', (select count(*) filter (event_type is null) from ev), 0
+  union all select 'events', 'activity', 'nulls', 'value -> amount', (select count(*) filter (value is null) from ev), 0
+  union all select 'events', 'activity', 'duplicates', 'activity_id', null, 0
+  union all select 'orders', 'sales_orders', 'row_count', 'orders -> sales_orders', (select count(*) from orders), (select count(*) from good_or)
+  union all select 'orders', 'sales_orders', 'nulls', 'o_orderkey -> order_id', (select count(*) filter (o_orderkey is null) from orders), (select count(*) filter (o_orderkey is null) from good_or)
+  union all select 'orders', 'sales_orders', 'nulls', 'o_custkey -> customer_id', (select count(*) filter (o_custkey is null) from orders), (select count(*) filter (o_custkey is null) from good_or)
+  union all select 'orders', 'sales_orders', 'nulls', 'o_orderstatus -> status', (select count(*) filter (o_orderstatus is null) from orders), (select count(*) filter (o_orderstatus is null) from good_or)),
+judged as (select *, case when "check" = 'duplicates' then target_value = 0 else source_value = target_value end as matches from val)
+"""
+
+
+@query(
+    "live_phases",
+    f"""{LIVE}, c as (select 'events' as source_table, 'activity' as target_table, (select count(*) from ev) as total_rows, (select count(*) from good_ev) as migrated
+      union all select 'orders', 'sales_orders', (select count(*) from orders), (select count(*) from good_or))
+    select 'r1' as run_id, source_table, target_table, 'finished' as phase, total_rows, migrated, total_rows - migrated as failed,
+      (select count(*) filter (not matches and "check" in ('row_count', 'duplicates')) from judged j where j.source_table = c.source_table) as issues,
+      cast(round(migrated * 100.0 / total_rows) as integer) as progress_percent from c""",
+)
+def live_phases(spark, sf):
+    """The state of a live run of two table pairs, from what it wrote."""
+    out = _live(spark, sf)
+    read = lambda name: spark.read.parquet(os.path.join(out, name))
+    return live.progress_status(read("_progress"), "r1", read("_phases"))
+
+
+@query("live_validation", f"""{LIVE} select source_table, target_table, "check", item, cast(source_value as bigint) as source_value, cast(target_value as bigint) as target_value, matches from judged""")
+def live_validation(spark, sf):
+    """What the validation after the transfer found."""
+    rows = spark.read.parquet(os.path.join(_live(spark, sf), "_validation"))
+    return rows.select("source_table", "target_table", "check", "item", "source_value", "target_value", "matches")
+
+
 @query("stream_grounding", f"{GROUND}, {SCORES} select doc_id, total, supported, contradicted, unverifiable from scores")
 def stream_grounding(spark, sf):
     out = _scratch(spark)

@@ -230,3 +230,28 @@ def test_stream_equals_batch_also_after_replay(spark, tmp_path):
     run(tmp_path / "again")
     again, progress = state()
     assert again == keys and progress.count() == 3
+
+
+def test_live_run_goes_through_all_phases(spark, tmp_path):
+    schema = "id long, k long, n string, v string"
+    rows = {"old": spark.createDataFrame([(1, 1, "n m", "1"), (2, 1, "n m", "2"), (3, 3, None, "3")], schema), "bad": spark.createDataFrame([(1, 1, "n m", "1")], schema)}
+    out, arrivals = str(tmp_path / "out"), {k: str(tmp_path / f"in-{k}") for k in rows}
+    for k, df in rows.items():
+        df.coalesce(1).write.parquet(arrivals[k])
+    plans = [TablePlan("old", TableSpec("new", ("key",), (), ("name",)), PLAN.mappings, ("id",)), TablePlan("bad", TableSpec("worse", ("key",), checks={"wrong": "no_such_column > 1"}), PLAN.mappings, ("id",))]
+
+    def run(some, run_id):
+        streams = {k: stream_of(spark, arrivals[k], rows[k].schema) for k in rows}
+        live.run_live(streams, rows, some, out, run_id, str(tmp_path / f"ckpt-{run_id}"))
+
+    def status(run_id):
+        read = lambda name: spark.read.parquet(os.path.join(out, name))
+        return {r.source_table: (r.phase, r.total_rows, r.migrated, r.failed, r.issues, r.progress_percent) for r in live.progress_status(read("_progress"), run_id, read("_phases")).collect()}
+
+    run(plans[:1], "r1")
+    assert status("r1") == {"old": ("finished", 3, 1, 2, 1, 33)}
+    entered = spark.read.parquet(os.path.join(out, "_phases")).orderBy("batch_id")
+    assert [r.phase for r in entered.collect()] == ["counting", "transfer", "validation", "finished"]
+    with pytest.raises(Exception):
+        run(plans[::-1], "r2")
+    assert {k: v[0] for k, v in status("r2").items()} == {"old": "finished", "bad": "error"}
