@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,14 +44,34 @@ def as_text_columns(df: DataFrame, columns: list[str] | None = None) -> DataFram
     return df.select(F.inline(F.array(*pairs)))
 
 
+def _smallest(df: DataFrame, k: int) -> DataFrame:
+    """``(column_name, value)``: the ``k`` smallest distinct values of every text column, as far as each task knows."""
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[str]] = {name: [] for name in names}
+        for batch in batches:
+            for name, column in zip(names, batch.columns, strict=True):
+                if len(held[name]) == k:
+                    column = column.filter(pc.less(column, held[name][-1]))
+                if len(column) - column.null_count:
+                    held[name] = sorted({*held[name], *pc.unique(column.drop_null()).to_pylist()})[:k]
+        found = [(name, value) for name, values in held.items() for value in values]
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.string()) for i in (0, 1)], names=["column_name", "value"])
+
+    return df.mapInArrow(run, "column_name string, value string")
+
+
 def sample_values(df: DataFrame, limit: int = 5) -> DataFrame:
     """The ``limit`` smallest distinct non-null values of every column.
 
-    Values are made distinct map-side first; the per-column ranking keeps only
-    ``limit`` rows per task before it shuffles (window group limit).
+    One scan for all columns: a task keeps the smallest it has seen, so at most
+    ``limit`` values per column and task are shuffled, whatever the table holds.
     """
     simple = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))]
-    distinct = as_text_columns(df, simple).where(F.col("value").isNotNull()).distinct()
+    if not simple:
+        return df.sparkSession.createDataFrame([], "column_name string, value string, rank int")
+    distinct = _smallest(df.select(*[F.col(c).cast("string").alias(c) for c in simple]), limit).distinct()
     first = Window.partitionBy("column_name").orderBy("value")
     return distinct.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= limit)
 

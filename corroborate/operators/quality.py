@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corroborate.functions.text import fixed
-from corroborate.functions.types import family
+from corroborate.functions.types import family, parse_double
 from corroborate.specs import TableSpec
 
 
@@ -278,16 +278,21 @@ def compare_columns(
 
 
 def distributions(df: DataFrame, columns: list[str], accuracy: int = 10000) -> DataFrame:
-    """Count, min, max, mean, standard deviation and quartiles of numeric columns, in one scan."""
+    """Count, min, max, mean, standard deviation and quartiles of columns, in one scan. Text counts where it is a number."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+
+    def number(c: str) -> Column:
+        return parse_double(F.col(c)) if isinstance(kinds[c], T.StringType) else F.col(c).cast("double")
+
     stats = [
         F.struct(
             F.lit(c).alias("column_name"),
-            F.count(c).alias("n"),
-            F.min(F.col(c).cast("double")).alias("low"),
-            F.max(F.col(c).cast("double")).alias("high"),
-            F.avg(F.col(c).cast("double")).alias("mean"),
-            F.stddev_samp(F.col(c).cast("double")).alias("stddev"),
-            F.percentile_approx(F.col(c).cast("double"), [0.25, 0.5, 0.75], accuracy).alias("quartiles"),
+            F.count(number(c)).alias("n"),
+            F.min(number(c)).alias("low"),
+            F.max(number(c)).alias("high"),
+            F.avg(number(c)).alias("mean"),
+            F.stddev_samp(number(c)).alias("stddev"),
+            F.percentile_approx(number(c), [0.25, 0.5, 0.75], accuracy).alias("quartiles"),
         )
         for c in columns
     ]
@@ -326,7 +331,7 @@ def post_migration_suite(
 ) -> DataFrame:
     if numeric is None:
         kinds = {f.name: f.dataType for f in source.schema.fields} , {f.name: f.dataType for f in target.schema.fields}
-        numeric = [(a, b) for a, b in pairs if isinstance(kinds[0][a], T.NumericType) and isinstance(kinds[1][b], T.NumericType)]
+        numeric = [(a, b) for a, b in pairs if isinstance(kinds[0][a], (T.NumericType, T.StringType)) and isinstance(kinds[1][b], T.NumericType)]
     checks = [
         compare_counts(source, target, source_name, target_name),
         compare_columns(source, target, pairs, source_name, target_name, exact),

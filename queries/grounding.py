@@ -595,37 +595,41 @@ def correction_summary(spark, sf):
     return correct.correction_summary(g.docs, g.corrections())
 
 
-def _first_claims(spark, sf):
-    """The first claim of every answer, to be put in brackets."""
-    first = claims.atomize_claims(I.answers(spark, sf)).where(F.col("claim_index") == 0)
-    return first.select("doc_id", "claim_index", F.col("claim").alias("original_claim"), F.concat(F.lit("["), "claim", F.lit("]")).alias("suggested_correction"))
+def _bracketed(spark, sf):
+    """Every claim of every answer, to be put in brackets."""
+    each = claims.atomize_claims(I.answers(spark, sf))
+    return each.select("doc_id", "claim_index", F.col("claim").alias("original_claim"), F.concat(F.lit("["), "claim", F.lit("]")).alias("suggested_correction"))
 
 
 @query(
     "corrected_document",
-    f"""{CLAIMS_OF_ANSWERS} select t.doc_id, case when strpos(lower(text), lower(claim)) > 0 and length(claim) > 0
-      then substring(text, 1, strpos(lower(text), lower(claim)) - 1) || '[' || claim || ']' || substring(text, strpos(lower(text), lower(claim)) + length(claim))
-      else text end as corrected_text
-    from texts t left join claims c on c.doc_id = t.doc_id and c.claim_index = 0""",
+    f"""{CLAIMS_OF_ANSWERS}, folds as (select doc_id, list(claim order by length(claim) desc, claim_index) as cs from claims group by doc_id)
+    select t.doc_id, case when cs is null then text else list_reduce(cs, lambda t, c: case when length(c) > 0 and strpos(lower(t), lower(c)) > 0
+      then substring(t, 1, strpos(lower(t), lower(c)) - 1) || '[' || c || ']' || substring(t, strpos(lower(t), lower(c)) + length(c)) else t end, text) end as corrected_text
+    from texts t left join folds f on f.doc_id = t.doc_id""",
 )
 def corrected_document(spark, sf):
-    return correct.corrected_documents(I.answers(spark, sf), _first_claims(spark, sf))
+    return correct.corrected_documents(I.answers(spark, sf), _bracketed(spark, sf))
 
 
 @query(
     "grounding_report",
-    f"""{GROUND}, {SCORES}, {CITED}, {FIXES} select s.doc_id, total, supported, contradicted, unverifiable, round(trust_score, 6) as trust_score,
-    coalesce(a.n, 0) as n_annotations, coalesce(c.n, 0) as n_citations, coalesce(f.n, 0) as n_corrections
-    from scores s left join (select doc_id, count(*) as n from positions group by 1) a using (doc_id)
-    left join (select doc_id, count(*) as n from citations group by 1) c using (doc_id)
-    left join (select doc_id, count(*) as n from fixes group by 1) f using (doc_id)""",
+    f"""{GROUND}, {SCORES}, {CITED}, {FIXES} select s.doc_id, total, supported, contradicted, unverifiable, round(trust_score, 6) as trust_score, a.said as annotations, c.said as citations, f.said as corrections
+    from scores s left join (select doc_id, string_agg(start || '-' || "end" || ' ' || status || ' ' || claim_index, chr(10) order by start, "end", claim_index) as said from positions group by 1) a using (doc_id)
+    left join (select doc_id, string_agg(citation_number || ' ' || claim_index || ' ' || ev_source || ' ' || ev_page || ' ' || ev_text, chr(10) order by citation_number) as said from citations group by 1) c using (doc_id)
+    left join (select doc_id, string_agg(claim_index || ' ' || claim || ' ' || sentence || ' ' || ev_source || ' ' || ev_page, chr(10) order by claim_index) as said from fixes group by 1) f using (doc_id)""",
 )
 def grounding_report(spark, sf):
-    def count(name: str):
-        return F.coalesce(F.size(name), F.lit(0)).cast("bigint").alias(f"n_{name}")
+    """One row per text, with what its annotations, citations and corrections say."""
+
+    def said(name: str, order: list[str], *fields: str):
+        lines = F.transform(F.array_sort(F.transform(name, lambda x: F.struct(*[x[c].alias(f"o{i}") for i, c in enumerate(order)], x.alias("x")))), lambda y: F.concat_ws(" ", *[y["x"][c] if c != "span" else F.concat_ws("-", y["x"]["start"], y["x"]["end"]) for c in fields]))
+        return F.when(F.size(name) > 0, F.array_join(lines, "\n")).alias(name)
 
     report = job(spark, sf).report()
     return report.select(
         "doc_id", "total", "supported", "contradicted", "unverifiable", F.round("trust_score", 6).alias("trust_score"),
-        count("annotations"), count("citations"), count("corrections"),
+        said("annotations", ["start", "end", "claim_index"], "span", "status", "claim_index"),
+        said("citations", ["citation_number"], "citation_number", "claim_index", "source_file", "source_page", "evidence_text"),
+        said("corrections", ["claim_index"], "claim_index", "original_claim", "suggested_correction", "source", "page"),
     )

@@ -223,10 +223,20 @@ def schema_compare(spark, sf):
     return profile.compare_names(I.legacy_columns(spark, sf), I.modern_columns(spark, sf), "column_name")
 
 
+#: The text columns of the tables; the Spark side takes them from the schemas.
+TEXT_COLUMNS = {
+    "customer": ["c_name", "c_mktsegment"],
+    "orders": ["o_orderstatus", "o_orderpriority"],
+    "lineitem": ["l_returnflag", "l_linestatus"],
+    "nation": ["n_name"],
+    "region": ["r_name"],
+    "part": ["p_name", "p_brand", "p_type"],
+    "supplier": ["s_name"],
+}
+
+
 def _split_sql() -> str:
-    long = " union all ".join(
-        f"select '{c}' as column_name, {c} as value from {t}" for t, c in (("part", "p_name"), ("part", "p_brand"), ("orders", "o_orderpriority"), ("customer", "c_name"))
-    )
+    long = " union all ".join(f"select '{c}' as column_name, {c} as value from {t}" for t, cs in TEXT_COLUMNS.items() for c in cs)
     hits = ", ".join(f"count(*) filter (contains(value, '{d}')) as h{i}, sum(len(string_split(value, '{d}'))) / count(*) as a{i}" for i, d in enumerate(L.SPLIT_DELIMITERS))
     rows = " union all ".join(f"select column_name, '{d}' as recommended_delimiter, h{i} as h, a{i} as a, {i} as i, n, example from stats" for i, d in enumerate(L.SPLIT_DELIMITERS))
     return f"""with long as ({long}), stats as (select column_name, count(*) as n, min(value) as example, {hits} from long where value is not null group by 1),
@@ -236,11 +246,11 @@ def _split_sql() -> str:
 
 @query("split_candidates", _split_sql())
 def split_candidates(spark, sf):
-    found = [
-        profile.split_candidates(I.table(spark, sf, t), cols)
-        for t, cols in (("part", ["p_name", "p_brand"]), ("orders", ["o_orderpriority"]), ("customer", ["c_name"]))
-    ]
-    return found[0].union(found[1]).union(found[2]).withColumn("sample", F.array_join("sample", "~"))
+    found = None
+    for df in tables(spark, sf).values():
+        each = profile.split_candidates(df, [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"])
+        found = each if found is None else found.union(each)
+    return found.withColumn("sample", F.array_join("sample", "~"))
 
 
 def _merge_sql() -> str:
@@ -575,16 +585,15 @@ def mapping_search(spark, sf):
 
 def _kind_sql() -> str:
     num, text = "int|float|real|numeric|decimal|double|bool", "text|varchar|char|string"
-    return f"""select source_table, source_column, target_table, target_column, source_type, target_type, source_pk, case when s <> t and (regexp_matches(s, '{num}') <> regexp_matches(t, '{num}') or regexp_matches(s, '{text}') <> regexp_matches(t, '{text}')) then 'cast'
-    when source_pk then 'transform' else 'direct' end as kind from (select *, lower(source_type) as s, lower(target_type) as t from ({MET}) where source_nullable and target_nullable)"""
+    return f"""select source_table, source_column, target_table, target_column, source_type, target_type, source_pk, source_nullable, target_pk, target_nullable, case when s <> t and (regexp_matches(s, '{num}') <> regexp_matches(t, '{num}') or regexp_matches(s, '{text}') <> regexp_matches(t, '{text}')) then 'cast'
+    when source_pk then 'transform' else 'direct' end as kind from (select *, lower(source_type) as s, lower(target_type) as t from ({MET}))"""
 
 
 @query("mapping_kind", _kind_sql())
 def mapping_kind(spark, sf):
     how = F.when(F.col("source_pk"), "split on blank").otherwise("none")
-    rows = met(spark, sf).where(F.col("source_nullable") & F.col("target_nullable"))
-    return rows.select(
-        "source_table", "source_column", "target_table", "target_column", "source_type", "target_type", "source_pk",
+    return met(spark, sf).select(
+        "source_table", "source_column", "target_table", "target_column", "source_type", "target_type", "source_pk", "source_nullable", "target_pk", "target_nullable",
         match.mapping_kind(F.col("source_type"), F.col("target_type"), how, F.lit("1:1")).alias("kind"),
     )
 

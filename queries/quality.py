@@ -11,6 +11,7 @@ from corroborate.operators import quality as Q
 from corroborate.specs import ForeignKey, TableSpec
 from queries import inputs as I
 from queries import query
+from queries.migration import CUSTOMER_PLAN
 
 SPECS = {
     "customer": TableSpec("customer", ("c_custkey",), (ForeignKey("c_nationkey", "nation", "n_nationkey"),)),
@@ -168,7 +169,9 @@ def pre_migration_suite(spark, sf):
 # --- source against target ------------------------------------------------------
 # Source: the faulty customer table. Target: what the router accepts of it.
 
-PAIRS = [("cust_id", "customer_id"), ("cust_name", "full_name"), ("nation", "nation_id"), ("tier", "tier")]
+# Compared are all pairs of the plan, those that are split or merged among them.
+
+PAIRS = [(a, b) for m in CUSTOMER_PLAN.mappings for a in m.sources for b in m.targets]
 
 
 def target(spark, sf):
@@ -201,7 +204,9 @@ def columns_sql() -> str:
     return " union all ".join(one(a, b) for a, b in PAIRS)
 
 
-DISTRIBUTION_PAIRS = [("cust_id", "customer_id"), ("nation", "nation_id")]
+# pairs whose target is a number; text on the source side is read as one
+DISTRIBUTION_PAIRS = [("cust_id", "customer_id"), ("nation", "nation_id"), ("bal_text", "balance")]
+AS_NUMBER = {"bal_text": r"case when regexp_matches(bal_text, '^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$') then cast(trim(bal_text) as double) end"}
 
 
 def distributions_sql() -> str:
@@ -213,7 +218,7 @@ def distributions_sql() -> str:
         return f"""select 'cust → customers' as table_name, 'Distribution Comparison: {a} → {b}' as check_name, case when {bad} then 'warning' else 'passed' end as status,
         case when {bad} then 'medium' else 'low' end as severity, case when {bad} then 'Distributions differ' else 'Distribution comparison completed' end as message,
         'source_mean=' || printf('%.4f', sm) || ' | target_mean=' || printf('%.4f', tm) as details
-        from (select avg({a}) as sm, stddev_samp({a}) as sd from src), (select avg({b}) as tm, stddev_samp({b}) as td from tgt)"""
+        from (select avg({AS_NUMBER.get(a, a)}) as sm, stddev_samp({AS_NUMBER.get(a, a)}) as sd from src), (select avg({b}) as tm, stddev_samp({b}) as td from tgt)"""
 
     return " union all ".join(one(a, b) for a, b in DISTRIBUTION_PAIRS)
 
