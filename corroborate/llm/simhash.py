@@ -20,7 +20,9 @@ BITS, PARTS = 64, 4
 _PART = BITS // PARTS
 _FRONTIER = 1 << 20
 _SHINGLES = 1 << 16
-_COLUMNS = 1 << 13
+_COLUMNS = 1 << 11
+#: Reps of a block's largest group, by which blocks are joined.
+_REPS = 64
 
 
 def fingerprint(text: str | None, width: int = 3) -> tuple[int, int]:
@@ -257,31 +259,61 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     return np.unique(np.fromiter(map(xxh64_intdigest, shingles, repeat(42)), dtype=np.uint64))
 
 
-def sketch(hashes: np.ndarray, prints: int) -> tuple[int, list[int]]:
-    """A hash of a shingle set and ``prints`` SimHash fingerprints of it, each from its own rehash, as signed 64-bit numbers."""
+def sketch(hashes: np.ndarray, prints: int) -> list[int]:
+    """``prints`` SimHash fingerprints of a shingle set, each from its own rehash, as signed 64-bit numbers."""
     ones = np.zeros(prints * BITS, dtype=np.int64)
     salts = np.arange(prints, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for start in range(0, len(hashes), _SHINGLES):
         each = mix(hashes[start : start + _SHINGLES, None] + salts).astype(">u8")
         ones += np.unpackbits(each.view(np.uint8).reshape(len(each), -1), axis=1).sum(axis=0, dtype=np.int64)
-    name = np.uint64(xxh64_intdigest(hashes.tobytes(), seed=42)).astype(np.int64)
-    return int(name), np.packbits(2 * ones > len(hashes)).view(">i8").tolist()
+    return np.packbits(2 * ones > len(hashes)).view(">i8").tolist()
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, prints: int) -> DataFrame:
-    """``(id, text_hash, node, f0, f1, ...)`` per row: ``node`` names the text's shingle set."""
+def least_hashes(hashes: np.ndarray, similarity: float, most: int = 32) -> np.ndarray:
+    """The least of a set's hashes: at most ``most``, and so many that a set of at least ``similarity`` has one of them in common."""
+    return hashes[: min(most, len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1)]
+
+
+def outlines(docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
+    """``(id, text_hash, node, least)`` per row: ``node`` names the text's shingle set, ``least`` are its least hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sketch(shingle_set(text.as_py(), width), prints) for text in batch.column(2)]
-            columns = np.array([p for _, p in found], dtype=np.int64).reshape(-1, prints).T
-            nodes = pa.array([node for node, _ in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), nodes, *map(pa.array, columns)], names=[id_col, "text_hash", "node", *names])
+            nodes, least = [], []
+            for text in batch.column(2):
+                hashes = shingle_set(text.as_py(), width)
+                nodes.append(int(np.uint64(xxh64_intdigest(hashes.tobytes(), seed=42)).astype(np.int64)))
+                least.append(least_hashes(hashes, similarity).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(least, pa.list_(pa.int64()))], names=[id_col, "text_hash", "node", "least"])
 
-    names = [f"f{k}" for k in range(prints)]
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(id_col, F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, text_hash long, node long, " + ", ".join(f"{name} long" for name in names))
+    return rows.mapInArrow(run, f"`{id_col}` {kind}, text_hash long, node long, least array<long>")
+
+
+def held_elsewhere(nodes: DataFrame, share: float = 0.2) -> DataFrame:
+    """``(node)`` of the sets of which others hold a ``share`` of the least hashes, one at least.
+
+    A set that shares 0.8 of its hashes with another holds about as large a
+    part of its least ones in common; with none in common it has no near copy.
+    """
+    each = nodes.select("node", F.size("least").alias("size"), F.explode("least").alias("h"))
+    shared = each.groupBy("h").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("h")
+    found = each.join(shared, "h").groupBy("node", "size").agg(F.count("*").alias("n"))
+    return found.where(F.col("n") >= F.greatest(F.lit(1.0), F.col("size") * share)).select("node")
+
+
+def drawn_sets(texts: DataFrame, width: int, prints: int) -> DataFrame:
+    """``(node, hashes, f0, f1, ...)`` per row of ``texts(node, text)``: the shingle set and its fingerprints."""
+    names = [f"f{k}" for k in range(prints)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(text.as_py(), width) for text in batch.column(1)]
+            columns = np.array([sketch(hashes, prints) for hashes in sets], dtype=np.int64).reshape(-1, prints).T
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())), *map(pa.array, columns)], names=["node", "hashes", *names])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, hashes array<long>, " + ", ".join(f"{name} long" for name in names))
 
 
 def similar(left: list[np.ndarray], right: list[np.ndarray] | None, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -305,13 +337,25 @@ def similar(left: list[np.ndarray], right: list[np.ndarray] | None, similarity:
     return np.nonzero(np.triu(near, 1) if right is None else near)
 
 
-def candidates(nodes: DataFrame, prints: int, budget: int, both: int, leaf: int = 4096) -> DataFrame:
+def thinned(found: DataFrame) -> DataFrame:
+    """``found(u, v)`` with as many links as join the same values: each key's links go to its least neighbour.
+
+    ``v`` names a group that a unit found, so a key has as many links as units
+    found it, and few names have many keys: what is left is a link per key and
+    one per two names that share a key.
+    """
+    held = found.groupBy("u").agg(F.collect_set("v").alias("vs"))
+    ends = F.explode(F.concat(F.array("u"), "vs"))
+    return held.select(ends.alias("u"), F.least("u", F.array_min("vs")).alias("v")).where("u <> v").distinct()
+
+
+def candidates(nodes: DataFrame, prints: int, budget: int, both: int, leaf: int = 16384) -> DataFrame:
     """``(node, root)``: components of the sets that any pair of fingerprints finds near (see :func:`links`)."""
     edges = None
     for k in range(0, prints, 2):
         pair = nodes.select("node", F.col(f"f{k}").alias("fingerprint"), F.col(f"f{k + 1}").alias("second"))
         named = stage(pair.groupBy("fingerprint").agg(F.min("node").alias("rep")), "near-names")
-        found = links(pair, budget, both, leaf)
+        found = stage(thinned(links(pair, budget, both, leaf)), "near-links")
         found = found.join(named.withColumnsRenamed({"fingerprint": "u", "rep": "a"}), "u").join(named.withColumnsRenamed({"fingerprint": "v", "rep": "b"}), "v")
         equal = pair.join(named, "fingerprint").where("node <> rep").select(F.col("node").alias("u"), F.col("rep").alias("v"))
         found = found.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(equal)
@@ -319,55 +363,115 @@ def candidates(nodes: DataFrame, prints: int, budget: int, both: int, leaf: int
     return components(edges)
 
 
-def verified(sets: DataFrame, similarity: float, block: int = 512) -> DataFrame:
-    """Links ``(u, v)`` that join all of ``sets(root, node, hashes)`` of one root whose exact Jaccard similarity is at least ``similarity``.
+def _near(hashes: list[np.ndarray], similarity: float, tile: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of near sets, compared tile by tile."""
+    for a in range(0, len(hashes), tile):
+        for b in range(a, len(hashes), tile):
+            i, j = similar(hashes[a : a + tile], None if a == b else hashes[b : b + tile], similarity)
+            yield i + a, j + b
+
+
+def _sets(group: pa.Table) -> list[np.ndarray]:
+    return [np.asarray(h.values).view(np.uint64) for h in group.column("hashes")]
 
-    A root's sets are dealt to blocks by their hash and every two blocks meet
-    in a group of their own, so no task holds more than two blocks and no row
-    is made per pair.
-    """
-    blocks = sets.groupBy("root").agg(F.ceil(F.count("*") / block).alias("m"))
-    dealt = sets.join(blocks, "root").withColumn("own", F.pmod(F.xxhash64("node"), "m"))
-    guests = F.transform(F.sequence(F.lit(0).cast("long"), F.col("m") - 1), lambda x: F.struct(F.least(x, "own").alias("low"), F.greatest(x, "own").alias("high")))
-    met = dealt.select("root", "node", "hashes", "own", F.explode(guests).alias("at")).select("root", "node", "hashes", "own", "at.low", "at.high")
+
+def _within(similarity: float) -> Callable[[pa.Table], pa.Table]:
+    """``(root, node, label, rep, size)`` for a block: its sets by group, and a few of the largest group to stand for it."""
+
+    def run(group: pa.Table) -> pa.Table:
+        names = group.column("node").to_numpy()
+        root = _forest(len(names), _near(_sets(group), similarity))
+        sizes = np.bincount(root, minlength=len(names))
+        rep = np.zeros(len(names), dtype=bool)
+        rep[np.flatnonzero(root == sizes.argmax())[:_REPS]] = True
+        return pa.table({"root": group.column("root"), "node": names, "label": names[root], "rep": rep, "size": sizes[root]})
+
+    return run
+
+
+def _joined(similarity: float) -> Callable[[pa.Table], pa.Table]:
+    """``(root, label, merged, main)`` for the blocks of a component: which of their largest groups are one, and whether it is the largest of all."""
+
+    def run(group: pa.Table) -> pa.Table:
+        names, first = np.unique(group.column("label").to_numpy(), return_index=True)
+        own = np.searchsorted(names, group.column("label").to_numpy())
+        pairs = ((own[i], own[j]) for i, j in _near(_sets(group), similarity))
+        root = _forest(len(names), pairs)
+        total = np.bincount(root, weights=group.column("size").to_numpy()[first], minlength=len(names))
+        return pa.table({"root": np.full(len(names), group.column("root")[0].as_py()), "label": names, "merged": names[root], "main": root == total.argmax()})
+
+    return run
+
+
+def _across(similarity: float) -> Callable[[pa.Table], pa.Table]:
+    """Links ``(u, v)`` between a block's sets and sets of other blocks that visit it."""
 
     def run(group: pa.Table) -> pa.Table:
-        names, own = group.column("node").to_numpy(), group.column("own").to_numpy()
-        hashes = [np.asarray(h.values).view(np.uint64) for h in group.column("hashes")]
-        low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
-        left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
+        names, guest, sets = group.column("node").to_numpy(), group.column("guest").to_numpy(zero_copy_only=False), _sets(group)
+        hosts, guests = np.flatnonzero(~guest), np.flatnonzero(guest)
         out = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-        if not len(left) or not len(right):
+        if not len(hosts) or not len(guests):
             return out.empty_table()
-        i, j = similar([hashes[x] for x in left], None if low == high else [hashes[x] for x in right], similarity)
-        root = _forest(len(names), iter([(left[i], right[j])]))
+        i, j = similar([sets[x] for x in hosts], [sets[x] for x in guests], similarity)
+        root = _forest(len(names), iter([(hosts[i], guests[j])]))
         tied = np.flatnonzero(root != np.arange(len(names)))
         return pa.table({"u": names[tied], "v": names[root[tied]]}, schema=out)
 
-    return met.groupBy("root", "low", "high").applyInArrow(run, "u long, v long")
+    return run
+
+
+def verified(sets: DataFrame, similarity: float, block: int = 2048, size: int = 1 << 21) -> DataFrame:
+    """Links ``(u, v)`` that join all of ``sets(root, node, hashes)`` of one root whose exact Jaccard similarity is at least ``similarity``.
+
+    A root's sets are dealt to blocks by their hash, of about ``block`` sets
+    and ``size`` hashes; a block's sets are compared in one task, which ends
+    most roots. Of a root with more blocks, a few sets of each block's largest
+    group are compared next, which finds the group that most of the root's sets
+    are in. Two of its members need no comparison: only sets outside it visit
+    the other blocks. So a large group of near copies costs a link a member,
+    and the square is that of the sets outside it.
+    """
+    shape = "u long, v long"
+    count = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum(F.size("hashes")) / size))
+    blocks = sets.groupBy("root").agg(count.alias("m"))
+    dealt = stage(sets.join(blocks, "root").withColumn("own", F.pmod(F.xxhash64("node"), "m")), "near-blocks")
+    own = dealt.select("root", "own", "node", "hashes").groupBy("root", "own").applyInArrow(_within(similarity), "root long, node long, label long, rep boolean, size long")
+    labels = stage(own, "near-labels")
+    found = labels.where("node <> label").select(F.col("node").alias("u"), F.col("label").alias("v"))
+    large = dealt.where("m > 1")
+    if large.isEmpty():
+        return found
+
+    held = stage(large.join(labels, ["root", "node"]), "near-large")
+    joined = stage(held.where("rep").select("root", "label", "size", "hashes").groupBy("root").applyInArrow(_joined(similarity), "root long, label long, merged long, main boolean"), "near-joined")
+    found = found.unionByName(joined.where("label <> merged").select(F.col("label").alias("u"), F.col("merged").alias("v")))
+    marked = held.join(joined.where("main").select("root", "label", "main"), ["root", "label"], "left").select("root", "node", "hashes", "own", "m", F.col("main").isNull().alias("apart"))
+    chunks = marked.where("apart").groupBy("root").agg(count.alias("c"))
+    marked = stage(marked.join(chunks, "root"), "near-apart")
+    at = F.sequence(F.lit(0).cast("long"), F.col("c") - 1)
+    hosts = marked.select("root", "node", "hashes", F.lit(False).alias("guest"), F.col("own").alias("at"), F.explode(at).alias("chunk"))
+    there = F.filter(F.sequence(F.lit(0).cast("long"), F.col("m") - 1), lambda x: x != F.col("own"))
+    guests = marked.where("apart").select("root", "node", "hashes", F.lit(True).alias("guest"), F.explode(there).alias("at"), F.pmod(F.xxhash64("node", F.lit(1)), "c").alias("chunk"))
+    return found.unionByName(hosts.unionByName(guests).groupBy("root", "at", "chunk").applyInArrow(_across(similarity), shape))
 
 
 def near_groups(docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float, prints: int, budget: int, both: int) -> DataFrame:
     """``(id, text_hash, root)`` per row: single linkage of texts whose shingle sets have a Jaccard similarity of at least ``similarity``.
 
-    Fingerprints only look for candidates; within a component of candidates all
-    pairs of sets are compared. Texts without words are one group.
+    Sets of which no other holds enough of the least hashes have no near copy
+    and end there. Of the others fingerprints are drawn, which only look for
+    candidates; within a component of candidates the sets are compared. Texts
+    without words are one group.
     """
-    drawn = stage(sketches(docs, id_col, text_col, width, prints), "simhash")
+    drawn = stage(outlines(docs, id_col, text_col, width, similarity), "simhash")
     nodes = stage(drawn.dropDuplicates(["node"]), "simhash-nodes")
-    tied = stage(candidates(nodes, prints, budget, both), "near-candidates")
-    tied = tied.unionByName(tied.select(F.col("root").alias("node"), "root").distinct())
-    asked = nodes.join(tied, "node").select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash"), "node", "root")
+    asked = nodes.join(held_elsewhere(nodes), "node").select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash"), "node")
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
-    texts = texts.join(stage(asked, "near-asked"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))).select("root", "node", "text").dropDuplicates(["node"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(text.as_py(), width).view(np.int64) for text in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int64()))], names=["root", "node", "hashes"])
-
-    sets = stage(texts.mapInArrow(run, "root long, node long, hashes array<long>"), "near-sets")
-    roots = components(verified(sets, similarity))
+    texts = texts.join(stage(asked, "near-asked"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))).select("node", "text").dropDuplicates(["node"])
+    sets = stage(drawn_sets(texts, width, prints), "near-sets")
+    tied = stage(candidates(sets.drop("hashes"), prints, budget, both), "near-candidates")
+    tied = tied.unionByName(tied.select(F.col("root").alias("node"), "root").distinct())
+    roots = components(verified(sets.select("node", "hashes").join(tied, "node").select("root", "node", "hashes"), similarity))
     return drawn.select(id_col, "text_hash", "node").join(roots, "node", "left").select(id_col, "text_hash", F.coalesce("root", "node").alias("root"))
 
 
@@ -377,7 +481,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     Two texts are linked if the Jaccard similarity of their sets of different
     shingles (64-bit hashes) is at least ``similarity``. Two texts that share
     0.8 of their shingles differ in 0.15 of a fingerprint's bits on average:
-    candidates are those within ``budget`` of 64 bits by one of ``prints``
+    candidates share some least hashes with others, and lie within ``budget`` of 64 bits by one of ``prints``
     fingerprints, and within ``both`` of 128 with the fingerprint beside it.
     """
     found = stage(near_groups(docs, id_col, text_col, width, similarity, prints, budget, both), "simhash-groups")
