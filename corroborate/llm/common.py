@@ -41,6 +41,22 @@ def held_out(id_col: str, modulus: int) -> Column:
     return F.coalesce(remainder(id_col, modulus) == 2, F.lit(False))
 
 
+def with_guess(rows: DataFrame, keys: DataFrame, columns: list[str], words: int = 1 << 20) -> DataFrame:
+    """``rows`` with ``guess``: false only where ``keys`` has no row of the same ``columns``.
+
+    A filter of one bit per hash, in at most ``words`` words of 64 bits, is
+    broadcast, so its size is bounded whatever ``keys`` holds (some million
+    keys more, and more guesses are wrong). Only guessed rows need the join.
+    ``keys`` should be staged: it is counted first. Nulls are values.
+    """
+    size = min(words, max(64, 1 << (keys.count() // 4).bit_length()))
+    place = F.pmod(F.xxhash64(*columns, F.lit(7)), F.lit(64 * size))
+    word, bit = F.shiftright(place, 6).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int"))
+    filled = keys.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    met = rows.withColumns({"_at": word, "_bit": bit}).join(F.broadcast(filled), F.col("_at") == F.col("_word"), "left")
+    return met.withColumn("guess", F.coalesce(F.col("_bits").bitwiseAND(F.col("_bit")) != 0, F.lit(False))).drop("_at", "_bit", "_word", "_bits")
+
+
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BYTE = np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.uint64)

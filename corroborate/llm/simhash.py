@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from corroborate.llm.common import mix, query, table
+from corroborate.llm.common import mix, query, table, with_guess
 from corroborate.session import stage
 
 #: Bits of a fingerprint, and the parts by which an error budget is spread.
@@ -465,9 +465,11 @@ def near_groups(docs: DataFrame, id_col: str, text_col: str, width: int, similar
     """
     drawn = stage(outlines(docs, id_col, text_col, width, similarity), "simhash")
     nodes = stage(drawn.dropDuplicates(["node"]), "simhash-nodes")
-    asked = nodes.join(held_elsewhere(nodes), "node").select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash"), "node")
+    asked = stage(nodes.join(held_elsewhere(nodes), "node").select(F.col(id_col).alias("id"), F.col("text_hash").alias("hash"), "node"), "near-asked")
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
-    texts = texts.join(stage(asked, "near-asked"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))).select("node", "text").dropDuplicates(["node"])
+    # most texts are not asked for, and not shuffled
+    texts = with_guess(texts, asked, ["id", "hash"]).where("guess").join(asked.withColumnsRenamed({"id": "_id", "hash": "_hash"}), F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")))
+    texts = texts.select("node", "text").dropDuplicates(["node"])
     sets = stage(drawn_sets(texts, width, prints), "near-sets")
     tied = stage(candidates(sets.drop("hashes"), prints, budget, both), "near-candidates")
     tied = tied.unionByName(tied.select(F.col("root").alias("node"), "root").distinct())
@@ -487,11 +489,16 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     found = stage(near_groups(docs, id_col, text_col, width, similarity, prints, budget, both), "simhash-groups")
     best = F.min(F.struct(F.col(id_col).isNull().alias("absent"), F.col(id_col).alias("id"), F.col("text_hash"))).alias("best")
     first = found.groupBy("root").agg(best).select("root", F.col("best.id").alias("_id"), F.col("best.text_hash").alias("_hash"))
-    again = found.join(first, (found["root"] == first["root"]) & found[id_col].eqNullSafe(first["_id"]) & (found["text_hash"] == first["_hash"])).groupBy("_id", "_hash").agg(F.count("*").alias("_n"))
-    chosen = stage(again, "simhash-kept")
+    stays = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
+    told = stage(found.join(first, "root").groupBy(F.col(id_col).alias("id"), F.col("text_hash").alias("hash"), stays.alias("stays")).agg(F.count("*").alias("n")), "simhash-kept")
+    gone = told.where("not stays").select("id", "hash")
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.struct("*").alias("row"))
-    kept = rows.join(chosen, rows["id"].eqNullSafe(chosen["_id"]) & (rows["hash"] == chosen["_hash"]), "left_semi")
-    if not chosen.where("_n > 1").isEmpty():  # rows repeated whole; else the texts need no second look
+    # rows that no guess names stay where they are
+    guessed = with_guess(rows, gone, ["id", "hash"])
+    lost = gone.select(F.col("id").alias("_id"), F.col("hash").alias("_hash"))
+    named = guessed.where("guess").join(lost, F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")), "left_anti")
+    kept = guessed.where("not guess").unionByName(named)
+    if not told.where("stays and n > 1").isEmpty():  # rows repeated whole; else the texts need no second look
         kept = kept.dropDuplicates(["id", "hash"])
     return kept.select("row.*")
 

@@ -254,6 +254,17 @@ def test_nearest_hot_vector(spark):
     assert got[0] == [3, 6, 9, 12, 15] and len(got) == 12
 
 
+def test_nearest_within_each_length_and_any_scale(spark):
+    short = [(0, [1e-200, 2e-200]), (1, [1e200, 2e200]), (2, [2.0, 1.0]), (3, [-1.0, 0.0]), (4, [5e-324, 0.0])]
+    long = [(50, [1.0, 0.0, 0.0]), (51, [0.9, 0.1, 0.0])]
+    clash = "vec_id long, embedding array<double>, score double, code long, is_row boolean, part int"
+    table = spark.createDataFrame([(*r, None, 1, False, 2) for r in short + long], clash)
+    got = {}
+    for r in hashindex.nearest(table, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], round(r["score"], 9)))
+    assert got == {0: [(1, 1.0), (2, 0.8), (4, round(1 / 5**0.5, 9)), (3, -round(1 / 5**0.5, 9))], 50: [(51, round(0.9 / 0.82**0.5, 9))]}
+
+
 # mixing
 
 
@@ -315,6 +326,21 @@ def test_archive_round_trip_at_any_split(spark, tmp_path):
         assert (name, "revisit" if revisit else "response", f"urn:page:{low}" if revisit else "", len(data), warc.digest(data)) in whole
 
 
+def test_archive_ranges_are_dealt_to_tasks(spark):
+    files = spark.createDataFrame([(f"/none/{k}.warc.gz", 1000) for k in range(40)], "path string, bytes long")
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    read = warc.read_archives(files, 40)
+    assert read.rdd.getNumPartitions() == 1000
+    assert warc.read_archives(files, 40, tasks=64).rdd.getNumPartitions() == 64
+    assert warc.read_archives(files.where("bytes < 0")).count() == 0
+
+
+def test_archive_of_pages_with_clashing_columns(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "same", "p", 1, "r"), (2, None, "same", None, 2, None), (3, "v", None, "", None, "x")], "page_id long, url string, html string, path string, bytes long, record_id string")
+    found = {r["record_id"]: r["record_type"] for r in warc.read_archives(archive(spark, tmp_path, pages)).collect()}
+    assert sorted(found.values()) == ["response", "response", "revisit"]
+
+
 def test_archive_is_plain_gzip_and_small_payloads_are_responses(spark, tmp_path):
     import gzip
 
@@ -557,6 +583,35 @@ def test_simhash_compares_all_sets_of_a_component(spark, block):
     assert want and group(pairs) == group(want)
 
 
+def test_simhash_links_grow_with_members(spark):
+    rng = np.random.default_rng(4)
+    counts = []
+    for m in (200, 400):
+        near = [(k, int(np.bitwise_xor.reduce([1 << int(b) for b in rng.integers(0, 63, 2)])), k) for k in range(m)]
+        rows = near + [(m + k, int(x), k) for k, x in enumerate(rng.integers(0, 2**62, 400))]
+        found = simhash.thinned(simhash.links(spark.createDataFrame(rows, "node long, fingerprint long, second long"), 11, None, 64))
+        counts.append(found.count())
+    assert counts[0] <= 3 * 600 and counts[1] <= 3 * 800
+
+
+def test_simhash_blocks_of_a_large_group(spark):
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**62, 60).tolist()
+    near = [(0, k, sorted({*base, 10 + k})) for k in range(40)]
+    chain = [(0, 100 + k, sorted({*base[:50], *range(1000 + 5 * k, 1012 + 5 * k)})) for k in range(6)]
+    far = [(0, 200 + k, sorted(rng.integers(0, 2**62, 60).tolist())) for k in range(9)]
+    links = simhash.verified(spark.createDataFrame(near + chain + far, "root long, node long, hashes array<long>"), 0.8, 4)
+    assert links.count() <= 400
+    got = {r["node"]: r["root"] for r in simhash.components(links).collect()}
+    sets = {k: {*h} for _, k, h in near + chain + far}
+    name = {k: k for k in sets}
+    pairs = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    while any(name[a] != name[b] for a, b in pairs):
+        for a, b in pairs:
+            name[a] = name[b] = min(name[a], name[b])
+    assert got == {k: v for k, v in name.items() if k != v}
+
+
 # passages
 
 
@@ -638,16 +693,7 @@ def test_pipeline_against_brute_force(spark, sf, docs):
 
     single = stage(stages["near_dedup"](spark, clean, sf), "t3")
     texts = {r["doc_id"]: r["text"] for r in clean.collect()}
-    prints = {d: simhash.fingerprint(t, 5) for d, t in texts.items()}
-    mask = 2**64 - 1
-    name = {d: d for d in texts}
-    for _ in range(6):
-        for a in texts:
-            for b in texts:
-                if name[b] < name[a]:
-                    x, y = (((prints[a][k] ^ prints[b][k]) & mask).bit_count() for k in (0, 1))
-                    if x == 0 or (min(x, y) <= 10 and x + y <= 24):
-                        name[a] = name[b]
+    _, name = jaccard_groups(texts)
     assert sorted(r["doc_id"] for r in single.collect()) == sorted(d for d in texts if name[d] == d)
 
     mixed = stage(stages["mixing"](spark, single, sf), "t4")
@@ -681,4 +727,4 @@ def test_registered():
     import __spark_entry__ as entry
 
     names = entry.queries()
-    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
