@@ -47,6 +47,11 @@ class Coder:
         return (signs.astype(np.uint64) << np.arange(self.bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Rows times a power of two that brings their largest component to between 0.5 and 1: squares neither vanish nor overflow, and no cosine changes."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True, initial=0))[1])
+
+
 def unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
 
@@ -92,7 +97,7 @@ def usable(column: str) -> Column:
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64)
+    return scaled(column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64))
 
 
 def _search(rows: DataFrame, coder: Coder, radius: int, k: int, block: int, n: int, parts: list[int]) -> DataFrame:
@@ -191,21 +196,26 @@ def nearest(
     query that finds fewer than ``k`` is searched again without a radius, in
     blocks against all rows.
 
-    Rows whose vector is null, zero, of another length than most, or has null
-    or non-finite components, or whose id is null, take no part. A row with the
-    query's id is the query's own. Repeated ids are ranked each. An empty table
-    gives no rows.
+    Rows whose vector is null, zero, or has null or non-finite components, or
+    whose id is null, take no part. Vectors of each length are searched among
+    themselves, with a code of their own: there is no cosine of others. A row
+    with the query's id is the query's own. Repeated ids are ranked each. An
+    empty table gives no rows.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), F.coalesce(queries, F.lit(False)).alias("is_query")).where(usable("vector") & F.col("id").isNotNull())
-    widths = sorted((-r["count"], r["width"]) for r in rows.groupBy(F.size("vector").alias("width")).count().orderBy(F.desc("count"), "width").limit(1).collect())
-    if not widths:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    n, width = -widths[0][0], widths[0][1]
-    rows = rows.where(F.size("vector") == width)
+    found = None
+    for width, n in rows.groupBy(F.size("vector").alias("width")).count().orderBy("width").collect():
+        each = _nearest(rows.where(F.size("vector") == width), n, k, sample, parts, block)
+        found = each if found is None else found.unionByName(each)
+    return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double") if found is None else found
+
+
+def _nearest(rows: DataFrame, n: int, k: int, sample: int, parts: int, block: int) -> DataFrame:
+    """:func:`nearest` of ``n`` rows ``(id, vector, is_query)`` of one length."""
     hashed = F.shiftrightunsigned(F.xxhash64("id"), 1) / float(2**63)
     drawn = rows.where(hashed <= min(1.0, 2.0 * sample / n)).orderBy(F.xxhash64("id"), "id").limit(sample).select("vector").collect()
-    coder = learn(np.array([r["vector"] for r in drawn], dtype=np.float64), k, parts)
-    shared = vectors.sparkSession.sparkContext.broadcast(coder)
+    coder = learn(scaled(np.array([r["vector"] for r in drawn], dtype=np.float64)), k, parts)
+    shared = rows.sparkSession.sparkContext.broadcast(coder)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
