@@ -193,7 +193,7 @@ def _payload(fields: dict[str, str], block: bytes) -> tuple[bytes, int]:
     return body, int(length[1]) if length else 0
 
 
-def read_archives(files: DataFrame, split: int = 1 << 26, payloads: bool = True) -> DataFrame:
+def read_archives(files: DataFrame, split: int = 1 << 26, payloads: bool = True, tasks: int = 100_000) -> DataFrame:
     """Records of the archives in ``files(path, bytes)``; see ``RECORDS`` for the columns.
 
     A task takes a byte range, looks for the gzip magic, takes a place for a
@@ -201,9 +201,14 @@ def read_archives(files: DataFrame, split: int = 1 << 26, payloads: bool = True)
     records that start in its range, reading on beyond its end for the last. So
     any split gives each record once. The digest of a response is computed from
     its payload; that of a revisit is the one it carries.
+
+    Ranges are dealt to a task each, up to ``tasks``: their rows are tiny, so
+    Spark would else read any number of bytes in one task. An empty file has no
+    record.
     """
     ranges = files.where("bytes > 0").select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split).cast("long"))).alias("start"))
-    ranges = ranges.repartition(F.col("path"), F.col("start"))
+    number = files.agg(F.sum(F.ceil(F.col("bytes") / split))).first()[0] or 1
+    ranges = ranges.repartition(min(tasks, int(number)))
 
     def bare(value: str | None) -> str | None:
         return None if value is None else value.strip("<>")
