@@ -30,38 +30,41 @@ def _key(line: Column) -> Column:
     return F.xxhash64(F.trim(line))
 
 
-def drop_boilerplate(pages: DataFrame, site: Column, lines: Column, ratio: float = 0.1, min_pages: int = 20, keep_whole: bool = False) -> DataFrame:
-    """``pages`` with ``site``, ``lines`` and ``kept``: the lines that at most ``ratio`` of the site's pages hold.
+def drop_boilerplate(pages: DataFrame, site: Column, lines: Column, ratio: float = 0.1, least: int = 3, keep_whole: bool = False) -> DataFrame:
+    """``pages`` with ``site``, ``lines`` and ``kept``: without the lines that ``least`` pages of the site hold, and more than ``ratio`` of them.
 
     A page counts once for each of its different lines, whatever their number.
-    Lines are compared by a 64-bit hash of their trimmed text. Sites of fewer
-    than ``min_pages`` pages, and pages without a site, keep everything. Blank
-    lines are kept and not counted. With ``keep_whole`` a page that would lose
-    its last line is left as it is: a copy, which near-duplicate removal is for.
+    Lines are compared by a 64-bit hash of their trimmed text. A line on fewer
+    than ``least`` pages is no boilerplate, so sites of one or two pages keep
+    everything, as do pages without a site. Blank lines are kept and not
+    counted. With ``keep_whole`` a page that would lose its last line is left
+    as it is: a copy, which near-duplicate removal is for. Columns of ``pages``
+    named ``site``, ``lines`` or ``kept`` are replaced.
 
     Line counts are added up within tasks before the shuffle, so a line on a
     third of all pages is one row per task. A site has at most its mean number
     of lines per page divided by ``ratio`` lines to drop; they meet its pages
     as one array. Null lines stay null; repeated rows are pages of their own.
     """
-    rows = pages.withColumn("_site", site).withColumn("_lines", lines)
-    filled = F.filter("_lines", lambda line: F.trim(line) != "")
-    counts = rows.where("_site is not null").select("_site", F.explode(F.array_distinct(F.transform(filled, _key))).alias("key")).groupBy("_site", "key").agg(F.count("*").alias("n"))
-    totals = rows.where("_site is not null").groupBy("_site").agg(F.count("*").alias("total"))
-    common = counts.join(totals, "_site").where(f"total >= {min_pages} and n > total * {ratio}D")
+    rows = pages.select(F.struct("*").alias("page"), site.alias("site"), lines.alias("lines"))
+    filled = F.filter("lines", lambda line: F.trim(line) != "")
+    counts = rows.where("site is not null").select("site", F.explode(F.array_distinct(F.transform(filled, _key))).alias("key")).groupBy("site", "key").agg(F.count("*").alias("n"))
+    totals = rows.where("site is not null").groupBy("site").agg(F.count("*").alias("total"))
+    common = counts.where(F.col("n") >= least).join(totals, "site").where(f"n > total * {ratio}D")
     # written first: Spark then knows its size, and sends it to the pages only where it is small
-    marks = stage(common.groupBy("_site").agg(F.collect_list("key").alias("_marks")).withColumnRenamed("_site", "_of"), "boilerplate")
-    joined = rows.join(marks, rows["_site"] == marks["_of"], "left")
-    kept = F.when(F.col("_marks").isNull(), F.col("_lines")).otherwise(F.filter("_lines", lambda line: (F.trim(line) == "") | ~F.array_contains("_marks", _key(line))))
+    marks = stage(common.groupBy("site").agg(F.collect_list("key").alias("marks")).withColumnRenamed("site", "of"), "boilerplate")
+    joined = rows.join(marks, rows["site"] == marks["of"], "left")
+    kept = F.when(F.col("marks").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda line: (F.trim(line) == "") | ~F.array_contains("marks", _key(line))))
     if keep_whole:
-        kept = F.when(F.exists(kept, lambda line: F.trim(line) != ""), kept).otherwise(F.col("_lines"))
-    return joined.select(*pages.columns, F.col("_site").alias("site"), F.col("_lines").alias("lines"), kept.alias("kept"))
+        kept = F.when(F.exists(kept, lambda line: F.trim(line) != ""), kept).otherwise(F.col("lines"))
+    own = [F.col(f"page.`{c}`").alias(c) for c in pages.columns if c not in ("site", "lines", "kept")]
+    return joined.select(*own, "site", "lines", kept.alias("kept"))
 
 
-def clean_documents(docs: DataFrame, text_col: str = "text", site_col: str = "source", ratio: float = 0.1, min_pages: int = 20) -> DataFrame:
+def clean_documents(docs: DataFrame, text_col: str = "text", site_col: str = "source", ratio: float = 0.1, least: int = 3) -> DataFrame:
     """The columns of ``docs`` with lines common to a site taken out of the text, and ``n_chars`` to match; no row goes."""
     plain = docs.select(F.struct("*").alias("row"))
-    found = drop_boilerplate(plain, F.col(f"row.`{site_col}`"), F.split(F.col(f"row.`{text_col}`"), "\n"), ratio, min_pages, keep_whole=True)
+    found = drop_boilerplate(plain, F.col(f"row.`{site_col}`"), F.split(F.col(f"row.`{text_col}`"), "\n"), ratio, least, keep_whole=True)
     text = F.array_join("kept", "\n")
     columns = []
     for name in docs.columns:
@@ -82,7 +85,7 @@ WITH p AS (
 l AS (SELECT host, unnest(list_distinct(lines)) AS line FROM p WHERE host IS NOT NULL),
 c AS (SELECT host, line, count(*) AS n FROM l GROUP BY host, line),
 t AS (SELECT host, count(*) AS total FROM p WHERE host IS NOT NULL GROUP BY host),
-m AS (SELECT c.host, list(line) AS marks FROM c JOIN t USING (host) WHERE total >= 20 AND n > total * 0.1::DOUBLE GROUP BY c.host),
+m AS (SELECT c.host, list(line) AS marks FROM c JOIN t USING (host) WHERE n >= 3 AND n > total * 0.1::DOUBLE GROUP BY c.host),
 k AS (SELECT page_id, p.host, lines, CASE WHEN marks IS NULL THEN lines ELSE list_filter(lines, lambda x: NOT list_contains(marks, x)) END AS kept FROM p LEFT JOIN m ON p.host = m.host)
 SELECT page_id, host, len(lines)::BIGINT AS n_lines, (len(lines) - len(kept))::BIGINT AS n_removed, array_to_string(kept, chr(10)) AS text FROM k
 """

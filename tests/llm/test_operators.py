@@ -192,12 +192,21 @@ def test_lines_ratio_guard_and_hosts(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r["page_id"]: r for r in lines.drop_boilerplate(pages, lines.host(F.col("url")), lines.html_lines(F.col("html"))).collect()}
     assert got[3]["kept"] == ["own 3"] and got[3]["site"] == "a.example"
-    assert got[35]["kept"] == ["same", "own 35"]
+    assert got[35]["kept"] == ["own 35"]
     assert got[99]["kept"] == ["same"] and got[98]["kept"] is None
 
 
+def test_lines_of_small_sites_and_clashing_columns(spark):
+    rows = [(k, f"http://s{n}.example/{k}", "<p>foot</p><p>own %d</p>" % k, "mine", "kept", "x") for n in (1, 2, 3, 19) for k in range(100 * n, 100 * n + n)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, _site string, kept string, marks string")
+    got = {r["page_id"]: r for r in lines.drop_boilerplate(pages, lines.host(F.col("url")), lines.html_lines(F.col("html"))).collect()}
+    assert got[100]["kept"] == ["foot", "own 100"] and got[201]["kept"] == ["foot", "own 201"]
+    assert got[302]["kept"] == ["own 302"] and got[1918]["kept"] == ["own 1918"]
+    assert got[302]["_site"] == "mine" and got[302]["marks"] == "x"
+
+
 def test_lines_odd_rows(odd, none):
-    got = lines.clean_documents(odd, ratio=0.5, min_pages=2)
+    got = lines.clean_documents(odd, ratio=0.5, least=2)
     assert got.columns == odd.columns and got.schema == odd.schema and got.count() == odd.count()
     assert lines.clean_documents(none).count() == 0
 
@@ -686,8 +695,7 @@ def test_pipeline_against_brute_force(spark, sf, docs):
     for r in clean.collect():
         old = pages[r["doc_id"]]
         site = old["source"]
-        common = total[site] >= 20
-        kept = [x for x in old["text"].split("\n") if not x.strip(" ") or not common or holds[site, x.strip(" ")] <= total[site] * 0.1]
+        kept = [x for x in old["text"].split("\n") if not x.strip(" ") or holds[site, x.strip(" ")] < 3 or holds[site, x.strip(" ")] <= total[site] * 0.1]
         text = "\n".join(kept) if any(x.strip(" ") for x in kept) else old["text"]
         assert r["text"] == text and r["n_chars"] == len(text)
 
