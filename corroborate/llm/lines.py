@@ -58,7 +58,7 @@ def drop_boilerplate(pages: DataFrame, site: Column, lines: Column, ratio: float
     if keep_whole:
         kept = F.when(F.exists(kept, lambda line: F.trim(line) != ""), kept).otherwise(F.col("lines"))
     own = [F.col(f"page.`{c}`").alias(c) for c in pages.columns if c not in ("site", "lines", "kept")]
-    return joined.select(*own, "site", "lines", kept.alias("kept"))
+    return joined.select("page", "site", "lines", kept.alias("kept")).select(*own, "site", "lines", "kept")
 
 
 def clean_documents(docs: DataFrame, text_col: str = "text", site_col: str = "source", ratio: float = 0.1, least: int = 3) -> DataFrame:
