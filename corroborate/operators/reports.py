@@ -190,10 +190,12 @@ def recommendations(mappings: DataFrame, checks: DataFrame, score: str = "ensemb
     The few named mappings are a top-k, so the low ones are never all gathered.
     """
     low = mappings.where(F.col(score) < 0.6)
-    named = low.orderBy(score, "source_table", "source_column").limit(shown)
+    places = ["source_table", "source_column", "target_table", "target_column"]
+    named = low.orderBy(score, *places).limit(shown)
     line = F.concat(F.lit("• "), "source_column", F.lit(" → "), "target_column", F.lit(" ("), percent(F.col(score)), F.lit(")"))
     one = F.lit(1).alias("one")
-    first = low.agg(F.count("*").alias("n"), one).join(named.agg(F.collect_list(line).alias("details"), one), "one").where(F.col("n") > 0).select(
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(score, *places, line.alias("line")))), lambda x: x["line"])
+    first = low.agg(F.count("*").alias("n"), one).join(named.agg(listed.alias("details"), one), "one").where(F.col("n") > 0).select(
         F.lit("recommendation").alias("kind"), F.lit("Review Low-Confidence Mappings").alias("title"),
         F.concat(F.lit("Found "), F.col("n").cast("string"), F.lit(" mapping(s) with low confidence")).alias("summary"), "details",
     )
@@ -204,8 +206,8 @@ def recommendations(mappings: DataFrame, checks: DataFrame, score: str = "ensemb
         F.lit("warning").alias("kind"), F.lit("⚠ Address Validation Failures Before Migration").alias("title"),
         F.concat(F.lit("Found "), F.col("n").cast("string"), F.lit(" validation failure(s)")).alias("summary"), "details",
     )
-    listed = mappings.limit(1).select(
+    checklist = mappings.limit(1).select(
         F.lit("recommendation").alias("kind"), F.lit("Pre-Migration Checklist").alias("title"),
         F.lit("Recommended steps before executing migration").alias("summary"), F.array(*map(F.lit, CHECKLIST)).alias("details"),
     )
-    return first.unionByName(failed).unionByName(listed)
+    return first.unionByName(failed).unionByName(checklist)

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,9 +45,35 @@ def _blocks(df: DataFrame, key: str, rows: int, prefix: str) -> DataFrame:
     return df.select(F.col(key).alias("id"), "embedding").mapInPandas(pack, schema)
 
 
+@dataclass(frozen=True)
+class Packed:
+    """A store's vectors as matrix blocks in a folder, a version beside the other."""
+
+    path: str
+    version: int
+    key: str
+    rows: int
+
+    def blocks(self, spark: SparkSession) -> DataFrame:
+        return spark.read.parquet(f"{self.path}/version={self.version}")
+
+
+def pack(store: DataFrame, path: str, key: str = "chunk_id", block_rows: int = 1024, version: int = 0) -> Packed:
+    """Write the store's vectors as blocks once; every search of that version reads them as they lie.
+
+    A new version is written beside the old ones, so a search that runs goes on
+    reading its own. Writing a version again replaces it.
+    """
+    blocks = _blocks(store, key, block_rows, "c")
+    blocks.write.mode("overwrite").parquet(f"{path}/version={version}")
+    packed = Packed(path, version, key, 0)
+    rows = packed.blocks(store.sparkSession).agg(F.coalesce(F.sum(F.size("c_ids")), F.lit(0))).first()[0]
+    return Packed(path, version, key, int(rows))
+
+
 def evidence_topk(
     queries: DataFrame,
-    store: DataFrame,
+    store: DataFrame | Packed,
     k: int = 5,
     query_key: str = "query_id",
     store_key: str = "chunk_id",
@@ -66,19 +93,19 @@ def evidence_topk(
     shuffled once per lane of queries and the queries once per lane of the
     store, so a task's share does not grow with either. A task holds two blocks
     and the k best so far of its queries; ties go to the smaller id. Rows that
-    repeat a query id are one query: its k best over all its vectors.
+    repeat a query id are one query: its k best over all its vectors. A store
+    that was packed before (:func:`pack`) is not packed again.
     """
     spark = queries.sparkSession
-    id_q, id_c = queries.schema[query_key].dataType, store.schema[store_key].dataType
-
+    c = store.blocks(spark) if isinstance(store, Packed) else _blocks(store, store_key, block_rows, "c")
+    id_q, id_c = queries.schema[query_key].dataType, c.schema["c_ids"].dataType.elementType
     q = stage(_blocks(queries, query_key, query_block_rows, "q"), "query-blocks")
-    c = _blocks(store, store_key, block_rows, "c")
     n_q, sent = q.agg(F.count("*"), F.coalesce(F.sum(F.length("q_matrix")), F.lit(0))).first()
     few = sent <= send_bytes and lanes is None and query_lanes is None
     if few:
         lanes = query_lanes = 1
     else:
-        lanes = lanes or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-store.count() // (block_rows * lane_blocks)))
+        lanes = lanes or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(store.rows if isinstance(store, Packed) else store.count()) // (block_rows * lane_blocks)))
         query_lanes = query_lanes or max(1, -(-n_q // lane_blocks))
     q = q.withColumn("q_lane", F.pmod(F.xxhash64("q_block"), F.lit(query_lanes)).cast("int")).withColumn(
         "c_lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))

@@ -176,6 +176,14 @@ def evidence_of(verdicts: DataFrame, claim_index: int | None = None) -> DataFram
     return picked.select(*others, F.inline("all_evidence"))
 
 
+def stored_run(verdicts: DataFrame, scores: DataFrame, run_id: str) -> DataFrame:
+    """What is stored of one run: a row per text with its scores and, in order, its claims with their status; no row for an unknown run."""
+    own = verdicts.where(F.col("run_id") == run_id)
+    claim = F.struct("claim_index", "claim", "status", "confidence")
+    told = own.groupBy("doc_id").agg(F.array_sort(F.collect_list(claim)).alias("claims"))
+    return scores.where(F.col("run_id") == run_id).drop("batch_id").join(told, "doc_id", "left")
+
+
 def run_stats(runs: DataFrame, chunks: DataFrame) -> DataFrame:
     """Runs, mean trust of completed runs in percent, contradictions, store size."""
     done = F.col("status") == "completed"

@@ -69,13 +69,14 @@ def ground(
     embedder=embed_text,
     classifier=verify.lexical_logits,
     min_score: float | None = None,
+    index: retrieval.Packed | None = None,
     **search,
 ) -> Grounding:
-    """Check ``texts(doc_id, text)`` against a chunk store."""
+    """Check ``texts(doc_id, text)`` against a chunk store, whose vectors are searched in ``index`` if they were packed."""
     claims = atomize_claims(texts).withColumn("query_id", F.md5("claim"))
     # every distinct wording is searched and decided once, then joined back
     wording = claims.select("query_id", "claim").distinct()
-    found = retrieval.evidence_topk(retrieval.embed(wording, "claim", embedder), store, k, **search)
+    found = retrieval.evidence_topk(retrieval.embed(wording, "claim", embedder), index or store, k, **search)
     if min_score is not None:
         found = retrieval.gate(found, min_score)
     passages = store.select("chunk_id", "text", F.col("source").cast("string").alias("source"), "page")

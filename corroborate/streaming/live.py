@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from corroborate.operators import move, quality
+from corroborate.operators import move, quality, retrieval
 from corroborate.plans.grounding import ground
 from corroborate.session import stage
 from corroborate.sources.corpus import store_exists
@@ -174,14 +174,20 @@ def newest_rejects(rejects: DataFrame, n: int = 50) -> DataFrame:
     return rejects.orderBy(F.desc("batch_id"), F.desc("record_id")).limit(n)
 
 
-def ground_stream(texts: DataFrame, store: DataFrame, out: str, run_id: str, checkpoint: str, trigger: dict | None = None, **options) -> StreamingQuery:
+def ground_stream(
+    texts: DataFrame, store: DataFrame, out: str, run_id: str, checkpoint: str, trigger: dict | None = None, index: retrieval.Packed | None = None, **options
+) -> StreamingQuery:
     """Check arriving ``texts(doc_id, text)`` against a stored corpus.
 
-    Verdicts and scores of a batch go to ``out`` under run and batch.
+    Verdicts and scores of a batch go to ``out`` under run and batch. The
+    store's vectors are packed once, before the first batch, into ``_index``
+    beside them, unless ``index`` is given; a stream that is started again
+    packs the store of its time anew.
     """
+    packed = index or retrieval.pack(store, os.path.join(out, "_index", run_id))
 
     def check(batch: DataFrame, batch_id: int) -> None:
-        job = ground(stage(batch, "texts"), store, **options)
+        job = ground(stage(batch, "texts"), store, index=packed, **options)
         verdicts = stage(job.verdicts, "verdicts")
         append_rows(verdicts, os.path.join(out, "verdicts"), run_id, batch_id)
         scores = type(job)(job.docs, job.claims, job.evidence, verdicts).scores()

@@ -152,11 +152,6 @@ def platform_summary(spark, sf):
     return R.platform_summary(mappings(spark, sf))
 
 
-@query("recommendations")
-def recommendations(spark, sf):
-    return R.recommendations(judged(spark, sf), suite(spark, sf), "overall")
-
-
 # --- explanations ---------------------------------------------------------------
 # Pairs of columns that meet in lineitem, scored cheaply: token cosine of the names,
 # shared share of their letters' positions is left to the fuzzy score elsewhere.
@@ -196,6 +191,17 @@ def pct(c: str) -> str:
     return f"printf('%.0f%%', round_even({c} * 100, 0))"
 
 
+@query("recommendations", f"""{JUDGED}, {CHECKS}, low as (select * from judged where overall < 0.6),
+    top as (select *, row_number() over (order by overall, source_table, source_column, target_table, target_column) as k from low),
+    failed as (select count(*) as n, string_agg('• ' || check_name || ': ' || message, chr(10) order by '• ' || check_name || ': ' || message) as details from checks where status = 'failed')
+    select 'recommendation' as kind, 'Review Low-Confidence Mappings' as title, 'Found ' || (select count(*) from low) || ' mapping(s) with low confidence' as summary,
+      string_agg('• ' || source_column || ' → ' || target_column || ' (' || {pct('overall')} || ')', chr(10) order by k) as details from top where k <= 5 having count(*) > 0
+    union all select 'warning', '⚠ Address Validation Failures Before Migration', 'Found ' || n || ' validation failure(s)', details from failed where n > 0
+    union all select 'recommendation', 'Pre-Migration Checklist', 'Recommended steps before executing migration', {quote(chr(10).join(R.CHECKLIST))} where exists (select 1 from judged)""")
+def recommendations(spark, sf):
+    return R.recommendations(judged(spark, sf), suite(spark, sf), "overall").withColumn("details", F.array_join("details", "\n"))
+
+
 @query("explain_mapping", f"""{JUDGED} select source_table, source_column, target_table, target_column,
     case when overall >= 0.85 then '✅ ' when overall >= 0.6 then '⚠ ' else '❓ ' end || source_column || ' → ' || target_column as title,
     case when overall >= 0.85 then 'High confidence match (' || {pct('overall')} || ')' when overall >= 0.6 then 'Moderate confidence match (' || {pct('overall')} || ') - Review recommended'
@@ -330,9 +336,16 @@ def plain_check(spark, sf):
       cast((select sum(records_failed) from results) as bigint) as failed, count(*) filter (confidence_level = 'high') as confident, count(*) filter (confidence_level <> 'high') as to_review,
       (select count(*) filter (status = 'passed') from checks) as checks_passed, (select count(*) filter (status = 'failed') from checks) as checks_failed from mappings)
     select *, round(migrated * 100.0 / (migrated + failed), 6) as success_rate,
-      case when failed = 0 and checks_failed = 0 then '✅ SUCCESS' when migrated * 100.0 / (migrated + failed) > 95 then '⚠️ ATTENTION NEEDED' else '❌ ISSUES DETECTED' end as overall from t""")
+      case when failed = 0 and checks_failed = 0 then '✅ SUCCESS' when migrated * 100.0 / (migrated + failed) > 95 then '⚠️ ATTENTION NEEDED' else '❌ ISSUES DETECTED' end as overall,
+      case when failed = 0 and checks_failed = 0 then '✅ Great news! The migration completed successfully. All your data has been transferred to the new system without any issues. You can proceed with confidence.'
+        when migrated * 100.0 / (migrated + failed) > 99 then '⚠️ Almost there! ' || printf('%.1f', migrated * 100.0 / (migrated + failed)) || '% of your data migrated successfully. A small number of records (' || format('{{:,}}', failed)
+          || ') need manual attention. Review the "Failed Records" section below to resolve these issues.'
+        when migrated * 100.0 / (migrated + failed) > 95 then '⚠️ Needs Review. Most data (' || printf('%.1f', migrated * 100.0 / (migrated + failed)) || '%) transferred correctly, but ' || format('{{:,}}', failed)
+          || ' records require investigation. We recommend reviewing the failures before going live with the new system.'
+        else '❌ Action Required. A significant portion of your data (' || format('{{:,}}', failed) || ' records) did not migrate successfully. Please review the detailed report below and work with your technical team to resolve these issues before proceeding.'
+      end as meaning from t""")
 def executive_summary(spark, sf):
-    return X.executive_summary(results(spark, sf), mappings(spark, sf), suite(spark, sf)).withColumn("success_rate", F.round("success_rate", 6)).drop("meaning")
+    return X.executive_summary(results(spark, sf), mappings(spark, sf), suite(spark, sf)).withColumn("success_rate", F.round("success_rate", 6))
 
 
 @query("match_reason", f"""{MATCHED} select source_table, source_column, target_column, {reason_sql('source_column', 'target_column')} as reason from mappings""")

@@ -6,6 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from corroborate.operators import verify
 from corroborate.plans.grounding import chunk_store
 from corroborate.session import stage
 from corroborate.specs import Mapping, TablePlan, TableSpec
@@ -111,6 +112,25 @@ def stream_grounding(spark, sf):
     return spark.read.parquet(os.path.join(out, "scores")).select("doc_id", "total", "supported", "contradicted", "unverifiable")
 
 
+@query(
+    "stored_run",
+    f"""{GROUND}, {SCORES}, t as (select doc_id, string_agg(claim_index || ' ' || status || ' ' || claim, chr(10) order by claim_index) as claims from verdicts group by 1)
+    select s.doc_id, total, supported, contradicted, unverifiable, claims from scores s left join t using (doc_id)""",
+)
+def stored_run(spark, sf):
+    """Two runs are stored, one is looked up by its id."""
+    out = _scratch(spark)
+    texts, store = I.generated(spark, sf), stage(chunk_store(I.corpus(spark, sf)), "store")
+    arrivals = os.path.join(out, "arrivals")
+    texts.coalesce(1).write.parquet(arrivals)
+    for run in ("r1", "r2"):
+        asked = spark.readStream.schema(texts.schema).parquet(arrivals)
+        live.ground_stream(asked if run == "r1" else asked.where("doc_id < 0"), store, out, run, os.path.join(out, f"_checkpoint-{run}")).awaitTermination()
+    found = verify.stored_run(spark.read.parquet(os.path.join(out, "verdicts")), spark.read.parquet(os.path.join(out, "scores")), "r1")
+    told = F.transform("claims", lambda c: F.concat_ws(" ", c["claim_index"], c["status"], c["claim"]))
+    return found.select("doc_id", "total", "supported", "contradicted", "unverifiable", F.array_join(told, "\n").alias("claims"))
+
+
 # A progress log as a live run leaves it: one row per user (the table pair) and hour (the batch).
 LOG = """
 select 'r' || cast(user_id % 3 as varchar(3)) as run_id, 'source_' || cast(user_id as varchar(9)) as source_table, 'target_' || cast(user_id % 2 as varchar(3)) as target_table,

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corroborate.operators import retrieval, verify
+from corroborate.streaming import live
 from corroborate.plans.grounding import chunk_store, ground
 
 
@@ -95,6 +96,24 @@ def test_blocks_that_begin_with_one_id(spark):
         assert {r.query_id: r.chunk_id for r in got} == {1: 10, 2: 20, 3: 30} and len(got) == 3
 
 
+def test_packed_store_gives_the_same_and_is_packed_once(spark, tmp_path, monkeypatch):
+    store = chunk_store(spark.createDataFrame(CORPUS, "doc_id long, source string, text string"))
+    texts = spark.createDataFrame([(k, t) for k, t in enumerate(["The Magna Carta was sealed in 1225 at Runnymede.", "Apollo 11 landed on the Moon.", "Arctic sea ice declines."])], "doc_id long, text string")
+    packed = retrieval.pack(store, str(tmp_path / "index"), block_rows=1)
+    assert packed.rows == store.count() and packed.blocks(spark).count() == packed.rows
+    for how in ({}, {"lanes": 2, "query_lanes": 2}):
+        rows = [sorted(ground(texts, store, index=x, **how).evidence.select("query_id", "chunk_id", "rank", "retrieval_score").collect()) for x in (None, packed)]
+        assert rows[0] == rows[1] and rows[0]
+    arrivals, calls, blocks = str(tmp_path / "in"), [], retrieval._blocks
+    texts.repartition(3, "doc_id").write.parquet(arrivals)
+    monkeypatch.setattr(retrieval, "_blocks", lambda df, key, rows, prefix: calls.append(prefix) or blocks(df, key, rows, prefix))
+    stream = spark.readStream.schema(texts.schema).option("maxFilesPerTrigger", 1).parquet(arrivals)
+    live.ground_stream(stream, store, str(tmp_path / "out"), "r1", str(tmp_path / "ckpt")).awaitTermination()
+    assert calls.count("c") == 1 and calls.count("q") > 1
+    scores = spark.read.parquet(str(tmp_path / "out" / "scores"))
+    assert scores.count() == 3 and retrieval.pack(store, str(tmp_path / "index"), version=1).version == 1
+
+
 def test_approximate_search_finds_equal_vectors(spark):
     df = spark.createDataFrame([(i, [float(i == j) for j in range(6)]) for i in range(6)], "id long, embedding array<float>")
     got = retrieval.evidence_approx(df.withColumnRenamed("id", "query_id"), df.withColumnRenamed("id", "chunk_id"), 0.5).collect()
