@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -16,20 +17,33 @@ from corroborate.specs import TableSpec
 
 CATALOG_SCHEMA = (
     "table_name string, column_name string, position int, data_type string, is_nullable boolean, "
-    "is_primary_key boolean, is_foreign_key boolean, foreign_key_ref string"
+    "is_primary_key boolean, is_foreign_key boolean, foreign_key_ref string, default_value string, max_length int"
 )
 
 
-def column_catalog(spark: SparkSession, tables: dict[str, DataFrame], specs: dict[str, TableSpec]) -> DataFrame:
-    """One row per column: metadata only, no table is read."""
+def column_catalog(spark: SparkSession, tables: dict[str, DataFrame], specs: dict[str, TableSpec], samples: int = 0) -> DataFrame:
+    """One row per column. Without ``samples`` it is metadata only and no table is read.
+
+    ``max_length`` is the size that a declared type gives (none for two numbers,
+    as in ``DECIMAL(10,2)``). With ``samples``, ``sample_values`` has that many
+    of the smallest distinct values, in one scan per table.
+    """
     rows = []
     for name, df in tables.items():
         spec = specs.get(name, TableSpec(name))
         refs = {fk.column: f"{fk.ref_table}.{fk.ref_column}" for fk in spec.foreign_keys}
         for i, f in enumerate(df.schema.fields):
             declared = spec.declared_types.get(f.name, f.dataType.simpleString().upper())
-            rows.append((name, f.name, i, declared, f.nullable and f.name not in spec.required, f.name in spec.primary_key, f.name in refs, refs.get(f.name)))
-    return spark.createDataFrame(rows, CATALOG_SCHEMA)
+            size = re.search(r"\((\d+)\)", declared)
+            key = (f.nullable and f.name not in spec.required, f.name in spec.primary_key, f.name in refs, refs.get(f.name))
+            rows.append((name, f.name, i, declared, *key, spec.defaults.get(f.name), int(size[1]) if size else None))
+    catalog = spark.createDataFrame(rows, CATALOG_SCHEMA)
+    if not samples:
+        return catalog
+    found = [sample_values(df, samples).select(F.lit(name).alias("table_name"), "column_name", "rank", "value") for name, df in tables.items()]
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda x: x["value"])
+    held = reduce(DataFrame.unionByName, found).groupBy("table_name", "column_name").agg(listed.alias("sample_values"))
+    return catalog.join(held, ["table_name", "column_name"], "left").withColumn("sample_values", F.coalesce("sample_values", F.array().cast("array<string>")))
 
 
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:

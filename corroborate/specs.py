@@ -18,7 +18,7 @@ class ForeignKey:
 
 @dataclass(frozen=True)
 class TableSpec:
-    """Constraints of one table. ``checks`` are SQL boolean expressions by name."""
+    """Constraints of one table. ``checks`` are SQL boolean expressions by name, ``defaults`` the declared ones by column."""
 
     name: str
     primary_key: tuple[str, ...] = ()
@@ -26,6 +26,7 @@ class TableSpec:
     not_null: tuple[str, ...] = ()
     checks: dict[str, str] = field(default_factory=dict)
     declared_types: dict[str, str] = field(default_factory=dict)
+    defaults: dict[str, str] = field(default_factory=dict)
 
     @property
     def required(self) -> tuple[str, ...]:

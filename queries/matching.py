@@ -15,6 +15,7 @@ from corroborate.session import stage
 from queries import inputs as I
 from queries import query
 from queries.grounding import lst, tokens_sql
+from queries.quality import COLUMNS, SPECS
 
 IDF2 = repr((1 + math.log(1.5)) ** 2)
 
@@ -190,13 +191,24 @@ def tables(spark, sf):
     return {n: I.table(spark, sf, n) for n in SPECS_TABLES}
 
 
-@query("column_catalog")
-def column_catalog(spark, sf):
-    """Catalog of the tables with their row counts."""
-    from queries.quality import SPECS
+def _catalog_sql() -> str:
+    def one(t: str, at: int, c: str) -> str:
+        spec = SPECS[t]
+        ref = next((f"'{fk.ref_table}.{fk.ref_column}'" for fk in spec.foreign_keys if fk.column == c), "null")
+        key, kind = c in spec.primary_key, f"typeof(any_value({c}))"
+        return f"""select '{t}' as table_name, '{c}' as column_name, {at} as position, case {kind} when 'VARCHAR' then 'STRING' when 'INTEGER' then 'INT' when 'TIMESTAMP' then 'TIMESTAMP_NTZ' else {kind} end as data_type,
+        {str(not key).lower()} as is_nullable, {str(key).lower()} as is_primary_key, {str(ref != "null").lower()} as is_foreign_key, {ref}::varchar as foreign_key_ref, null::varchar as default_value, null::integer as max_length, count(*) as row_count,
+        (select string_agg(v, ' | ' order by v) from (select distinct cast({c} as varchar) as v from {t} where {c} is not null order by v limit 5)) as sample_values from {t}"""
+
+    return " union all ".join(one(t, i, c) for t in SPECS_TABLES for i, c in enumerate(COLUMNS[t]))
 
+
+@query("column_catalog", _catalog_sql())
+def column_catalog(spark, sf):
+    """Catalog of the tables with row counts and samples."""
     data = tables(spark, sf)
-    return profile.column_catalog(spark, data, SPECS).join(profile.table_counts(data), "table_name")
+    catalog = profile.column_catalog(spark, data, SPECS, 5).join(profile.table_counts(data), "table_name")
+    return catalog.withColumn("sample_values", F.array_join("sample_values", " | "))
 
 
 @query("table_counts", " union all ".join(f"select '{n}' as table_name, count(*) as row_count from {n}" for n in SPECS_TABLES))

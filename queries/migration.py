@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 import pandas as pd
 
+from corroborate.functions import lexicon as L
 from corroborate.functions import rules as R
 from corroborate.functions import types as TY
 from corroborate.operators import move, retrieval, verify
@@ -284,7 +285,22 @@ def letter_profile(texts: pd.Series) -> pd.Series:
     return texts.map(profile)
 
 
-@query("user_scorer")
+def _scorer_sql() -> str:
+    counts = ", ".join(f"length(lower(text)) - length(replace(lower(text), '{v}', '')) + 0.001::double" for v in "aeiou")
+    profile = f"select id, text, list_transform(c, lambda x: (x / sqrt(list_sum(list_transform(c, lambda y: y * y))))::float::double) as e from (select id, text, [{counts}] as c from {{}})"
+    dot = "list_sum(list_transform(range(1, 6), lambda i: {0}.e[i] * {1}.e[i]))"
+    logit = [0.0, "length(q.text) / 100.0", "length(d.text) / 1000.0"]
+    top = f"greatest({logit[0]}, {logit[1]}, {logit[2]})"
+    total = " + ".join(f"exp({x} - {top})" for x in logit)
+    label = f"case when {logit[0]} = {top} then '{L.NLI_LABELS[0]}' when {logit[1]} = {top} then '{L.NLI_LABELS[1]}' else '{L.NLI_LABELS[2]}' end"
+    return f"""with q as ({profile.format("(select item_id as id, text from benchmark)")}), d as ({profile.format("(select doc_id as id, text from documents)")}),
+    met as (select q.id as query_id, d.id as chunk_id, round(1 - ({dot.format("q", "q")} + {dot.format("d", "d")} - 2 * {dot.format("q", "d")}), 6) as score from q cross join d),
+    best as (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from met)
+    select query_id, chunk_id, cast(rank as integer) as rank, score, {label} as nli_label, round(1.0 / ({total}), 6) as confidence
+    from best join q on q.id = query_id join d on d.id = chunk_id where rank <= 3"""
+
+
+@query("user_scorer", _scorer_sql())
 def user_scorer(spark, sf):
     """Retrieval with a user's embedder, labels with a user's classifier."""
     texts = I.generated(spark, sf).select(F.col("doc_id").alias("query_id"), F.col("text").alias("claim"))

@@ -13,7 +13,7 @@ from corroborate.operators import match, profile
 from corroborate.operators import reports as R
 from corroborate.sources import tables as TB
 from queries import inputs as I
-from queries import query
+from queries import SQL, query
 from queries.grounding import CHUNKED, GROUND
 from queries.grounding import SCORES as GROUND_SCORES
 from queries.matching import MATCHED, MET, PROPOSED, UNMAPPED, conversion_sql, mappings, met, norm_a_sql, proposed_mappings, quote, reason_sql, tables, tokens_sql
@@ -377,7 +377,15 @@ def report_json(spark, sf):
     return spark.read.json(path).select("doc_id", "total", "supported", F.round("trust_score", 6).alias("trust_score"))
 
 
-@query("report_text")
+def _report_sql() -> str:
+    failed = SQL["explain_check"].replace("where status in ('failed', 'warning')", "where status in ('failed')")
+    lines = "list_concat(['### ' || title, '', '**' || summary || '**', ''], list_transform(string_split({}, chr(10)), lambda x: '- ' || x), [''])"
+    return f"""with em as ({SQL["explain_mapping"]}), ec as ({failed})
+    select unnest({lines.format("details")}) as value from em union all select unnest({lines.format("lines")}) from ec
+    union all select '## Column Mappings' where exists (select 1 from em) union all select '## Validation Results' where exists (select 1 from ec)"""
+
+
+@query("report_text", _report_sql())
 def report_text(spark, sf):
     """The explanation report of mappings and checks, as ordered text lines."""
     told = X.explain_mapping(judged(spark, sf)).select(F.lit("mapping").alias("kind"), F.xxhash64("source_table", "source_column", "target_table", "target_column").alias("position"), "title", "summary", "details")
