@@ -553,7 +553,30 @@ def annotations(spark, sf):
     return job(spark, sf).annotations().select("doc_id", "start", "end", "status", "confidence", "claim_index", "citation_number")
 
 
-@query("annotated_markup")
+def _markup_sql() -> str:
+    """Spans in order; each begins where the earlier ones have ended, so text is never repeated."""
+
+    def safe(c: str) -> str:
+        for raw, good in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+            c = f"replace({c}, '{raw}', '{good}')"
+        return c
+
+    def piece(start: str, end: str) -> str:
+        return safe(f"substring(text, {start} + 1, greatest({end} - {start}, 0))")
+
+    colour = "case status " + " ".join(f"when '{k}' then '{v}'" for k, v in L.STATUS_COLOURS.items()) + " else '#ffffff' end"
+    return f"""{GROUND}, {CITED},
+    noted as (select p.doc_id, p.start, p."end", p.status, p.confidence, p.explanation, p.claim_index, c.citation_number, t.text,
+        row_number() over w as k, coalesce(max(p."end") over (w rows between unbounded preceding and 1 preceding), 0) as upto, max(p."end") over (partition by p.doc_id) as ends
+      from positions p left join citations c using (doc_id, claim_index, start) join texts t on t.doc_id = p.doc_id window w as (partition by p.doc_id order by p.start, p.claim_index, p."end")),
+    marked as (select doc_id, string_agg({piece('upto', 'greatest(start, upto)')} || '<span class="claim ' || status || '" style="background-color: ' || {colour} ||
+        '; padding: 2px 4px; border-radius: 3px;" data-claim-index="' || claim_index || '" data-confidence="' || printf('%.2f', confidence) || '" title="' || {safe('explanation')} || '">' ||
+        {piece('greatest(start, upto)', '"end"')} || case when citation_number is not null then '<sup>[' || citation_number || ']</sup>' else '' end || '</span>', '' order by k) as body, max(ends) as ends
+      from noted group by doc_id)
+    select t.doc_id, coalesce(body, '') || {piece('coalesce(ends, 0)', 'length(text)')} as annotated_html from texts t left join marked m on m.doc_id = t.doc_id"""
+
+
+@query("annotated_markup", _markup_sql())
 def annotated_markup(spark, sf):
     g = job(spark, sf)
     return cite.annotated_markup(g.docs, cite.gather_annotations(g.annotations()))

@@ -221,9 +221,16 @@ def migrate_all(spark, sf):
     return results(spark, sf).select("source_table", "target_table", "records_attempted", "records_migrated", "records_failed")
 
 
-@query("migration_result", f"{RESULTS} select * from results where source_table = 'cust'")
+APPLIED = (
+    "cust_id → customer_id: direct; cust_name → full_name: uppercase; nation → nation_id: direct; bal_text → balance: cast_int; segment → segment: trim; "
+    "tier → tier: null_to_default; cust_name → kind+number: split; segment+bal_text → label: merge"
+)
+
+
+@query("migration_result", f"{RESULTS} select *, '{APPLIED}' as transformations_applied from results where source_table = 'cust'")
 def migration_result(spark, sf):
-    return move.migration_result(CUSTOMER_PLAN, routed(spark, sf)).drop("transformations_applied")
+    result = move.migration_result(CUSTOMER_PLAN, routed(spark, sf))
+    return result.withColumn("transformations_applied", F.array_join("transformations_applied", "; "))
 
 
 @query(
