@@ -18,7 +18,7 @@ from corroborate.session import stage
 #: Bits of a fingerprint, and the parts by which an error budget is spread.
 BITS, PARTS = 64, 4
 _PART = BITS // PARTS
-_FRONTIER = 1 << 20
+_FRONTIER = 1 << 17
 _SHINGLES = 1 << 16
 _COLUMNS = 1 << 11
 #: Reps of a block's largest group, by which blocks are joined.
@@ -420,7 +420,7 @@ def _across(similarity: float) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def verified(sets: DataFrame, similarity: float, block: int = 2048, size: int = 1 << 21) -> DataFrame:
+def verified(sets: DataFrame, similarity: float, block: int = 1024, size: int = 1 << 21) -> DataFrame:
     """Links ``(u, v)`` that join all of ``sets(root, node, hashes)`` of one root whose exact Jaccard similarity is at least ``similarity``.
 
     A root's sets are dealt to blocks by their hash, of about ``block`` sets
