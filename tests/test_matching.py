@@ -110,6 +110,60 @@ def test_matching_end_to_end(spark):
     assert loose.where("side = 'source' and column_name = 'cust_status'").count() == 0
 
 
+def test_proposals_speak_for_their_mapping(spark):
+    source, target = catalog(spark, "cust", ["cust_status", "cust_city", "full"]), catalog(spark, "customers", ["is_active", "city", "name_parts"])
+    rows = [
+        ("cust", "cust_status", "customers", "Is-Active", 0.95, "N:1", "merge", "said so", "nothing else"),
+        ("cust", "cust_status", "customers", "is_active", 0.70, "1:N", "split", "less sure", None),
+        ("cust", "full", "customers", "name_parts", 0.9, None, "split on blank", None, None),
+        ("other", "cust_city", "customers", "name_parts", 0.99, "1:N", "x", "of another table", None),
+    ]
+    given = spark.createDataFrame(rows, "source_table string, source_column string, target_table string, target_column string, confidence double, mapping_type string, transformation string, why_mapped string, why_not_others string")
+    got = {r.source_column: r for r in match.match_columns(source, target, proposals=given).collect()}
+    said = got["cust_status"]
+    assert (said.target_column, said.mapping_type, said.transformation, said.why_mapped, said.why_not_others) == ("is_active", "N:1", "merge", "said so", "nothing else")
+    assert (got["full"].target_column, got["full"].mapping_type, got["full"].transformation) == ("name_parts", "1:1", "split on blank")
+    assert got["cust_city"].target_column == "city" and got["cust_city"].why_not_others == "" and "city" in got["cust_city"].why_mapped
+
+
+def test_each_pair_of_tables_asks_for_its_own_columns(spark):
+    source = catalog(spark, "cust", ["cust_city", *[f"odd{k}" for k in range(12)]])
+    target = catalog(spark, "a", ["city"]).union(catalog(spark, "b", [f"thing_{k}" for k in range(11)]))
+    pairs = spark.createDataFrame([("cust", "a"), ("cust", "b")], "source_table string, target_table string")
+    asked = {(r.target_table, r.column_name) for r in match.uncertain_columns(source, target, pairs=pairs).collect()}
+    assert ("a", "cust_city") not in asked and ("b", "cust_city") in asked and len(asked) == 12 + 13
+    lists = {r.target_table: r for r in match.ask_lists(source, target, pairs).collect()}
+    assert lists["a"].source_columns == [f"odd{k}" for k in range(10)] and lists["a"].target_columns == ["city"] and lists["a"].uncertain == 12
+    assert lists["b"].source_columns[0] == "cust_city" and lists["b"].target_columns == [f"thing_{k}" for k in range(10)] and lists["b"].uncertain == 13
+
+
+def test_fuzzy_batches_equal_the_scalar_score(spark):
+    words = ["customer", "order", "id", "a", "é", "total", "", "first name"]
+    pairs = [(" ".join(words[(k * 7 + i) % 8] for i in range(k % 4)).strip(), " ".join(words[(k * 3 + 2 * i) % 8] for i in range(k % 3)).strip()) for k in range(200)] + [("x" * 80, "x" * 70 + " y"), ("abc", "bca")]
+    got = S.fuzzy_scores(*zip(*pairs, strict=True))
+    assert all(abs(g - S.fuzzy(a, b)) < 1e-12 for g, (a, b) in zip(got, pairs, strict=True))
+    rows = spark.createDataFrame([*pairs, (None, "a")], "a string, b string").select("a", "b", S.fuzzy_score("a", "b").alias("f"), S.fuzzy_bound(F.col("a"), F.col("b")).alias("most")).collect()
+    for r in rows:
+        assert (r.f is None) == (r.a is None)
+        if r.a is not None and not set(r.a.split()) & set(r.b.split()):
+            assert r.f <= r.most + 1e-9
+
+
+def test_name_matcher_misses_no_pair(spark):
+    """Bounded candidates hold every pair that all pairs of names would give."""
+    source, target = catalog(spark, "customer_old", [*CUST, "orderTotal", "x", "ph"]), catalog(spark, "customers", [*CUSTOMERS, "total_order", "y", "phase"])
+    for threshold in (0.2, 0.4, 0.55):
+        got = {(r.source_column, r.target_column): r.overall for r in match.match_by_name(source, target, threshold).collect()}
+        a, b = (match._worded(c, "column_name") for c in (source, target))
+        every = match._scored_names(a, b, match._all_pairs(a, b)).collect()
+        best = {}
+        for r in every:
+            overall = 0.5 * r.semantic + 0.3 * r.syntactic + 0.2
+            if overall >= threshold - 1e-6:
+                best[r.source] = max(best.get(r.source, 0), overall)
+        assert {s for s, _ in got} == set(best) and all(abs(best[s] - v) < 1e-5 for (s, _), v in got.items())
+
+
 def test_name_matcher(spark):
     source, target = catalog(spark, "customer_old", CUST), catalog(spark, "customers", CUSTOMERS)
     got = {r.source_column: r.target_column for r in match.match_by_name(source, target).collect()}
