@@ -467,9 +467,12 @@ def near_groups(docs: DataFrame, id_col: str, text_col: str, width: int, similar
     nodes = stage(drawn.dropDuplicates(["node"]), "simhash-nodes")
     asked = stage(nodes.join(held_elsewhere(nodes), "node").select(F.col(id_col).alias("id"), F.col("text_hash").alias("hash"), "node"), "near-asked")
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
-    # most texts are not asked for, and not shuffled
-    texts = with_guess(texts, asked, ["id", "hash"]).where("guess").join(asked.withColumnsRenamed({"id": "_id", "hash": "_hash"}), F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")))
-    texts = texts.select("node", "text").dropDuplicates(["node"])
+    # most texts are not asked for, and not shuffled; the key's partitions also bring rows that repeat together
+    key = F.xxhash64("id", "hash").alias("key")
+    guessed = with_guess(texts, asked, ["id", "hash"]).where("guess").select(key, "id", "hash", "text")
+    wanted = asked.select(key, F.col("id").alias("_id"), F.col("hash").alias("_hash"), "node")
+    texts = guessed.join(wanted, "key").where(F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")))
+    texts = texts.select("key", "node", "text").dropDuplicates(["key", "node"]).select("node", "text")
     sets = stage(drawn_sets(texts, width, prints), "near-sets")
     tied = stage(candidates(sets.drop("hashes"), prints, budget, both), "near-candidates")
     tied = tied.unionByName(tied.select(F.col("root").alias("node"), "root").distinct())
