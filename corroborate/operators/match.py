@@ -335,6 +335,45 @@ def match_reason(domain: Column, cosine: Column, tfidf: Column, source: Column,
     )
 
 
+#: A proposal's confidence and what it says, null where there is none.
+_HINT = "struct<p:double," + ",".join(f"{c}:string" for c in SAID) + ">"
+
+
+def _offers(rows: DataFrame, accept: float) -> DataFrame:
+    """Rows whose ensemble score reaches ``accept``, with ``offer``: its fields, so ordered that the least is the best."""
+    scored = rows.withColumn("p", F.coalesce("hint.p", F.lit(0.0))).withColumn("ensemble", ensemble(F.col("p"))).where(F.col("ensemble") >= accept)
+    fields = ["target_table", "position", "target", "target_type", "cosine", "p", "tfidf", "domain", *(F.col(f"hint.{c}").alias(c) for c in SAID)]
+    return scored.withColumn("offer", F.struct((-F.col("ensemble")).alias("order"), *fields))
+
+
+def _best_told_apart(source: DataFrame, names: DataFrame, scored: DataFrame, t: DataFrame, hints: DataFrame, accept: float) -> DataFrame:
+    """``(source_table, source, b)``: the best offer to every source column, where proposals tell columns of one name apart.
+
+    Without a proposal the offers depend on the name alone, so they are ranked
+    once per name. A column with n proposals looks at the first n + 1 of its
+    name: n of them at most are its own proposals, which count with their own
+    scores instead. So the rows joined are the columns and the proposals, not
+    the columns times their candidates.
+    """
+    at = ["target_table", "target"]
+    left = source.select(F.col("table_name").alias("source_table"), F.col("column_name").alias("source")).distinct()
+    # of a target column that is listed twice only the earlier can win
+    once = t.groupBy(*at).agg(F.min(F.struct("position", "target_type")).alias("c")).select(*at, "c.position", "c.target_type")
+    own = stage(hints.join(left, ["source_table", "source"]), "own-hints")
+    plain = _offers(names.join(scored, "source").join(once, "target").withColumn("hint", F.lit(None).cast(_HINT)), accept)
+    counts = own.groupBy("source_table", "source").agg(F.count("*").alias("n"))
+    looks = counts.groupBy("source").agg((F.max("n") + 1).alias("looks"))
+    rank = F.row_number().over(Window.partitionBy("source").orderBy("offer"))
+    ranked = plain.join(looks, "source", "left").withColumn("rank", rank).where(F.col("rank") <= F.coalesce("looks", F.lit(1)))
+    ranked = small(stage(ranked.select("source", "rank", *at, "offer"), "ranked-offers"))
+    free = left.join(counts, ["source_table", "source"], "left_anti").join(ranked.where("rank = 1"), "source").select("source_table", "source", "offer")
+    looked = counts.withColumn("rank", F.explode(F.sequence(F.lit(1), F.col("n").cast("int") + 1))).join(ranked, ["source", "rank"])
+    others = looked.join(own.select("source_table", "source", *at), ["source_table", "source", *at], "left_anti").select("source_table", "source", "offer")
+    told = _offers(own.join(scored, ["source", "target"]).join(once, at), accept).select("source_table", "source", "offer")
+    picked = others.union(told).groupBy("source_table", "source").agg(F.min("offer").alias("b"))
+    return free.withColumnRenamed("offer", "b").union(picked)
+
+
 def match_columns(
     source: DataFrame,
     target: DataFrame,
@@ -354,10 +393,7 @@ def match_columns(
     Of several proposals for one mapping the most confident speaks.
     """
     accept = threshold if proposals is not None or use_local else max(0.4, threshold - 0.1)
-    names = [_names(source), _names(target)]
-    if proposals is not None:
-        names += [proposals.select("source_column"), proposals.select("target_column")]
-    features = name_features(*names, dictionary=dictionary)
+    features = name_features(_names(source), _names(target), dictionary=dictionary)
     demands = [(accept, PLAIN_WEIGHTS)]
     if use_local and proposals is None:
         demands.append((max(LOCAL_MINIMUM, _least_local(accept)), LOCAL_WEIGHTS))
@@ -365,35 +401,28 @@ def match_columns(
     t = target.select(
         F.col("table_name").alias("target_table"), F.col("column_name").alias("target"), "position", F.col("data_type").alias("target_type")
     )
+    names = source.select(F.col("column_name").alias("source")).distinct()
+    hints = None
     if proposals is not None:
         said = [F.col(c) if c in proposals.columns else F.lit(None).cast("string").alias(c) for c in SAID]
         given = proposals.select("source_table", F.col("source_column").alias("source"), "target_table", _loose(F.col("target_column")).alias("loose"), "confidence", *said)
-        asked = given.join(t.withColumn("loose", _loose(F.col("target"))), ["target_table", "loose"])
+        asked = stage(given.join(t.withColumn("loose", _loose(F.col("target"))), ["target_table", "loose"]), "asked")
         pairs = pairs.union(asked.select("source", "target"))
-        scored = stage(score_name_pairs(pairs, features, dictionary), "name_scores")
-        left = source.select(F.col("table_name").alias("source_table"), F.col("column_name").alias("source"))
         hints = asked.groupBy("source_table", "source", "target_table", "target").agg(F.max(F.struct(F.col("confidence").alias("p"), *SAID)).alias("hint"))
-        keys = ["source_table", "source"]
+    scored = stage(score_name_pairs(pairs, features, dictionary), "name_scores")
+    if hints is not None:
+        best, keys = _best_told_apart(source, names, scored, t, hints, accept), ["source_table", "source"]
     else:
-        scored = stage(score_name_pairs(pairs, features, dictionary), "name_scores")
-        left = source.select(F.col("column_name").alias("source")).distinct()
         keys = ["source"]
-        hints = None
+        rows = names.join(scored, "source").join(t, "target")
         if use_local:
             unsaid = [F.lit(None).cast("string").alias(c) for c in SAID if c != "why_mapped"]
             hints = local_proposals(source, target, scored)
             hints = hints.select("source", "target_table", "target", F.struct(F.col("confidence").alias("p"), "why_mapped", *unsaid).alias("hint"))
-    rows = left.join(scored, "source").join(t, "target")
-    if hints is None:
-        rows = rows.withColumn("hint", F.lit(None).cast("struct<p:double," + ",".join(f"{c}:string" for c in SAID) + ">"))
-    else:
-        rows = rows.join(hints, [*keys, "target_table", "target"], "left")
-    rows = rows.withColumn("p", F.coalesce("hint.p", F.lit(0.0)))
-    rows = rows.withColumn("ensemble", ensemble(F.col("p"))).where(F.col("ensemble") >= accept)
-    first_best = F.min(
-        F.struct((-F.col("ensemble")).alias("order"), "target_table", "position", "target", "target_type", "cosine", "p", "tfidf", "domain", *(F.col(f"hint.{c}").alias(c) for c in SAID))
-    )
-    best = rows.groupBy(*keys).agg(first_best.alias("b"))
+            rows = rows.join(hints, [*keys, "target_table", "target"], "left")
+        else:
+            rows = rows.withColumn("hint", F.lit(None).cast(_HINT))
+        best = _offers(rows, accept).groupBy(*keys).agg(F.min("offer").alias("b"))
     columns = source.select(F.col("table_name").alias("source_table"), F.col("column_name").alias("source"), F.col("data_type").alias("source_type"))
     score = -F.col("b.order")
     return columns.join(best, keys).select(

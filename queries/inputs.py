@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corroborate.session import stage
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -84,15 +86,17 @@ from {{lineitem}} join ({LEGACY}) as l on l_partkey = p_partkey join ({MODERN})
 
 # An outside proposer's answers: the columns that a legacy column meets most in lineitem,
 # with the kind of mapping and its reasons. Not every proposal says everything.
-PROPOSALS = f"""
+SAID_OF_MET = """
 select source_table, source_column, target_table, replace(upper(target_column), '_', '-') as target_column, least(95, 55 + 10 * n) / 100.0 as confidence,
        case when n % 3 = 0 then '1:N' when n % 3 = 1 then 'N:1' end as mapping_type,
        case when n % 3 = 0 then 'split on _' when n % 3 = 1 then 'merge with blank' end as transformation,
        case when n % 2 = 0 then 'they meet ' || cast(n as varchar(9)) || ' times' end as why_mapped, case when n % 2 = 0 then 'others meet less' end as why_not_others
-from (select l.table_name as source_table, l.column_name as source_column, m.table_name as target_table, m.column_name as target_column, count(*) as n
-      from {{lineitem}} join ({LEGACY}) as l on l_partkey = p_partkey join ({MODERN}) as m on l_suppkey = s_suppkey
-      group by l.table_name, l.column_name, m.table_name, m.column_name having count(*) > 2) as met
+from {met} as met
 """
+MET_COUNTS = f"""(select l.table_name as source_table, l.column_name as source_column, m.table_name as target_table, m.column_name as target_column, count(*) as n
+      from {{lineitem}} join ({LEGACY}) as l on l_partkey = p_partkey join ({MODERN}) as m on l_suppkey = s_suppkey
+      group by l.table_name, l.column_name, m.table_name, m.column_name having count(*) > 2)"""
+PROPOSALS = SAID_OF_MET.replace("{met}", MET_COUNTS)
 
 
 def derived(spark: SparkSession, sf: str, text: str) -> DataFrame:
@@ -116,7 +120,20 @@ def modern_columns(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def proposals(spark: SparkSession, sf: str) -> DataFrame:
-    return derived(spark, sf, PROPOSALS).withColumn("confidence", F.col("confidence").cast("double"))
+    """PROPOSALS; lineitem is counted by numbers of columns, and names are joined to the few that meet often enough."""
+
+    def numbered(text: str, key: str) -> tuple[DataFrame, DataFrame]:
+        rows = derived(spark, sf, text).select(key, "table_name", "column_name")
+        columns = stage(rows.select("table_name", "column_name").distinct().withColumn("at", F.monotonically_increasing_id()), "numbered")
+        same = rows.table_name.eqNullSafe(columns.table_name) & rows.column_name.eqNullSafe(columns.column_name)
+        return rows.join(columns, same).select(key, "at"), columns
+
+    (parts, sources), (suppliers, targets) = numbered(LEGACY, "p_partkey"), numbered(MODERN, "s_suppkey")
+    lines = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey").alias("s_suppkey"))
+    pairs = lines.join(suppliers.withColumnRenamed("at", "t"), "s_suppkey").join(parts.withColumnRenamed("at", "s"), "p_partkey")
+    counts = pairs.groupBy("s", "t").agg(F.count("*").alias("n")).where("n > 2")
+    named = counts.join(sources.toDF("source_table", "source_column", "s"), "s").join(targets.toDF("target_table", "target_column", "t"), "t")
+    return spark.sql(SAID_OF_MET, met=named).withColumn("confidence", F.col("confidence").cast("double"))
 
 
 def name_pairs(spark: SparkSession, sf: str) -> DataFrame:

@@ -183,3 +183,39 @@ def test_dictionary_file(spark, tmp_path):
     path.write_text("short,long,score\nzz,zebra,\nzz_no,zebra_number,0.97\n")
     d = N.Dictionary.read(spark, str(path))
     assert d.abbreviations["zz"] == "zebra" and ("zz_no", "zebra_number", 0.97) in d.known_pairs and len(d.abbreviations) > 100
+
+
+def test_proposals_are_decided_without_all_rows_of_a_name(spark):
+    """A column looks at the offers to its name and its own proposals; the result is that of all rows."""
+    source = catalog(spark, "old_0", ["cust_id", "cust_email", "qty"])
+    for i in range(1, 8):
+        source = source.union(catalog(spark, f"old_{i}", ["cust_id", "cust_email", "qty"]))
+    target = catalog(spark, "a", ["customer_id", "email", "quantity"]).union(catalog(spark, "b", ["customer_id", "email_address", "id"])).union(catalog(spark, "b", ["customer_id"]))
+    rows = [("old_1", "cust_id", "a", "customer_id", 0.1), ("old_2", "cust_id", "a", "customer_id", 0.05), ("old_2", "cust_id", "b", "customer_id", 0.1), ("old_3", "cust_email", "b", "id", 0.99),
+            ("old_4", "cust_id", "a", "customer_id", 0.0), ("old_4", "cust_id", "b", "id", None), ("none", "cust_id", "a", "customer_id", 0.99), ("old_5", "cust_email", "b", "email_address", 0.2)]
+    hints = spark.createDataFrame(rows, "source_table string, source string, target_table string, target string, p double")
+    said = [F.lit("said" if c == "why_mapped" else None).cast("string").alias(c) for c in match.SAID]
+    hints = hints.select("source_table", "source", "target_table", "target", F.struct("p", *said).alias("hint"))
+    names = source.select(F.col("column_name").alias("source")).distinct()
+    t = target.select(F.col("table_name").alias("target_table"), F.col("column_name").alias("target"), "position", F.col("data_type").alias("target_type"))
+    pairs = names.crossJoin(t.select("target").distinct())
+    scored = match.stage(match.score_name_pairs(pairs, match.name_features(names, t.select("target"))), "scored")
+    for accept in (0.05, 0.6):
+        got = match._best_told_apart(source, names, scored, t, hints, accept)
+        every = source.select(F.col("table_name").alias("source_table"), F.col("column_name").alias("source")).join(scored, "source").join(t, "target")
+        every = match._offers(every.join(hints, ["source_table", "source", "target_table", "target"], "left"), accept)
+        want = every.groupBy("source_table", "source").agg(F.min("offer").alias("b"))
+        assert sorted(got.collect(), key=str) == sorted(want.collect(), key=str)
+        assert got.count() > (20 if accept < 0.1 else 8)
+
+
+def test_proposals_are_counted_by_numbers_of_columns(spark, sf):
+    """The rows of the text, though lineitem never carries a name through a shuffle."""
+    from queries import inputs as I
+
+    got = I.proposals(spark, "/root/testdata/sf0.01")
+    want = I.derived(spark, "/root/testdata/sf0.01", I.PROPOSALS)
+    want = want.withColumn("confidence", want.confidence.cast("double"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() > 0
+    wide = [line for line in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Aggregate" in line and "count(" in line]
+    assert wide and not any("table_name" in line for line in wide)
