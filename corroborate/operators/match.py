@@ -556,12 +556,23 @@ def match_by_name(source: DataFrame, target: DataFrame, threshold: float = 0.4)
     # in whole millionths, so that halves are rounded up whatever the binary fraction
     millionths = [w * F.round(F.col(c) * 1_000_000).cast("long") for w, c in ((5, "semantic"), (3, "syntactic"), (2, "type_score"))]
     overall = F.floor((millionths[0] + millionths[1] + millionths[2] + 5) / 10) / 1_000_000
-    good = s.join(scored, "source").join(t, "target").withColumn("type_score", type_score).withColumn("overall", overall).where(F.col("overall") >= threshold)
+    # the best target in a table depends on the column's name and type alone
+    kinds = s.select("source", "source_type").distinct()
+    # heavy per row on few bytes: dealt before the names meet the tables, which stay the small side
+    good = spread(kinds.join(scored, "source")).join(small(stage(t, "targets")), "target").withColumn("type_score", type_score).withColumn("overall", overall).where(F.col("overall") >= threshold)
     fields = ["position", "target", "target_type", "target_pk", "target_nullable", "semantic", "syntactic", "type_score"]
     best = F.min(F.struct((-F.col("overall")).alias("order"), *fields))
-    picked = stage(good.groupBy("source_table", "target_table", "source", "source_type", "source_pk", "source_nullable").agg(best.alias("b")), "matched-names")
-    related = table_pairs(source, target, pairs=picked).select("source_table", "target_table")
-    return picked.join(related, ["source_table", "target_table"]).select(
+    picked = good.groupBy("source", "source_type", "target_table").agg(best.alias("b"))
+    found = stage(picked.groupBy("source", "source_type").agg(F.collect_list(F.struct("target_table", "b")).alias("found")), "matched-names")
+    found = small(found)
+    met = s.select("source_table", "source", "source_type").distinct().join(found.select("source", "source_type", "found.target_table"), ["source", "source_type"])
+    # dealt by source table once, so that pairs of tables are told apart where they lie
+    pairs = met.select("source_table", "target_table").repartition("source_table").select("source_table", F.explode("target_table").alias("target_table")).distinct()
+    related = table_pairs(source, target, pairs=stage(pairs, "met-tables")).groupBy("source_table").agg(F.collect_set("target_table").alias("related"))
+    # targets leave their lists last: no shuffle carries a row per column and target table
+    listed = s.distinct().join(related, "source_table").join(found, ["source", "source_type"])
+    each = listed.withColumn("f", F.explode(F.filter("found", lambda x: F.array_contains("related", x["target_table"])))).select("*", "f.*")
+    return each.select(
         "source_table", F.col("source").alias("source_column"), "source_type", "source_pk", "source_nullable", "target_table",
         F.col("b.target").alias("target_column"), "b.target_type", "b.target_pk", "b.target_nullable",
         "b.semantic", "b.syntactic", "b.type_score", (-F.col("b.order")).alias("overall"),

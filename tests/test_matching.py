@@ -219,3 +219,17 @@ def test_proposals_are_counted_by_numbers_of_columns(spark, sf):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() > 0
     wide = [line for line in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Aggregate" in line and "count(" in line]
     assert wide and not any("table_name" in line for line in wide)
+
+
+def test_best_targets_are_found_per_name_and_type(spark):
+    """A hundred tables with the same columns cost the types' scores of one; lists of targets leave last."""
+    one = catalog(spark, "order_0", ["order_id", "order_date", "note"])
+    many = spark.range(100).crossJoin(one.drop("table_name")).withColumn("table_name", F.format_string("order_%d", "id")).select(*one.columns)
+    target = catalog(spark, "orders_new", ["order_id", "order_dt", "customer"]).union(catalog(spark, "order_rows", ["order_id", "notes"]))
+    found = match.match_by_name(many, target)
+    single = match.match_by_name(one, target).drop("source_table").distinct()
+    assert found.count() == 100 * single.count() > 200
+    assert sorted(map(str, found.drop("source_table").distinct().collect())) == sorted(map(str, single.collect()))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # all that is left to do is to hand out staged lists: no score is computed per column and target table
+    assert "found" in plan and "min(" not in plan
