@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -52,6 +52,12 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
 
 
+def by_slices(batch: pa.Array, rows: int, work: Callable[[list], pa.Array]) -> pa.Array:
+    """``work`` on ``rows`` rows at a time, so that only these are Python objects, however large the batch."""
+    done = [work(batch.slice(at, rows).to_pylist()) for at in range(0, max(len(batch), 1), rows)]
+    return done[0] if len(done) == 1 else pa.concat_arrays(done)
+
+
 def chunker(size: int = 500, overlap: int = 50):
     """Overlapping windows that prefer to end after a full stop or a line break.
 
@@ -78,10 +84,19 @@ def chunker(size: int = 500, overlap: int = 50):
                 index += 1
             start = end - overlap
 
-    @F.pandas_udf(CHUNK_TYPE)
-    def chunk(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def of_slice(texts: list[str | None]) -> pa.Array:
+        ends, cut = [0], []
+        for text in texts:
+            cut.extend(pieces(text) if text is not None else ())
+            ends.append(len(cut))
+        columns = [pa.array([c[i] for c in cut], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.string()))]
+        rows = pa.StructArray.from_arrays(columns, names=CHUNK_TYPE.elementType.names)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
+
+    @F.arrow_udf(CHUNK_TYPE)
+    def chunk(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield batch.map(lambda t: list(pieces(t)) if t is not None else [])
+            yield by_slices(batch, 100, of_slice)
 
     return chunk
 
@@ -111,25 +126,23 @@ def embed_text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     def bucket(word: str) -> int:
         found = buckets.get(word)
         if found is None:
-            if len(buckets) > 500_000:
+            if len(buckets) > 100_000:
                 buckets.clear()
             found = buckets[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % EMBEDDING_WIDTH
         return found
 
-    for batch in batches:
-        n = len(batch)
-        cells = [
-            row * EMBEDDING_WIDTH + bucket(word)
-            for row, text in enumerate(batch.to_pylist())
-            if text
-            for word in token.findall(text.lower())
-        ]
+    def vectors_of(texts: list[str | None]) -> pa.Array:
+        n = len(texts)
+        cells = [row * EMBEDDING_WIDTH + bucket(word) for row, text in enumerate(texts) if text for word in token.findall(text.lower())]
         counts = np.bincount(np.array(cells, dtype=np.int64), minlength=n * EMBEDDING_WIDTH).reshape(n, EMBEDDING_WIDTH)
         norms = np.sqrt((counts * counts).sum(axis=1))
         empty = norms == 0
         vectors = (counts / np.where(empty, 1, norms)[:, None]).astype(np.float32)
         offsets = np.arange(n + 1, dtype=np.int32) * EMBEDDING_WIDTH
-        yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(vectors.ravel()), mask=pa.array(empty))
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(vectors.ravel()), mask=pa.array(empty))
+
+    for batch in batches:
+        yield by_slices(batch, 500, vectors_of)
 
 
 def content_tokens(c: Column) -> Column:

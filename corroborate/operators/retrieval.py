@@ -7,10 +7,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from corroborate.functions.text import embed_text
 from corroborate.session import stage
@@ -133,30 +135,39 @@ def evidence_topk(
             keep[row, np.argsort(-scores[row], kind="stable")[:k]] = True
         return np.nonzero(keep)
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    out = to_arrow_schema(schema)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict = {}  # by number of the query block: ids of the queries, scores and store ids of their best
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                q_ids, c_ids = np.asarray(row.q_ids), np.asarray(row.c_ids)
-                qm = np.frombuffer(row.q_matrix, np.float32).reshape(len(q_ids), -1).astype(np.float64)
-                cm = np.frombuffer(row.c_matrix, np.float32).reshape(len(c_ids), -1).astype(np.float64)
+            # matrices are read where Arrow holds them; only ids are copied, or they would keep their batch
+            blocks, q_all, q_vectors, c_all, c_vectors = batch.columns
+            for at in range(batch.num_rows):
+                block = blocks[at].as_py()
+                q_ids, c_ids = (np.array(x[at].values.to_numpy(zero_copy_only=False)) for x in (q_all, c_all))
+                qm = np.frombuffer(q_vectors[at].as_buffer(), np.float32).reshape(len(q_ids), -1).astype(np.float64)
+                cm = np.frombuffer(c_vectors[at].as_buffer(), np.float32).reshape(len(c_ids), -1).astype(np.float64)
                 distance = (qm * qm).sum(1)[:, None] + (cm * cm).sum(1)[None, :] - 2 * (qm @ cm.T)
                 scores = np.round(1 - distance, SCORE_DIGITS)
                 rows, columns = best_cells(scores)
                 found, ids = scores[rows, columns].reshape(len(q_ids), -1), c_ids[columns].reshape(len(q_ids), -1)
-                if row.q_block in best:
-                    found, ids = np.hstack([best[row.q_block][1], found]), np.hstack([best[row.q_block][2], ids])
+                if block in best:
+                    found, ids = np.hstack([best[block][1], found]), np.hstack([best[block][2], ids])
                     by_id = np.argsort(ids, axis=1, kind="stable")
                     found, ids = np.take_along_axis(found, by_id, 1), np.take_along_axis(ids, by_id, 1)
                     top = np.argsort(-found, axis=1, kind="stable")[:, :k]
                     found, ids = np.take_along_axis(found, top, 1), np.take_along_axis(ids, top, 1)
-                best[row.q_block] = (q_ids, found, ids)
+                best[block] = (q_ids, found, ids)
+                del qm, cm
+            # or two batches lie side by side while the next is read
+            del batch, blocks, q_all, q_vectors, c_all, c_vectors
         for q_ids, found, ids in best.values():
-            yield pd.DataFrame({query_key: np.repeat(q_ids, found.shape[1]), store_key: ids.ravel(), "score": found.ravel()})
+            columns = [np.repeat(q_ids, found.shape[1]), ids.ravel(), found.ravel()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out, strict=True)], schema=out)
 
     order = Window.partitionBy(query_key).orderBy(F.desc("score"), F.col(store_key))
     return (
-        met.mapInPandas(search, schema)
+        met.mapInArrow(search, schema)
         .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= k)
     )

@@ -125,3 +125,24 @@ def test_chunk_store(spark, tmp_path):
     assert spark.read.parquet(path).count() == 1
     cleared = corpus.clear_chunks(spark, path)
     assert cleared.count() == 0 and cleared.columns == made.columns
+
+
+def test_batches_become_python_objects_by_slices(spark):
+    """However large a batch, only a slice of it is taken apart at a time; the rows stay those of the whole."""
+    import pyarrow as pa
+
+    from corroborate.functions import text as X
+
+    seen = []
+
+    def work(texts):
+        seen.append(len(texts))
+        return pa.array([None if t is None else len(t) for t in texts], pa.int32())
+
+    batch = pa.array([None if i % 7 == 0 else "x" * i for i in range(1, 1051)])
+    assert X.by_slices(batch, 100, work).to_pylist() == [None if i % 7 == 0 else i for i in range(1, 1051)]
+    assert max(seen) == 100 and X.by_slices(batch.slice(0, 0), 100, work).to_pylist() == []
+    rows = spark.range(450).selectExpr("id", "case when id % 50 = 3 then null when id % 50 = 4 then '' else repeat(concat('word', id, '. '), 90) end as text").coalesce(1)
+    cut = rows.select("id", X.chunker()("text").alias("c"), X.embed_text("text").alias("v")).collect()
+    assert [len(r.c) == 0 for r in cut] == [r.id % 50 in (3, 4) for r in cut] == [r.v is None for r in cut]
+    assert all(r.c[0].text.startswith(f"word{r.id}. ") and r.c[1].char_start > 0 for r in cut if r.c)
