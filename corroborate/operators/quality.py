@@ -111,8 +111,22 @@ def numeric_text_check(facts: DataFrame, df: DataFrame, spec: TableSpec, limit:
     )
 
 
+def _counted(df: DataFrame, keys: list[str], rows: int = 250_000) -> DataFrame:
+    """``keys`` with their ``copies``, in as many partitions as ``df`` has ``rows`` rows.
+
+    Most keys occur once, so nothing combines before the shuffle, and a scan
+    holds no table of keys. The number of partitions is given, or adaptive
+    execution would put well compressed keys of any number into one task. Rows
+    of a hot key pass through its task, whose table has one entry for them. Two
+    partitions at least: Spark joins a union of single ones, and one task would
+    count the keys of all small tables.
+    """
+    parts = max(2, -(-df.count() // rows))
+    return df.select(*keys).repartition(parts, *keys).groupBy(*keys).agg(F.count("*").alias("copies"))
+
+
 def duplicate_check(df: DataFrame, spec: TableSpec) -> DataFrame:
-    """Keys that occur more than once; a partial count runs before the shuffle."""
+    """Keys that occur more than once."""
     spark = df.sparkSession
     if not spec.primary_key:
         return spark.range(1).select(
@@ -124,7 +138,7 @@ def duplicate_check(df: DataFrame, spec: TableSpec) -> DataFrame:
         )
     keys = list(spec.primary_key)
     shown = F.concat_ws(",", *[F.coalesce(F.col(k).cast("string"), F.lit("NULL")) for k in keys])
-    repeated = df.groupBy(*keys).agg(F.count("*").alias("copies")).where(F.col("copies") > 1)
+    repeated = _counted(df, keys).where(F.col("copies") > 1)
     # the five smallest samples by a top-k, so no list of all duplicates is built
     few = repeated.select(shown.alias("sample")).orderBy("sample").limit(5).agg(F.array_join(F.array_sort(F.collect_list("sample")), "; ").alias("sample"))
     parts = repeated.agg(F.count("*").alias("n")).withColumn("sample", F.lit(None).cast("string")).unionByName(few.withColumn("n", F.lit(None).cast("long")))

@@ -255,3 +255,14 @@ def test_live_run_goes_through_all_phases(spark, tmp_path):
     with pytest.raises(Exception):
         run(plans[::-1], "r2")
     assert {k: v[0] for k, v in status("r2").items()} == {"old": "finished", "bad": "error"}
+
+
+def test_keys_are_counted_in_partitions_of_bounded_size(spark):
+    df = spark.range(0, 1000, 1, 4).selectExpr("id div 2 as k", "if(id < 700, null, id) as j")
+    counted = quality._counted(df, ["k", "j"], rows=100)
+    assert counted.rdd.getNumPartitions() == 10
+    assert counted.agg(F.sum("copies"), F.count("*"), F.max("copies")).first()[:] == (1000, 650, 2)
+    small = quality._counted(spark.range(3), ["id"])
+    assert small.rdd.getNumPartitions() == 2 and small.count() == 3
+    plan = quality.duplicate_check(df, TableSpec("t", ("k",)))._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
