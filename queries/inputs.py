@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corroborate.session import stage
@@ -119,19 +121,24 @@ def modern_columns(spark: SparkSession, sf: str) -> DataFrame:
     return derived(spark, sf, MODERN_COLUMNS)
 
 
-def proposals(spark: SparkSession, sf: str) -> DataFrame:
-    """PROPOSALS; lineitem is counted by numbers of columns, and names are joined to the few that meet often enough."""
+def numbered(rows: DataFrame, key: str, columns: list[str], *more: str) -> tuple[DataFrame, DataFrame]:
+    """``(key, at, more)`` of all rows, and the different ``columns``, each with its number ``at``."""
+    kinds = stage(rows.select(*columns).distinct().withColumn("at", F.monotonically_increasing_id()), "numbered")
+    same = reduce(Column.__and__, [rows[c].eqNullSafe(kinds[c]) for c in columns])
+    return rows.join(kinds, same).select(key, "at", *[rows[c] for c in more]), kinds
 
-    def numbered(text: str, key: str) -> tuple[DataFrame, DataFrame]:
-        rows = derived(spark, sf, text).select(key, "table_name", "column_name")
-        columns = stage(rows.select("table_name", "column_name").distinct().withColumn("at", F.monotonically_increasing_id()), "numbered")
-        same = rows.table_name.eqNullSafe(columns.table_name) & rows.column_name.eqNullSafe(columns.column_name)
-        return rows.join(columns, same).select(key, "at"), columns
 
-    (parts, sources), (suppliers, targets) = numbered(LEGACY, "p_partkey"), numbered(MODERN, "s_suppkey")
+def met_numbers(spark: SparkSession, sf: str, parts: DataFrame, suppliers: DataFrame) -> DataFrame:
+    """A row of numbers ``(s, t)`` per line: its part's column and its supplier's."""
     lines = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey").alias("s_suppkey"))
-    pairs = lines.join(suppliers.withColumnRenamed("at", "t"), "s_suppkey").join(parts.withColumnRenamed("at", "s"), "p_partkey")
-    counts = pairs.groupBy("s", "t").agg(F.count("*").alias("n")).where("n > 2")
+    return lines.join(suppliers.withColumnRenamed("at", "t"), "s_suppkey").join(parts.withColumnRenamed("at", "s"), "p_partkey").select("s", "t")
+
+
+def proposals(spark: SparkSession, sf: str) -> DataFrame:
+    """PROPOSALS; lineitem is counted by numbers of columns, and names are joined to the few that meet often enough."""
+    names = ["table_name", "column_name"]
+    (parts, sources), (suppliers, targets) = numbered(derived(spark, sf, LEGACY), "p_partkey", names), numbered(derived(spark, sf, MODERN), "s_suppkey", names)
+    counts = met_numbers(spark, sf, parts, suppliers).groupBy("s", "t").agg(F.count("*").alias("n")).where("n > 2")
     named = counts.join(sources.toDF("source_table", "source_column", "s"), "s").join(targets.toDF("target_table", "target_column", "t"), "t")
     return spark.sql(SAID_OF_MET, met=named).withColumn("confidence", F.col("confidence").cast("double"))
 

@@ -571,8 +571,23 @@ MET_TEXT = f"""select distinct l.table_name as source_table, l.column_name as so
 MET = I.sql(MET_TEXT)
 
 
-def met(spark, sf):
-    return I.derived(spark, sf, MET_TEXT)
+MET_SIDE = ["table_name", "column_name", "data_type", "is_primary_key", "is_nullable"]
+
+
+def met(spark, sf, rows: int = 250_000):
+    """MET_TEXT; lines are told apart by numbers of columns, and the columns are joined to the different ones.
+
+    Most pairs occur once, so they are dealt before they are told apart, ``rows`` lines to a partition.
+    """
+    (parts, sources), (suppliers, targets) = I.numbered(I.derived(spark, sf, I.LEGACY), "p_partkey", MET_SIDE), I.numbered(I.derived(spark, sf, I.MODERN), "s_suppkey", MET_SIDE)
+    dealt = max(2, -(-I.table(spark, sf, "lineitem").count() // rows))
+    pairs = I.met_numbers(spark, sf, parts, suppliers).repartition(dealt, "s", "t").distinct()
+    names = [f"{{0}}_{c}" for c in ("table", "column", "type", "pk", "nullable")]
+
+    def side(columns, name, key):
+        return columns.toDF(*[n.format(name) for n in names], key)
+
+    return pairs.join(side(sources, "source", "s"), "s").join(side(targets, "target", "t"), "t").drop("s", "t")
 
 
 @query(

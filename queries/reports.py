@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+from functools import reduce
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corroborate.functions import lexicon as L
@@ -11,6 +13,7 @@ from corroborate.functions import similarity as S
 from corroborate.operators import explain as X
 from corroborate.operators import match, profile
 from corroborate.operators import reports as R
+from corroborate.session import small, stage
 from corroborate.sources import tables as TB
 from queries import inputs as I
 from queries import SQL, query
@@ -158,15 +161,26 @@ def platform_summary(spark, sf):
 
 
 def judged(spark, sf):
-    """Met column pairs with the three scores and their blend."""
+    """Met column pairs with the three scores and their blend; names and types are compared once, however many columns have them."""
+    rows = stage(met(spark, sf), "met")
+    names, types = ["source_column", "target_column"], ["source_type", "target_type"]
     bag = lambda name: F.array_distinct(F.split(F.regexp_replace(F.lower(name), "[^a-z0-9]+", " "), " "))
-    rows = met(spark, sf).withColumn("type_score", S.type_score(F.col("source_type"), F.col("target_type")))
     shared = F.size(F.array_intersect(bag("source_column"), bag("target_column")))
     every = F.size(F.array_union(bag("source_column"), bag("target_column")))
     span = F.greatest(F.length("source_column"), F.length("target_column"))
+    alike = stage(
+        rows.select(*names).distinct().select(
+            *names, F.round(shared / every, 4).alias("semantic"), F.round(1 - F.levenshtein("source_column", "target_column") / span, 4).alias("syntactic")
+        ),
+        "alike",
+    )
+    fit = stage(rows.select(*types).distinct().withColumn("type_score", S.type_score(F.col("source_type"), F.col("target_type"))), "fit")
+
+    def joined(left, right, on):
+        return left.join(right, reduce(Column.__and__, [left[c].eqNullSafe(right[c]) for c in on])).drop(*[right[c] for c in on])
+
     return (
-        rows.withColumn("semantic", F.round(shared / every, 4))
-        .withColumn("syntactic", F.round(1 - F.levenshtein("source_column", "target_column") / span, 4))
+        joined(joined(rows, small(alike, 1_000_000), names), small(fit), types)
         .withColumn("overall", F.round(0.5 * F.col("semantic") + 0.3 * F.col("syntactic") + 0.2 * F.col("type_score"), 4))
     )
 
@@ -388,12 +402,12 @@ def _report_sql() -> str:
 @query("report_text", _report_sql())
 def report_text(spark, sf):
     """The explanation report of mappings and checks, as ordered text lines."""
-    told = X.explain_mapping(judged(spark, sf)).select(F.lit("mapping").alias("kind"), F.xxhash64("source_table", "source_column", "target_table", "target_column").alias("position"), "title", "summary", "details")
-    checked = X.explain_check(suite(spark, sf).where(F.col("status") == "failed")).select(
-        F.lit("validation").alias("kind"), F.xxhash64("table_name", "check_name").alias("position"), "title", "summary", F.col("lines").alias("details")
-    )
+    mapped = judged(spark, sf).orderBy(F.xxhash64("source_table", "source_column", "target_table", "target_column"))
+    failed = suite(spark, sf).where(F.col("status") == "failed").orderBy(F.xxhash64("table_name", "check_name"))
+    told = X.explain_mapping(mapped).select(F.lit("mapping").alias("kind"), "title", "summary", "details")
+    checked = X.explain_check(failed).select(F.lit("validation").alias("kind"), "title", "summary", F.col("lines").alias("details"))
     path = os.path.join(_scratch(spark), "report.md")
-    TB.write_report(told.unionByName(checked), path)
+    TB.write_report([told, checked], path)
     return spark.read.text(path)
 
 

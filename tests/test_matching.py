@@ -233,3 +233,13 @@ def test_best_targets_are_found_per_name_and_type(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     # all that is left to do is to hand out staged lists: no score is computed per column and target table
     assert "found" in plan and "min(" not in plan
+
+
+def test_names_and_types_of_met_pairs_are_compared_once(spark, sf):
+    from queries.reports import judged
+
+    rows = judged(spark, sf)
+    assert "levenshtein" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    keys = ["source_table", "source_column", "target_table", "target_column"]
+    assert rows.count() == rows.select(*keys, "source_type", "target_type", "source_pk", "target_pk", "source_nullable", "target_nullable").distinct().count() > 0
+    assert rows.where("overall is null or semantic is null or type_score is null").isEmpty() and rows.columns[-4:] == ["semantic", "syntactic", "type_score", "overall"]
