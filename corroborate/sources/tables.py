@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corroborate.sources.corpus import store_exists
@@ -82,25 +84,20 @@ def write_json(report: DataFrame, path: str) -> None:
     report.drop("annotated_html").write.mode("overwrite").json(path)
 
 
-def report_lines(explanations: DataFrame, fmt: str = "markdown") -> DataFrame:
-    """Lines of the explanation report in order: ``(section, position, line, text)``.
-
-    ``explanations(kind, position, title, summary, details)``; sections come in
-    a fixed order. Lines stay rows, so a report of any length is never one value.
-    """
+def _told(fmt: str) -> tuple[Column, Column, Column | None]:
+    """Number of an explanation's section, its lines, and the header of its section."""
     kinds = ["mapping", "transformation", "validation", "recommendation", "warning"]
     headers = ["## Column Mappings", "## Data Transformations", "## Validation Results", "## Recommendations", "## ⚠ Warnings"]
     section = F.array_position(F.array(*map(F.lit, kinds)), F.col("kind")).cast("int")
+    head = None
     if fmt == "json":
         body = F.array(F.to_json(F.struct("kind", "title", "summary", "details")))
-        head = None
     elif fmt == "text":
         body = F.concat(
             F.array(F.concat(F.lit("["), F.upper("kind"), F.lit("] "), "title"), F.concat(F.lit("  "), "summary")),
             F.transform("details", lambda d: F.concat(F.lit("    • "), d)),
             F.array(F.lit("")),
         )
-        head = None
     elif fmt == "markdown":
         body = F.concat(
             F.array(F.concat(F.lit("### "), "title"), F.lit(""), F.concat(F.lit("**"), "summary", F.lit("**")), F.lit("")),
@@ -110,13 +107,34 @@ def report_lines(explanations: DataFrame, fmt: str = "markdown") -> DataFrame:
         head = F.element_at(F.array(*map(F.lit, headers)), section)
     else:
         raise ValueError(f"unknown format: {fmt}")
+    return section, body, head
+
+
+def report_lines(explanations: DataFrame, fmt: str = "markdown") -> DataFrame:
+    """Lines of the explanation report: ``(section, position, line, text)``; a section's header is its line 0 without a position.
+
+    ``explanations(kind, position, title, summary, details)``; sections come in
+    a fixed order. Lines stay rows, so a report of any length is never one value.
+    """
+    section, body, head = _told(fmt)
     lines = explanations.select(section.alias("section"), "position", F.posexplode(body).alias("line", "text"))
     if head is not None:
         titles = explanations.select(section.alias("section"), head.alias("text")).distinct()
-        lines = lines.unionByName(titles.select("section", F.lit(-1).cast("bigint").alias("position"), F.lit(0).alias("line"), "text"))
+        lines = lines.unionByName(titles.select("section", F.lit(None).cast("bigint").alias("position"), F.lit(0).alias("line"), "text"))
     return lines
 
 
-def write_report(explanations: DataFrame, path: str, fmt: str = "markdown") -> None:
-    ordered = report_lines(explanations, fmt).orderBy("section", "position", "line")
-    ordered.select("text").write.mode("overwrite").text(path)
+def write_report(explanations: DataFrame | list[DataFrame], path: str, fmt: str = "markdown") -> None:
+    """Write the lines in order, each section after its header.
+
+    A list has a frame per section, in the order of the sections, with its rows
+    as they shall lie (no ``position`` is read). So a caller can sort what
+    explanations are made of, and neither texts nor lines are sorted.
+    """
+    if isinstance(explanations, DataFrame):
+        ordered = report_lines(explanations, fmt).orderBy("section", F.asc_nulls_first("position"), "line").select("text")
+    else:
+        _, body, head = _told(fmt)
+        told = [part for rows in explanations for part in ([rows.limit(1).select(head.alias("text"))] if head is not None else []) + [rows.select(F.explode(body).alias("text"))]]
+        ordered = reduce(DataFrame.union, told)
+    ordered.write.mode("overwrite").text(path)

@@ -266,3 +266,20 @@ def test_keys_are_counted_in_partitions_of_bounded_size(spark):
     assert small.rdd.getNumPartitions() == 2 and small.count() == 3
     plan = quality.duplicate_check(df, TableSpec("t", ("k",)))._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan
+
+
+def test_report_puts_each_header_first_and_keeps_explanations_whole(spark, tmp_path):
+    rows = [("mapping", -5, "a", "s", ["1", "2"]), ("mapping", 7, "b", "s", ["3"]), ("validation", -9, "c", "s", ["4"])]
+    told = spark.createDataFrame(rows, "kind string, position long, title string, summary string, details array<string>")
+
+    def lines(path):
+        return [line for part in sorted(path.glob("part-*")) for line in part.read_text().splitlines() if line]
+
+    want = ["## Column Mappings", "### a", "**s**", "- 1", "- 2", "### b", "**s**", "- 3", "## Validation Results", "### c", "**s**", "- 4"]
+    TB.write_report(told, str(tmp_path / "one"))
+    assert lines(tmp_path / "one") == want
+    sections = [told.where(F.col("kind") == kind).repartition(4, "title").orderBy("position") for kind in ("mapping", "validation")]
+    TB.write_report(sections, str(tmp_path / "list"))
+    assert lines(tmp_path / "list") == want
+    TB.write_report([s.limit(0) for s in sections], str(tmp_path / "none"))
+    assert lines(tmp_path / "none") == []
