@@ -6,8 +6,8 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,16 +35,20 @@ def _blocks(df: DataFrame, key: str, rows: int, prefix: str) -> DataFrame:
     block, ids, matrix = f"{prefix}_block", f"{prefix}_ids", f"{prefix}_matrix"
     schema = T.StructType([T.StructField(block, T.LongType()), T.StructField(ids, T.ArrayType(dtype)), T.StructField(matrix, T.BinaryType())])
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    out = to_arrow_schema(schema)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for at in range(0, len(batch), rows):
-                part = batch.iloc[at : at + rows].sort_values("id")
-                vectors = np.stack(part["embedding"].to_numpy()).astype(np.float32)
-                yield pd.DataFrame({block: [number], ids: [part["id"].tolist()], matrix: [vectors.tobytes()]})
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                part = part.take(pc.sort_indices(part, [("id", "ascending")]))
+                vectors = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False)
+                cells = [[number], [part.column(0).to_pylist()], [vectors.tobytes()]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cells, out, strict=True)], schema=out)
                 number += 1
 
-    return df.select(F.col(key).alias("id"), "embedding").mapInPandas(pack, schema)
+    return df.select(F.col(key).alias("id"), "embedding").mapInArrow(pack, schema)
 
 
 @dataclass(frozen=True)

@@ -158,3 +158,17 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_passages_are_not_shuffled_to_the_evidence(spark):
+    corpus = spark.createDataFrame([(i, "s", f"The river {i} flows north to the lake.") for i in range(20)], "doc_id long, source string, text string")
+    texts = spark.createDataFrame([(1, "The river 7 flows north to the lake.")], "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        job = ground(texts, chunk_store(corpus), k=3)
+        plan = job.evidence._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin [chunk_id" in plan
+    assert job.evidence.where("rank = 1").first()["text"] == "The river 7 flows north to the lake."
