@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -176,6 +177,33 @@ def test_packing_encoder_special_strings():
     assert [list(ids) for ids in encode(texts)] == plain == [list(ids) for ids in encode(texts)]
 
 
+def test_packing_encodes_words_together(monkeypatch):
+    """Different words are encoded some hundred to a text; what comes back are the ids of each text."""
+    letters = "abcdefghijklmnoprstuvwé"
+    words = [letters[k % 23] + letters[k // 23 % 23] + letters[k * 7 % 23] + "tion" * (k % 3) for k in range(3000)]
+    texts = [" ".join(words[:2000]), "It's " + "\n\x0b".join(w.upper() + "," for w in words[1000:]) + " ß İx 7up", None, " ", "<|endoftext|>"]
+    tokenizer, given = packing._tokenizer(TOKENS), []
+
+    class Counted:
+        def encode_batch_fast(self, some, **options):
+            given.extend(some)
+            return tokenizer.encode_batch_fast(some, **options)
+
+    packing._lasts(TOKENS)
+    monkeypatch.setattr(packing, "_tokenizer", lambda path: Counted())
+    plain = [tokenizer.encode(t or "", add_special_tokens=False).ids + [0] for t in texts]
+    assert [list(ids) for ids in packing.Encoder(TOKENS)(texts)] == plain
+    assert len(given) < 50
+
+
+def test_packing_slices_hold_all_rows():
+    texts = ["a" * 10, None, "", "b" * 95, "c" * 4, None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(texts)], names=["id", "text"])
+    some = list(packing._slices(batch, 20))
+    assert [t for s in some for t in s.column(1).to_pylist()] == texts and len(some) > 1
+    assert [s.num_rows for s in packing._slices(batch.slice(0, 0), 20)] == [0]
+
+
 def test_packing_odd_rows(odd, none):
     rows = packing.pack_documents(odd, TOKENS, 64).collect()
     laid_out(rows, 64)
