@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from corroborate.functions.text import percent
 from corroborate.functions.rules import compile_mapping, describe
+from corroborate.operators.quality import _counted
 from corroborate.session import small, stage
 from corroborate.specs import Mapping, TablePlan, TableSpec
 
@@ -72,6 +73,48 @@ def _reason(kind: str, message: str) -> Column:
     return F.struct(F.lit(kind).alias("type"), F.lit(message).alias("message"))
 
 
+def _first_of(reasons: list[Column]) -> Column:
+    nothing = F.lit(None).cast("struct<type:string,message:string>")
+    return F.coalesce(*reasons, nothing) if reasons else nothing
+
+
+def _judged(rows: DataFrame, spec: TableSpec, row_id: Column, record: Column) -> DataFrame:
+    """``rows`` with ``_id``, ``_record`` and ``_local``."""
+    local = [F.when(F.col(c).isNull(), _reason("NOT NULL", f"NOT NULL constraint failed: {spec.name}.{c}")) for c in spec.required]
+    local += [F.when(~F.expr(e), _reason("CHECK", f"CHECK constraint failed: {name}")) for name, e in spec.checks.items()]
+    return rows.withColumns({"_id": row_id, "_record": record, "_local": _first_of(local)})
+
+
+def _unique(spec: TableSpec) -> Column:
+    return _reason("UNIQUE", f"UNIQUE constraint failed: {', '.join(f'{spec.name}.{k}' for k in spec.primary_key)}")
+
+
+def _against_others(rows: DataFrame, spec: TableSpec, parents: dict[str, DataFrame] | None, target: DataFrame | None) -> DataFrame:
+    """Ids, keys and ``_reason`` of the rows that are sound by themselves: missing parents, and keys that the target holds.
+
+    Missing and held values are staged, and broadcast if they are few, as they
+    mostly are. So the rows are not shuffled to look them up.
+    """
+    keys = list(spec.primary_key)
+    for fk in spec.foreign_keys:
+        if not parents or fk.ref_table not in parents:
+            raise ValueError(f"no parent table {fk.ref_table} given for {spec.name}.{fk.column}")
+    thin = rows.where(F.col("_local").isNull()).select("_id", *dict.fromkeys(keys + [fk.column for fk in spec.foreign_keys]))
+    sound, reasons = thin, []
+    for i, fk in enumerate(spec.foreign_keys):
+        # distinct values first: the missing ones are few, and a hot value is one row
+        have = parents[fk.ref_table].select(F.col(fk.ref_column).alias(fk.column))
+        missing = stage(sound.select(fk.column).where(F.col(fk.column).isNotNull()).distinct().join(have, fk.column, "left_anti"), "missing")
+        thin = thin.join(small(missing, rows=1_000_000).withColumn(f"_fk{i}", F.lit(True)), fk.column, "left")
+        reasons.append(F.when(F.col(f"_fk{i}"), _reason("FOREIGN KEY", f"FOREIGN KEY constraint failed: {spec.name}.{fk.column}")))
+    if target is not None and keys:
+        # only the keys that come in are looked up in the target
+        held = stage(target.select(*keys).join(sound.select(*keys).distinct(), keys, "left_semi").distinct(), "held")
+        thin = thin.join(small(held, rows=1_000_000).withColumn("_held", F.lit(True)), keys, "left")
+        reasons.append(F.when(F.col("_held"), _unique(spec)))
+    return thin.withColumn("_reason", _first_of(reasons))
+
+
 def route_rows(
     rows: DataFrame,
     spec: TableSpec,
@@ -95,55 +138,63 @@ def route_rows(
     this is the only join.
     """
     keys = list(spec.primary_key)
-    local = [F.when(F.col(c).isNull(), _reason("NOT NULL", f"NOT NULL constraint failed: {spec.name}.{c}")) for c in spec.required]
-    local += [F.when(~F.expr(e), _reason("CHECK", f"CHECK constraint failed: {name}")) for name, e in spec.checks.items()]
-    nothing = F.lit(None).cast("struct<type:string,message:string>")
-    rows = rows.withColumns({"_id": row_id, "_record": record, "_local": F.coalesce(*local, nothing) if local else nothing})
-    for fk in spec.foreign_keys:
-        if not parents or fk.ref_table not in parents:
-            raise ValueError(f"no parent table {fk.ref_table} given for {spec.name}.{fk.column}")
+    rows = _judged(rows, spec, row_id, record)
     if not keys and not spec.foreign_keys:
         return Routed(rows, None, source_name)
-
-    thin = rows.where(F.col("_local").isNull()).select("_id", *dict.fromkeys(keys + [fk.column for fk in spec.foreign_keys]))
-    reasons = []
-    for i, fk in enumerate(spec.foreign_keys):
-        # distinct values first: the missing ones are few, and a hot value is one row
-        have = parents[fk.ref_table].select(F.col(fk.ref_column).alias(fk.column))
-        missing = thin.select(fk.column).where(F.col(fk.column).isNotNull()).distinct().join(have, fk.column, "left_anti")
-        thin = thin.join(missing.withColumn(f"_fk{i}", F.lit(True)), fk.column, "left")
-        reasons.append(F.when(F.col(f"_fk{i}"), _reason("FOREIGN KEY", f"FOREIGN KEY constraint failed: {spec.name}.{fk.column}")))
-    unique = _reason("UNIQUE", f"UNIQUE constraint failed: {', '.join(f'{spec.name}.{k}' for k in keys)}")
-    if target is not None and keys:
-        # only the keys that come in are looked up in the target
-        held = target.select(*keys).join(thin.select(*keys).distinct(), keys, "left_semi").distinct()
-        thin = thin.join(held.withColumn("_held", F.lit(True)), keys, "left")
-        reasons.append(F.when(F.col("_held"), unique))
-    thin = thin.withColumn("_reason", F.coalesce(*reasons, nothing) if reasons else nothing)
+    thin = _against_others(rows, spec, parents, target)
     if keys:
         copies = thin.where(F.col("_reason").isNull()).groupBy(*keys).agg(F.count("*").alias("_copies"), F.min("_id").alias("_winner"))
         thin = thin.join(copies.where(F.col("_copies") > 1).drop("_copies"), keys, "left")
         lost = F.col("_winner").isNotNull() & (F.col("_id") != F.col("_winner"))
-        thin = thin.withColumn("_reason", F.coalesce("_reason", F.when(lost, unique)))
+        thin = thin.withColumn("_reason", F.coalesce("_reason", F.when(lost, _unique(spec))))
     verdicts = stage(thin.where(F.col("_reason").isNotNull()).select("_id", "_reason"), "verdicts")
     return Routed(rows, small(verdicts, rows=1_000_000), source_name)
 
 
-def migrate(source: DataFrame, plan: TablePlan, parents: dict[str, DataFrame] | None = None, target: DataFrame | None = None) -> Routed:
-    """Project and route the rows of one table pair; of these nothing is written but what the verdicts need."""
+def count_rows(rows: DataFrame, spec: TableSpec, row_id: Column, parents: dict[str, DataFrame] | None = None, target: DataFrame | None = None) -> DataFrame:
+    """The counts of :func:`route_rows`, of which no row is needed: of the valid rows with one key all but one fail, whichever wins."""
+    rows = _judged(rows, spec, row_id, F.lit(None))
+    totals = rows.agg(F.count("*").alias("records_attempted"), F.count_if(F.col("_local").isNotNull()).alias("_failed"))
+    failed = [F.col("_failed")]
+    if spec.primary_key or spec.foreign_keys:
+        thin = _against_others(rows, spec, parents, target)
+        totals = totals.join(F.broadcast(thin.agg(F.count_if(F.col("_reason").isNotNull()).alias("_others"))), how="cross")
+        failed.append(F.col("_others"))
+        if spec.primary_key:
+            keys = _counted(thin.where(F.col("_reason").isNull()), list(spec.primary_key), of=rows)
+            totals = totals.join(F.broadcast(keys.agg(F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("_repeated"))), how="cross")
+            failed.append(F.col("_repeated"))
+    return totals.select("records_attempted", (F.col("records_attempted") - sum(failed)).alias("records_migrated"), sum(failed).alias("records_failed"))
+
+
+def _projected(source: DataFrame, plan: TablePlan) -> tuple[DataFrame, Column]:
+    """Target columns with the source's used ones in ``_row``, and the id of a row."""
     used = sorted({s for m in plan.mappings for s in m.sources} | set(plan.row_id))
-    row = F.struct(*[F.col(c) for c in used])
-    kept = source.withColumn("_row", row)
-    projected = project(kept, plan.mappings, ("_row",))
+    kept = source.withColumn("_row", F.struct(*[F.col(c) for c in used]))
     ids = [F.col(f"_row.{c}") for c in plan.row_id]
-    row_id = ids[0] if len(ids) == 1 else F.struct(*ids)
+    return project(kept, plan.mappings, ("_row",)), ids[0] if len(ids) == 1 else F.struct(*ids)
+
+
+def migrate(source: DataFrame, plan: TablePlan, parents: dict[str, DataFrame] | None = None, target: DataFrame | None = None) -> Routed:
+    """Project and route the rows of one table pair; of these nothing is written but what the verdicts need."""
+    projected, row_id = _projected(source, plan)
     routed = route_rows(projected, plan.target, row_id, plan.source_table, F.to_json("_row", {"ignoreNullFields": "false"}), parents, target)
     return Routed(routed.rows.drop("_row"), routed.verdicts, routed.source_name)
 
 
+def migration_counts(source: DataFrame, plan: TablePlan, parents: dict[str, DataFrame] | None = None, target: DataFrame | None = None) -> DataFrame:
+    """The result of one table pair as of :func:`migration_result`, without routing its rows."""
+    projected, row_id = _projected(source, plan)
+    return _result(plan, count_rows(projected, plan.target, row_id, parents, target))
+
+
 def migration_result(plan: TablePlan, routed: Routed) -> DataFrame:
     """Attempted, migrated, failed and status of one table pair."""
-    named = routed.counts().select(F.lit(plan.source_table).alias("source_table"), F.lit(plan.target.name).alias("target_table"), "*")
+    return _result(plan, routed.counts())
+
+
+def _result(plan: TablePlan, counts: DataFrame) -> DataFrame:
+    named = counts.select(F.lit(plan.source_table).alias("source_table"), F.lit(plan.target.name).alias("target_table"), "*")
     applied = F.array(*[F.lit(d) for d in dict.fromkeys(describe(m) for m in plan.mappings)])
     return _with_status(named).withColumn("transformations_applied", applied)
 

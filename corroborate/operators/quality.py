@@ -111,8 +111,8 @@ def numeric_text_check(facts: DataFrame, df: DataFrame, spec: TableSpec, limit:
     )
 
 
-def _counted(df: DataFrame, keys: list[str], rows: int = 250_000) -> DataFrame:
-    """``keys`` with their ``copies``, in as many partitions as ``df`` has ``rows`` rows.
+def _counted(df: DataFrame, keys: list[str], rows: int = 250_000, of: DataFrame | None = None) -> DataFrame:
+    """``keys`` with their ``copies``, in as many partitions as ``df``, or ``of`` if it is cheaper to count and no smaller, has ``rows`` rows.
 
     Most keys occur once, so nothing combines before the shuffle, and a scan
     holds no table of keys. The number of partitions is given, or adaptive
@@ -121,7 +121,7 @@ def _counted(df: DataFrame, keys: list[str], rows: int = 250_000) -> DataFrame:
     partitions at least: Spark joins a union of single ones, and one task would
     count the keys of all small tables.
     """
-    parts = max(2, -(-df.count() // rows))
+    parts = max(2, -(-(df if of is None else of).count() // rows))
     return df.select(*keys).repartition(parts, *keys).groupBy(*keys).agg(F.count("*").alias("copies"))
 
 
@@ -174,17 +174,14 @@ def foreign_key_check(df: DataFrame, spec: TableSpec, parents: dict[str, DataFra
         return spark.range(1).select(
             *_row(spec.name, "Referential Integrity Check", F.lit("skipped"), F.lit("low"), F.lit("No foreign keys defined"), {"violations": F.lit(None)})
         )
-    # all keys in long form: the table is read once, and its values are counted before they meet their parents
-    def value(column: str, fk) -> Column:
-        return F.col(column).cast(parents[fk.ref_table].schema[fk.ref_column].dataType).cast("string").alias("value")
-
-    keys = list(enumerate(spec.foreign_keys))
-    names = F.array(*[F.lit(f"{fk.column} → {fk.ref_table}.{fk.ref_column}") for _, fk in keys])
-    pairs = F.inline(F.array(*[F.struct(F.lit(i).alias("at"), value(fk.column, fk)) for i, fk in keys]))
-    values = df.select(pairs).where(F.col("value").isNotNull()).groupBy("at", "value").agg(F.count("*").alias("n"))
-    have = reduce(DataFrame.unionByName, [parents[fk.ref_table].select(F.lit(i).alias("at"), value(fk.ref_column, fk)) for i, fk in keys])
-    orphans = values.join(have, ["at", "value"], "left_anti").groupBy("at").agg(F.sum("n").alias("orphans"))
-    named = orphans.select("at", F.element_at(names, F.col("at") + 1).alias("key"), "orphans")
+    # key by key, each with a table of values of its own: only the columns are read again
+    names, broken = [], []
+    for i, fk in enumerate(spec.foreign_keys):
+        kind = parents[fk.ref_table].schema[fk.ref_column].dataType
+        names.append(F.lit(f"{fk.column} → {fk.ref_table}.{fk.ref_column}"))
+        broken.append(orphan_count(df.select(F.col(fk.column).cast(kind).alias("value")), "value", parents[fk.ref_table], fk.ref_column).withColumn("at", F.lit(i)))
+    orphans = reduce(DataFrame.unionByName, broken).where("orphans > 0")
+    named = orphans.select("at", F.element_at(F.array(*names), F.col("at") + 1).alias("key"), "orphans")
     merged = named.agg(F.array_sort(F.collect_list(F.struct("at", "key", "orphans"))).alias("broken"))
     bad = F.size("broken") > 0
     listed = F.array_join(F.transform("broken", lambda b: F.concat(b["key"], F.lit("="), b["orphans"].cast("string"))), ", ")

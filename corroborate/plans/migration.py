@@ -12,11 +12,10 @@ from corroborate.specs import TablePlan
 
 
 def migrate_all(sources: dict[str, DataFrame], plans: list[TablePlan], parents: dict[str, DataFrame] | None = None, targets: dict[str, DataFrame] | None = None) -> DataFrame:
-    """Results of every table pair, without writing. The loop is over tables, not rows."""
+    """Results of every table pair, without writing: rows are counted, not routed. The loop is over tables, not rows."""
     results = []
     for plan in plans:
-        routed = move.migrate(sources[plan.source_table], plan, parents, (targets or {}).get(plan.target.name))
-        results.append(move.migration_result(plan, routed))
+        results.append(move.migration_counts(sources[plan.source_table], plan, parents, (targets or {}).get(plan.target.name)))
     return move.merge_results(results)
 
 

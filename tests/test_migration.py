@@ -93,6 +93,24 @@ def test_many_verdicts_are_joined_without_broadcast(spark, source, parent, monke
     assert {int(r.record_id) for r in routed.rejects.collect()} == {2, 3, 6, 7}
 
 
+def test_counts_are_those_of_routing_without_routing(spark, source, parent, monkeypatch):
+    target = spark.createDataFrame([(30,), (30,), (77,)], "key long")
+    hot = spark.range(900).select(F.col("id"), F.when(F.col("id") % 3 == 0, 10).otherwise(F.col("id") % 50).alias("k"), F.when(F.col("id") % 7 > 0, "n").alias("n"), F.lit("1").alias("v"))
+    free = TablePlan("old", TableSpec("free", (), (), ("name",)), PLAN.mappings, ("id",))
+    cases = [(rows, plan, held) for rows in (source, hot, source.limit(0)) for plan in (PLAN, free) for held in (None, target)]
+    want = [move.migration_result(plan, move.migrate(rows, plan, parent, held)).collect() for rows, plan, held in cases]
+    monkeypatch.setattr(move, "route_rows", None)
+    got = [P.migrate_all({"old": rows}, [plan], parent, {plan.target.name: held}).collect() for rows, plan, held in cases]
+    assert got == want
+
+
+def test_rows_are_not_shuffled_to_missing_parents(spark, source, parent):
+    rows = move._judged(move.project(source, PLAN.mappings, ("id",)), PLAN.target, F.col("id"), F.lit(None))
+    told = move._against_others(rows, PLAN.target, parent, spark.createDataFrame([(30,)], "key long"))
+    assert {r["_id"]: r["_reason"]["type"] for r in told.where("_reason is not null").collect()} == {4: "UNIQUE", 7: "FOREIGN KEY"}
+    assert not [line for line in exchanged(told) if "_id" in line]
+
+
 def test_report_status(spark):
     schema = "source_table string, records_attempted long, records_migrated long, records_failed long, status string"
     good = spark.createDataFrame([("a", 5, 5, 0, "completed")], schema)
@@ -268,6 +286,16 @@ def test_keys_are_counted_in_partitions_of_bounded_size(spark):
     assert "REPARTITION_BY_NUM" in plan
 
 
+def test_foreign_keys_are_counted_each_by_itself(spark):
+    df = spark.createDataFrame([(1, "a", 1), (2, "b", None), (2, "z", 9), (None, None, 1)], "i int, t string, j long")
+    spec = TableSpec("t", (), (ForeignKey("i", "p", "id"), ForeignKey("t", "q", "name"), ForeignKey("j", "p", "id")))
+    have = {"p": spark.createDataFrame([(1,), (1,)], "id long"), "q": spark.createDataFrame([("a",), ("b",), (None,)], "name string")}
+    check = quality.foreign_key_check(df, spec, have)
+    assert check.first().details["violations"] == "i → p.id=2, t → q.name=1, j → p.id=1"
+    plan = check._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "cast(id" not in plan
+
+
 def test_report_puts_each_header_first_and_keeps_explanations_whole(spark, tmp_path):
     rows = [("mapping", -5, "a", "s", ["1", "2"]), ("mapping", 7, "b", "s", ["3"]), ("validation", -9, "c", "s", ["4"])]
     told = spark.createDataFrame(rows, "kind string, position long, title string, summary string, details array<string>")
