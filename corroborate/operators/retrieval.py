@@ -15,9 +15,11 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from corroborate.functions.text import embed_text
-from corroborate.session import stage
+from corroborate.session import light_batches, stage
 
 SCORE_DIGITS = 6
+#: Blocks in a row group of a packed store.
+GROUP_BLOCKS = 4
 
 
 def embed(df: DataFrame, text: str = "text", embedder: Callable[[Column], Column] = embed_text) -> DataFrame:
@@ -26,7 +28,8 @@ def embed(df: DataFrame, text: str = "text", embedder: Callable[[Column], Column
     ``embedder`` maps a text column to an ``array<float>`` column, normally an
     iterator pandas UDF that loads its model once per worker.
     """
-    return df.withColumn("embedding", embedder(F.col(text))).where(F.col("embedding").isNotNull())
+    # exploded, as a filter goes below a plain column, and the vectors would be made twice: for it and for the rows
+    return df.withColumn("embedding", F.explode(F.array(embedder(F.col(text))))).where(F.col("embedding").isNotNull())
 
 
 def _blocks(df: DataFrame, key: str, rows: int, prefix: str) -> DataFrame:
@@ -71,7 +74,9 @@ def pack(store: DataFrame, path: str, key: str = "chunk_id", block_rows: int = 1
     reading its own. Writing a version again replaces it.
     """
     blocks = _blocks(store, key, block_rows, "c")
-    blocks.write.mode("overwrite").parquet(f"{path}/version={version}")
+    with light_batches(store.sparkSession):
+        # a row group is read into memory as a whole, and is as large as 128 MB by default
+        blocks.write.mode("overwrite").option("parquet.block.row.count.limit", GROUP_BLOCKS).parquet(f"{path}/version={version}")
     packed = Packed(path, version, key, 0)
     rows = packed.blocks(store.sparkSession).agg(F.coalesce(F.sum(F.size("c_ids")), F.lit(0))).first()[0]
     return Packed(path, version, key, int(rows))
@@ -105,7 +110,8 @@ def evidence_topk(
     spark = queries.sparkSession
     c = store.blocks(spark) if isinstance(store, Packed) else _blocks(store, store_key, block_rows, "c")
     id_q, id_c = queries.schema[query_key].dataType, c.schema["c_ids"].dataType.elementType
-    q = stage(_blocks(queries, query_key, query_block_rows, "q"), "query-blocks")
+    with light_batches(spark):
+        q = stage(_blocks(queries, query_key, query_block_rows, "q"), "query-blocks")
     n_q, sent = q.agg(F.count("*"), F.coalesce(F.sum(F.length("q_matrix")), F.lit(0))).first()
     few = sent <= send_bytes and lanes is None and query_lanes is None
     if few:

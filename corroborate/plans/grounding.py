@@ -11,7 +11,7 @@ from corroborate.functions.text import embed_text
 from corroborate.operators import cite, correct, retrieval, verify
 from corroborate.operators.chunks import chunk_documents
 from corroborate.operators.claims import atomize_claims
-from corroborate.session import small, stage
+from corroborate.session import light_batches, small, stage
 
 
 @dataclass(frozen=True)
@@ -81,7 +81,8 @@ def ground(
     if min_score is not None:
         found = retrieval.gate(found, min_score)
     # staged, as only then it is known to be few rows, and passages are read where they lie, not shuffled to it
-    found = small(stage(found, "found"), 1_000_000)
+    with light_batches(found.sparkSession):
+        found = small(stage(found, "found"), 1_000_000)
     passages = store.select("chunk_id", "text", F.col("source").cast("string").alias("source"), "page")
     pairs = (
         found.join(passages, "chunk_id")

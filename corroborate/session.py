@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,6 +58,26 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def light_batches(spark: SparkSession, size: int = 1 << 20) -> Iterator[None]:
+    """Batches of at most ``size`` bytes, or one row, for the Python functions of what runs inside; a lower setting stays.
+
+    Rows are counted to a batch, 10,000 by default, and whole documents or
+    matrices would fill Spark's 64 MB. A task holds a batch several times: in the JVM
+    on both sides of a worker, in the worker, and so for each function in a row.
+    """
+    before = spark.conf.get(ARROW_BYTES)
+    limit = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before)
+    spark.conf.set(ARROW_BYTES, str(size if limit <= 0 else min(size, limit)))
+    try:
+        yield
+    finally:
+        spark.conf.set(ARROW_BYTES, before)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Repartition for work that is heavy per row on few bytes.
 

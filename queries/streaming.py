@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corroborate.operators import verify
 from corroborate.plans.grounding import chunk_store
-from corroborate.session import stage
+from corroborate.session import light_batches, stage
 from corroborate.specs import Mapping, TablePlan, TableSpec
 from corroborate.streaming import live
 from queries import inputs as I
@@ -106,7 +106,8 @@ def stream_grounding(spark, sf):
     texts = I.generated(spark, sf)
     arrivals = os.path.join(out, "arrivals")
     texts.repartition(2).write.parquet(arrivals)
-    store = stage(chunk_store(I.corpus(spark, sf)), "store")
+    with light_batches(spark):
+        store = stage(chunk_store(I.corpus(spark, sf)), "store")
     stream = spark.readStream.schema(texts.schema).option("maxFilesPerTrigger", 1).parquet(arrivals)
     live.ground_stream(stream, store, out, "r1", os.path.join(out, "_checkpoint")).awaitTermination()
     return spark.read.parquet(os.path.join(out, "scores")).select("doc_id", "total", "supported", "contradicted", "unverifiable")

@@ -3,10 +3,14 @@
 import math
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from corroborate.operators import retrieval, verify
+from corroborate.plans import grounding
+from corroborate.session import ARROW_BYTES, light_batches, stage
 from corroborate.streaming import live
 from corroborate.plans.grounding import chunk_store, ground
 
@@ -114,6 +118,38 @@ def test_packed_store_gives_the_same_and_is_packed_once(spark, tmp_path, monkeyp
     assert scores.count() == 3 and retrieval.pack(store, str(tmp_path / "index"), version=1).version == 1
 
 
+def test_vectors_are_made_once(spark):
+    rows = spark.createDataFrame([(1, "a word"), (2, "..."), (3, None)], "id int, text string")
+    made = retrieval.embed(rows)
+    assert made._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert made.columns == ["id", "text", "embedding"] and [r.id for r in made.collect()] == [1]
+
+
+def test_batches_are_bounded_in_bytes(spark, tmp_path, monkeypatch):
+    """Whole matrices and documents are rows: neither a batch nor a row group may hold them by the thousand."""
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    heavy = spark.range(0, 40, 1, 1).select(F.repeat(F.lit("x"), 100_000).alias("t"))
+    before = spark.conf.get(ARROW_BYTES)
+    with light_batches(spark):
+        assert max(r.n for r in heavy.mapInArrow(sizes, "n long").collect()) <= 11
+        with light_batches(spark, 1 << 30):
+            assert int(spark.conf.get(ARROW_BYTES)) == 1 << 20
+    assert spark.conf.get(ARROW_BYTES) == before
+    seen = []
+    for module in (retrieval, grounding):
+        monkeypatch.setattr(module, "stage", lambda df, name: seen.append((name, int(spark.conf.get(ARROW_BYTES).rstrip("b")))) or stage(df, name))
+    store = chunk_store(spark.createDataFrame(CORPUS * 3, "doc_id long, source string, text string"))
+    packed = retrieval.pack(store.coalesce(1), str(tmp_path / "index"), block_rows=1)
+    ground(spark.createDataFrame([(1, "Apollo 11 landed on the Moon.")], "doc_id long, text string"), store, index=packed)
+    assert {name for name, _ in seen} == {"query-blocks", "found"} and max(size for _, size in seen) <= 1 << 20
+    groups = [pq.ParquetFile(p).metadata.row_group(i).num_rows for p in tmp_path.rglob("*.parquet") for i in range(pq.ParquetFile(p).metadata.num_row_groups)]
+    assert sum(groups) == packed.rows > retrieval.GROUP_BLOCKS >= max(groups)
+
+
 def test_approximate_search_finds_equal_vectors(spark):
     df = spark.createDataFrame([(i, [float(i == j) for j in range(6)]) for i in range(6)], "id long, embedding array<float>")
     got = retrieval.evidence_approx(df.withColumnRenamed("id", "query_id"), df.withColumnRenamed("id", "chunk_id"), 0.5).collect()
