@@ -150,6 +150,22 @@ def test_batches_are_bounded_in_bytes(spark, tmp_path, monkeypatch):
     assert sum(groups) == packed.rows > retrieval.GROUP_BLOCKS >= max(groups)
 
 
+@pytest.mark.parametrize("name", ["stream_grounding", "stored_run"])
+def test_stores_are_made_in_bounded_batches(spark, sf, monkeypatch, name):
+    from queries import streaming
+
+    class Asked(Exception):
+        pass
+
+    def asked(df, what):
+        raise Asked(what, int(spark.conf.get(ARROW_BYTES).rstrip("b")))
+
+    monkeypatch.setattr(streaming, "stage", asked)
+    with pytest.raises(Asked) as found:
+        getattr(streaming, name)(spark, sf)
+    assert found.value.args == ("store", 1 << 20)
+
+
 def test_approximate_search_finds_equal_vectors(spark):
     df = spark.createDataFrame([(i, [float(i == j) for j in range(6)]) for i in range(6)], "id long, embedding array<float>")
     got = retrieval.evidence_approx(df.withColumnRenamed("id", "query_id"), df.withColumnRenamed("id", "chunk_id"), 0.5).collect()
