@@ -58,6 +58,21 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def fleeting_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Delete the shuffle files of each query run inside as soon as it ends; else they stay until the driver's garbage is collected.
+
+    For queries whose result is staged, so that none of their shuffles is read again.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 

@@ -124,17 +124,23 @@ def report_lines(explanations: DataFrame, fmt: str = "markdown") -> DataFrame:
     return lines
 
 
-def write_report(explanations: DataFrame | list[DataFrame], path: str, fmt: str = "markdown") -> None:
+def write_report(explanations: DataFrame | list[DataFrame], path: str, fmt: str = "markdown", made_of: list[DataFrame] | None = None, compression: str = "none") -> None:
     """Write the lines in order, each section after its header.
 
     A list has a frame per section, in the order of the sections, with its rows
     as they shall lie (no ``position`` is read). So a caller can sort what
-    explanations are made of, and neither texts nor lines are sorted.
+    explanations are made of, and neither texts nor lines are sorted. ``made_of(kind)``
+    has a frame per section that has rows if the section has, and is cheaper to
+    look at. Lines repeat much: ``compression`` is a codec of Spark's text files.
     """
     if isinstance(explanations, DataFrame):
         ordered = report_lines(explanations, fmt).orderBy("section", F.asc_nulls_first("position"), "line").select("text")
     else:
         _, body, head = _told(fmt)
-        told = [part for rows in explanations for part in ([rows.limit(1).select(head.alias("text"))] if head is not None else []) + [rows.select(F.explode(body).alias("text"))]]
+        told = []
+        for rows, seen in zip(explanations, made_of or explanations, strict=True):
+            if head is not None:
+                told.append(seen.limit(1).select(head.alias("text")))
+            told.append(rows.select(F.explode(body).alias("text")))
         ordered = reduce(DataFrame.union, told)
-    ordered.write.mode("overwrite").text(path)
+    ordered.write.mode("overwrite").option("compression", compression).text(path)

@@ -574,8 +574,8 @@ MET = I.sql(MET_TEXT)
 MET_SIDE = ["table_name", "column_name", "data_type", "is_primary_key", "is_nullable"]
 
 
-def met(spark, sf, rows: int = 250_000):
-    """MET_TEXT; lines are told apart by numbers of columns, and the columns are joined to the different ones.
+def met_pairs(spark, sf, rows: int = 250_000):
+    """Different pairs ``(s, t)`` of numbers of columns that meet in lineitem, and the columns by number.
 
     Most pairs occur once, so they are dealt before they are told apart, ``rows`` lines to a partition.
     """
@@ -587,7 +587,13 @@ def met(spark, sf, rows: int = 250_000):
     def side(columns, name, key):
         return columns.toDF(*[n.format(name) for n in names], key)
 
-    return pairs.join(side(sources, "source", "s"), "s").join(side(targets, "target", "t"), "t").drop("s", "t")
+    return pairs, side(sources, "source", "s"), side(targets, "target", "t")
+
+
+def met(spark, sf, rows: int = 250_000):
+    """MET_TEXT; lines are told apart by numbers of columns, and the columns are joined to the different ones."""
+    pairs, sources, targets = met_pairs(spark, sf, rows)
+    return pairs.join(sources, "s").join(targets, "t").drop("s", "t")
 
 
 @query(

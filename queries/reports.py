@@ -13,13 +13,13 @@ from corroborate.functions import similarity as S
 from corroborate.operators import explain as X
 from corroborate.operators import match, profile
 from corroborate.operators import reports as R
-from corroborate.session import small, stage
+from corroborate.session import fleeting_shuffles, small, stage
 from corroborate.sources import tables as TB
 from queries import inputs as I
 from queries import SQL, query
 from queries.grounding import CHUNKED, GROUND
 from queries.grounding import SCORES as GROUND_SCORES
-from queries.matching import MATCHED, MET, PROPOSED, UNMAPPED, conversion_sql, mappings, met, norm_a_sql, proposed_mappings, quote, reason_sql, tables, tokens_sql
+from queries.matching import MATCHED, MET, PROPOSED, UNMAPPED, conversion_sql, mappings, met, met_pairs, norm_a_sql, proposed_mappings, quote, reason_sql, tables, tokens_sql
 from queries.migration import REJECTED, RESULTS, ROUTED, _scratch, results, routed
 from queries.quality import SPECS, SUITE, suite
 
@@ -160,29 +160,63 @@ def platform_summary(spark, sf):
 # shared share of their letters' positions is left to the fuzzy score elsewhere.
 
 
-def judged(spark, sf):
-    """Met column pairs with the three scores and their blend; names and types are compared once, however many columns have them."""
-    rows = stage(met(spark, sf), "met")
-    names, types = ["source_column", "target_column"], ["source_type", "target_type"]
+NAMES, TYPES = ["source_column", "target_column"], ["source_type", "target_type"]
+
+
+def scores(rows):
+    """Scores of the different pairs of names and of types; they are compared once, however many columns have them."""
     bag = lambda name: F.array_distinct(F.split(F.regexp_replace(F.lower(name), "[^a-z0-9]+", " "), " "))
     shared = F.size(F.array_intersect(bag("source_column"), bag("target_column")))
     every = F.size(F.array_union(bag("source_column"), bag("target_column")))
     span = F.greatest(F.length("source_column"), F.length("target_column"))
     alike = stage(
-        rows.select(*names).distinct().select(
-            *names, F.round(shared / every, 4).alias("semantic"), F.round(1 - F.levenshtein("source_column", "target_column") / span, 4).alias("syntactic")
+        rows.select(*NAMES).distinct().select(
+            *NAMES, F.round(shared / every, 4).alias("semantic"), F.round(1 - F.levenshtein("source_column", "target_column") / span, 4).alias("syntactic")
         ),
         "alike",
     )
-    fit = stage(rows.select(*types).distinct().withColumn("type_score", S.type_score(F.col("source_type"), F.col("target_type"))), "fit")
+    return alike, stage(rows.select(*TYPES).distinct().withColumn("type_score", S.type_score(F.col("source_type"), F.col("target_type"))), "fit")
+
+
+def scored(rows, alike, fit):
+    """Rows with the three scores of their names and types, and their blend."""
 
     def joined(left, right, on):
         return left.join(right, reduce(Column.__and__, [left[c].eqNullSafe(right[c]) for c in on])).drop(*[right[c] for c in on])
 
-    return (
-        joined(joined(rows, small(alike, 1_000_000), names), small(fit), types)
-        .withColumn("overall", F.round(0.5 * F.col("semantic") + 0.3 * F.col("syntactic") + 0.2 * F.col("type_score"), 4))
-    )
+    return joined(joined(rows, alike, NAMES), fit, TYPES).withColumn("overall", F.round(0.5 * F.col("semantic") + 0.3 * F.col("syntactic") + 0.2 * F.col("type_score"), 4))
+
+
+def judged(spark, sf):
+    """Met column pairs with the three scores and their blend."""
+    rows = stage(met(spark, sf), "met")
+    alike, fit = scores(rows)
+    return scored(rows, small(alike, 1_000_000), small(fit))
+
+
+def judged_in_order(spark, sf, rows: int = 100_000, most: int = 1_000_000):
+    """What explanations of the pairs of :func:`judged` read, in the order of the hash of their names, and the pairs as ``(h, a, b)``.
+
+    A pair is dealt by hash as three numbers, its hash and those of name and
+    type on both sides, ``rows`` to a partition, and gets words and scores where
+    it lies. If these are too many to send to all, the words are sorted.
+    """
+    pairs, sources, targets = met_pairs(spark, sf)
+    by_s, sources = I.numbered(sources, "s", ["source_column", "source_type"], "source_table", "source_column")
+    by_t, targets = I.numbered(targets, "t", ["target_column", "target_type"], "target_table", "target_column")
+    met_by = pairs.join(by_s.withColumnRenamed("at", "a"), "s").join(small(stage(by_t.withColumnRenamed("at", "b"), "targets"), most), "t")
+    thin = stage(met_by.select(F.xxhash64("source_table", "source_column", "target_table", "target_column").alias("h"), "a", "b"), "thin")
+    sources, targets = sources.withColumnRenamed("at", "a"), targets.withColumnRenamed("at", "b")
+    read, few = [sources, targets], [small(sources, most), small(targets, most)]
+    found = scores(thin.join(few[0], "a").join(few[1], "b"))
+    read, few = [*read, *found], [*few, small(found[0], most), small(found[1])]
+
+    def told(numbers):
+        return scored(numbers.join(few[0], "a").join(few[1], "b"), *few[2:])
+
+    if any(x is y for x, y in zip(read, few, strict=True)):
+        return told(thin).orderBy("h"), thin
+    return told(thin.repartitionByRange(max(2, -(-thin.count() // rows)), "h")).sortWithinPartitions("h"), thin
 
 
 def _compat() -> str:
@@ -402,12 +436,13 @@ def _report_sql() -> str:
 @query("report_text", _report_sql())
 def report_text(spark, sf):
     """The explanation report of mappings and checks, as ordered text lines."""
-    mapped = judged(spark, sf).orderBy(F.xxhash64("source_table", "source_column", "target_table", "target_column"))
-    failed = suite(spark, sf).where(F.col("status") == "failed").orderBy(F.xxhash64("table_name", "check_name"))
-    told = X.explain_mapping(mapped).select(F.lit("mapping").alias("kind"), "title", "summary", "details")
-    checked = X.explain_check(failed).select(F.lit("validation").alias("kind"), "title", "summary", F.col("lines").alias("details"))
     path = os.path.join(_scratch(spark), "report.md")
-    TB.write_report([told, checked], path)
+    with fleeting_shuffles(spark):
+        mapped, pairs = judged_in_order(spark, sf)
+        failed = stage(suite(spark, sf).where(F.col("status") == "failed"), "failed").orderBy(F.xxhash64("table_name", "check_name"))
+        told = X.explain_mapping(mapped).select(F.lit("mapping").alias("kind"), "title", "summary", "details")
+        checked = X.explain_check(failed).select(F.lit("validation").alias("kind"), "title", "summary", F.col("lines").alias("details"))
+        TB.write_report([told, checked], path, made_of=[pairs.select(F.lit("mapping").alias("kind")), checked], compression="gzip")
     return spark.read.text(path)
 
 

@@ -311,3 +311,52 @@ def test_report_puts_each_header_first_and_keeps_explanations_whole(spark, tmp_p
     assert lines(tmp_path / "list") == want
     TB.write_report([s.limit(0) for s in sections], str(tmp_path / "none"))
     assert lines(tmp_path / "none") == []
+
+
+def test_report_can_be_compressed_and_look_for_headers_elsewhere(spark, tmp_path):
+    told = spark.createDataFrame([("mapping", k, f"t{k}", "s", ["d"] * 3) for k in range(50)], "kind string, position long, title string, summary string, details array<string>")
+    TB.write_report(told, str(tmp_path / "plain"))
+    TB.write_report([told.coalesce(1)], str(tmp_path / "made"), made_of=[spark.createDataFrame([("mapping",)], "kind string")], compression="gzip")
+    TB.write_report([told.limit(0)], str(tmp_path / "none"), made_of=[told.limit(0)], compression="gzip")
+    lines = lambda name: sorted(r.value for r in spark.read.text(str(tmp_path / name)).collect())
+    assert lines("made") == lines("plain") and lines("none") == []
+    size = lambda name: sum(f.stat().st_size for f in (tmp_path / name).glob("part-*"))
+    assert size("made") * 4 < size("plain")
+
+
+@pytest.fixture
+def met_tables(spark, tmp_path):
+    """Parts and suppliers that give columns of equal names, types or both, and lines that meet them, some twice, some without a partner."""
+    spark.createDataFrame([(k, f"name {k % 5}", ["STEEL", "TIN"][k % 2], k % 4) for k in range(60)], "p_partkey long, p_name string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(k, k % 3) for k in range(40)], "s_suppkey long, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    lines = [(k % 60, k * 7 % 40) for k in range(900)] * 2 + [(None, 1), (1, None), (999, 1)]
+    spark.createDataFrame(lines, "l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_judged_pairs_are_ordered_as_numbers(spark, met_tables, most):
+    from queries.reports import judged, judged_in_order
+
+    read = ["source_column", "target_column", "source_type", "target_type", "semantic", "syntactic", "type_score", "overall"]
+    rows, pairs = judged_in_order(spark, met_tables, 20, most)
+    want = judged(spark, met_tables)
+    got = rows.select("h", *read).collect()
+    assert sorted(tuple(r)[1:] for r in got) == sorted(tuple(r) for r in want.select(*read).collect()) and len(got) == pairs.count() > 100
+    order = [r.h for r in want.select(F.xxhash64("source_table", "source_column", "target_table", "target_column").alias("h")).collect()]
+    assert [r.h for r in got] == sorted(order)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    dealt = plan[plan.index("Exchange rangepartitioning(h") :]
+    assert ("Join" in dealt[: dealt.index("FileScan")]) == (most == 0)
+
+
+def test_shuffles_of_staged_queries_are_deleted(spark, tmp_path):
+    from corroborate.session import fleeting_shuffles
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    with pytest.raises(KeyError), fleeting_shuffles(spark):
+        assert spark.conf.get(key) == "true"
+        spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count().write.parquet(str(tmp_path / "out"))
+        raise KeyError
+    assert spark.conf.get(key) == before and spark.read.parquet(str(tmp_path / "out")).count() == 7
